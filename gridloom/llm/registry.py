@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, substring_dedup, token_count
+from . import byte_bpe, decontaminate, quality_rules, substring_dedup, token_count
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_token_count": token_count.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
