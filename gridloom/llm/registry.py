@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, quality_rules, substring_dedup, token_count
+from . import byte_bpe, decontaminate, language_id, near_dedup, quality_rules, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op3_near_dedup": near_dedup.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_token_count": token_count.query,
+    "op7_language_id": language_id.query,
+    "op8_toxicity": toxicity.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
