@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language_id, near_dedup, quality_rules, substring_dedup, token_count, toxicity
+from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, quality_rules, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
     "op3_near_dedup": near_dedup.query,
+    "op4_chat_format": chat_format.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_token_count": token_count.query,
     "op7_language_id": language_id.query,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
+    "op4_chat_format": chat_format.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
