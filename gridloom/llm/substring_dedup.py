@@ -196,12 +196,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     """For each row: id_col, n_words, n_removed and kept, the words that stay joined by one space."""
     spark = df.sparkSession
     n = parallelism(spark)
-    bits = max(1, (2 * n - 1).bit_length())
+    bits = max(1, (n - 1).bit_length())
     held = spark.sparkContext.broadcast(sketch(df, text_col, size))
     key = uuid.uuid4().hex
     id_type = df.schema[id_col].dataType
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(4 * n)).cast("int")).repartition(n, "chunk")
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(2 * n)).cast("int")).repartition(n, "chunk")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(held, key)
