@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, quality_rules, substring_dedup, token_count, toxicity
+from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, quality_rules, secret_scan, substring_dedup, token_count, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_near_dedup": near_dedup.query,
     "op4_chat_format": chat_format.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": secret_scan.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
     "op4_chat_format": chat_format.SQL,
     "op9_decontaminate": decontaminate.SQL,
