@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents
+from .common import documents, stored
 from .textbuf import mix, pieces, spans_hash, texts_of, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 40 bands of 8: a pair of similarity 0.8 shares a band with probability 0.9994, one of 0.5 with 0.14.
 BANDS, ROWS = 40, 8
-#: Pivots that a bucket of over ``SMALL`` texts of several components gets before all its components are compared.
-TURNS, SMALL = 4, 32
+#: Pivots that a bucket gets, one after another, while comparing all its components would take over ``WORK`` pairs.
+TURNS, WORK = 4, 1 << 16
 #: A text's number of 63 bits, from its 128-bit key.
 NODE = "CASE WHEN text_key IS NOT NULL THEN shiftrightunsigned(xxhash64(text_key), 1) END"
 
@@ -198,13 +198,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable from each node of the edges (a, b). Every round each node takes the
     smallest label around it, and then its label's label; the labels are written to the shared folder each round."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    label = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"))
+    both = stored(both, "near-dedup")
+    label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), "near-dedup")
     while True:
         around = both.join(label, both.b == label.node).groupBy("a").agg(F.min("comp").alias("near"))
         new = label.join(around, label.node == around.a, "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = new.select(F.col("node").alias("target"), F.col("comp").alias("beyond"))
-        new = checkpointed(new.join(jump, new.comp == jump.target, "left").select("node", "old", F.least("comp", "beyond").alias("comp")))
+        new = stored(new.join(jump, new.comp == jump.target, "left").select("node", "old", F.least("comp", "beyond").alias("comp")), "near-dedup")
         if not new.filter("comp < old").limit(1).count():
             return new.select("node", "comp")
         label = new.select("node", "comp")
@@ -226,44 +226,40 @@ def links(shared: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
     for turn in range(TURNS):
         order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
         pivot = opened.groupBy("band").agg(F.min_by(F.struct("node", "size", "comp"), order).alias("p"), F.count("*").alias("n"))
-        if turn:
-            pivot = pivot.filter(F.col("n") > SMALL)
         asked = opened.join(pivot.select("band", "p"), "band").filter((F.col("comp") != F.col("p.comp")) & _sizes_allow("size", "p.size", least))
         asked = _ordered(asked.select(F.col("p.node").alias("a"), F.col("node").alias("b")))
         if compared is not None:
             asked = asked.join(compared, ["a", "b"], "left_anti")
-        asked = checkpointed(asked)
-        found = checkpointed(similar_pairs(asked, blobs, least))
+        asked = stored(asked, "near-dedup")
+        found = stored(similar_pairs(asked, blobs, least), "near-dedup")
         edges = found if edges is None else edges.unionByName(found)
         compared = asked if compared is None else compared.unionByName(asked)
         mark = shared.join(components(edges), "node", "left").select("band", "node", "size", F.coalesce("comp", "node").alias("comp"))
-        mixed = mark.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high")
-        opened = checkpointed(mark.join(mixed.select("band", "n"), "band"))
-        if not opened.filter(F.col("n") > SMALL).limit(1).count():
+        sums = mark.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("of_main"), F.sum("n").alias("n"))
+        left = stored(mark.join(sums.filter("of_main < n"), "band").withColumn("work", F.col("n") * (F.col("n") - F.col("of_main"))), "near-dedup")
+        opened = left.filter(F.col("work") > WORK).select("band", "node", "size", "comp")
+        if not opened.limit(1).count():
             break
-        opened = opened.drop("n")
-    opened = opened.select("band", "node", "size", "comp")
-    main = opened.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    other = opened.join(main, "band").filter("comp <> main").select("band", *(F.col(c).alias(f"{c}_x") for c in ("node", "size", "comp")))
-    rest = other.join(opened, "band").filter((F.col("comp_x") != F.col("comp")) & _sizes_allow("size_x", "size", least))
+    other = left.filter("comp <> main").select("band", *(F.col(c).alias(f"{c}_x") for c in ("node", "size", "comp")))
+    rest = other.join(left, "band").filter((F.col("comp_x") != F.col("comp")) & _sizes_allow("size_x", "size", least))
     rest = _ordered(rest.select(F.col("node_x").alias("a"), F.col("node").alias("b"))).join(compared, ["a", "b"], "left_anti")
-    return edges.unionByName(checkpointed(similar_pairs(rest, blobs, least)))
+    return edges.unionByName(stored(similar_pairs(rest, blobs, least), "near-dedup"))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each row of df: id_col, class_id (the smallest id of its class; null if none has one) and copies (rows whose
     shingles equal its own)."""
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = checkpointed(signatures(own, "text", bands, rows).withColumn("node", F.expr(NODE)))
+    signed = stored(signatures(own, "text", bands, rows).withColumn("node", F.expr(NODE)), "near-dedup")
     members = signed.select("id", "node")
     texts = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     banded = texts.select("node", "size", F.explode("bands").alias("band"))
     several = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    shared = checkpointed(banded.join(several, "band"))
-    wanted = checkpointed(texts.select("node", F.col("id").alias("rep")).join(shared.select("node").distinct(), "node", "left_semi"))
+    shared = stored(banded.join(several, "band"), "near-dedup")
+    wanted = stored(texts.select("node", F.col("id").alias("rep")).join(shared.select("node").distinct(), "node", "left_semi"), "near-dedup")
     named = own.join(wanted.filter("rep is not null").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     found = shingle_blobs(named.unionByName(own.filter("id is null")).select("text"), "text").withColumn("node", F.expr(NODE))
-    blobs = checkpointed(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")))
+    blobs = stored(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")), "near-dedup")
     edges = links(shared, blobs, least)
     # rows that share an id tie their texts together
     tied = members.filter("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -281,7 +277,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     plain = docs.toDF(*names)
-    found = checkpointed(classes(plain, key, text))
+    found = stored(classes(plain, key, text), "near-dedup")
     first = found.filter(F.col(key) == F.col("class_id")).select(key).distinct()
     stay = plain.join(first, key, "left_semi")
     many = found.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > 1)).select(key)
