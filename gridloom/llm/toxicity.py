@@ -30,6 +30,8 @@ from .textbuf import LOWER, NOT_ALNUM, pieces, spans_hash, texts_of, words
 POSITIVES, UNLABELLED = 8_000, 24_000
 #: Words: least positives with it, least ratio of its share among positives to its share among all, at most so many.
 LEAST, RATIO, WORDS = 5, 1.5, 50_000
+#: Slices of the words whose counts are summed apart.
+SLICES = 16
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 
 
@@ -74,13 +76,24 @@ def frequencies(df: DataFrame, text_col: str, wanted: np.ndarray) -> tuple[np.nd
                 at = np.minimum(np.searchsorted(own, h), len(own) - 1)
                 n += np.bincount(at[own[at] == h], minlength=len(own))
                 rows += part.num_rows
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*n[at].tolist(), rows], pa.int64())], names=["word", "n"])
+        parts = np.array_split(n, SLICES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([rows] + [0] * (SLICES - 1), pa.int64())], names=["slice", "counts", "rows"])
 
-    out = np.zeros(len(wanted) + 1, np.int64)
-    for r in df.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        out[r.word] = r.n
-    return out[:-1], int(out[-1])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        rows = 0
+        for batch in batches:
+            rows += sum(batch.column("rows").to_pylist())
+            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.int64)
+                total[k] = total[k] + x if k in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array([rows] * len(total), pa.int64())], names=["slice", "counts", "rows"])
+
+    parts = df.select(text_col).mapInArrow(run, "slice int, counts binary, rows long").repartition(SLICES, "slice")
+    out, rows = {k: np.zeros(len(x), np.int64) for k, x in enumerate(np.array_split(wanted, SLICES))}, 0
+    for r in parts.mapInArrow(add, "slice int, counts binary, rows long").collect():  # as many counts as wanted words
+        out[r.slice], rows = np.frombuffer(r.counts, np.int64), max(rows, r.rows)
+    return np.concatenate([out[k] for k in range(SLICES)]), rows
 
 
 @dataclass
