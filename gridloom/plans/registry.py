@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "w_detrended_mean_series"
+from . import base, series  # noqa: F401
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "w_detrended_mean_series"
+QUERIES, ORACLE_SQL = base.QUERIES, base.SQL
