@@ -106,7 +106,11 @@ def query(sql: str | None = None, digits: int = 4, ctes: str = ""):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Tables(spark, sf_dir)), digits)
         if sql is not None:
             own = re.sub(r"\{r:((?:[^{}]|\{[^{}]*\})*)\}", lambda m: f"(round(({m[1]})::DOUBLE + {nudge(digits)!r}::DOUBLE, {digits}) + 0.0)", sql)
-            SQL[f.__name__] = f"WITH {ctes}{own}" if own.lstrip().startswith(("SELECT", "(")) and ctes else own if not ctes else f"WITH {ctes}, {own.strip().removeprefix('WITH')}"
+            body = own.strip()
+            if not body.startswith("SELECT"):  # it begins with tables of its own
+                SQL[f.__name__] = f"WITH {ctes}, {body}" if ctes else f"WITH {body}"
+            else:
+                SQL[f.__name__] = f"WITH {ctes} {body}" if ctes else body
         return f
 
     return add

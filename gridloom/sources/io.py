@@ -57,7 +57,7 @@ def select_runs(runs: DataFrame, specs: str, ensemble: str = "ensemble", experim
     glob = lambda c: F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"([.+^$(){}|\[\]\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
     table = table.select(F.when(F.size("p") > 1, glob(F.col("p")[0])).otherwise("^.*$").alias("e"), glob(F.element_at("p", -1)).alias("x"))
     own = runs.select(ensemble, experiment).distinct()
-    hit = own.join(F.broadcast(table), F.col(ensemble).rlike(F.col("e")) & F.col(experiment).rlike(F.col("x")), "left_semi")  # a spec a row
+    hit = own.join(F.broadcast(table), F.rlike(F.col(ensemble), F.col("e")) & F.rlike(F.col(experiment), F.col("x")), "left_semi")  # a spec a row
     return hit.withColumn("display_name", F.concat_ws(":", ensemble, experiment))
 
 
