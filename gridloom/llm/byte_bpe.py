@@ -7,7 +7,7 @@ and their paths to the root. Pieces of up to 64 bytes go through the trees in nu
 longer pieces take one tree each, so a piece of n bytes costs n log n.
 
 Defined results: null text and empty text give no ids and decode to empty bytes; repeated rows each get their result;
-other columns of the input stay as they are and a clash with an output name is an error of the caller (``out`` names it).
+other columns of the input stay as they are, but one that has the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, freed, text_batches
 from .textbuf import pieces
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -187,6 +187,7 @@ def _codec(held, pattern: str) -> ByteBpe:
 
 
 def _held(spark: SparkSession, rank_path: str):
+    text_batches(spark)
     with open(rank_path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -195,6 +196,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
     """df with the ids of each text as ``out`` array<int>. ``rank_path`` is read where this is called; the ranks go to the
     workers by broadcast, so executors need no such file."""
     held = _held(df.sparkSession, rank_path)
+    df = freed(df, [out], text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held, pattern)
@@ -211,6 +213,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that each row's ids stand for as ``out``; null ids give empty bytes."""
     held = _held(df.sparkSession, rank_path)
+    df = freed(df, [out], ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held, pattern)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +51,25 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def crc_mod(column, n: int):
-    """crc32 of an id as text, modulo n; null stays null."""
-    return F.crc32(column.cast("string").cast("binary")) % n
+def freed(df: DataFrame, names: Iterable[str], source: str) -> DataFrame:
+    """df without columns that results will have the names of, so that results replace them. The column that is read must
+    not be one of them."""
+    taken = {n.lower() for n in names}
+    if source.lower() in taken:
+        raise ValueError(f"{source} is read, so no result can have its name")
+    return df.drop(*(c for c in df.columns if c.lower() in taken))
 
 
-def batch_of(columns: dict[str, object], like: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=like.field(n).type, from_pandas=False) for n, x in columns.items()], schema=like)
+def text_batches(spark: SparkSession) -> None:
+    """Lets Spark hand whole texts to Python a thousand at a time, and 16 MB at most where it can tell; the usual ten thousand
+    of some kilobytes each, held by Spark and Python and going both ways, take much of a small executor. What a session has
+    set itself stays."""
+    for name, usual, ours in (("maxRecordsPerBatch", 10_000, 1_000), ("maxBytesPerBatch", 64 << 20, 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key).upper().removesuffix("B") in (str(usual), f"{usual >> 20}M"):
+            spark.conf.set(key, str(ours))
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+def crc_mod(column, n: int):
+    """crc32 of an id as text, modulo n; null stays null."""
+    return F.crc32(column.cast("string").cast("binary")) % n

@@ -13,7 +13,7 @@ consecutive words of one item; an item of fewer words, but not none, is one wind
 
 Defined results: null and empty texts have no words and no hits; null and empty items have no windows; items that repeat an
 item_id count once; words of an item without an item_id count as hit, but it is not listed; repeated documents each get
-their result; other columns stay.
+their result; other columns stay, but those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, freed, text_batches
 from .textbuf import LOWER, NOT_ALNUM, per_row, pieces, spans_hash, texts_of, words
 
 WINDOW = 10
@@ -190,9 +190,9 @@ def search(items: Items, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.nda
 _loaded: dict[str, Items] = {}
 
 
-def _pass(df: DataFrame, held, text_col: str, window: int) -> DataFrame:
+def _pass(df: DataFrame, held, text_col: str, window: int, have: bool) -> DataFrame:
     """df with OUT's columns brought up to date by one block of items."""
-    have, key = "hits" in df.columns, uuid.uuid4().hex
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _loaded:
@@ -228,12 +228,13 @@ def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     own = items.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).alias("item_text")).filter(F.length("item_text") > 0)
     size = own.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    found = docs
+    text_batches(docs.sparkSession)
+    found = freed(docs, OUT.names, text_col)
     for k in range(blocks):
         block = own.filter(F.pmod(F.xxhash64("name", "item_text"), F.lit(blocks)) == k) if blocks > 1 else own
         rows = block.collect()
         held = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(([r.name for r in rows], [r.item_text for r in rows])), 1))
-        found = _pass(found, held, text_col, window)
+        found = _pass(found, held, text_col, window, have=k > 0)
     return found
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, stored, text_batches
 from .textbuf import mix, pieces, spans_hash, texts_of, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -147,7 +147,7 @@ def signatures(df: DataFrame, text_col: str, bands: int = BANDS, rows: int = ROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text_col, 1 << 20):
+            for part in pieces(batch, text_col, 1 << 19):
                 n = part.num_rows
                 h, row, count = shingles(part.column(text_col))
                 sig = dart_signatures(h, row, count.astype(np.float64), n, bands * rows).reshape(n, bands, rows)
@@ -249,6 +249,7 @@ def links(shared: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each row of df: id_col, class_id (the smallest id of its class; null if none has one) and copies (rows whose
     shingles equal its own)."""
+    text_batches(df.sparkSession)
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(own, "text", bands, rows).withColumn("node", F.expr(NODE)), "near-dedup")
     members = signed.select("id", "node")

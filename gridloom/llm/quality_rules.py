@@ -8,7 +8,8 @@ than ``LEAST_GROUP`` texts use their language's fences, small languages the corp
 documents by language and source, and documents beyond any fence are rejected.
 
 Defined results: null text has no words and fails; null language or source is a group of its own; texts without words take
-no part in the sketches; repeated rows count each; other columns stay.
+no part in the sketches; repeated rows count each; other columns stay, but those with a result's name are
+replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, documents
+from .common import checkpointed, documents, freed, text_batches
 from .textbuf import SPACE, covered, mix, per_row, pieces, spans_hash, texts_of, windows, words
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
@@ -40,6 +41,8 @@ MEASURES = {
 
 def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with COUNTS of each text as long columns."""
+    text_batches(df.sparkSession)
+    df = freed(df, COUNTS, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

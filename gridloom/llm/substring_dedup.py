@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism
+from .common import documents, parallelism, text_batches
 from .textbuf import covered, mix, per_row, pieces, spans_hash, texts_of, windows, words
 
 SIZE = 13
@@ -195,6 +195,7 @@ def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.T
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """For each row: id_col, n_words, n_removed and kept, the words that stay joined by one space."""
     spark = df.sparkSession
+    text_batches(spark)
     n = parallelism(spark)
     bits = max(1, (n - 1).bit_length())
     held = spark.sparkContext.broadcast(sketch(df, text_col, size))

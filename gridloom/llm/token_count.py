@@ -8,7 +8,8 @@ found from a bounded list of leaders of each partition.
 The count of a text is the sum over its pre-tokens, because the model merges inside a pre-token only; special strings are
 one token each and split the text, as the library does by default.
 
-Defined results: null and empty text count 0 tokens and 0 bytes; repeated rows each get their count; other columns stay.
+Defined results: null and empty text count 0 tokens and 0 bytes; repeated rows each get their count; other columns stay,
+but one that has the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, freed, text_batches
 from .textbuf import LOWER, NOT_ALNUM, pieces, spans_hash, texts_of, words
 
 MODEL_FILE = "word_bpe_49k.json"
@@ -126,6 +127,8 @@ def count_tokens(df: DataFrame, model_path: str, text_col: str = "text", out: st
     """df with the tokens of each text as ``out`` long. ``model_path`` is read where this is called."""
     with open(model_path, "rb") as f:
         model = f.read()
+    text_batches(df.sparkSession)
+    df = freed(df, [out], text_col)
     first = WordBpe(model, {})
     names = [w for w in frequent(df, text_col, entries) if first.split.findall(first.normal(w)) == [w]]
     table = {w: first[w] for w in names}

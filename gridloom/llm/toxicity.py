@@ -10,7 +10,8 @@ Bounds: at most ``POSITIVES`` toxic and about ``UNLABELLED`` other texts, chosen
 for the fit. Which words take part is decided by counts over all texts that may be learnt from.
 
 Defined results: null and empty texts have no words and get the score of a text without any known word; rows that repeat
-an id each get their score; without positives every score is 0; other columns stay.
+an id each get their score; without positives every score is near 0; other columns stay, but those
+with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, freed, text_batches
 from .textbuf import LOWER, NOT_ALNUM, pieces, spans_hash, texts_of, words
 
 POSITIVES, UNLABELLED = 8_000, 24_000
-#: Words: least positives with it, least ratio of its share among positives to its share among all, at most so many.
-LEAST, RATIO, WORDS = 5, 1.5, 50_000
+#: Words: least positives with it, least ratio of its share among positives to its share among all, least surprise (twice
+#: the log likelihood ratio of a Poisson count) so that few words get in by chance, at most so many.
+LEAST, RATIO, SURPRISE, WORDS = 5, 1.5, 15.0, 50_000
 #: Slices of the words whose counts are summed apart.
 SLICES = 16
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
@@ -143,6 +145,7 @@ def fit(words_: np.ndarray, positive: tuple[np.ndarray, np.ndarray, int], other:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """From docs (id, text) that may be learnt from and labels (id, 0/1) that may."""
+    text_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter("id is not null and toxic is not null")
     share = known.agg(F.avg(F.col("toxic").cast("double")).alias("prior"), F.count("*").alias("n")).first()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -163,9 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     h, n = h[n >= LEAST], n[n >= LEAST]
     if len(h):
         total, rows = frequencies(own, "text", h)
-        ratio = (n / len(lists)) / np.maximum(total / max(1, rows), 1e-12)
-        best = np.argsort(-ratio, kind="stable")[:WORDS]
-        h = np.sort(h[best[ratio[best] >= RATIO]])
+        expected = np.maximum(total * len(lists) / max(1, rows), 1e-9)
+        ratio = n / expected
+        surprise = 2 * (n * np.log(ratio) - (n - expected))
+        best = np.argsort(-surprise, kind="stable")[:WORDS]
+        h = np.sort(h[best[(ratio[best] >= RATIO) & (surprise[best] >= SURPRISE)]])
     else:
         rows = own.count()
     if not len(h):
@@ -179,6 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with score double and predicted int."""
     held = df.sparkSession.sparkContext.broadcast(model)
+    text_batches(df.sparkSession)
+    df = freed(df, ["score", "predicted"], text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
