@@ -9,9 +9,10 @@ coordinates and shingles it has.
 
 Bands of ``ROWS`` coordinates are joined: of texts with equal shingles one stands for all; each band's bucket gets a pivot,
 found by a sum that is built up before the shuffle; members are compared with the pivot only, by exact similarity of their
-shingles. Texts linked so far form components; buckets that still hold several components compare members of different
-components, other than pairs already compared and pairs whose sizes alone rule out the similarity. So large groups of near
-copies cost one comparison a member, and no link found by the bands is lost.
+shingles. Texts linked so far form components. Buckets that still hold several components compare, in blocks, the texts
+outside their largest component with the texts of other components; pairs are not written out, only links that join
+components are. So large groups of near copies cost one comparison a member, texts that only look alike cost a product of
+matrices, and no link found by the bands is lost.
 
 Defined results: texts without words (null and empty too) are in a class of their own each; a null id stands after all
 others; rows that repeat an id belong to the classes of all their texts, which become one; other columns are left out.
@@ -26,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored, text_batches
+from .common import documents, parallelism, stored, text_batches
 from .textbuf import mix, pieces, spans_hash, texts_of, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 40 bands of 8: a pair of similarity 0.8 shares a band with probability 0.9994, one of 0.5 with 0.14.
 BANDS, ROWS = 40, 8
 #: Pivots that a bucket gets, one after another, while comparing all its components would take over ``WORK`` pairs.
-TURNS, WORK = 4, 1 << 16
+TURNS, WORK = 3, 1 << 16
+#: Texts of a block: of those outside their bucket's largest component, and of all.
+BLOCK_X, BLOCK_Y = 256, 1024
 #: A text's number of 63 bits, from its 128-bit key.
 NODE = "CASE WHEN text_key IS NOT NULL THEN shiftrightunsigned(xxhash64(text_key), 1) END"
 
@@ -112,23 +115,21 @@ def _throw(e: np.ndarray, row: np.ndarray, weight: np.ndarray, low: float, width
         e, row, weight, rank, goal = e[go], row[go], weight[go], rank[go], goal[go]
 
 
-def _blob(h: np.ndarray, count: np.ndarray) -> bytes:
-    """Distinct shingles in order, then their counts (at most 2**32 - 1), as bytes."""
-    return h.tobytes() + count.astype("<u4").tobytes()
-
-
-def _unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // 12
-    return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, "<u4", n, 8 * n)
+def set_keys(h: np.ndarray, row: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's shingles as a set of 32-bit keys, the repeats of a shingle as keys of their own, by row and key. Two texts
+    of n shingles each take an unlike key for a common one n * n / 2**32 times."""
+    again = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    key = (mix(np.repeat(h, count) + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 17) >> np.uint64(32)).astype(np.uint32)
+    row = np.repeat(row, count)
+    order = np.lexsort((key, row))
+    return key[order], row[order]
 
 
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two texts' shingles."""
-    (x, n), (y, m) = _unblob(a), _unblob(b)
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = y[at] == x
-    common = int(np.minimum(n[both], m[at[both]]).sum())
-    return common / (int(n.sum()) + int(m.sum()) - common)
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    common = len(np.intersect1d(x, y))
+    return common / (len(x) + len(y) - common)
 
 
 def text_keys(h: np.ndarray, row: np.ndarray, count: np.ndarray, n: int) -> list[bytes | None]:
@@ -172,8 +173,9 @@ def shingle_blobs(df: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, text_col):
                 h, row, count = shingles(part.column(text_col))
-                edge = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
-                blobs = [_blob(h[a:b], count[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                key, of = set_keys(h, row, count)
+                edge = np.searchsorted(of, np.arange(part.num_rows + 1)).tolist()
+                blobs = [key[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 keys = text_keys(h, row, count, part.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["text_key", "blob"])
 
@@ -218,9 +220,9 @@ def _sizes_allow(x: str, y: str, least: float):
     return (F.col(x) >= least * F.col(y)) & (F.col(y) >= least * F.col(x))
 
 
-def links(shared: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
+def links(shared: DataFrame, texts: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that join all texts which a bucket's similarities join. shared: (band, node, size) of buckets with two
-    texts or more."""
+    texts or more; texts: (node, bands)."""
     edges = compared = None
     opened = shared.withColumn("comp", F.col("node"))
     for turn in range(TURNS):
@@ -240,10 +242,116 @@ def links(shared: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
         opened = left.filter(F.col("work") > WORK).select("band", "node", "size", "comp")
         if not opened.limit(1).count():
             break
-    other = left.filter("comp <> main").select("band", *(F.col(c).alias(f"{c}_x") for c in ("node", "size", "comp")))
-    rest = other.join(left, "band").filter((F.col("comp_x") != F.col("comp")) & _sizes_allow("size_x", "size", least))
-    rest = _ordered(rest.select(F.col("node_x").alias("a"), F.col("node").alias("b"))).join(compared, ["a", "b"], "left_anti")
-    return edges.unionByName(stored(similar_pairs(rest, blobs, least), "near-dedup"))
+    return edges.unionByName(stored(links_in_blocks(left.filter("n > 2"), texts, blobs, least), "near-dedup"))
+
+
+def links_in_blocks(left: DataFrame, texts: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
+    """Links between the components of buckets: every text outside a bucket's largest component is compared with every other
+    of another component, and what joins components comes out, not the pairs. left: (band, node, comp, main, n, of_main).
+
+    A bucket is dealt into blocks of some ``BLOCK_X`` such texts by ``BLOCK_Y`` of all, so no task holds more than a block
+    of each. Texts that share several bands are compared in the first of these only."""
+    share = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    deal = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
+    own = left.withColumn("out", F.col("n") - F.col("of_main")).withColumns({"xs": share("out", BLOCK_X), "ys": share("n", BLOCK_Y)})
+    x = own.filter("comp <> main").withColumns({"is_x": F.lit(True), "bx": deal(1, "xs"), "by": F.explode(F.sequence(F.lit(0), F.col("ys") - 1))})
+    y = own.withColumns({"is_x": F.lit(False), "by": deal(2, "ys"), "bx": F.explode(F.sequence(F.lit(0), F.col("xs") - 1))})
+    rows = x.unionByName(y).select("band", "bx", "by", "is_x", "node", "comp", (F.col("comp") != F.col("main")).alias("stray"))
+    rows = rows.join(texts.select("node", "bands").join(blobs, "node"), "node")
+    spark = left.sparkSession
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            found = _joining(group, least)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition(parallelism(spark), "band", "bx", "by").sortWithinPartitions("band", "bx", "by")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (band, bx, by) of batches in their order."""
+    now, held = None, []
+    for batch in batches:
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "bx", "by")], 1)
+        edge = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if a == b:
+                continue
+            if tuple(k[a]) != now:
+                if held:
+                    yield pa.Table.from_batches(held)
+                now, held = tuple(k[a]), []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joining(group: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Of a block the links that join its components, each join once."""
+    group = group.combine_chunks()
+    is_x, stray = (group.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("is_x", "stray"))
+    node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    sets = [np.frombuffer(b, np.uint32) for b in group.column("blob").to_pylist()]
+    size = np.array([len(s) for s in sets])
+    xs, ys = np.flatnonzero(is_x), np.flatnonzero(~is_x)
+    if not len(xs) or not len(ys):
+        return []
+    place = int(np.flatnonzero(bands[xs[0]] == group.column("band")[0].as_py())[0])
+    earlier = np.zeros((len(xs), len(ys)), bool)
+    for k in range(place):
+        earlier |= bands[xs, k][:, None] == bands[ys, k][None]
+    n, m = size[xs][:, None], size[ys][None]
+    ask = ~earlier & (comp[xs][:, None] != comp[ys][None]) & (n >= least * m) & (m >= least * n)
+    ask &= ~stray[ys][None] | (node[xs][:, None] < node[ys][None])  # two strays meet once
+    xs, ys, ask = xs[ask.any(1)], ys[ask.any(0)], ask[ask.any(1)][:, ask.any(0)]
+    if not len(xs):
+        return []
+    common = _common([sets[i] for i in xs], [sets[j] for j in ys])
+    both = size[xs][:, None] + size[ys][None] - common
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.setdefault(c, c) != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    out = []
+    for i, j in np.argwhere(ask & (common >= least * both)).tolist():
+        a, b = root(int(comp[xs[i]])), root(int(comp[ys[j]]))
+        if a != b:
+            up[a] = b
+            out.append((int(node[xs[i]]), int(node[ys[j]])))
+    return out
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many keys each set of a has in common with each of b: products of incidence matrices, some keys at a time."""
+    ka, kb = np.concatenate(a), np.concatenate(b)
+    ra, rb = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
+    keys = np.intersect1d(ka, kb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(keys):
+        return out
+    found = []
+    for k, r in ((ka, ra), (kb, rb)):
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        good = keys[at] == k
+        order = np.argsort(at[good], kind="stable")
+        found.append((at[good][order], r[good][order]))
+    (ca, ra), (cb, rb) = found
+    for lo in range(0, len(keys), width):
+        parts = []
+        for c, r, n in ((ca, ra, len(a)), (cb, rb, len(b))):
+            i, j = np.searchsorted(c, [lo, lo + width])
+            m = np.zeros((n, min(width, len(keys) - lo)), np.float32)
+            m[r[i:j], c[i:j] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -261,7 +369,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     named = own.join(wanted.filter("rep is not null").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     found = shingle_blobs(named.unionByName(own.filter("id is null")).select("text"), "text").withColumn("node", F.expr(NODE))
     blobs = stored(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")), "near-dedup")
-    edges = links(shared, blobs, least)
+    edges = links(shared, texts.select("node", "bands"), blobs, least)
     # rows that share an id tie their texts together
     tied = members.filter("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     tied = members.join(tied.filter("low < high"), "id").filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
