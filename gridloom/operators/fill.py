@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .timeseries import Key, keys
 
 
@@ -19,7 +20,7 @@ def nearest(targets: DataFrame, sources: DataFrame, key: Key, x: str, y: str, so
     targets left, if any, meet all sources."""
     names = keys(key)
     done = None
-    left = targets.select(*names, x, y)
+    left = stored(targets.select(*names, x, y), "nearest")  # each round starts from what the last one left, not from the input
     src = sources.select(F.col(x).alias("__sx"), F.col(y).alias("__sy"), F.col(source_id).alias("__id"))
     for turn in range(rounds + 1):
         if turn < rounds:
@@ -32,10 +33,9 @@ def nearest(targets: DataFrame, sources: DataFrame, key: Key, x: str, y: str, so
         d2 = F.pow(F.col("__sx") - F.col(x), F.lit(2)) + F.pow(F.col("__sy") - F.col(y), F.lit(2))
         best = met.groupBy(*names, x, y).agg(F.min(F.struct(d2.alias("d2"), F.col("__sy"), F.col("__sx"), F.col("__id"))).alias("__b"))
         found = best.select(*names, x, y, F.col("__b.__id").alias(source_id), F.sqrt("__b.d2").alias("dist"))
-        if turn < rounds:
-            found = found.filter(F.col("dist") <= b)
+        found = stored(found.filter(F.col("dist") <= b) if turn < rounds else found, "nearest")
         done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(*names), names, "left_anti")
+        left = stored(left.join(found.select(*names), names, "left_anti"), "nearest")
         if turn == rounds or not left.limit(1).count() or not src.limit(1).count():
             return done
     return done
@@ -45,8 +45,9 @@ def fill_map(cells: DataFrame, valid: DataFrame, region: str, cell: str, ix: str
     """(region, cell, source): for every cell of a region without a value the nearest cell of the same region with one, in
     grid index space. cells: (region, cell, ix, iy) of all; valid: (region, cell) of those with values. A target is settled
     in the first ring of indexes that holds a source nearer than the ring's reach."""
-    have = cells.join(valid.select(region, cell), [region, cell], "left_semi").select(region, F.col(cell).alias("__s"), F.col(ix).alias("__sx"), F.col(iy).alias("__sy"))
-    left = cells.join(valid.select(region, cell), [region, cell], "left_anti").select(region, cell, ix, iy)
+    cells = stored(cells.join(valid.select(region, cell).distinct().withColumn("__has", F.lit(True)), [region, cell], "left"), "fill")
+    have = cells.filter("__has").select(region, F.col(cell).alias("__s"), F.col(ix).alias("__sx"), F.col(iy).alias("__sy"))
+    left = cells.filter("__has is null").select(region, cell, ix, iy)
     left = left.join(have.select(region).distinct(), region, "left_semi")  # a region without any value stays empty
     done, b = None, 4
     while True:
@@ -54,9 +55,9 @@ def fill_map(cells: DataFrame, valid: DataFrame, region: str, cell: str, ix: str
         met = ring.join(have.withColumns({"__bx": F.floor(F.col("__sx") / b), "__by": F.floor(F.col("__sy") / b)}), [region, "__bx", "__by"])
         d2 = (F.col("__sx") - F.col(ix)) * (F.col("__sx") - F.col(ix)) + (F.col("__sy") - F.col(iy)) * (F.col("__sy") - F.col(iy))
         found = met.groupBy(region, cell).agg(F.min(F.struct(d2.alias("d2"), F.col("__sy"), F.col("__sx"), F.col("__s"))).alias("__b"))
-        found = found.filter(F.col("__b.d2") <= b * b).select(region, cell, F.col("__b.__s").alias("source"))
+        found = stored(found.filter(F.col("__b.d2") <= b * b).select(region, cell, F.col("__b.__s").alias("source")), "fill")
         done = found if done is None else done.unionByName(found)
-        left = left.join(found, [region, cell], "left_anti")
+        left = stored(left.join(found, [region, cell], "left_anti"), "fill")
         if not left.limit(1).count():
             return done
         b *= 2
@@ -72,11 +73,19 @@ def filled(values: DataFrame, sources: DataFrame, region: str, cell: str, t: Key
 
 def extrapolate(cube: DataFrame, bridge: DataFrame, grid: DataFrame, cell: str, t: str, v: str, ix: str = "ix", iy: str = "iy", region: str = "region_id") -> DataFrame:
     """(region, cell, t, v): every region's cells at every time, missing ones from the nearest valid neighbour of the region.
-    Cells that miss values at all times, or are absent, take part through ``grid`` (cell, ix, iy)."""
-    cells = bridge.join(grid.select(cell, ix, iy), cell).select(region, cell, ix, iy)
-    inside = cube.select(cell, t, v).join(bridge, cell).select(region, cell, t, v)
-    valid = inside.filter(F.col(v).isNotNull()).select(region, cell).distinct()
-    return filled(inside, fill_map(cells, valid, region, cell, ix, iy), region, cell, t, v)
+
+    Times at which the same cells of a region have values share a pattern, and sources are sought once a pattern, usually
+    one a region for all times; then only equi-joins run over the times. A region without any value at a time has no rows
+    there. grid: (cell, ix, iy) of all cells."""
+    inside = cube.filter(F.col(v).isNotNull()).select(cell, t, v).join(bridge.select(cell, region), cell)
+    pattern = F.xxhash64(F.col(region), F.bit_xor(F.xxhash64(cell)), F.count("*"))
+    times = inside.groupBy(region, t).agg(pattern.alias("__p"))
+    one = times.groupBy(region, "__p").agg(F.min(t).alias(t))
+    valid = inside.join(one, [region, t]).select("__p", cell)
+    cells = bridge.join(grid.select(cell, ix, iy), cell).join(one.select(region, "__p"), region).select("__p", cell, ix, iy)
+    sources = fill_map(cells, valid, "__p", cell, ix, iy)
+    moved = inside.join(times, [region, t]).withColumnRenamed(cell, "source").join(sources, ["__p", "source"])
+    return inside.select(region, cell, t, v).unionByName(moved.select(region, cell, t, v))
 
 
 def distance_to(cells: DataFrame, vertices: DataFrame, cell: str, x: str, y: str, size: float) -> DataFrame:

@@ -103,3 +103,13 @@ def remaining(work: DataFrame, done: DataFrame, key: Key) -> DataFrame:
 def process_directory(spark: SparkSession, pattern: str, transform: Callable[[DataFrame], DataFrame], out: str, file_col: str = "file") -> None:
     """One transform over every file of a pattern; the output keeps the files apart."""
     write_by(transform(read_parts(spark, pattern, file_col)), out, file_col)
+
+
+def write_decomposition(loadings: DataFrame, scores: DataFrame, variance: DataFrame, path: str) -> None:
+    for name, df in (("loadings", loadings), ("scores", scores), ("variance", variance)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_decomposition(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """loadings, scores and variance as write_decomposition left them."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("loadings", "scores", "variance"))
