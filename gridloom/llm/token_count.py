@@ -32,9 +32,9 @@ LIMIT = 2048
 #: Entries of the broadcast table, bytes of an entry, leaders that one partition names, pre-tokens a worker keeps.
 ENTRIES, LONGEST, LEADERS, CACHE = 65_536, 32, 8_192, 400_000
 #: White space as the library's pattern engine has it.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Characters that normalising only lower-cases, one by one.
-_PLAIN = regex.compile(r"[^\t-\r\x20-\x7e\xa0-įĲ-ɏ‐-‧€]")
+_PLAIN = regex.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x9, 0xD), (0x20, 0x7E), (0xA0, 0x12F), (0x132, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC))) + "]")
 
 
 class WordBpe(dict):
