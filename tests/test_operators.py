@@ -302,3 +302,52 @@ def test_projection_of_the_pole_and_true_scale(spark):
     df = spark.createDataFrame([(0.0, -90.0), (90.0, -71.0), (0.0, -71.0)], "lon double, lat double").select(x.alias("x"), y.alias("y")).collect()
     assert abs(df[0].x) < 1e-6 and abs(df[0].y) < 1e-6
     assert abs(df[1].x - 2082760.1) < 1 and abs(df[2].y - 2082760.1) < 1
+
+
+def test_gaps_that_change_with_time_are_filled_from_that_time(spark):
+    grid = spark.createDataFrame([(c, c, 0) for c in range(4)], "cell int, ix int, iy int")
+    bridge = spark.createDataFrame([(c, 1) for c in range(4)], "cell int, region_id int")
+    cube = spark.createDataFrame([(0, 0, 10.0), (1, 0, 11.0), (2, 0, None), (0, 1, 20.0), (3, 1, 23.0)], "cell int, t int, v double")
+    got = {(r.t, r.cell): r.v for r in fill.extrapolate(cube, bridge, grid, "cell", "t", "v").collect()}
+    assert got == {(0, 0): 10.0, (0, 1): 11.0, (0, 2): 11.0, (0, 3): 11.0, (1, 0): 20.0, (1, 1): 20.0, (1, 2): 23.0, (1, 3): 23.0}
+
+
+def test_own_functions_over_series_and_columns(synthetic):
+    from gridloom.operators import apply
+
+    got = apply.over_series(synthetic, "cell", "t", "v", lambda y: np.cumsum(y)).filter("t = 47 AND cell = 0").first()
+    assert abs(got.value - sum(0.5 * t + math.sin(2 * math.pi * t / 12) for t in range(48))) < 1e-9
+    assert apply.over_columns(synthetic, ["v"], lambda c: c * 0).agg(F.sum("v")).first()[0] == 0
+
+
+def test_a_stored_decomposition_is_read_back(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    cube = spark.createDataFrame([(c, t, float(v)) for (c, t), v in np.ndenumerate(rng.normal(size=(8, 6)))], "cell int, t int, v double")
+    io.write_decomposition(*generator.eof(cube, "cell", "t", "v"), str(tmp_path))
+    loadings, scores, _ = io.read_decomposition(spark, str(tmp_path))
+    back = generator.reconstructed(loadings, scores, "cell", "t").join(cube, ["cell", "t"])
+    mean = cube.groupBy("cell").agg(F.avg("v").alias("m"))
+    assert back.join(mean, "cell").filter(F.abs(F.col("value") + F.col("m") - F.col("v")) > 1e-9).count() == 0
+
+
+def test_means_follow_new_files(spark, tmp_path):
+    from gridloom.streaming import means
+
+    place, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    spark.createDataFrame([(1, 2.0), (2, 4.0)], "cell int, v double").write.parquet(place)
+    for _ in range(2):
+        means.keep_up(means.running_means(means.read_growing(spark, place), "cell", "v"), out, state, once=True).awaitTermination()
+        got = {r.cell: (r.mean, r.n) for r in spark.read.parquet(out).collect()}
+        spark.createDataFrame([(1, 4.0)], "cell int, v double").write.mode("append").parquet(place)
+    means.keep_up(means.running_means(means.read_growing(spark, place), "cell", "v"), out, state, once=True).awaitTermination()
+    assert got[1] == (3.0, 2) and {r.cell: r.mean for r in spark.read.parquet(out).collect()} == {1: 10.0 / 3, 2: 4.0}
+
+
+def test_members_with_other_lengths_are_left_out(spark):
+    from gridloom.plans.pipelines import apply_to_members
+
+    base = spark.createDataFrame([(m, 0, t, 1.0) for m in (0, 1) for t in range(6)], "member int, cell int, t int, v double")
+    trend = spark.createDataFrame([(0, 0, t, 2.0) for t in range(4)] + [(1, 0, t, 2.0) for t in range(3)], "member int, cell int, t int, v double")
+    done, state = apply_to_members(base, trend, "member", "cell", "t", "v", 2)
+    assert {r.member: r.ok for r in state.collect()} == {0: True, 1: False}
+    assert [r.v for r in done.orderBy("t").collect()] == [1.0, 1.0, 3.0, 3.0, 3.0, 3.0]
