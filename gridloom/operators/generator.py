@@ -27,19 +27,28 @@ def series(cube: DataFrame, cell: Key, t: str, v: str) -> DataFrame:
 
 
 def gram(rows: DataFrame, steps: int) -> np.ndarray:
-    """Sum over cells of y y', built up per partition (one row a step) and then by step."""
+    """Sum over cells of y y'. Each task sums up its cells and sends a packed row for each step; the rows of a step are added
+    in one task, as they come."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((steps, steps))
         for batch in batches:
             y = batch.column(0).flatten().to_numpy().reshape(-1, steps)
             total += y.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps, dtype=np.int32)), pa.array([x.tobytes() for x in total], pa.binary())], names=["i", "g"])
 
-    parts = rows.select("y").mapInArrow(part, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "g"))
-    summed = parts.groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()  # at most MOST_STEPS ** 2 sums, whatever the cells
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column("i").to_pylist(), batch.column("g").to_pylist(), strict=True):
+                x = np.frombuffer(raw)
+                total[i] = total[i] + x if i in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["i", "g"])
+
+    parts = rows.select("y").mapInArrow(part, "i int, g binary").repartition("i")
     out = np.zeros((steps, steps))
-    out[summed["i"], summed["j"]] = summed["g"]
+    for r in parts.mapInArrow(add, "i int, g binary").toLocalIterator():  # a row a step
+        out[r.i] = np.frombuffer(r.g)
     return out
 
 
@@ -61,8 +70,16 @@ def eof(cube: DataFrame, cell: Key, t: str, v: str, modes: int | None = None) ->
     vector, value_k = (vector * np.where(sign == 0, 1, sign))[:, :k], value[:k]
     spark = cube.sparkSession
     size = np.sqrt(value_k)
-    score = pd.DataFrame({t: np.repeat(times, k), "mode": np.tile(np.arange(1, k + 1, dtype=np.int32), len(times)), "score": (vector * size).reshape(-1)})
-    scores = spark.createDataFrame(score.values.tolist() and [(a, int(b), float(c)) for a, b, c in score.itertuples(index=False)], f"{t} {cube.schema[t].dataType.simpleString()}, mode int, score double")
+    held = spark.sparkContext.broadcast(vector * size)  # steps x modes
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = held.value[batch.column("__i").to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column(t), pa.array(list(found), pa.list_(pa.float64()))], names=[t, "s"])
+
+    kind = cube.schema[t].dataType.simpleString()
+    steps = spark.createDataFrame([(i, x) for i, x in enumerate(times)], f"__i long, {t} {kind}")
+    scores = steps.mapInArrow(rows_of, f"{t} {kind}, s array<double>").select(t, F.posexplode("s").alias("mode", "score")).withColumn("mode", F.col("mode") + 1)
     ratio = value_k / value.sum() if value.sum() > 0 else value_k
     variance = spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratio)], "mode int, ratio double")
     basis = spark.sparkContext.broadcast(vector / size)  # steps x modes

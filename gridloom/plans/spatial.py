@@ -338,10 +338,10 @@ def u_common_names(t: Tables) -> DataFrame:
     return subset.common_names(t.supplier.select("s_nationkey"), t.customer.select("c_nationkey"), t.nation.filter("n_regionkey < 3").select("n_nationkey"))
 
 
-@query("SELECT ix, iy, n, a, b FROM (SELECT ix, iy, n, 1 AS a, NULL::INT AS b FROM field WHERE ix < 10 UNION ALL SELECT ix, iy, n, NULL, 2 FROM field WHERE ix >= 40)", ctes=FIELD)
+@query("SELECT ix, iy, n, a, b FROM (SELECT ix, iy, n, 'low' AS a, NULL AS b FROM field WHERE ix < 10 UNION ALL SELECT ix, iy, n, NULL, 'high' FROM field WHERE ix >= 40)", ctes=FIELD)
 def u_union_all(t: Tables) -> DataFrame:
     own = t.field.select("ix", "iy", "n")
-    return subset.union_all(own.filter("ix < 10").withColumn("a", F.lit(1)), own.filter("ix >= 40").withColumn("b", F.lit(2)))
+    return subset.union_all(own.filter("ix < 10").withColumn("a", F.lit("low")), own.filter("ix >= 40").withColumn("b", F.lit("high")))
 
 
 @query("""m AS (SELECT avg(l_quantity) AS mu, stddev_pop(l_quantity) AS sd FROM lineitem)

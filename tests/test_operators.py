@@ -1,4 +1,4 @@
-"""Series with a known answer, invariants, edge cases and the reference's own expectations."""
+"""Series with a known answer, invariants and edge cases."""
 
 import math
 
