@@ -366,7 +366,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     several = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     shared = stored(banded.join(several, "band"), "near-dedup")
     wanted = stored(texts.select("node", F.col("id").alias("rep")).join(shared.select("node").distinct(), "node", "left_semi"), "near-dedup")
-    named = own.join(wanted.filter("rep is not null").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    # hashing the ids spares sorting the texts
+    named = own.join(wanted.filter("rep is not null").select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi")
     found = shingle_blobs(named.unionByName(own.filter("id is null")).select("text"), "text").withColumn("node", F.expr(NODE))
     blobs = stored(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")), "near-dedup")
     edges = links(shared, texts.select("node", "bands"), blobs, least)
@@ -388,11 +389,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = docs.toDF(*names)
     found = stored(classes(plain, key, text), "near-dedup")
     first = found.filter(F.col(key) == F.col("class_id")).select(key).distinct()
-    stay = plain.join(first, key, "left_semi")
-    many = found.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > 1)).select(key)
-    once = stay.join(many, key, "left_anti")
-    again = stay.join(many, key, "left_semi").dropDuplicates([key])
-    return once.unionByName(again).unionByName(plain.filter(F.col(key).isNull())).select(names).toDF(*docs.columns)
+    stay = plain.join(first.hint("shuffle_hash"), key, "left_semi")
+    many = stored(found.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > 1)).select(key), "near-dedup")
+    if many.limit(1).count():
+        stay = stay.join(many, key, "left_anti").unionByName(stay.join(many, key, "left_semi").dropDuplicates([key]))
+    return stay.unionByName(plain.filter(F.col(key).isNull())).select(names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
