@@ -6,7 +6,7 @@ the slices are summed apart and each comes back as one bit a cell, at most 2 * 2
 input. Estimates are never below true counts, so a window with a zero bit is in one place only.
 
 Pass two: documents are dealt into chunks by a hash. A chunk sends the windows that are estimated repeated, once each, with
-its smallest doc_id, in one packed row for each range of hashes. A range groups them by 128-bit hash and answers with a bit
+its smallest doc_id, in one packed row for each range of hashes. A range groups them by 96-bit hash and answers with a bit
 for each: a smaller doc_id is elsewhere. A window that a third of all documents has is one entry a chunk, so no group is
 hot, and answers cost a bit. When the sketch is full, more windows take part in pass two; none is lost.
 
@@ -35,6 +35,8 @@ SIZE = 13
 #: Sketch: log2 of the cells of a row, of the cells of a slice, and windows that a task gathers before it sends them.
 CELLS, SLICE, GATHER = 28, 20, 1 << 22
 _NO_ID = np.int64(2**63 - 1)
+#: What a chunk sends of a window: 96 bits of hash and its smallest id.
+ENTRY = np.dtype([("first", "<u8"), ("second", "<u4"), ("least", "<i8")])
 
 
 def packed(cells: np.ndarray) -> bytes:
@@ -209,22 +211,23 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
         for chunk, part in _by(batches, "chunk"):
             own = Chunk(part, table, size)
             found, edge = own.ranges(bits)
-            entry = np.stack([own.first.view(np.int64), own.second.view(np.int64), own.least.astype(np.int64)], 1)
+            entry = np.empty(len(own.first), ENTRY)
+            entry["first"], entry["second"], entry["least"] = own.first, own.second >> np.uint64(32), own.least
             sent = [entry[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), chunk), pa.int32()), pa.array(sent, pa.binary())], names=["range", "chunk", "entries"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, part in _by(batches, "range"):
             raw = part.column("entries").to_pylist()
-            entry = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 3)
-            order = np.lexsort((entry[:, 1], entry[:, 0]))
-            a, b, ids = (entry[order, i] for i in range(3))
+            entry = np.frombuffer(b"".join(raw), ENTRY)
+            order = np.lexsort((entry["second"], entry["first"]))
+            a, b, ids = (entry[k][order] for k in ("first", "second", "least"))
             fresh = np.ones(len(order), bool)
             fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             least = np.minimum.reduceat(ids, np.flatnonzero(fresh))[np.cumsum(fresh) - 1] if len(ids) else ids
             hit = np.zeros(len(order), bool)
             hit[order] = least < ids
-            edge = np.cumsum([0, *(len(x) // 24 for x in raw)])
+            edge = np.cumsum([0, *(len(x) // ENTRY.itemsize for x in raw)])
             reply = [np.packbits(hit[p:q]).tobytes() if hit[p:q].any() else None for p, q in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             chunk = part.column("chunk").to_pylist()
             go = [x is not None for x in reply]
