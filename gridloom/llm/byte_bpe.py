@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, freed, text_batches
-from .textbuf import pieces
+from .textbuf import pieces, trimmed
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids a worker keeps; it starts anew when there are more.
@@ -40,7 +40,6 @@ class ByteBpe:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.first = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         pair = {(ranks[t[:i]] << 20) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pairs = pair
         self.pair_keys = np.array(sorted(pair), np.int64)
         self.pair_ranks = np.array([pair[k] for k in self.pair_keys.tolist()], np.int32)
         last = max(ranks.values()) + 1
@@ -129,8 +128,11 @@ class ByteBpe:
                 tree[at] = low
 
         def pair_at(a: int, b: int) -> int:
-            rank = self.pairs.get((ids[a] << 20) | ids[b], -1) if a >= 0 and b < n else -1
-            return gone if rank < 0 else rank * width + a
+            if a < 0 or b >= n:
+                return gone
+            key = (ids[a] << 20) | ids[b]
+            found = min(int(np.searchsorted(self.pair_keys, key)), len(self.pair_keys) - 1)
+            return int(self.pair_ranks[found]) * width + a if self.pair_keys[found] == key else gone
 
         while tree[1] != gone:
             merged, at = divmod(tree[1], width)
@@ -206,8 +208,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
                 off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
+        codec.cache.clear()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -229,7 +232,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", ou
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, out])
                 at = to
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, freed, text_batches
-from .textbuf import LOWER, NOT_ALNUM, per_row, pieces, spans_hash, texts_of, words
+from .textbuf import LOWER, NOT_ALNUM, per_row, pieces, spans_hash, texts_of, trimmed, words
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
@@ -219,7 +219,7 @@ def _pass(df: DataFrame, held, text_col: str, window: int, have: bool) -> DataFr
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=[*kept, *OUT.names])
 
     fields = [f for f in df.schema.fields if not (have and f.name in OUT.names)]
-    return df.mapInArrow(run, T.StructType([*fields, *OUT.fields]))
+    return df.mapInArrow(trimmed(run), T.StructType([*fields, *OUT.fields]))
 
 
 def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, parallelism, stored, text_batches
-from .textbuf import mix, pieces, spans_hash, texts_of, windows, words
+from .textbuf import mix, pieces, spans_hash, texts_of, trimmed, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 40 bands of 8: a pair of similarity 0.8 shares a band with probability 0.9994, one of 0.5 with 0.14.
@@ -163,7 +163,7 @@ def signatures(df: DataFrame, text_col: str, bands: int = BANDS, rows: int = ROW
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(keys, pa.binary()), pa.array(size), lists], names=[*rest, "text_key", "size", "bands"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
-    return df.mapInArrow(run, f"{kinds + ', ' if kinds else ''}text_key binary, size long, bands array<long>")
+    return df.mapInArrow(trimmed(run), f"{kinds + ', ' if kinds else ''}text_key binary, size long, bands array<long>")
 
 
 def shingle_blobs(df: DataFrame, text_col: str) -> DataFrame:
@@ -179,7 +179,7 @@ def shingle_blobs(df: DataFrame, text_col: str) -> DataFrame:
                 keys = text_keys(h, row, count, part.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["text_key", "blob"])
 
-    return df.select(text_col).mapInArrow(run, "text_key binary, blob binary")
+    return df.select(text_col).mapInArrow(trimmed(run), "text_key binary, blob binary")
 
 
 def similar_pairs(pairs: DataFrame, blobs: DataFrame, least: float) -> DataFrame:
@@ -193,7 +193,7 @@ def similar_pairs(pairs: DataFrame, blobs: DataFrame, least: float) -> DataFrame
 
     both = pairs.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a")
     both = both.join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")), "b")
-    return both.select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "blob_a", "blob_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def links_in_blocks(left: DataFrame, texts: DataFrame, blobs: DataFrame, least:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition(parallelism(spark), "band", "bx", "by").sortWithinPartitions("band", "bx", "by")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(trimmed(compare), "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
