@@ -2,12 +2,13 @@
 
 Texts are lower-cased; everything but letters becomes a space and spaces in a row count once. Character sequences of
 ``ORDER`` are counted per language over all learning texts: each task sums up its own, Spark adds them. From these counts
-come, per language, the discounted probabilities and the back-off weights of all orders, kept as arrays sorted by hash, so
-that a batch's distinct sequences are looked up by binary search. The language of the lowest cross-entropy per character
+come, per language, the discounted counts and the back-off weights of all orders, as tables that Spark groups. Texts are packed
+into blocks; the distinct sequences of all blocks get their probabilities in each language by joins, order by order. Each
+block then asks the ranges of sequences for its own, and the answers are joined to its texts. The language of the lowest cross-entropy per character
 wins. Every learning text is then scored, and a text is rejected if its cross-entropy, less what chance gives a text of its
 length, lies above nearly all of its language's learning texts by ``SLACK``.
 
-The model's size is bounded: beyond ``MOST`` sequences, those counted least often are left to the back-off.
+No sequence and no language is left out, and no table of sequences goes to the driver or is broadcast as a whole.
 
 Defined results: null texts and texts without a letter get ``und``, score 0 and are rejected; ties go to the language that
 sorts first; without any learning text all are ``und``; repeated rows each get their result; other columns stay,
@@ -16,9 +17,7 @@ but those with a result's name are replaced.
 
 from __future__ import annotations
 
-import pickle
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, documents, freed, text_batches
+from .common import crc_mod, documents, freed, stored, text_batches
 from .textbuf import mix, pieces, trimmed
 
 ORDER = 4
-MOST = 4_000_000
+#: A block of texts ends beyond so many bytes, or about so many distinct sequences.
+BLOCK, KINDS = 16 << 20, 1_000_000
+RESULTS = ("lang_pred", "score", "cross_entropy", "rejected")
 #: Rejection: the share of learning texts that may lie above, nats beyond them, and nats times the root of the length.
 QUANTILE, SLACK, CHANCE = 0.999, 1.0, 3.0
 UNKNOWN = "und"
@@ -107,8 +108,8 @@ def count_sequences(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 class KneserNey:
-    """One language: for each order the hashes of its sequences with discounted probabilities, and of its contexts with
-    back-off weights."""
+    """One language in one process, which tests hold the tables against: for each order the hashes of its sequences with
+    discounted probabilities, and of its contexts with back-off weights."""
 
     def __init__(self, seq: np.ndarray, n: np.ndarray):
         self.tables = []
@@ -150,76 +151,211 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _low(seq: Column, order: int) -> Column:
+    """The last ``order`` characters."""
+    return seq if order == ORDER else seq.bitwiseAND((1 << (16 * order)) - 1)
+
+
+def _each(values: list[float], k: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(float(x)) for x in values)), k + 1)
+
+
 @dataclass
 class Model:
-    """Languages in order of name, their models, and the cross-entropy above which a text of theirs is rejected."""
+    """Languages in order of name; for each order from 1 the tables (k, seq, own) of discounted counts and (k, context, total,
+    off) of what they are divided by and what is left to the back-off, k being the language's place; the probability below
+    order 1; and the cross-entropy above which a text is rejected."""
 
     langs: list[str]
-    models: list[KneserNey]
+    orders: list[tuple[DataFrame, DataFrame]] = field(default_factory=list)
+    floors: list[float] = field(default_factory=list)
     limits: list[float] = field(default_factory=list)
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy in nats a character (rows x languages) and the characters counted."""
-        seq, row = sequences(texts)
-        n = np.bincount(row, minlength=len(texts))
-        distinct, at = np.unique(seq, return_inverse=True)
-        out = np.full((len(texts), len(self.langs)), np.inf)
-        for k, model in enumerate(self.models):
-            total = np.bincount(row, weights=-model.log_probability(distinct)[at], minlength=len(texts))
-            np.divide(total, n, out=out[:, k], where=n > 0)
-        return out, n
-
-
-def build(counts: DataFrame, most: int = MOST) -> Model:
-    """The models from (lang, seq, n)."""
-    per_count = counts.groupBy("n").count().withColumnRenamed("count", "rows")
-    least = 1
-    if (counts_rows := per_count.agg(F.sum("rows")).first()[0] or 0) > most:
-        left = counts_rows
-        for r in per_count.orderBy("n").toLocalIterator():
-            left -= r.rows
-            least = r.n + 1
-            if left <= most:
-                break
-    table = counts.filter(F.col("n") >= least).toArrow()
-    lang = np.array(table.column("lang").to_pylist(), object)
-    seq, n = table.column("seq").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    langs = sorted(set(lang.tolist()))
-    return Model(langs, [KneserNey(seq[lang == x], n[lang == x]) for x in langs])
-
-
-_loaded: dict[str, Model] = {}
 
+def build(counts: DataFrame) -> Model:
+    """The models from all of (lang, seq, n)."""
+    counts = stored(counts, "language-counts")
+    model = Model(sorted(r.lang for r in counts.select("lang").distinct().collect()))
+    if not model.langs:
+        return model
+    now = counts.select((F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")) - 1).cast("int").alias("k"), "seq", "n")
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:  # lower orders count the characters that come before
+            now = stored(now.groupBy("k", _low(F.col("seq"), order).alias("seq")).agg(F.count("*").alias("n")), "language-counts")
+        few = {r.k: r for r in now.groupBy("k").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count("*").alias("kinds")).collect()}  # a row a language
+        few = [few[k] for k in range(len(model.langs))]
+        off = _each([r.once / (r.once + 2 * r.twice) if r.once else 0.5 for r in few], F.col("k"))
+        seen = now.select("k", "seq", (F.col("n") - F.least(F.col("n").cast("double"), off)).alias("own"))
+        context = now.groupBy("k", F.shiftrightunsigned("seq", 16).alias("context")).agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("kinds"))
+        model.orders.insert(0, (seen, context.select("k", "context", "total", (off * F.col("kinds")).alias("off"))))
+        model.floors = [1.0 / (r.kinds + 1) for r in few]
+    return model
 
-def scored(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """df with lang_pred, score, cross_entropy (null for und) and rejected, each name after ``prefix``."""
-    held, key = df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1)), uuid.uuid4().hex
+
+def packed(df: DataFrame, text_col: str) -> DataFrame:
+    """df in written blocks: (block, seqs, rows), with the sorted distinct sequences and the compressed rows."""
+    text_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = pickle.loads(zlib.decompress(held.value))
-        own = _loaded[key]
-        limits = np.array(own.limits or [np.inf] * len(own.langs))
+        held: list[pa.RecordBatch] = []
+        found: list[np.ndarray] = []
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            seqs = np.unique(np.concatenate(found))
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([seqs.tobytes()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "seqs", "rows"])
+
         for batch in batches:
             for part in pieces(batch, text_col, 1 << 19):
-                entropy, n = own.entropies(part.column(text_col).to_pylist())
-                rows = np.arange(len(n))
-                good = n > 0 if own.langs else np.zeros(len(n), bool)
-                best = np.argmin(entropy, 1) if own.langs else np.zeros(len(n), np.int64)
-                low = np.where(good, entropy[rows, best], np.nan) if own.langs else np.full(len(n), np.nan)
-                gap = np.where(good[:, None], low[:, None] - entropy, 0)
-                score = np.where(good, 1 / np.exp(gap * np.minimum(n, 40)[:, None]).sum(1), 0.0) if own.langs else np.zeros(len(n))
-                over = ~good | (low - CHANCE / np.sqrt(np.maximum(n, 1)) > (limits[best] if own.langs else np.inf))
-                pred = [own.langs[b] if g else UNKNOWN for b, g in zip(best.tolist(), good.tolist(), strict=True)]
-                new = [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(low, from_pandas=True), pa.array(over)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
-
-    kinds = [T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
-    names = [f"{prefix}{x}" for x in ("lang_pred", "score", "cross_entropy", "rejected")]
-    text_batches(df.sparkSession)
+                found.append(np.unique(sequences(part.column(text_col).to_pylist())[0]))
+                held.append(part)
+                size += part.nbytes
+                if size > BLOCK or sum(map(len, found)) > KINDS:
+                    found = [np.unique(np.concatenate(found))]
+                    if size > BLOCK or len(found[0]) > KINDS // 2:
+                        yield sent()
+                        held, found, size = [], [], 0
+        if held:
+            yield sent()
+
+    return stored(df.mapInArrow(trimmed(run), "block long, seqs binary, rows binary"), "language-blocks")
+
+
+def probabilities(wanted: DataFrame, model: Model) -> DataFrame:
+    """(k, seq, p) of every language for each of wanted (seq)."""
+    lower = None
+    for order, (seen, context) in enumerate(model.orders, 1):
+        asked = wanted.select(_low(F.col("seq"), order).alias("seq")).distinct().select("seq", F.explode(F.sequence(F.lit(0), F.lit(len(model.langs) - 1))).alias("k"))
+        asked = asked.withColumn("context", F.shiftrightunsigned("seq", 16)).join(seen, ["k", "seq"], "left").join(context, ["k", "context"], "left")
+        if lower is None:
+            asked = asked.withColumn("less", _each(model.floors, F.col("k")))
+        else:
+            asked = asked.withColumn("lower", _low(F.col("seq"), order - 1)).join(lower.select("k", F.col("seq").alias("lower"), F.col("p").alias("less")), ["k", "lower"])
+        p = F.when(F.col("total").isNull(), F.col("less")).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("off") * F.col("less")) / F.col("total"))
+        lower = stored(asked.select("k", "seq", p.alias("p")), "language-probabilities")
+    return lower
+
+
+def _ranges(least: int) -> int:
+    """The first prime from ``least`` on that deals sequences evenly as a divisor: one by which 2**16 has no short period."""
+    n = max(61, least)
+    while any(n % i == 0 for i in range(2, int(n**0.5) + 1)) or n in (257, 65537):
+        n += 1
+    return n
+
+
+def answered(blocks: DataFrame, model: Model) -> tuple[DataFrame, int]:
+    """(block, part, values): the log probabilities (sequences x languages) of a block's sequences in each range of sequences;
+    and how many ranges there are."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for raw in batch.column("seqs"):
+                held.append(np.frombuffer(raw.as_buffer(), np.int64))
+                if sum(map(len, held)) > 2_000_000:
+                    held = [np.unique(np.concatenate(held))]
+                    if len(held[0]) > 1_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0])], names=["seq"])
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["seq"])
+
+    wanted = stored(blocks.select("seqs").mapInArrow(trimmed(distinct), "seq long").distinct(), "language-sequences")
+    asked = blocks.agg(F.sum(F.length("seqs") / 8)).first()[0] or 0
+    langs = len(model.langs)
+    ranges = _ranges(int(max(wanted.count() * langs / 500_000, asked * langs / 4_000_000)))
+    known = probabilities(wanted, model).select(F.pmod("seq", F.lit(ranges)).cast("int").alias("part"), "k", "seq", F.log("p").cast("float").alias("p"))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("seqs"), strict=True):
+                seqs = np.frombuffer(raw.as_buffer(), np.int64)
+                part = seqs % ranges
+                at = np.argsort(part, kind="stable")
+                own, begin = np.unique(part[at], return_index=True)
+                data = [x.tobytes() for x in np.split(seqs[at], begin[1:])] if len(seqs) else []
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(data, pa.binary())], names=["block", "part", "seqs"])
+
+    def looked_up(ours: pa.Table, asks: pa.Table) -> pa.Table:
+        at = np.lexsort((ours.column("k").to_numpy(), ours.column("seq").to_numpy()))
+        seqs = ours.column("seq").to_numpy()[at][::langs]
+        values = ours.column("p").to_numpy()[at].reshape(-1, langs)
+        out = [values[np.searchsorted(seqs, np.frombuffer(x.as_buffer(), np.int64))].tobytes() for x in asks.column("seqs")]
+        return pa.table([asks.column("block"), asks.column("part"), pa.array(out, pa.binary())], names=["block", "part", "values"])
+
+    requests = blocks.select("block", "seqs").mapInArrow(trimmed(dealt), "block long, part int, seqs binary")
+    out = known.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(looked_up, "block long, part int, values binary")
+    return stored(out, "language-answers"), ranges
+
+
+def found(blocks: DataFrame, answers: tuple[DataFrame, int], model: Model, schema: T.StructType, text_col: str, prefix: str = "", drop: bool = False) -> DataFrame:
+    """The blocks' rows (of ``schema``) with lang_pred, score, cross_entropy (null for und), rejected and letters, each name
+    after ``prefix``; ``drop``: without the text."""
+    table, ranges = answers
+    langs, limits = model.langs, np.array(model.limits or [np.inf] * len(model.langs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                seqs = np.frombuffer(batch.column("seqs")[i].as_buffer(), np.uint64)
+                values = np.zeros((len(seqs), len(langs)), np.float32)
+                part = seqs.view(np.int64) % ranges
+                by_part = np.argsort(part, kind="stable")
+                border = np.searchsorted(part[by_part], np.arange(ranges + 1))
+                for answer in batch.column("answers")[i].values if batch.column("answers")[i].is_valid else ():
+                    own = by_part[border[answer["part"].as_py()] : border[answer["part"].as_py() + 1]]
+                    values[own] = np.frombuffer(answer["values"].as_buffer(), np.float32).reshape(-1, len(langs))
+                for rows in pa.ipc.open_stream(batch.column("rows")[i].as_buffer()):
+                    for piece in pieces(rows, text_col, 1 << 19):
+                        yield judged(piece, seqs, values)
+
+    def judged(part: pa.RecordBatch, seqs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        seq, row = sequences(part.column(text_col).to_pylist())
+        n = np.bincount(row, minlength=part.num_rows)
+        own, at = np.unique(seq, return_inverse=True)
+        own = values[np.searchsorted(seqs, own)].astype(np.float64)
+        entropy = np.full((part.num_rows, len(langs)), np.inf)
+        for k in range(len(langs)):
+            np.divide(np.bincount(row, weights=-own[:, k][at], minlength=part.num_rows), n, out=entropy[:, k], where=n > 0)
+        good, best = n > 0, np.argmin(entropy, 1)
+        low = np.where(good, entropy[np.arange(len(n)), best], np.nan)
+        gap = np.where(good[:, None], low[:, None] - np.where(good[:, None], entropy, 0), 0)
+        score = np.where(good, 1 / np.exp(gap * np.minimum(n, 40)[:, None]).sum(1), 0.0)
+        over = ~good | (low - CHANCE / np.sqrt(np.maximum(n, 1)) > limits[best])
+        pred = [langs[b] if g else UNKNOWN for b, g in zip(best.tolist(), good.tolist(), strict=True)]
+        new = [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(low, from_pandas=True), pa.array(over), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*(part.column(x.name) for x in rest), *new], names=[*(x.name for x in rest), *names])
+
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType(), T.LongType()]
+    names = [f"{prefix}{x}" for x in (*RESULTS, "letters")]
+    rest = [x for x in schema.fields if not (drop and x.name == text_col)]
+    lists = table.groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias("answers"))
+    joined = blocks.join(lists, "block", "left").select("seqs", "rows", "answers")
+    return joined.mapInArrow(trimmed(run), T.StructType([*rest, *(T.StructField(a, b) for a, b in zip(names, kinds, strict=True))]))
+
+
+def scored(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """df with lang_pred, score, cross_entropy (null for und) and rejected, each name after ``prefix``."""
+    names = [f"{prefix}{x}" for x in RESULTS]
     df = freed(df, names, text_col)
-    return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, *(T.StructField(a, b) for a, b in zip(names, kinds, strict=True))]))
+    if not model.langs:
+        return df.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(None).cast("double"), F.lit(True)), strict=True)))
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}  # results get no name of theirs
+    blocks = packed(df.toDF(*place.values()), place[text_col])
+    out = found(blocks, answered(blocks, model), model, df.toDF(*place.values()).schema, place[text_col], "__")
+    return out.select(*(F.col(x).alias(c) for c, x in place.items()), *(F.col(f"__{x}").alias(n) for x, n in zip(RESULTS, names, strict=True)))
+
+
+def _limits(known: DataFrame, langs: list[str]) -> list[float]:
+    """known: (__lang_pred, __cross_entropy, size) of the learning texts."""
+    less = F.col("__cross_entropy") - CHANCE / F.sqrt(F.greatest("size", F.lit(1)))
+    own = known.filter("__cross_entropy is not null").groupBy("__lang_pred").agg(F.percentile_approx(less, QUANTILE, 10_000).alias("limit"))
+    limits = {r[0]: r.limit + SLACK for r in own.collect()}  # a row a language
+    return [limits.get(x, float("inf")) for x in langs]
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -227,12 +363,10 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     text_batches(df.sparkSession)
     own = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     model = build(count_sequences(own, "text", "lang"))
-    if not model.langs:
-        return model
-    entropy = scored(own.select("text"), model).filter("cross_entropy is not null")
-    less = F.col("cross_entropy") - CHANCE / F.sqrt(F.greatest(F.length("text"), F.lit(1)))
-    limits = {r.lang_pred: r.limit + SLACK for r in entropy.groupBy("lang_pred").agg(F.percentile_approx(less, QUANTILE, 10_000).alias("limit")).collect()}
-    model.limits = [limits.get(x, float("inf")) for x in model.langs]
+    if model.langs:
+        rows = own.select("text", F.length("text").alias("size"))
+        blocks = packed(rows, "text")
+        model.limits = _limits(found(blocks, answered(blocks, model), model, rows.schema, "text", "__", drop=True), model.langs)
     return model
 
 
@@ -241,18 +375,42 @@ def learns(id_col: Column) -> Column:
     return F.coalesce(crc_mod(id_col, 3), F.lit(0)) != 1
 
 
+def _known(docs: DataFrame, text_col: str, lang_col: str, learning: Column) -> tuple[Model, DataFrame, tuple[DataFrame, int], DataFrame] | None:
+    """Model, blocks, answers, and all rows' results without the text, from one packing; the rows get ``learning`` and ``size``."""
+    own = docs.withColumns({"learning": learning & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull(), "size": F.length(text_col)})
+    text_batches(docs.sparkSession)
+    model = build(count_sequences(own.filter("learning"), text_col, lang_col))
+    if not model.langs:
+        return None
+    blocks = packed(own, text_col)
+    answers = answered(blocks, model)
+    results = stored(found(blocks, answers, model, own.schema, text_col, "__", drop=True), "language-results")
+    model.limits = _limits(results.filter("learning"), model.langs)
+    return model, blocks, answers, results
+
+
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected; learnt from those that may be learnt from; columns as they were."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = {c: names[i] for i, c in enumerate(docs.columns)}
     plain = docs.toDF(*names)
-    model = train(plain.filter(learns(F.col(place["doc_id"]))), place["text"], place["lang"])
-    return scored(plain, model, place["text"], "__").filter("not __rejected").select(names).toDF(*docs.columns)
+    known = _known(plain, place["text"], place["lang"], learns(F.col(place["doc_id"])))
+    if known is None:
+        return docs.limit(0)
+    model, blocks, answers, _ = known
+    schema = T.StructType([*plain.schema.fields, T.StructField("learning", T.BooleanType()), T.StructField("size", T.IntegerType())])
+    return found(blocks, answers, model, schema, place["text"], "__").filter("not __rejected").select(names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: the language of every document."""
-    docs = documents(spark, sf_dir)
-    model = train(docs.filter(learns(F.col("doc_id"))))
-    found = scored(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    known = _known(docs, "text", "lang", learns(F.col("doc_id")))
+    if known is None:
+        out = scored(docs, Model([]))
+    else:
+        model, _, _, results = known
+        limit = F.element_at(F.create_map(*(F.lit(x) for pair in zip(model.langs, model.limits, strict=True) for x in pair)), F.col("__lang_pred"))
+        over = F.col("__cross_entropy").isNull() | (F.col("__cross_entropy") - CHANCE / F.sqrt(F.greatest("__letters", F.lit(1))) > limit)
+        out = results.select("doc_id", *(F.col(f"__{x}").alias(x) for x in RESULTS[:3]), over.alias("rejected"))
+    return out.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), *RESULTS)

@@ -337,6 +337,26 @@ def test_character_models_are_distributions():
         assert total <= 1 + 1e-6 and total > 0.85
 
 
+def test_no_sequence_or_language_is_left_out_of_the_models(spark):
+    counts = spark.range(4_100_000).selectExpr("'big' lang", "id * 7919 seq", "1L n").union(spark.sql("select 'small' lang, 97L seq, 1L n"))
+    model = language_id.build(counts)
+    assert model.langs == ["big", "small"] and model.orders[-1][0].count() == 4_100_001
+
+
+def test_probabilities_in_tables_are_those_of_one_process(spark):
+    texts = [("a", "abba baab, a banana bandana"), ("a", "cab abaca"), ("b", "日本語の文章です 日本"), ("c", "x")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    model = language_id.build(language_id.count_sequences(df, "text", "lang"))
+    asked = np.unique(language_id.sequences([t for _, t in texts] + ["bandit 日語 x zz"])[0])
+    wanted = spark.createDataFrame([(int(x),) for x in asked.view(np.int64)], "seq long")
+    got = {(r.k, r.seq): r.p for r in language_id.probabilities(wanted, model).collect()}
+    assert len(got) == 3 * len(asked)
+    for k, lang in enumerate(model.langs):
+        seq = language_id.sequences([t for x, t in texts if x == lang])[0]
+        want = language_id.KneserNey(*np.unique(seq, return_counts=True)).log_probability(asked)
+        assert np.allclose([np.log(got[k, int(x)]) for x in asked.view(np.int64)], want, atol=1e-5)
+
+
 def test_languages_of_odd_rows(spark, odd, empty, docs):
     model = language_id.train(docs)
     got = {r.doc_id: r for r in language_id.scored(odd, model).collect()}
