@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Texts marked toxic are the positives; all other texts are unlabelled, whether a label calls them clean or nothing does. The
-classifier is linear over the presence of words. Its risk is that of the positives, weighed by the class prior, plus that
+Texts marked toxic are the positives; the unlabelled are drawn from all texts alike, whatever a label calls them, at every
+size. The classifier is linear over the presence of words. Its risk is that of the positives, weighed by the class prior, plus that
 of the unlabelled as negatives less what the positives among them account for; where this second part falls below zero,
 the step goes the other way, so it can't be fitted below its least (non-negative risk). The prior is the toxic share of the
 labelled texts that may be learnt from.
 
-Bounds: at most ``POSITIVES`` toxic and about ``UNLABELLED`` other texts, chosen by a hash of their ids, go to the driver
-for the fit. Which words take part is decided by counts over all texts that may be learnt from.
+Bounds: at most ``POSITIVES`` toxic and about ``UNLABELLED`` texts of all, chosen by a hash of their ids, go to the driver
+for the fit. Candidate words and their positive counts come from these toxic texts only; they are held against counts over all
+texts that may be learnt from.
 
 Defined results: null and empty texts have no words and get the score of a text without any known word; rows that repeat
 an id each get their score; without positives every score is near 0; other columns stay, but those
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(h):
         return Model(h, np.zeros(0), float(np.log(share.prior / (1 - share.prior))))
     part = min(1.0, UNLABELLED / max(1, rows))
-    chosen = own.filter((F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < int(part * 1_000_000) + 1)).join(F.broadcast(toxic), "id", "left_anti")
+    chosen = own.filter((F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < int(part * 1_000_000) + 1))  # positives too, as the risk takes off their part
     other = features(chosen, "text").select("words").toArrow().column("words")
     return fit(h, placed(lists, h), placed(other, h), float(share.prior))
 

@@ -384,6 +384,14 @@ def planted_toxicity(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, truth int"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def test_unlabelled_are_drawn_from_all_texts(spark, monkeypatch):
+    df, labels = planted_toxicity(spark)
+    drawn, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda w, positive, other, prior: drawn.append(other[2]) or fit(w, positive, other, prior))
+    toxicity.train(df, labels)
+    assert drawn == [df.count()]
+
+
 def test_toxicity_of_held_out_texts(spark, odd, empty):
     df, labels = planted_toxicity(spark)
     learns = toxicity.learns(F.col("doc_id"))
