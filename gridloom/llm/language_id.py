@@ -8,7 +8,8 @@ block then asks the ranges of sequences for its own, and the answers are joined
 wins. Every learning text is then scored, and a text is rejected if its cross-entropy, less what chance gives a text of its
 length, lies above nearly all of its language's learning texts by ``SLACK``.
 
-No sequence and no language is left out, and no table of sequences goes to the driver or is broadcast as a whole.
+No sequence and no language is left out; no table of sequences goes to the driver, but for small ones that Spark broadcasts by
+its own size check.
 
 Defined results: null texts and texts without a letter get ``und``, score 0 and are rejected; ties go to the language that
 sorts first; without any learning text all are ``und``; repeated rows each get their result; other columns stay,
