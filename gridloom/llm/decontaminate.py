@@ -2,11 +2,17 @@
 
 A task takes some 8 MB of training text at a time as a shard. Words that no benchmark item has can't lie in a match, so a
 shard keeps only its runs of benchmark words that are at least one window long; it sorts the suffixes of what is left
-(prefix doubling) and binary-searches every benchmark suffix in it, word by word, until the range of equal prefixes is
-empty. That gives the longest verbatim match of each suffix, and the range at the window's length gives all places.
+(prefix doubling) and binary-searches every benchmark suffix in it, word by word, up to the window's length. The range of
+equal prefixes gives all places. Each place then finds its longest verbatim match among the items' sorted suffixes: a binary
+search that compares by common prefixes, which hashes of 1, 2, 4, ... words give in a few steps, so a match of n words costs
+n log n.
 
-The benchmark's words go to the workers by broadcast in blocks of at most ``block_bytes`` of text; a benchmark with more
-text takes more blocks, each in its own pass over a task's rows. Documents are never shuffled.
+Words are told apart by hashes, but a match is of words: the bytes of every word of a run are compared with those of the
+benchmark's word before the search, and the benchmark's own words have unlike hashes (another hash is taken where not).
+
+The benchmark's words go to the workers by broadcast in blocks of at most ``block_bytes`` of text, one block at a time: with
+more text than a block, what a block found is written to the shared folder before the next one. Documents are never
+shuffled.
 
 Words: A-Z lower-cased, then runs of ASCII letters and digits and of anything beyond ASCII. A window is ``window``
 consecutive words of one item; an item of fewer words, but not none, is one window.
@@ -29,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, freed, text_batches
-from .textbuf import LOWER, NOT_ALNUM, per_row, pieces, spans_hash, texts_of, trimmed, words
+from .common import documents, freed, stored, text_batches
+from .textbuf import LOWER, NOT_ALNUM, mix, per_row, pieces, same_bytes, spans_hash, texts_of, trimmed, words
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
@@ -47,40 +53,113 @@ OUT = T.StructType(
 )
 
 
-def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the row of each word of a string column."""
-    buf, off = texts_of(column)
-    low = LOWER[buf]
-    start, end, row = words(low, off, NOT_ALNUM)
-    return spans_hash(low, start, end), row
+class Words:
+    """The words of a string column: their bytes, hashes and rows."""
+
+    def __init__(self, column: pa.Array, salt: int = 0):
+        buf, off = texts_of(column)
+        self.buf = LOWER[buf]
+        self.start, end, self.row = words(self.buf, off, NOT_ALNUM)
+        self.size = end - self.start
+        self.hash = spans_hash(self.buf, self.start, end, salt)
 
 
 class Items:
     """A block of benchmark items: word ranks end to end, and the suffixes to search."""
 
     def __init__(self, names: list[str | None], texts: list[str | None], window: int):
-        h, row = hashed(pa.array(texts, pa.string()))
+        column = pa.array(texts, pa.string())
+        for self.salt in (0, 1):
+            own = Words(column, self.salt)
+            self.vocabulary, first, rank = np.unique(own.hash, return_index=True, return_inverse=True)
+            self.buf, self.start, self.bytes = own.buf, own.start[first], own.size[first]
+            if self.same(rank, own, np.arange(len(rank))).all():
+                break
+        else:
+            raise ValueError("unlike words of the benchmark share both hashes")
+        row = own.row
         size = np.bincount(row, minlength=len(names))
         self.names, self.window = names, window
-        self.vocabulary, rank = np.unique(h, return_inverse=True)
         self.word, self.item = rank + 1, row
         ends = np.cumsum(size)
         self.left = ends[row] - np.arange(len(row))  # words from here to the item's end
         need = np.minimum(size[row], window)
         self.need = np.where(self.left >= need, need, 0)  # the window's length, 0 where none starts
         self.least = int(need.min()) if len(need) else 0
-        self.most = int(size.max()) if len(size) else 0
+        self.deepest = int(need.max()) if len(need) else 0
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        # the items end to end, a number beyond all ranks after each; sorted suffixes for the longest matches
+        self.seq = np.full(len(row) + len(names), len(self.vocabulary) + 1)
+        self.seq[np.arange(len(row)) + row] = self.word
+        self.order = suffix_array(self.seq, int(size.max()) if len(size) else 0)
+        self.prefixes = prefix_hashes(self.seq, int(size.max()) if len(size) else 0)
+
+    def same(self, rank: np.ndarray, own: Words, at: np.ndarray) -> np.ndarray:
+        """Whether words (indexes of own) have the bytes of the vocabulary's words."""
+        out = self.bytes[rank] == own.size[at]
+        go = np.flatnonzero(out)
+        out[go] = same_bytes(self.buf, self.start[rank[go]], own.buf, own.start[at[go]], own.size[at[go]])
+        return out
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
-        """Rank from 1 of each word, 0 for words that no item has."""
+        """Rank from 1 of each word, 0 for words whose hash no item's word has."""
         out = np.zeros(len(h), np.int64)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
         found = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
         out[at] = np.where(self.vocabulary[found] == h[at], found + 1, 0)
         return out
 
+    def runs(self, own: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of benchmark words, by their bytes."""
+        rank = self.ranks(own.hash)
+        seq, place = runs(rank, own.row, self.least)
+        at = place[place >= 0]
+        unlike = at[~self.same(rank[at] - 1, own, at)] if len(at) else at
+        if len(unlike):
+            rank[unlike] = 0
+            seq, place = runs(rank, own.row, self.least)
+        return seq, place
+
+    def longest(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The words of the longest match of an item with seq from each of ``at``."""
+        own = prefix_hashes(seq, 1 << max(0, len(self.prefixes) - 1))
+        lo, hi, best = np.zeros(len(at), np.int64), np.full(len(at), len(self.order)), np.zeros(len(at), np.int64)
+        while (go := np.flatnonzero(lo < hi)).size:  # both neighbours of the place where a suffix belongs are met on the way
+            mid = (lo[go] + hi[go]) >> 1
+            other = self.order[mid]
+            n = common_prefix(own, at[go], self.prefixes, other)
+            best[go] = np.maximum(best[go], n)
+            less = self.seq[np.minimum(other + n, len(self.seq) - 1)] < seq[np.minimum(at[go] + n, len(seq) - 1)]
+            lo[go] = np.where(less, mid + 1, lo[go])
+            hi[go] = np.where(less, hi[go], mid)
+        return best
+
+
+def prefix_hashes(seq: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, 4, ... words from each place, up to ``depth`` words or less; shorter at the end of seq."""
+    out = [mix(seq.astype(np.uint64))]
+    while 1 << len(out) <= min(depth, len(seq)):
+        k = 1 << (len(out) - 1)
+        then = np.zeros(len(seq), np.uint64)
+        then[:-k] = out[-1][k:]
+        out.append(mix(out[-1] * np.uint64(0xD6E8FEB86659FD93) + then, len(out)))
+    return out
+
+
+def common_prefix(a: list[np.ndarray], at_a: np.ndarray, b: list[np.ndarray], at_b: np.ndarray) -> np.ndarray:
+    """How many words two sequences have in common from at_a and at_b on. The separators of a and b are unlike, so a common
+    prefix ends before both ends."""
+    n = np.zeros(len(at_a), np.int64)
+    if not len(a[0]) or not len(b[0]):
+        return n
+    for k in range(min(len(a), len(b)) - 1, -1, -1):
+        for _ in range(2 if k == min(len(a), len(b)) - 1 else 1):  # the highest level may hold twice
+            i, j = at_a + n, at_b + n
+            go = (i < len(a[0])) & (j < len(b[0]))
+            n[go] += (a[k][i[go]] == b[k][j[go]]) * (1 << k)
+    return n
+
 
 def runs(rank: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The words of runs of ``least`` or more ranked words of a row, a 0 after each run, and each one's place (-1 at a 0)."""
@@ -139,51 +218,49 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[of], of
 
 
-def search(items: Items, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+def search(items: Items, own: Words, n: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     """Of a shard: which words are hit, the longest match of each row, and each row's items."""
-    hit, longest, listed = np.zeros(len(h), bool), np.zeros(n, np.int64), [[] for _ in range(n)]
-    if not len(items.word) or not len(h):
+    row = own.row
+    hit, longest, listed = np.zeros(len(row), bool), np.zeros(n, np.int64), [[] for _ in range(n)]
+    if not len(items.word) or not len(row):
         return hit, longest, listed
-    seq, place = runs(items.ranks(h), row, items.least)
+    seq, place = items.runs(own)
     if not len(seq):
         return hit, longest, listed
-    order = suffix_array(seq, items.most)
-    of = np.flatnonzero(items.left >= items.least)
+    order = suffix_array(seq, items.deepest)
+    of = np.flatnonzero(items.need > 0)
     lo, hi = np.zeros(len(of), np.int64), np.full(len(of), len(seq))
-    whole = np.zeros(len(h) + 1, np.int64)
-    pairs = []
-    for depth in range(items.most):
-        go = items.left[of] > depth
-        of, lo, hi = of[go], lo[go], hi[go]
+    whole = np.zeros(len(row) + 1, np.int64)
+    pairs, starts = [], []
+    for depth in range(items.deepest):
         lo, hi = narrowed(seq, order, lo, hi, depth, items.word[of + depth])
         go = hi > lo
         of, lo, hi = of[go], lo[go], hi[go]
         if not len(of):
             break
-        if depth + 1 >= items.least:
-            ranges, back = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
+        ends = items.need[of] == depth + 1
+        if ends.any():
+            ranges, back = np.unique(np.stack([lo[ends], hi[ends]], 1), axis=0, return_inverse=True)
             at, which = spread(ranges[:, 0], ranges[:, 1])
-            at = place[order[at]]
-            ends = items.need[of] == depth + 1
-            if ends.any():
-                wanted = np.zeros(len(ranges), bool)
-                wanted[back.reshape(-1)[ends]] = True
-                take = wanted[which]
-                start = np.unique(at[take])
-                np.add.at(whole, start, 1)
-                np.add.at(whole, start + depth + 1, -1)
-                seen = np.unique(np.stack([row[at[take]], which[take]], 1), axis=0)
-                own = np.unique(np.stack([back.reshape(-1)[ends], items.item[of[ends]]], 1), axis=0)
-                first = np.searchsorted(own[:, 0], seen[:, 1], side="left")
-                i, k = spread(first, np.searchsorted(own[:, 0], seen[:, 1], side="right"))
-                pairs.append(np.stack([seen[k, 0], own[i, 1]], 1))
-            if len(at):
-                np.maximum.at(longest, row[at], depth + 1)
+            at = order[at]
+            starts.append(at)
+            at = place[at]
+            start = np.unique(at)
+            np.add.at(whole, start, 1)
+            np.add.at(whole, start + depth + 1, -1)
+            seen = np.unique(np.stack([row[at], which], 1), axis=0)
+            own_items = np.unique(np.stack([back.reshape(-1), items.item[of[ends]]], 1), axis=0)
+            first = np.searchsorted(own_items[:, 0], seen[:, 1], side="left")
+            i, k = spread(first, np.searchsorted(own_items[:, 0], seen[:, 1], side="right"))
+            pairs.append(np.stack([seen[k, 0], own_items[i, 1]], 1))
+            of, lo, hi = of[~ends], lo[~ends], hi[~ends]
     hit = np.cumsum(whole[:-1]) > 0
     for r, i in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else []:
         if items.names[i] is not None:
             listed[r].append(items.names[i])
-    longest[per_row(hit, row, n) == 0] = 0
+    if starts:
+        at = np.unique(np.concatenate(starts))
+        np.maximum.at(longest, row[place[at]], items.longest(seq, at))
     return hit, longest, listed
 
 
@@ -202,8 +279,9 @@ def _pass(df: DataFrame, held, text_col: str, window: int, have: bool) -> DataFr
         for batch in batches:
             for part in pieces(batch, text_col, SHARD_BYTES):
                 n = part.num_rows
-                h, row = hashed(part.column(text_col))
-                hit, longest, listed = search(items, h, row, n)
+                own = Words(part.column(text_col), items.salt)
+                row = own.row
+                hit, longest, listed = search(items, own, n)
                 size = per_row(np.ones(len(row)), row, n)
                 ends = np.cumsum(size)
                 kept = [c for c in part.schema.names if not (have and c in OUT.names)]
@@ -235,6 +313,9 @@ def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
         rows = block.collect()
         held = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(([r.name for r in rows], [r.item_text for r in rows])), 1))
         found = _pass(found, held, text_col, window, have=k > 0)
+        if k < blocks - 1:  # one block at a time
+            found = stored(found, "decontaminate")
+            held.unpersist()
     return found
 
 

@@ -1,7 +1,7 @@
 """Vectorised word handling on Arrow string columns.
 
-Works on the UTF-8 bytes of many texts at once: word borders by a byte table, a 64-bit
-hash for each word, and hashes of windows of consecutive words. Every function takes
+Works on the UTF-8 bytes of many texts at once: word borders by a byte table, two independent
+64-bit hashes of each word, and hashes of windows of consecutive words. Every function takes
 ``buf`` (uint8, the texts end to end) and ``off`` (int64, n + 1 borders).
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(20260101).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The word hash: two primes below 2**32 with bases of their own, for each of the independent hashes.
+_PRIMES = ((4294967291, 4294967279), (4294967231, 4294967197))
+_BASES = ((0x6A09E667, 0xBB67AE85), (0x3C6EF372, 0x510E527F))
+#: Words of more bytes take a cryptographic hash.
+_LONG = 64
 _CHUNK = 1 << 18
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -92,31 +97,68 @@ def words(buf: np.ndarray, off: np.ndarray, ends: np.ndarray = SPACE) -> tuple[n
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * _CHUNK)
-        _powers["up"] = np.cumprod(np.full(size, _BASE, np.uint64))
-        _powers["down"] = np.cumprod(np.full(size, pow(_BASE, -1, 2**64), np.uint64))
-    return _powers["up"][:n], _powers["down"]
+def _power(base: int, prime: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse, modulo a prime."""
+    if (base, prime) not in _powers:
+        both = []
+        for x in (base, pow(base, -1, prime)):
+            out = np.ones(1, np.uint64)
+            while len(out) < _CHUNK + _LONG:
+                out = np.concatenate([out, out * np.uint64(pow(x, len(out), prime)) % np.uint64(prime)])
+            both.append(out)
+        _powers[base, prime] = (both[0], both[1])
+    return _powers[base, prime]
 
 
-def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap. The working memory is bound by a
-    chunk of text, or by the longest span."""
+def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap. ``salt``: 0 or 1, for two hashes that
+    do not depend on each other. The working memory is bound by a chunk of text.
+
+    A span is a polynomial of its bytes modulo two primes of 32 bits, so two unlike spans of L bytes share a hash with a chance
+    of at most (L / 2**32)**2; spans of over 64 bytes take 64 bits of a keyed blake2b."""
     out = np.empty(len(start), np.uint64)
+    long = end - start > _LONG
+    if long.any():
+        raw, key = memoryview(np.ascontiguousarray(buf)), b"words%d" % salt
+        at = np.flatnonzero(long)
+        found = (blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True))
+        out[at] = np.frombuffer(b"".join(found), np.uint64)
+        rest = np.flatnonzero(~long)
+        out[rest] = spans_hash(buf, start[rest], end[rest], salt)
+        return out
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(end, start[at] + _CHUNK, side="right")))
         lo, hi = int(start[at]), int(end[to - 1])
-        up, down = _power(hi - lo)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[buf[lo:hi]] * up, out=total[1:])
+        own = buf[lo:hi].astype(np.uint64) + np.uint64(1)
         s, e = start[at:to] - lo, end[at:to] - lo
-        out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        h = np.zeros(to - at, np.uint64)
+        for base, prime in zip(_BASES[salt], _PRIMES[salt], strict=True):
+            up, down = _power(base, prime)
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(own * up[: hi - lo], out=total[1:])  # under 2**59
+            h = (h << np.uint64(32)) | ((total[e] - total[s]) % np.uint64(prime) * down[s] % np.uint64(prime))
+        out[at:to] = h
         at = to
     return mix(out)
 
 
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each span of a (of ``size`` bytes, one at least) has the bytes of the span of b."""
+    out = np.ones(len(size), bool)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")))
+        n = size[at:to]
+        begin = np.cumsum(n) - n
+        within = np.arange(n.sum()) - np.repeat(begin, n)
+        unlike = a[within + np.repeat(a_start[at:to], n)] != b[within + np.repeat(b_start[at:to], n)]
+        out[at:to] = ~np.logical_or.reduceat(unlike, begin)
+        at = to
+    return out
+
+
 def windows(h: np.ndarray, row: np.ndarray, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each window of ``size`` consecutive words of one row, and the index of its first word."""
     n = len(h) - size + 1
