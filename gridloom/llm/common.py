@@ -37,6 +37,11 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(ours))
 
 
+def sized(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """ids (a column of numbers), to be broadcast if they are at most ``most``; else Spark joins them by shuffles."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def crc_mod(column, n: int):
     """crc32 of an id as text, modulo n; null stays null."""
     return F.crc32(column.cast("string").cast("binary")) % n

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism, stored, text_batches
+from .common import documents, parallelism, sized, stored, text_batches
 from .textbuf import mix, pieces, spans_hash, texts_of, trimmed, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -41,26 +41,29 @@ BLOCK_X, BLOCK_Y = 256, 1024
 NODE = "CASE WHEN text_key IS NOT NULL THEN shiftrightunsigned(xxhash64(text_key), 1) END"
 
 
-def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text: hash, row and count, by row and hash."""
+def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text: two independent hashes, row and count, by row and hashes."""
     buf, off = texts_of(column)
     start, end, row = words(buf, off)
-    h = spans_hash(buf, start, end)
-    win, at = windows(h, row, size)
     n = np.bincount(row, minlength=len(column))
     short = np.flatnonzero((n > 0) & (n < size))
     first = np.cumsum(n) - n
-    extra = np.zeros(len(short), np.uint64)
-    for j in range(size - 1):
-        has = n[short] > j
-        extra[has] = mix(extra[has] * np.uint64(3) + h[first[short][has] + j])
-    win, row = np.concatenate([win, extra]), np.concatenate([row[at], short])
-    order = np.lexsort((win, row))
-    win, row = win[order], row[order]
+    found = []
+    for k in range(2):
+        h = spans_hash(buf, start, end, k)
+        win, at = windows(h, row, size, 7 * k)
+        extra = np.zeros(len(short), np.uint64)
+        for j in range(size - 1):
+            has = n[short] > j
+            extra[has] = mix(extra[has] * np.uint64(3) + h[first[short][has] + j], 1 + k)
+        found.append(np.concatenate([win, extra]))
+    win, other, row = *found, np.concatenate([row[at], short])
+    order = np.lexsort((other, win, row))
+    win, other, row = win[order], other[order], row[order]
     fresh = np.ones(len(win), bool)
-    fresh[1:] = (win[1:] != win[:-1]) | (row[1:] != row[:-1])
+    fresh[1:] = (win[1:] != win[:-1]) | (other[1:] != other[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(fresh)
-    return win[begin], row[begin], np.diff(np.append(begin, len(win)))
+    return win[begin], other[begin], row[begin], np.diff(np.append(begin, len(win)))
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -132,11 +135,11 @@ def similarity(a: bytes, b: bytes) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def text_keys(h: np.ndarray, row: np.ndarray, count: np.ndarray, n: int) -> list[bytes | None]:
-    """128 bits of each text's shingles and counts; null without words."""
+def text_keys(h: np.ndarray, other: np.ndarray, row: np.ndarray, count: np.ndarray, n: int) -> list[bytes | None]:
+    """128 bits of each text's shingles and counts, 64 from each hash; null without words."""
     key = np.zeros((n, 2), np.uint64)
-    for k in range(2):
-        np.add.at(key[:, k], row, mix(mix(h, 11 + k) + count.astype(np.uint64), 13 + k))
+    for k, own in enumerate((h, other)):
+        np.add.at(key[:, k], row, mix(mix(own, 11 + k) + count.astype(np.uint64), 13 + k))
     raw, has = key.tobytes(), np.bincount(row, minlength=n) > 0
     return [raw[16 * i : 16 * i + 16] if x else None for i, x in enumerate(has.tolist())]
 
@@ -150,14 +153,14 @@ def signatures(df: DataFrame, text_col: str, bands: int = BANDS, rows: int = ROW
         for batch in batches:
             for part in pieces(batch, text_col, 1 << 19):
                 n = part.num_rows
-                h, row, count = shingles(part.column(text_col))
+                h, other, row, count = shingles(part.column(text_col))
                 sig = dart_signatures(h, row, count.astype(np.float64), n, bands * rows).reshape(n, bands, rows)
                 band = np.zeros((n, bands), np.uint64)
                 for j in range(rows):
                     band = mix(band * np.uint64(3) + sig[:, :, j])
                 band = mix(band + np.arange(bands, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15))
                 size = np.bincount(row, weights=count, minlength=n).astype(np.int64)
-                keys = text_keys(h, row, count, n)
+                keys = text_keys(h, other, row, count, n)
                 off = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(band[size > 0].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(keys, pa.binary()), pa.array(size), lists], names=[*rest, "text_key", "size", "bands"])
@@ -172,11 +175,11 @@ def shingle_blobs(df: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_col):
-                h, row, count = shingles(part.column(text_col))
+                h, other, row, count = shingles(part.column(text_col))
                 key, of = set_keys(h, row, count)
                 edge = np.searchsorted(of, np.arange(part.num_rows + 1)).tolist()
                 blobs = [key[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                keys = text_keys(h, row, count, part.num_rows)
+                keys = text_keys(h, other, row, count, part.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["text_key", "blob"])
 
     return df.select(text_col).mapInArrow(trimmed(run), "text_key binary, blob binary")
@@ -362,12 +365,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     signed = stored(signatures(own, "text", bands, rows).withColumn("node", F.expr(NODE)), "near-dedup")
     members = signed.select("id", "node")
     texts = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    texts = stored(texts, "near-dedup")
     banded = texts.select("node", "size", F.explode("bands").alias("band"))
     several = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     shared = stored(banded.join(several, "band"), "near-dedup")
     wanted = stored(texts.select("node", F.col("id").alias("rep")).join(shared.select("node").distinct(), "node", "left_semi"), "near-dedup")
-    # hashing the ids spares sorting the texts
-    named = own.join(wanted.filter("rep is not null").select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi")
+    named = own.join(sized(wanted.filter("rep is not null").select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     found = shingle_blobs(named.unionByName(own.filter("id is null")).select("text"), "text").withColumn("node", F.expr(NODE))
     blobs = stored(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob")), "near-dedup")
     edges = links(shared, texts.select("node", "bands"), blobs, least)
@@ -388,8 +391,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     plain = docs.toDF(*names)
     found = stored(classes(plain, key, text), "near-dedup")
-    first = found.filter(F.col(key) == F.col("class_id")).select(key).distinct()
-    stay = plain.join(first.hint("shuffle_hash"), key, "left_semi")
+    gone = stored(found.filter(F.col(key) != F.col("class_id")).select(key).distinct(), "near-dedup")
+    stay = plain.filter(F.col(key).isNotNull()).join(sized(gone), key, "left_anti")
     many = stored(found.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > 1)).select(key), "near-dedup")
     if many.limit(1).count():
         stay = stay.join(many, key, "left_anti").unionByName(stay.join(many, key, "left_semi").dropDuplicates([key]))
