@@ -1,16 +1,22 @@
 """Substring dedup: words in a long window that an earlier document also has are removed.
 
-Pass one: each task adds the windows of its documents to a count-min sketch of two rows. Counters stop at two, as only
-"once" and "more" matter. A task's sketch leaves it as sorted cell numbers by slice of the sketch (about a byte a window);
-the slices are summed apart and each comes back as one bit a cell, at most 2 * 2**CELLS bits (64 MB) in all, whatever the
-input. Estimates are never below true counts, so a window with a zero bit is in one place only.
+Texts are written once, in compressed chunks of some 16 MB, and every pass reads these. All sizes follow the data: a chunk
+has ``CHUNK`` bytes, a range of hashes some ``RANGE`` windows, and there are as many of each as it takes.
 
-Pass two: documents are dealt into chunks by a hash. A chunk sends the windows that are estimated repeated, once each, with
-its smallest doc_id, in one packed row for each range of hashes. A range groups them by 96-bit hash and answers with a bit
-for each: a smaller doc_id is elsewhere. A window that a third of all documents has is one entry a chunk, so no group is
-hot, and answers cost a bit. When the sketch is full, more windows take part in pass two; none is lost.
+Pass one: a count-min sketch of two rows with at least four cells a window. A chunk sends each range of cells its sorted
+cell numbers, split into "once" and "more" (counters stop at two, as no more matters). A range adds up what all chunks sent
+and answers each chunk with a bit for each of its cells. Estimates are never below true counts, so a window with a zero bit
+is in one place only. The sketch is nowhere as a whole: not on the driver, not in a broadcast.
 
-Pass three: documents meet their chunk's answers and words covered by a hit window go. Windows are judged on the input.
+Pass two: a chunk sends the windows that are estimated repeated, once each, with its smallest doc_id, to ranges of hashes. A
+range groups them by 128 bits (two independent hashes of the words, combined in two ways) and answers with a bit for each: a
+smaller doc_id is elsewhere. A window that a third of all documents has is one entry a chunk, so no group is hot. Words are
+not sent: among 10**13 windows some 10**26 pairs could meet by chance, with a chance of 3 * 10**-39 each.
+
+Pass three: chunks meet their answers and words covered by a hit window go. Windows are judged on the input.
+
+What passes between chunks and ranges is packed in one row for each pair of them that has windows in common. Both numbers
+grow with the data, so these rows grow with its square until each holds few windows; their bytes grow with the windows.
 
 Defined results: null text is a text without words; a null id counts as larger than any other; rows that repeat an id do
 not remove each other's words; texts under ``size`` words stay; other columns are left out.
@@ -19,7 +25,6 @@ not remove each other's words; texts under ``size`` words stay; other columns ar
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -28,152 +33,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism, text_batches
-from .textbuf import covered, mix, per_row, pieces, spans_hash, texts_of, windows, words
+from .common import documents, parallelism, stored, text_batches
+from .textbuf import SPACE, covered, mix, per_row, pieces, spans_hash, texts_of, trimmed, windows, words
 
 SIZE = 13
-#: Sketch: log2 of the cells of a row, of the cells of a slice, and windows that a task gathers before it sends them.
-CELLS, SLICE, GATHER = 28, 20, 1 << 22
+#: Bytes of text of a chunk, windows of a range of hashes, log2 of a sketch row's cells in a range, rows of the sketch.
+CHUNK, RANGE, CELLS, ROWS = 16 << 20, 1 << 21, 23, 2
+#: Bytes of text that a task takes together in passes two and three.
+TASK = 128 << 20
 _NO_ID = np.int64(2**63 - 1)
-#: What a chunk sends of a window: 96 bits of hash and its smallest id.
-ENTRY = np.dtype([("first", "<u8"), ("second", "<u4"), ("least", "<i8")])
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def packed(cells: np.ndarray) -> bytes:
-    """Sorted cell numbers as gaps of a byte; 255 carries over to the next byte."""
-    gap = np.diff(cells.astype(np.int64), prepend=0)
-    more = gap // 255
-    out = np.full(int(more.sum()) + len(gap), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = gap % 255
-    return out.tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers (uint64) as compressed planes of bytes: the lowest bytes of all, the next ones, and so on."""
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
+    used = max(1, int(values.max()).bit_length() + 7 >> 3) if len(values) else 1
+    return len(values).to_bytes(8, "little") + bytes([used]) + _ZSTD.compress(np.ascontiguousarray(planes[:used]), asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    gap = np.frombuffer(raw, np.uint8)
-    return np.cumsum(gap, dtype=np.int64)[gap != 255]
+    n, used = int.from_bytes(raw[:8], "little"), raw[8]
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :used] = np.frombuffer(_ZSTD.decompress(raw[9:], n * used, asbytes=True), np.uint8).reshape(used, n).T
+    return planes.view("<u8").reshape(-1)
 
 
-def cells_of(h: np.ndarray, row: int) -> np.ndarray:
-    return ((h << np.uint64(row * CELLS)) >> np.uint64(64 - CELLS)).astype(np.uint32)
+def gaps(sorted_: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_, prepend=sorted_[:1] * 0)
 
 
-def window_hashes(part: pa.RecordBatch | pa.Table, text_col: str, size: int):
-    """Word hashes, their rows, window hashes and where the windows start."""
-    buf, off = texts_of(part.column(text_col))
-    start, end, row = words(buf, off)
-    h = spans_hash(buf, start, end)
-    win, at = windows(h, row, size)
-    return h, row, win, at
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def sketch(df: DataFrame, text_col: str = "text", size: int = SIZE) -> dict[int, bytes]:
-    """The slices of the merged sketch that have a cell over one, as compressed bits."""
-    slices = 1 << (CELLS - SLICE)
+def chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK) -> DataFrame:
+    """The rows in written chunks: (chunk, spaces, size, rows), with the spaces and bytes of the texts and the compressed rows."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, spaces = [], 0, 0
 
         def sent() -> pa.RecordBatch:
-            h = np.concatenate(held)
-            slot, one, more = [], [], []
-            for k in range(2):
-                cell, count = np.unique(cells_of(h, k), return_counts=True)
-                edge = np.searchsorted(cell, np.arange(slices + 1, dtype=np.int64) << SLICE)
-                for s in range(slices):
-                    if edge[s] < edge[s + 1]:
-                        own, twice = cell[edge[s] : edge[s + 1]] - np.uint32(s << SLICE), count[edge[s] : edge[s + 1]] > 1
-                        slot.append(k * slices + s)
-                        one.append(packed(own[~twice]))
-                        more.append(packed(own[twice]))
-            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(one, pa.binary()), pa.array(more, pa.binary())], names=["slot", "one", "more"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([spaces]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "spaces", "size", "rows"])
 
         for batch in batches:
-            for part in pieces(batch, text_col):
-                held.append(window_hashes(part, text_col, size)[2])
-                n += len(held[-1])
-                if n >= GATHER:
+            for part in pieces(batch, "text", 1 << 20):
+                buf, _ = texts_of(part.column("text"))
+                held.append(part)
+                size, spaces = size + len(buf), spaces + int(np.count_nonzero(SPACE[buf]))
+                if size > chunk_bytes:
                     yield sent()
-                    held, n = [], 0
-        if n:
+                    held, size, spaces = [], 0, 0
+        if held:
             yield sent()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, one, two = None, np.zeros(1 << SLICE, bool), np.zeros(1 << SLICE, bool)
-
-        def done() -> pa.RecordBatch:
-            bits = zlib.compress(np.packbits(two, bitorder="little").tobytes(), 1) if two.any() else None
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits], pa.binary())], names=["slot", "bits"])
-
-        for batch in batches:
-            for slot, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if slot != now:
-                    if now is not None:
-                        yield done()
-                    now, one[:], two[:] = slot, False, False
-                cell = unpacked(a)
-                two[cell] |= one[cell]
-                one[cell] = True
-                cell = unpacked(b)
-                one[cell] = two[cell] = True
-        if now is not None:
-            yield done()
-
-    parts = df.select(text_col).mapInArrow(gather, "slot int, one binary, more binary")
-    merged = parts.repartition(parallelism(df.sparkSession), "slot").sortWithinPartitions("slot").mapInArrow(merge, "slot int, bits binary")
-    return {r.slot: bytes(r.bits) for r in merged.filter("bits is not null").toLocalIterator()}
-
-
-_loaded: dict[str, np.ndarray] = {}
-
-
-def _table(held, key: str) -> np.ndarray:
-    if key not in _loaded:
-        _loaded.clear()
-        table = np.zeros((2 << (CELLS - SLICE), 1 << (SLICE - 3)), np.uint8)
-        for slot, bits in held.value.items():
-            table[slot] = np.frombuffer(zlib.decompress(bits), np.uint8)
-        _loaded[key] = table.reshape(2, -1)
-    return _loaded[key]
-
-
-def repeated(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Indexes of windows that the sketch estimates over one."""
-    at = np.arange(len(h))
-    for k in range(2):
-        cell = cells_of(h[at], k)
-        at = at[(table[k][cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & 1 == 1]
-    return at
+    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return stored(own.mapInArrow(trimmed(run), "chunk long, spaces long, size long, rows binary"), "substring-dedup")
 
 
 class Chunk:
-    """A chunk's candidate windows: the distinct ones in order of hash with the chunk's smallest id, and every place."""
-
-    def __init__(self, part: pa.Table, table: np.ndarray, size: int):
-        self.h, self.row, win, at = window_hashes(part, "text", size)
-        self.id = part.column("id").combine_chunks().fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-        go = repeated(table, win)
-        first, self.at = win[go], at[go]
-        own = mix(self.h, 7)
-        by = np.uint64(0xA0761D6478BD642F)
-        second = np.zeros(len(go), np.uint64)
-        for j in range(size):
-            second = second * by + own[self.at + j]
+    """A chunk's texts and windows, and for each row of the sketch its cells."""
+
+    def __init__(self, raw: pa.Buffer, size: int, ranges: int):
+        self.docs = pa.ipc.open_stream(raw).read_all().combine_chunks()
+        self.size, self.ranges = size, ranges
+        buf, off = texts_of(self.docs.column("text"))
+        start, end, self.row = words(buf, off)
+        self.span = (buf, start, end)
+        self.first, self.at = windows(spans_hash(buf, start, end), self.row, size)
+
+    def cells(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct cells of row k (range and number) in order, the windows of each, and each window's index among them."""
+        h = mix(self.first, 21 + k)
+        key = (range_of(h, self.ranges) << np.uint64(CELLS)) | (h & np.uint64((1 << CELLS) - 1))
+        return np.unique(key, return_counts=True, return_inverse=True)
+
+    def asks(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """For each range with cells: its number, the cells with one window, those with more."""
+        for k in range(ROWS):
+            key, _, n = self.cells(k)
+            of = key >> np.uint64(CELLS)
+            found, begin = np.unique(of, return_index=True)
+            for r, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+                own, twice = key[a:b] & np.uint64((1 << CELLS) - 1), n[a:b] > 1
+                yield k * self.ranges + r, packed(gaps(own[~twice])), packed(gaps(own[twice]))
+
+    def candidates(self, answers: dict[int, bytes]) -> np.ndarray:
+        """Indexes of the windows that the sketch estimates over one. ``answers``: by range, a bit for each cell asked once."""
+        go = np.ones(len(self.first), bool)
+        for k in range(ROWS):
+            key, back, n = self.cells(k)
+            over = n > 1
+            found, begin = np.unique(key >> np.uint64(CELLS), return_index=True)
+            for r, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+                bits = answers.get(k * self.ranges + r)
+                if bits is not None:
+                    once = a + np.flatnonzero(n[a:b] == 1)
+                    over[once] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(once)).astype(bool)
+            go &= over[back]
+        return np.flatnonzero(go)
+
+    def judge(self, answers: dict[int, bytes]) -> None:
+        """Sets the distinct candidates in order of their hashes (h, second), the chunk's smallest id of each (least), the
+        place of every candidate window (at), which candidate it is (of), and the id of its row (ids)."""
+        go = self.candidates(answers)
+        second, _ = windows(spans_hash(*self.span, 1), self.row, self.size, 7)
+        first, second, self.at = self.first[go], second[go], self.at[go]
         order = np.lexsort((second, first))
         first, second, self.at = first[order], second[order], self.at[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        begin = np.flatnonzero(fresh)
-        self.of = np.cumsum(fresh) - 1
-        self.first, self.second = first[begin], second[begin]
-        ids = self.id[self.row[self.at]]
-        self.least = np.minimum.reduceat(ids, begin) if len(begin) else ids[:0]
-        self.ids = ids
-
-    def ranges(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the hash ranges with entries, and the borders of their entries."""
-        of = (self.first >> np.uint64(64 - bits)).astype(np.int64)
-        found, begin = np.unique(of, return_index=True)
-        return found, np.append(begin, len(of))
+        begin, self.of = _groups(first, second)
+        self.h, self.second = first[begin], second[begin]
+        self.ids = self.docs.column("id").combine_chunks().fill_null(_NO_ID).to_numpy(zero_copy_only=False)[self.row[self.at]]
+        self.least = np.minimum.reduceat(self.ids, begin) if len(begin) else self.ids[:0]
+        self.found, self.begin = np.unique(range_of(self.h, self.ranges), return_index=True)
+        self.begin = np.append(self.begin, len(self.h))
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of equal keys, which are in order, begins, and the group of each."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = False
+    for k in keys:
+        fresh[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
 def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
@@ -194,70 +179,118 @@ def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.T
         yield now, pa.Table.from_batches(held)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def _answer(chunk: list[int], slot: list[int], kind: int, bits: list[bytes | None]) -> pa.RecordBatch:
+    go = [x is not None for x in bits]
+    n = sum(go)
+    return pa.RecordBatch.from_arrays([pa.array(list(compress(chunk, go)), pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(list(compress(slot, go)), pa.int64()), pa.array(list(compress(bits, go)), pa.binary())], names=["chunk", "kind", "slot", "bits"])
+
+
+def _bits(hit: np.ndarray) -> bytes | None:
+    return np.packbits(hit).tobytes() if hit.any() else None
+
+
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass one's ranges: the sketch of all chunks, and each chunk's answer."""
+    one, two = np.zeros(1 << CELLS, bool), np.zeros(1 << CELLS, bool)
+    for slot, part in _by(batches, "slot"):
+        one[:], two[:] = False, False
+        own = []
+        for a, b in zip(part.column("once").to_pylist(), part.column("more").to_pylist(), strict=True):
+            once, more = (np.cumsum(unpacked(x)).astype(np.int64) for x in (a, b))
+            two[once] |= one[once]
+            one[once] = one[more] = two[more] = True
+            own.append(a)
+        bits = [_bits(two[np.cumsum(unpacked(a)).astype(np.int64)]) for a in own]
+        yield _answer(part.column("chunk").to_pylist(), [slot] * len(bits), 0, bits)
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass two's ranges: which entries have a smaller id elsewhere."""
+    for slot, part in _by(batches, "slot"):
+        first, second, ids = ([unpacked(x) for x in part.column(c).to_pylist()] for c in ("first", "second", "least"))
+        size = [len(x) for x in first]
+        a, b = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in first]), np.concatenate(second)
+        ids = np.concatenate(ids).view(np.int64)
+        order = np.lexsort((b, a))
+        begin, of = _groups(a[order], b[order])
+        hit = np.zeros(len(a), bool)
+        if len(a):
+            hit[order] = np.minimum.reduceat(ids[order], begin)[of] < ids[order]
+        bits = [_bits(x) for x in np.split(hit, np.cumsum(size)[:-1])]
+        yield _answer(part.column("chunk").to_pylist(), [slot] * len(bits), 1, bits)
+
+
+def _parts(table: pa.Table, kind: int) -> dict[int, bytes]:
+    rows = zip(table.column("kind").to_pylist(), table.column("slot").to_pylist(), table.column("bits").to_pylist(), strict=True)
+    return {slot: bits for k, slot, bits in rows if k == kind}
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, chunk_bytes: int = CHUNK, range_windows: int = RANGE) -> DataFrame:
     """For each row: id_col, n_words, n_removed and kept, the words that stay joined by one space."""
     spark = df.sparkSession
     text_batches(spark)
-    n = parallelism(spark)
-    bits = max(1, (n - 1).bit_length())
-    held = spark.sparkContext.broadcast(sketch(df, text_col, size))
-    key = uuid.uuid4().hex
     id_type = df.schema[id_col].dataType
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(2 * n)).cast("int")).repartition(n, "chunk")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(held, key)
-        for chunk, part in _by(batches, "chunk"):
-            own = Chunk(part, table, size)
-            found, edge = own.ranges(bits)
-            entry = np.empty(len(own.first), ENTRY)
-            entry["first"], entry["second"], entry["least"] = own.first, own.second >> np.uint64(32), own.least
-            sent = [entry[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), chunk), pa.int32()), pa.array(sent, pa.binary())], names=["range", "chunk", "entries"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, part in _by(batches, "range"):
-            raw = part.column("entries").to_pylist()
-            entry = np.frombuffer(b"".join(raw), ENTRY)
-            order = np.lexsort((entry["second"], entry["first"]))
-            a, b, ids = (entry[k][order] for k in ("first", "second", "least"))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            least = np.minimum.reduceat(ids, np.flatnonzero(fresh))[np.cumsum(fresh) - 1] if len(ids) else ids
-            hit = np.zeros(len(order), bool)
-            hit[order] = least < ids
-            edge = np.cumsum([0, *(len(x) // ENTRY.itemsize for x in raw)])
-            reply = [np.packbits(hit[p:q]).tobytes() if hit[p:q].any() else None for p, q in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            chunk = part.column("chunk").to_pylist()
-            go = [x is not None for x in reply]
-            yield pa.RecordBatch.from_arrays([pa.array(list(compress(chunk, go)), pa.int32()), pa.array([k] * sum(go), pa.int32()), pa.array(list(compress(reply, go)), pa.binary())], names=["chunk", "range", "bits"])
-
-    def strip(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        own = Chunk(docs, _table(held, key), size)
-        found, edge = own.ranges(bits)
-        hit = np.zeros(len(own.first), bool)
-        at = dict(zip(found.tolist(), zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), strict=True))
-        for k, raw in zip(replies.column("range").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-            a, b = at[k]
-            hit[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
-        go = hit[own.of] | (own.ids > own.least[own.of])
-        gone = covered(len(own.h), own.at[go], size)
-        n_rows = docs.num_rows
-        count, removed = per_row(np.ones(len(own.row)), own.row, n_rows), per_row(gone, own.row, n_rows)
-        ends, stay, kept = np.cumsum(count).tolist(), ~gone, []
-        for i, text in enumerate(docs.column("text").combine_chunks().cast(pa.binary()).fill_null(b"").to_pylist()):
-            own_words = text.split()
-            kept.append(b" ".join(compress(own_words, stay[ends[i] - count[i] : ends[i]].tolist()) if removed[i] else own_words))
-        text = pa.array(kept, pa.binary()).cast(pa.string())
-        return pa.table([docs.column("id"), pa.array(count), pa.array(removed), text], names=["id", "n_words", "n_removed", "kept"])
-
-    asked = base.sortWithinPartitions("chunk").mapInArrow(ask, "range int, chunk int, entries binary")
-    replies = asked.repartition(n, "range").sortWithinPartitions("range").mapInArrow(answer, "chunk int, range int, bits binary")
-    out = base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(strip, "id long, n_words long, n_removed long, kept string")
+    own = chunks(df, id_col, text_col, chunk_bytes)
+    total = own.agg(F.coalesce(F.sum("spaces"), F.lit(0)).alias("spaces"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    ranges = 1 + total.spaces // range_windows
+    n = max(parallelism(spark), 1 + total.size // TASK)
+    dealt = own.select("chunk", "rows").repartition(n, "chunk")
+
+    def ask_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("rows"), strict=True):
+                found = list(Chunk(raw.as_buffer(), size, ranges).asks())
+                slot, once, more = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array([chunk] * len(slot), pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["slot", "chunk", "once", "more"])
+
+    def ask_windows(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        names, out = ["slot", "chunk", "first", "second", "least"], [[] for _ in range(5)]
+        for chunk, raw in zip(docs.column("chunk").to_pylist(), docs.column("rows"), strict=True):
+            part = Chunk(raw.as_buffer(), size, ranges)
+            part.judge(_parts(answers, 0))
+            for slot, a, b in zip(part.found.tolist(), part.begin[:-1].tolist(), part.begin[1:].tolist(), strict=True):
+                row = slot, chunk, packed(gaps(part.h[a:b])), packed(part.second[a:b]), packed(part.least[a:b].view(np.uint64))
+                for x, y in zip(out, row, strict=True):
+                    x.append(y)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
+
+    def strip(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [_stripped(Chunk(raw.as_buffer(), size, ranges), answers) for raw in docs.column("rows")]
+        return pa.concat_tables(parts) if parts else _NOTHING
+
+    reply = "chunk long, kind int, slot long, bits binary"
+    asked = own.select("chunk", "rows").mapInArrow(trimmed(ask_sketch), "slot long, chunk long, once binary, more binary")
+    sketched = stored(asked.repartition(max(parallelism(spark), 1 + ranges * ROWS // 16), "slot").sortWithinPartitions("slot").mapInArrow(trimmed(added_up), reply), "substring-dedup")
+    entries = dealt.groupBy("chunk").cogroup(sketched.groupBy("chunk")).applyInArrow(ask_windows, "slot long, chunk long, first binary, second binary, least binary")
+    replies = entries.repartition(max(parallelism(spark), 1 + ranges // 4), "slot").sortWithinPartitions("slot").mapInArrow(trimmed(grouped), reply)
+    out = dealt.groupBy("chunk").cogroup(sketched.unionByName(replies).groupBy("chunk")).applyInArrow(strip, "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(id_type).alias(id_col), "n_words", "n_removed", "kept")
 
 
+_NOTHING = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]).empty_table()
+
+
+def _stripped(part: Chunk, answers: pa.Table) -> pa.Table:
+    """A chunk's texts without the words of hit windows."""
+    part.judge(_parts(answers, 0))
+    hit = np.zeros(len(part.h), bool)
+    edge = dict(zip(part.found.tolist(), zip(part.begin[:-1].tolist(), part.begin[1:].tolist(), strict=True), strict=True))
+    for slot, bits in _parts(answers, 1).items():
+        a, b = edge[slot]
+        hit[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+    go = hit[part.of] | (part.ids > part.least[part.of])
+    gone = covered(len(part.row), part.at[go], part.size)
+    n = part.docs.num_rows
+    count, removed = per_row(np.ones(len(part.row)), part.row, n), per_row(gone, part.row, n)
+    ends, stay, kept = np.cumsum(count).tolist(), ~gone, []
+    texts = part.docs.column("text").combine_chunks()
+    for i, (of_row, fewer) in enumerate(zip(count.tolist(), removed.tolist(), strict=True)):
+        own = (texts[i].as_py() or "").encode().split()
+        kept.append(b" ".join(compress(own, stay[ends[i] - of_row : ends[i]].tolist()) if fewer else own))
+    return pa.table([part.docs.column("id"), pa.array(count), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], schema=_NOTHING.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: words removed from every document, and a digest of those kept."""
     done = dedup(documents(spark, sf_dir))

@@ -141,24 +141,90 @@ def test_substrings_of_nothing(empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
-def test_a_full_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CELLS", 8)
-    monkeypatch.setattr(substring_dedup, "SLICE", 6)
-    rows = [(i, " ".join(f"x{(i % 5) * 1000 + j}" for j in range(100))) for i in range(20)]
-    table = np.full((2, 32), 255, np.uint8)
-    h, row, win, at = substring_dedup.window_hashes(_batch([t for _, t in rows]), "text", 13)
-    assert len(substring_dedup.repeated(table, win)) == len(win)
-
-
 def _batch(texts):
     import pyarrow as pa
 
     return pa.record_batch([pa.array(texts, pa.string())], names=["text"])
 
 
-def test_packed_cells_round_trip():
-    for cells in ([], [0], [5, 260, 261, 10**6], list(range(0, 100_000, 255))):
-        assert substring_dedup.unpacked(substring_dedup.packed(np.array(cells, np.uint32))).tolist() == cells
+def passages(n, seed):
+    rng = random.Random(seed)
+    shared = [" ".join(f"s{k}x{i}" for i in range(30)) for k in range(4)]
+    return [(i, " ".join(rng.choice([f"{rng.choice(shared)}", f"u{rng.randrange(10**6)} v{rng.randrange(50)}"]) for _ in range(12))) for i in range(n)]
+
+
+@pytest.mark.parametrize("cells", [3, 12])
+def test_a_full_sketch_loses_nothing(spark, monkeypatch, cells):
+    """Eight cells for hundreds of windows: all are estimated repeated, and the exact pass tells them apart."""
+    monkeypatch.setattr(substring_dedup, "CELLS", cells)
+    rows = passages(60, 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(df, chunk_bytes=4000, range_windows=300).collect())
+    assert got == brute_substring(rows, 13)
+
+
+def test_the_sketch_sends_few_windows_that_are_in_one_place():
+    import pyarrow as pa
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(50)]
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["id", "text"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    part = substring_dedup.Chunk(sink.getvalue(), 13, 5)
+    slot, once, more = zip(*part.asks())
+    asked = pa.record_batch([pa.array(slot, pa.int64()), pa.array([1] * len(slot), pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["slot", "chunk", "once", "more"])
+    answers = {}
+    for reply in substring_dedup.added_up(iter([asked.take(np.argsort(np.array(slot), kind="stable"))])):
+        answers |= dict(zip(reply.column("slot").to_pylist(), reply.column("bits").to_pylist()))
+    assert len(part.first) == 50 * 388 and len(part.candidates(answers)) < 50
+
+
+def test_packed_numbers_round_trip():
+    for values in ([], [0], [5, 260, 261, 10**6, 2**64 - 1], list(range(0, 100_000, 255))):
+        assert substring_dedup.unpacked(substring_dedup.packed(np.array(values, np.uint64))).tolist() == values
+
+
+# words that a polynomial modulo a power of two takes for each other, whatever its base
+
+
+def unlike_words():
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba")), one[:64], one[:64].translate(str.maketrans("ab", "ba"))
+
+
+def test_unlike_words_are_told_apart(spark):
+    a, b, c, d = unlike_words()
+    plain = [f"p{i}" for i in range(12)]
+    texts = [" ".join([*plain[:6], x, *plain[6:]]) for x in (a, b, c, d)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(df).collect())
+    assert got == brute_substring(rows, 13) and all(k[2] == 0 for k in got)
+    assert {r.class_id for r in near_dedup.classes(spark.createDataFrame([(0, a), (1, b), (2, c), (3, d)], "doc_id long, text string")).collect()} == {0, 1, 2, 3}
+    items = spark.createDataFrame([(0, texts[0]), (1, texts[2]), (2, d)], "item_id long, text string")
+    for r in decontaminate.find_matches(df, items).collect():
+        want = brute_matches(texts[r.doc_id], [(0, texts[0]), (1, texts[2]), (2, d)])
+        assert (r.n_words, r.n_hit, r["items"]) == want
+    twice = [f"{x} 1 2 3 4 {y} 1 2 3 4" for x, y in ((a, b), (c, d), (a, a))]
+    found = {r.doc_id: r.n_repeat_words for r in quality_rules.counted(spark.createDataFrame(list(enumerate(twice)), "doc_id long, text string")).collect()}
+    assert found == {i: brute_counts(t)[4] for i, t in enumerate(twice)} and found[2] == 10 and found[0] == 0
+
+
+def test_a_match_of_a_book_takes_no_square_of_its_length():
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    item = " ".join(f"w{rng.randrange(3000)}" for _ in range(20_000))
+    items = decontaminate.Items(["book"], [item], 10)
+    own = decontaminate.Words(pa.array(["before " + item + " after"]), items.salt)
+    began = time.time()
+    hit, longest, listed = decontaminate.search(items, own, 1)
+    assert time.time() - began < 3 and hit.sum() == 20_000 and longest.tolist() == [20_000] and listed == [["book"]]
 
 
 # 3
