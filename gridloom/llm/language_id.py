@@ -1,19 +1,21 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts are lower-cased; everything but letters becomes a space and spaces in a row count once. Character sequences of
-``ORDER`` are counted per language over all learning texts: each task sums up its own, Spark adds them. From these counts
-come, per language, the discounted counts and the back-off weights of all orders, as tables that Spark groups. Texts are packed
-into blocks; the distinct sequences of all blocks get their probabilities in each language by joins, order by order. Each
-block then asks the ranges of sequences for its own, and the answers are joined to its texts. The language of the lowest cross-entropy per character
-wins. Every learning text is then scored, and a text is rejected if its cross-entropy, less what chance gives a text of its
-length, lies above nearly all of its language's learning texts by ``SLACK``.
+``ORDER`` are counted per language over all learning texts but an eighth; each task sums up its own, Spark adds them. From
+these counts come, per language, the discounted counts and the back-off weights of all orders, as tables that Spark groups.
+Texts are packed into blocks; the distinct sequences of all blocks get their probabilities in each language by joins, order by
+order. Each block then asks the ranges of sequences for its own, and the answers are joined to its texts. The language of the
+lowest cross-entropy per character wins. The eighth that was held back calibrates rejection: a text is rejected if its
+cross-entropy, less what chance gives a text of its length, lies above nearly all of its language's texts there by ``SLACK``.
 
 No sequence and no language is left out; no table of sequences goes to the driver, but for small ones that Spark broadcasts by
-its own size check.
+its own size check. A sequence holds 16 bits a character: letters beyond the first 65,536 code points share 8,448 codes that no
+letter has, so two of these count as one where their numbers are equal modulo 8,448, and none counts as a common letter.
 
 Defined results: null texts and texts without a letter get ``und``, score 0 and are rejected; ties go to the language that
-sorts first; without any learning text all are ``und``; repeated rows each get their result; other columns stay,
-but those with a result's name are replaced.
+sorts first; without any learning text all are ``und``, and ``kept`` keeps all, as nothing is known; a language without any text
+held back rejects nothing; repeated rows each get their result; other columns stay, but those with a result's name are
+replaced.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ BLOCK, KINDS = 16 << 20, 1_000_000
 RESULTS = ("lang_pred", "score", "cross_entropy", "rejected")
 #: Rejection: the share of learning texts that may lie above, nats beyond them, and nats times the root of the length.
 QUANTILE, SLACK, CHANCE = 0.999, 1.0, 3.0
+#: Of so many learning texts one calibrates rejection.
+HELD_BACK = 8
 UNKNOWN = "und"
-_FULL = np.uint64(2**64 - 1)
 _letters: list[np.ndarray] = []
 
 
@@ -55,7 +58,7 @@ def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len((t or "").lower()) + 4 for t in texts])
     row = np.repeat(np.arange(len(texts)), size)
     letter = _is_letter()[raw]
-    c = np.where(letter, raw & np.uint32(0xFFFF), 32).astype(np.uint64)
+    c = np.where(letter, np.where(raw > 0xFFFF, 0xD800 + raw % 0x2100, raw), 32).astype(np.uint64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of spaces in a row the first
     c, row = np.concatenate([np.full(3, 32, np.uint64), c[keep]]), row[keep]
@@ -108,50 +111,6 @@ def count_sequences(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return own.mapInArrow(trimmed(run), "lang string, seq long, n long").groupBy("lang", "seq").agg(F.sum("n").alias("n"))
 
 
-class KneserNey:
-    """One language in one process, which tests hold the tables against: for each order the hashes of its sequences with
-    discounted probabilities, and of its contexts with back-off weights."""
-
-    def __init__(self, seq: np.ndarray, n: np.ndarray):
-        self.tables = []
-        for order in range(ORDER, 0, -1):
-            at = np.argsort(seq, kind="stable")
-            seq, n = seq[at], n[at]
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            off = once / (once + 2 * twice) if once else 0.5
-            context = seq >> np.uint64(16)
-            own, begin = np.unique(context, return_index=True)
-            total = np.add.reduceat(n, begin)
-            kinds = np.diff(np.append(begin, len(seq)))
-            share = (n - np.minimum(n, off)) / np.repeat(total, kinds)
-            weight = off * kinds / total
-            self.tables.append((order, *self._by_hash(seq, share, order), *self._by_hash(own, weight, order + 8)))
-            if order > 1:  # lower orders count the characters that come before
-                seq, n = np.unique(seq & (_FULL >> np.uint64(64 - 16 * (order - 1))), return_counts=True)
-        self.floor = 1.0 / (len(seq) + 1)
-        self.tables.reverse()
-
-    @staticmethod
-    def _by_hash(key: np.ndarray, value: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(key, salt)
-        at = np.argsort(h)
-        return h[at], value[at].astype(np.float32)
-
-    def log_probability(self, seq: np.ndarray) -> np.ndarray:
-        p = np.full(len(seq), self.floor)
-        for order, keys, share, contexts, weight in self.tables:
-            own = seq & (_FULL >> np.uint64(64 - 16 * order))
-            at, has = _find(contexts, mix(own >> np.uint64(16), order + 8))
-            i, seen = _find(keys, mix(own, order))
-            p = np.where(has, np.where(seen, share[i], 0) + weight[at] * p, p)
-        return np.log(p)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
 def _low(seq: Column, order: int) -> Column:
     """The last ``order`` characters."""
     return seq if order == ORDER else seq.bitwiseAND((1 << (16 * order)) - 1)
@@ -359,13 +318,18 @@ def _limits(known: DataFrame, langs: list[str]) -> list[float]:
     return [limits.get(x, float("inf")) for x in langs]
 
 
+def counts_in_models(text: Column) -> Column:
+    """Whether a learning text is counted; the others calibrate rejection."""
+    return F.pmod(F.xxhash64(text, F.lit("held back")), F.lit(HELD_BACK)) != 0
+
+
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models and limits from all rows with a text and a language."""
     text_batches(df.sparkSession)
     own = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    model = build(count_sequences(own, "text", "lang"))
+    model = build(count_sequences(own.filter(counts_in_models(F.col("text"))), "text", "lang"))
     if model.langs:
-        rows = own.select("text", F.length("text").alias("size"))
+        rows = own.filter(~counts_in_models(F.col("text"))).select("text", F.length("text").alias("size"))
         blocks = packed(rows, "text")
         model.limits = _limits(found(blocks, answered(blocks, model), model, rows.schema, "text", "__", drop=True), model.langs)
     return model
@@ -376,42 +340,45 @@ def learns(id_col: Column) -> Column:
     return F.coalesce(crc_mod(id_col, 3), F.lit(0)) != 1
 
 
-def _known(docs: DataFrame, text_col: str, lang_col: str, learning: Column) -> tuple[Model, DataFrame, tuple[DataFrame, int], DataFrame] | None:
-    """Model, blocks, answers, and all rows' results without the text, from one packing; the rows get ``learning`` and ``size``."""
-    own = docs.withColumns({"learning": learning & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull(), "size": F.length(text_col)})
+def _known(docs: DataFrame, text_col: str, lang_col: str, learning: Column, drop: bool) -> tuple[Model, DataFrame] | None:
+    """The model, and all rows' results (with the text unless ``drop``), from one packing; the rows get ``learning`` (2 for texts
+    that are counted, 1 for those held back, else 0) and ``size``."""
+    part = F.when(learning & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull(), F.when(counts_in_models(F.col(text_col)), 2).otherwise(1)).otherwise(0)
+    own = docs.withColumns({"learning": part, "size": F.length(text_col)})
     text_batches(docs.sparkSession)
-    model = build(count_sequences(own.filter("learning"), text_col, lang_col))
+    model = build(count_sequences(own.filter("learning = 2"), text_col, lang_col))
     if not model.langs:
         return None
     blocks = packed(own, text_col)
-    answers = answered(blocks, model)
-    results = stored(found(blocks, answers, model, own.schema, text_col, "__", drop=True), "language-results")
-    model.limits = _limits(results.filter("learning"), model.langs)
-    return model, blocks, answers, results
+    results = stored(found(blocks, answered(blocks, model), model, own.schema, text_col, "__", drop), "language-results")
+    model.limits = _limits(results.filter("learning = 1"), model.langs)
+    return model, results
+
+
+def _over(model: Model) -> Column:
+    """Whether a row of results is rejected."""
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in zip(model.langs, model.limits, strict=True) for x in pair)), F.col("__lang_pred"))
+    return F.col("__cross_entropy").isNull() | (F.col("__cross_entropy") - CHANCE / F.sqrt(F.greatest("__letters", F.lit(1))) > limit)
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected; learnt from those that may be learnt from; columns as they were."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = {c: names[i] for i, c in enumerate(docs.columns)}
-    plain = docs.toDF(*names)
-    known = _known(plain, place["text"], place["lang"], learns(F.col(place["doc_id"])))
+    known = _known(docs.toDF(*names), place["text"], place["lang"], learns(F.col(place["doc_id"])), drop=False)
     if known is None:
-        return docs.limit(0)
-    model, blocks, answers, _ = known
-    schema = T.StructType([*plain.schema.fields, T.StructField("learning", T.BooleanType()), T.StructField("size", T.IntegerType())])
-    return found(blocks, answers, model, schema, place["text"], "__").filter("not __rejected").select(names).toDF(*docs.columns)
+        return docs
+    model, results = known
+    return results.filter(~_over(model)).select(names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: the language of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    known = _known(docs, "text", "lang", learns(F.col("doc_id")))
+    known = _known(docs, "text", "lang", learns(F.col("doc_id")), drop=True)
     if known is None:
         out = scored(docs, Model([]))
     else:
-        model, _, _, results = known
-        limit = F.element_at(F.create_map(*(F.lit(x) for pair in zip(model.langs, model.limits, strict=True) for x in pair)), F.col("__lang_pred"))
-        over = F.col("__cross_entropy").isNull() | (F.col("__cross_entropy") - CHANCE / F.sqrt(F.greatest("__letters", F.lit(1))) > limit)
-        out = results.select("doc_id", *(F.col(f"__{x}").alias(x) for x in RESULTS[:3]), over.alias("rejected"))
+        model, results = known
+        out = results.select("doc_id", *(F.col(f"__{x}").alias(x) for x in RESULTS[:3]), _over(model).alias("rejected"))
     return out.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), *RESULTS)
