@@ -10,8 +10,9 @@ are the borders. Linking is an interval join: a text is a scope, cut into cells
 first summed up to the first and last start of each role; weak parts then join the summaries of their own cell and the two
 beside it. So a part meets three summaries however many parts lie around it.
 
-The lengths of all texts' matches are written to the shared folder with a number for each row, and no text is; copies and
-rows that repeat an id are rows like any other, so no key is hot.
+The lengths of all texts' matches are written to the shared folder with a number for each row, which all later steps go by;
+copies and rows that repeat an id are rows like any other, so no key is hot. For redaction the texts are written with them, so
+that patterns run over each text once.
 
 Defined results: null text is empty; every row gets its own result, whether its id is null or repeated; other columns are
 left out.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents
+from .common import checkpointed, documents, stored
 
 REACH = 240
 #: Kinds in order, the base ones first: pattern, group of the value, code points it needs, role, whether it is weak.
@@ -48,9 +49,9 @@ def _lengths(strings: Column) -> Column:
 def _found(text: Column, kind: str) -> Column:
     """For each match of a kind: the code points between it and the one before, its own and its value's."""
     pattern, group, _, _, _ = KINDS[kind]
-    size = _lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    value = _lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else size
-    zipped = F.arrays_zip(_lengths(F.split(text, pattern)).alias("gap"), size.alias("size"), value.alias("value"))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    own = F.transform(matches, lambda x: F.struct(F.length(x).alias("size"), (F.length(F.regexp_extract(x, pattern, group)) if group else F.length(x)).alias("value")))
+    zipped = F.zip_with(_lengths(F.split(text, pattern)), own, lambda gap, x: F.struct(gap.alias("gap"), x["size"].alias("size"), x["value"].alias("value")))
     return F.filter(zipped, lambda x: x["size"].isNotNull())
 
 
@@ -76,12 +77,14 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
     return asking.join(summary, ["row", "cell"]).filter(completes).select("row", "rank", "start", "end").distinct()
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """For each row of df: id_col, spans (array of start, rank of the kind, end; in order) and cuts (array of start, end:
-    what the spans cover, without overlaps)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.when(text.rlike(MAYBE), F.array(*(_found(text, k) for k in KINDS)))
-    numbered = checkpointed(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), found.alias("found")))
+def _matches(text: Column) -> Column:
+    """The matches of every kind in a text; null for most texts without any."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(MAYBE), F.array(*(_found(text, k) for k in KINDS)))
+
+
+def _by_row(numbered: DataFrame, reach: int) -> DataFrame:
+    """(row, spans, cuts) of the rows that have spans. numbered: (row, found)."""
     parts = checkpointed(_parts(numbered))
     spans = parts.filter("not weak").select("row", "rank", "start", "end").unionByName(_linked(parts, reach))
     before = Window.partitionBy("row").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,30 +92,35 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: i
     island = F.sum("fresh").over(Window.partitionBy("row").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, 0))
     islands = spans.withColumn("fresh", fresh).withColumn("island", island)
     cuts = islands.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_list(F.struct("start", "rank", "end")).alias("spans"))
-    of_row = cuts.groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    return numbered.select("row", "id").join(of_row, "row", "left").select(
+    return cuts.groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """For each row of df: id_col, spans (array of start, rank of the kind, end; in order) and cuts (array of start, end:
+    what the spans cover, without overlaps)."""
+    numbered = checkpointed(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _matches(F.col(text_col)).alias("found")))
+    return numbered.select("row", "id").join(_by_row(numbered.select("row", "found"), reach), "row", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("spans"),
         F.coalesce("cuts", F.array().cast("array<struct<start:int,end:int>>")).alias("cuts"),
     )
 
 
-def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``MARK`` in the place of every span; columns and rows as they were."""
+def redacted(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """docs with ``MARK`` in the place of every span; columns and rows as they were. Only texts with matches are shuffled."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
-    plain = docs.toDF(*names)
-    maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    keyed = plain.filter(maybe).withColumn("key", F.sha2(text, 256))
-    cuts = scan(keyed.select("key", text), "key", text).filter(F.size("cuts") > 0).groupBy("key").agg(F.first("cuts").alias("cuts"))
-    joined = keyed.join(cuts.hint("shuffle_hash"), "key", "left")  # without sorting the texts
+    held = stored(docs.toDF(*names).withColumns({"row": F.monotonically_increasing_id(), "found": _matches(F.col(text))}), "secrets")
+    matched = F.coalesce(F.size(F.flatten("found")) > 0, F.lit(False))
+    cuts = _by_row(held.select("row", "found").filter(matched), reach).select("row", "cuts")
+    joined = held.filter(matched).drop("found").join(cuts, "row", "left")
     n = F.size("cuts")
     begin = lambda i: F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["end"])
     end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get("cuts", i)["start"])
     pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col(text), begin(i) + 1, end(i) - begin(i)))
     clean = F.when(F.col("cuts").isNotNull(), F.array_join(pieces, MARK)).otherwise(F.col(text))
     done = joined.withColumn(text, clean).select(names)
-    return plain.filter(~maybe).unionByName(done).toDF(*docs.columns)
+    return held.filter(~matched).select(names).unionByName(done).toDF(*docs.columns)
 
 
 def _told(spans: Column) -> Column:
