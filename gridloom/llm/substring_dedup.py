@@ -1,7 +1,8 @@
 """Substring dedup: words in a long window that an earlier document also has are removed.
 
-Texts are written once, in compressed chunks of some 16 MB, and every pass reads these. All sizes follow the data: a chunk
-has ``CHUNK`` bytes, a range of hashes some ``RANGE`` windows, and there are as many of each as it takes.
+Texts are written once, in compressed chunks, and every pass reads these. All sizes follow the data, see ``Sizes``: a chunk
+has some 8 MB, a range of hashes some 2 million windows, both times the root of the input over 64 GB where that is more than
+one, and there are as many of each as it takes.
 
 Pass one: a count-min sketch of two rows with at least four cells a window. A chunk sends each range of cells its sorted
 cell numbers, split into "once" and "more" (counters stop at two, as no more matters). A range adds up what all chunks sent
@@ -15,8 +16,8 @@ not sent: among 10**13 windows some 10**26 pairs could meet by chance, with a ch
 
 Pass three: chunks meet their answers and words covered by a hit window go. Windows are judged on the input.
 
-What passes between chunks and ranges is packed in one row for each pair of them that has windows in common. Both numbers
-grow with the data, so these rows grow with its square until each holds few windows; their bytes grow with the windows.
+What passes between chunks and ranges is packed in one row for each pair of them. Because both grow with the root of the
+input beyond 64 GB, so do the windows in a row, and rows grow no faster than the input.
 
 Defined results: null text is a text without words; a null id counts as larger than any other; rows that repeat an id do
 not remove each other's words; texts under ``size`` words stay; other columns are left out.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -33,18 +35,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism, stored, text_batches
+from .common import documents, stored, text_batches
 from .textbuf import SPACE, covered, mix, per_row, pieces, spans_hash, texts_of, trimmed, windows, words
 
 SIZE = 13
-#: Bytes of text of a chunk, windows of a range of hashes, log2 of a sketch row's cells in a range, rows of the sketch.
-CHUNK, RANGE, CELLS, ROWS = 16 << 20, 1 << 21, 23, 2
-#: Bytes of text that a task takes together in passes two and three.
-TASK = 128 << 20
+#: Rows of the sketch; log2 of the places of the table in which a chunk looks its cells up.
+ROWS, TABLE = 2, 24
 _NO_ID = np.int64(2**63 - 1)
 _ZSTD = pa.Codec("zstd", 1)
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of text of a chunk, windows of a range, log2 of a sketch row's cells in a range, and tasks of passes two and three:
+    8 MB each up to 20,000, then the same number until each has 512 MB."""
+
+    chunk: int
+    windows: int
+    cells: int
+    tasks: int
+
+    @staticmethod
+    def of(text_bytes: int) -> Sizes:
+        grow = max(1.0, (text_bytes / (64 << 30)) ** 0.5)
+        tasks = min(1 + text_bytes // (8 << 20), max(20_000, text_bytes // (512 << 20)))
+        return Sizes(int(grow * (8 << 20)), int(grow * (2 << 20)), 23 + int(np.ceil(np.log2(grow))), max(8, tasks))
+
+
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers (uint64) as compressed planes of bytes: the lowest bytes of all, the next ones, and so on."""
     planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
@@ -67,8 +84,8 @@ def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK) -> DataFrame:
-    """The rows in written chunks: (chunk, spaces, size, rows), with the spaces and bytes of the texts and the compressed rows."""
+def chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """The rows in written chunks: (chunk, spaces, rows), with the spaces in the texts and the compressed rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, spaces = [], 0, 0
@@ -77,7 +94,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
                 out.write_table(pa.Table.from_batches(held).combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([spaces]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "spaces", "size", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([spaces]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "spaces", "rows"])
 
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
@@ -91,59 +108,73 @@ def chunks(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK)
             yield sent()
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stored(own.mapInArrow(trimmed(run), "chunk long, spaces long, size long, rows binary"), "substring-dedup")
+    return stored(own.mapInArrow(trimmed(run), "chunk long, spaces long, rows binary"), "substring-dedup")
 
 
 class Chunk:
-    """A chunk's texts and windows, and for each row of the sketch its cells."""
+    """A chunk's texts and windows. ``ranges``: how many; ``bits``: log2 of a sketch row's cells in a range."""
 
-    def __init__(self, raw: pa.Buffer, size: int, ranges: int):
+    def __init__(self, raw: pa.Buffer, size: int, ranges: int, bits: int):
         self.docs = pa.ipc.open_stream(raw).read_all().combine_chunks()
-        self.size, self.ranges = size, ranges
+        self.size, self.ranges, self.bits = size, ranges, np.uint64(bits)
         buf, off = texts_of(self.docs.column("text"))
         start, end, self.row = words(buf, off)
         self.span = (buf, start, end)
         self.first, self.at = windows(spans_hash(buf, start, end), self.row, size)
 
-    def cells(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct cells of row k (range and number) in order, the windows of each, and each window's index among them."""
+    def cells(self, k: int) -> np.ndarray:
+        """Each window's cell of row k, range and number."""
         h = mix(self.first, 21 + k)
-        key = (range_of(h, self.ranges) << np.uint64(CELLS)) | (h & np.uint64((1 << CELLS) - 1))
-        return np.unique(key, return_counts=True, return_inverse=True)
+        return (range_of(h, self.ranges) << self.bits) | (h & ((np.uint64(1) << self.bits) - np.uint64(1)))
+
+    def distinct(self, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each range with cells: its number, its distinct cells in order, and which have more than one window."""
+        cells = np.sort(cells)
+        begin, _ = _groups(cells)
+        key, more = cells[begin], np.diff(np.append(begin, len(cells))) > 1
+        found, begin = np.unique(key >> self.bits, return_index=True)
+        for r, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+            yield r, key[a:b], more[a:b]
 
     def asks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """For each range with cells: its number, the cells with one window, those with more."""
+        """For each range of each row of the sketch: its number, the cells with one window, those with more."""
         for k in range(ROWS):
-            key, _, n = self.cells(k)
-            of = key >> np.uint64(CELLS)
-            found, begin = np.unique(of, return_index=True)
-            for r, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-                own, twice = key[a:b] & np.uint64((1 << CELLS) - 1), n[a:b] > 1
-                yield k * self.ranges + r, packed(gaps(own[~twice])), packed(gaps(own[twice]))
+            for r, key, more in self.distinct(self.cells(k)):
+                own = key - (np.uint64(r) << self.bits)
+                yield k * self.ranges + r, packed(gaps(own[~more])), packed(gaps(own[more]))
 
     def candidates(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Indexes of the windows that the sketch estimates over one. ``answers``: by range, a bit for each cell asked once."""
-        go = np.ones(len(self.first), bool)
+        """Indexes of the windows that the sketch estimates over one, and of a few that share a place in a table with them.
+        ``answers``: by range, a bit for each cell asked once."""
+        go = np.arange(len(self.first))
         for k in range(ROWS):
-            key, back, n = self.cells(k)
-            over = n > 1
-            found, begin = np.unique(key >> np.uint64(CELLS), return_index=True)
-            for r, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+            cells = self.cells(k)
+            place = lambda x: (mix(x, 31) >> np.uint64(64 - TABLE)).astype(np.int64)
+            table = np.zeros(1 << TABLE, bool)
+            for r, key, more in self.distinct(cells):
+                over = more.copy()
                 bits = answers.get(k * self.ranges + r)
                 if bits is not None:
-                    once = a + np.flatnonzero(n[a:b] == 1)
-                    over[once] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(once)).astype(bool)
-            go &= over[back]
-        return np.flatnonzero(go)
+                    over[~more] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(over) - int(more.sum())).astype(bool)
+                table[place(key[over])] = True
+            go = go[table[place(cells[go])]]
+        return go
 
     def judge(self, answers: dict[int, bytes]) -> None:
         """Sets the distinct candidates in order of their hashes (h, second), the chunk's smallest id of each (least), the
         place of every candidate window (at), which candidate it is (of), and the id of its row (ids)."""
         go = self.candidates(answers)
-        second, _ = windows(spans_hash(*self.span, 1), self.row, self.size, 7)
-        first, second, self.at = self.first[go], second[go], self.at[go]
-        order = np.lexsort((second, first))
-        first, second, self.at = first[order], second[order], self.at[order]
+        first, at = self.first[go], self.at[go]
+        own, by = mix(spans_hash(*self.span, 1), 7), np.uint64(0xA0761D6478BD642F)
+        second = np.zeros(len(go), np.uint64)
+        for j in range(self.size):
+            second = second * by + own[at + j]
+        order = np.argsort(first, kind="stable")
+        first, second = first[order], second[order]
+        if ((first[1:] == first[:-1]) & (second[1:] != second[:-1])).any():
+            again = np.lexsort((second, first))
+            order, first, second = order[again], first[again], second[again]
+        self.at = at[order]
         begin, self.of = _groups(first, second)
         self.h, self.second = first[begin], second[begin]
         self.ids = self.docs.column("id").combine_chunks().fill_null(_NO_ID).to_numpy(zero_copy_only=False)[self.row[self.at]]
@@ -189,9 +220,9 @@ def _bits(hit: np.ndarray) -> bytes | None:
     return np.packbits(hit).tobytes() if hit.any() else None
 
 
-def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def added_up(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Pass one's ranges: the sketch of all chunks, and each chunk's answer."""
-    one, two = np.zeros(1 << CELLS, bool), np.zeros(1 << CELLS, bool)
+    one, two = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
     for slot, part in _by(batches, "slot"):
         one[:], two[:] = False, False
         own = []
@@ -200,8 +231,8 @@ def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             two[once] |= one[once]
             one[once] = one[more] = two[more] = True
             own.append(a)
-        bits = [_bits(two[np.cumsum(unpacked(a)).astype(np.int64)]) for a in own]
-        yield _answer(part.column("chunk").to_pylist(), [slot] * len(bits), 0, bits)
+        found = [_bits(two[np.cumsum(unpacked(a)).astype(np.int64)]) for a in own]
+        yield _answer(part.column("chunk").to_pylist(), [slot] * len(found), 0, found)
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,28 +256,28 @@ def _parts(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {slot: bits for k, slot, bits in rows if k == kind}
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, chunk_bytes: int = CHUNK, range_windows: int = RANGE) -> DataFrame:
-    """For each row: id_col, n_words, n_removed and kept, the words that stay joined by one space."""
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, sizes: Sizes | None = None) -> DataFrame:
+    """For each row: id_col, n_words, n_removed and kept, the words that stay joined by one space. ``sizes``: taken from the
+    bytes of the texts unless given."""
     spark = df.sparkSession
     text_batches(spark)
     id_type = df.schema[id_col].dataType
-    own = chunks(df, id_col, text_col, chunk_bytes)
-    total = own.agg(F.coalesce(F.sum("spaces"), F.lit(0)).alias("spaces"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-    ranges = 1 + total.spaces // range_windows
-    n = max(parallelism(spark), 1 + total.size // TASK)
-    dealt = own.select("chunk", "rows").repartition(n, "chunk")
+    sizes = sizes or Sizes.of(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])
+    own = chunks(df, id_col, text_col, sizes.chunk)
+    ranges, bits = 1 + own.agg(F.coalesce(F.sum("spaces"), F.lit(0))).first()[0] // sizes.windows, sizes.cells
+    dealt = own.select("chunk", "rows").repartition(sizes.tasks, "chunk")
 
     def ask_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("rows"), strict=True):
-                found = list(Chunk(raw.as_buffer(), size, ranges).asks())
+                found = list(Chunk(raw.as_buffer(), size, ranges, bits).asks())
                 slot, once, more = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array([chunk] * len(slot), pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["slot", "chunk", "once", "more"])
 
     def ask_windows(docs: pa.Table, answers: pa.Table) -> pa.Table:
         names, out = ["slot", "chunk", "first", "second", "least"], [[] for _ in range(5)]
         for chunk, raw in zip(docs.column("chunk").to_pylist(), docs.column("rows"), strict=True):
-            part = Chunk(raw.as_buffer(), size, ranges)
+            part = Chunk(raw.as_buffer(), size, ranges, bits)
             part.judge(_parts(answers, 0))
             for slot, a, b in zip(part.found.tolist(), part.begin[:-1].tolist(), part.begin[1:].tolist(), strict=True):
                 row = slot, chunk, packed(gaps(part.h[a:b])), packed(part.second[a:b]), packed(part.least[a:b].view(np.uint64))
@@ -256,14 +287,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
         return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
     def strip(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = [_stripped(Chunk(raw.as_buffer(), size, ranges), answers) for raw in docs.column("rows")]
+        parts = [_stripped(Chunk(raw.as_buffer(), size, ranges, bits), answers) for raw in docs.column("rows")]
         return pa.concat_tables(parts) if parts else _NOTHING
 
     reply = "chunk long, kind int, slot long, bits binary"
     asked = own.select("chunk", "rows").mapInArrow(trimmed(ask_sketch), "slot long, chunk long, once binary, more binary")
-    sketched = stored(asked.repartition(max(parallelism(spark), 1 + ranges * ROWS // 16), "slot").sortWithinPartitions("slot").mapInArrow(trimmed(added_up), reply), "substring-dedup")
+    sums = lambda batches: added_up(batches, bits)
+    sketched = stored(asked.repartition(sizes.tasks, "slot").sortWithinPartitions("slot").mapInArrow(trimmed(sums), reply), "substring-dedup")
     entries = dealt.groupBy("chunk").cogroup(sketched.groupBy("chunk")).applyInArrow(ask_windows, "slot long, chunk long, first binary, second binary, least binary")
-    replies = entries.repartition(max(parallelism(spark), 1 + ranges // 4), "slot").sortWithinPartitions("slot").mapInArrow(trimmed(grouped), reply)
+    replies = entries.repartition(sizes.tasks, "slot").sortWithinPartitions("slot").mapInArrow(trimmed(grouped), reply)
     out = dealt.groupBy("chunk").cogroup(sketched.unionByName(replies).groupBy("chunk")).applyInArrow(strip, "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(id_type).alias(id_col), "n_words", "n_removed", "kept")
 

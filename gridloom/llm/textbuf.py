@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from functools import wraps
 from hashlib import blake2b
 
 import numpy as np
@@ -47,7 +46,6 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     """run, after which a task's worker gives freed memory back to the system: workers go on to other stages, and what one
     stage has freed but kept would count against the next."""
 
-    @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
