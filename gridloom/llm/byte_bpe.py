@@ -13,6 +13,7 @@ other columns of the input stay as they are, but one that has the output's name
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -27,8 +28,8 @@ from .common import documents, freed, text_batches
 from .textbuf import pieces, trimmed
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Pieces whose ids a worker keeps; it starts anew when there are more.
-CACHE = 300_000
+#: Pieces whose ids a worker keeps, of at most so many characters; it starts anew when there are more.
+CACHE, LONGEST = 300_000, 256
 _GONE = np.int32(2**31 - 1)
 
 
@@ -165,8 +166,13 @@ class ByteBpe:
         if len(self.cache) > CACHE:
             self.cache.clear()
         found = [self.split.findall(x) for x in texts]
-        self.learn(set(chain.from_iterable(found)).difference(self.cache))
-        return [b"".join(map(self.cache.__getitem__, x)) for x in found]
+        new = set(chain.from_iterable(found)).difference(self.cache)
+        self.learn(new)
+        out = [b"".join(map(self.cache.__getitem__, x)) for x in found]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.cache[piece]
+        return out
 
     def decode_all(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The bytes of each row's ids; ``off`` are the rows' borders in ids."""
@@ -182,7 +188,7 @@ _loaded: dict[tuple, ByteBpe] = {}
 
 def _codec(held, pattern: str) -> ByteBpe:
     """The worker's codec; built once from the broadcast rank file (under 1 MB)."""
-    key = (held.value[:64], len(held.value), pattern)
+    key = (hashlib.sha256(held.value).digest(), pattern)
     if key not in _loaded:
         _loaded[key] = ByteBpe(held.value, pattern)
     return _loaded[key]

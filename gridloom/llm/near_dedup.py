@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism, sized, stored, text_batches
+from .common import documents, forgotten, parallelism, sized, stored, text_batches
 from .textbuf import mix, pieces, spans_hash, texts_of, trimmed, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -205,14 +205,18 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both, "near-dedup")
     label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), "near-dedup")
+    held = label
     while True:
         around = both.join(label, both.b == label.node).groupBy("a").agg(F.min("comp").alias("near"))
         new = label.join(around, label.node == around.a, "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = new.select(F.col("node").alias("target"), F.col("comp").alias("beyond"))
-        new = stored(new.join(jump, new.comp == jump.target, "left").select("node", "old", F.least("comp", "beyond").alias("comp")), "near-dedup")
+        # only labels that have a lower label themselves, so that a large component is no hot key
+        jump = new.select("comp").distinct().join(new.select(F.col("node").alias("comp"), F.col("comp").alias("beyond")), "comp").filter("beyond < comp")
+        new = stored(new.join(jump, "comp", "left").select("node", "old", F.coalesce("beyond", "comp").alias("comp")), "near-dedup")
+        forgotten(held)
         if not new.filter("comp < old").limit(1).count():
+            forgotten(both)
             return new.select("node", "comp")
-        label = new.select("node", "comp")
+        held, label = new, new.select("node", "comp")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

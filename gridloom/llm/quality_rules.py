@@ -3,9 +3,13 @@
 Each text is measured in one pass. The measures of each language and source go into quantile sketches (KLL), which are
 summed up before the shuffle and merge: those of a language's sources give the language's, and these the corpus's. A
 measure's fence is its upper quartile plus ``REACH`` times the spread between the quartiles (a least spread keeps a measure
-that is nearly constant from rejecting everything else), below likewise where a measure has a lower side. Groups of fewer
-than ``LEAST_GROUP`` texts use their language's fences, small languages the corpus's. The fences are joined to the
-documents by language and source, and documents beyond any fence are rejected.
+that is nearly constant from rejecting everything else), below likewise where a measure has a lower side. A group's own
+fence counts with its n texts, its language's with ``PRIOR`` texts, and so does the corpus's in the language's: (n * own + PRIOR *
+wider) / (n + PRIOR), at every size. The fences are joined to the documents by language and source, and documents beyond any
+fence are rejected.
+
+A sketch keeps all values of a group of up to ``SKETCH_K`` texts; beyond, its ranks are off by about 1 % and drawn at random, so
+fences of large groups, and verdicts of texts that lie right at them, may differ a little from run to run.
 
 Defined results: null text has no words and fails; null language or source is a group of its own; texts without words take
 no part in the sketches; repeated rows count each; other columns stay, but those with a result's name are
@@ -26,7 +30,7 @@ from .common import checkpointed, documents, freed, text_batches
 from .textbuf import SPACE, covered, mix, per_row, pieces, spans_hash, texts_of, windows, words
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
-SKETCH_K, LEAST_GROUP, REACH = 400, 50, 3.0
+SKETCH_K, PRIOR, REACH = 400, 50, 3.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -93,7 +97,8 @@ def thresholds(measures: DataFrame, lang_col: str = "lang", source_col: str = "s
     of_lang = _fences(language, ["lang"]).select(F.col("lang").alias("l_lang"), *(F.col(c).alias(f"l_{c}") for c in sides))
     of_all = _fences(corpus, []).select(*(F.col(c).alias(f"c_{c}") for c in sides))
     joined = of_group.join(of_lang, F.col("lang").eqNullSafe(F.col("l_lang"))).crossJoin(of_all)  # of_all is one row
-    fence = [F.when(F.col("n") >= LEAST_GROUP, F.col(c)).when(F.col("l_n") >= LEAST_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"c_{c}")).alias(c) for c in sides[1:]]
+    blend = lambda n, own, wider: (F.col(n) * own + PRIOR * wider) / (F.col(n) + PRIOR)
+    fence = [blend("n", F.col(c), blend("l_n", F.col(f"l_{c}"), F.col(f"c_{c}"))).alias(c) for c in sides[1:]]
     return joined.select("lang", "source", "n", *fence)
 
 

@@ -14,6 +14,7 @@ but one that has the output's name is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -29,8 +30,9 @@ from .textbuf import LOWER, NOT_ALNUM, pieces, spans_hash, texts_of, words
 
 MODEL_FILE = "word_bpe_49k.json"
 LIMIT = 2048
-#: Entries of the broadcast table, bytes of an entry, leaders that one partition names, pre-tokens a worker keeps.
-ENTRIES, LONGEST, LEADERS, CACHE = 65_536, 32, 8_192, 400_000
+#: Entries of the broadcast table, bytes of an entry, leaders that one partition names, pre-tokens a worker keeps, and
+#: characters of the longest of these.
+ENTRIES, LONGEST, LEADERS, CACHE, KEPT = 65_536, 32, 8_192, 400_000, 256
 #: White space as the library's pattern engine has it.
 _SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Characters that normalising only lower-cases, one by one.
@@ -60,7 +62,9 @@ class WordBpe(dict):
         if len(self) > len(self.table) + CACHE:
             self.clear()
             self.update(self.table)
-        n = self[piece] = len(self.tokenizer.model.tokenize("".join(map(self.letter.__getitem__, piece.encode()))))
+        n = len(self.tokenizer.model.tokenize("".join(map(self.letter.__getitem__, piece.encode()))))
+        if len(piece) <= KEPT:
+            self[piece] = n
         return n
 
     def normal(self, text: str) -> str:
@@ -111,12 +115,12 @@ def frequent(df: DataFrame, text_col: str = "text", entries: int = ENTRIES) -> l
     return [r.word for r in total.orderBy(F.desc("n"), "word").limit(entries).collect()]
 
 
-_loaded: dict[tuple, WordBpe] = {}
+_loaded: dict[bytes, WordBpe] = {}
 
 
 def _counter(held) -> WordBpe:
     model, names, counts = held.value
-    key = (len(model), hash(names))
+    key = hashlib.sha256(b"\0".join((hashlib.sha256(model).digest(), names.encode(), counts))).digest()
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = WordBpe(model, dict(zip(names.split("\n"), np.frombuffer(counts, np.uint8).tolist(), strict=True)) if names else {})

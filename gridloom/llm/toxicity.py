@@ -6,9 +6,10 @@ of the unlabelled as negatives less what the positives among them account for; w
 the step goes the other way, so it can't be fitted below its least (non-negative risk). The prior is the toxic share of the
 labelled texts that may be learnt from.
 
-Bounds: at most ``POSITIVES`` toxic and about ``UNLABELLED`` texts of all, chosen by a hash of their ids, go to the driver
-for the fit. Candidate words and their positive counts come from these toxic texts only; they are held against counts over all
-texts that may be learnt from.
+Bounds: of at most ``POSITIVES`` toxic and about ``UNLABELLED`` texts of all, chosen by a hash of their ids, the candidate words
+(hashes, at most ``WORDS``) go to the driver for the fit. Candidate words and their positive counts come from these toxic texts
+only, where they must occur ``LEAST`` times, ``RATIO`` times as often as in all texts that may be learnt from, and with a
+``SURPRISE`` that chance does not give. Of rows that repeat an id one is learnt from.
 
 Defined results: null and empty texts have no words and get the score of a text without any known word; rows that repeat
 an id each get their score; without positives every score is near 0; other columns stay, but those
@@ -51,14 +52,26 @@ def present(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[fresh], row[fresh]
 
 
-def features(df: DataFrame, text_col: str) -> DataFrame:
-    """df without the text, with its distinct words' hashes as array<long>."""
+def _among(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each h in sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def features(df: DataFrame, text_col: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """df without the text, with its distinct words' hashes (those of ``wanted``, sorted hashes, if given) as array<long>."""
     rest = [c for c in df.columns if c != text_col]
+    held = df.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_col):
                 h, row = present(part.column(text_col))
+                if held.value is not None:
+                    good = _among(held.value, h)[1]
+                    h, row = h[good], row[good]
                 off = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists], names=[*rest, "words"])
@@ -151,23 +164,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = known.agg(F.avg(F.col("toxic").cast("double")).alias("prior"), F.count("*").alias("n")).first()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     toxic = known.filter("toxic = 1").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(POSITIVES)  # bounded
-    lists = features(own.join(F.broadcast(toxic), "id", "left_semi"), "text").select("words").limit(2 * POSITIVES).toArrow().column("words")
-    if not len(lists) or not share.prior or share.prior >= 1:
+    texts = own.join(F.broadcast(toxic), "id", "left_semi")
+
+    def lists_of(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+        return features(rows, "text", wanted).groupBy("id").agg(F.min("words").alias("words"))
+
+    words_of = lists_of(texts)
+    n_toxic = words_of.count()
+    if not n_toxic or not share.prior or share.prior >= 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0 if not share.prior else 0.0)
 
     def placed(found: pa.ChunkedArray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         found = found.combine_chunks()
         h = found.flatten().to_numpy().view(np.uint64)
         row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
-        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-        good = wanted[at] == h
+        at, good = _among(wanted, h)
         return at[good], row[good], len(found)
 
-    h, n = np.unique(lists.combine_chunks().flatten().to_numpy().view(np.uint64), return_counts=True)
-    h, n = h[n >= LEAST], n[n >= LEAST]
+    counts = words_of.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).toArrow()
+    h, n = counts.column("w").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    h, n = h[np.argsort(h)], n[np.argsort(h)]
     if len(h):
         total, rows = frequencies(own, "text", h)
-        expected = np.maximum(total * len(lists) / max(1, rows), 1e-9)
+        expected = np.maximum(total * n_toxic / max(1, rows), 1e-9)
         ratio = n / expected
         surprise = 2 * (n * np.log(ratio) - (n - expected))
         best = np.argsort(-surprise, kind="stable")[:WORDS]
@@ -178,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(h, np.zeros(0), float(np.log(share.prior / (1 - share.prior))))
     part = min(1.0, UNLABELLED / max(1, rows))
     chosen = own.filter((F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < int(part * 1_000_000) + 1))  # positives too, as the risk takes off their part
-    other = features(chosen, "text").select("words").toArrow().column("words")
+    lists, other = (lists_of(x, h).select("words").toArrow().column("words") for x in (texts, chosen.filter("id is not null")))
     return fit(h, placed(lists, h), placed(other, h), float(share.prior))
 
 
