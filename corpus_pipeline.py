@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, decontaminate, language_id, near_dedup, secret_scan
-from gridloom.llm.common import documents, shared_dir
+from gridloom.llm.common import documents, forgotten, stored
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        place = shared_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(place)
-        docs = spark.read.parquet(place)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forgotten(before)
     return STAGES[-1][1](spark, docs, sf_dir)

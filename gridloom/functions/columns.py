@@ -38,9 +38,3 @@ def with_step(df: DataFrame, time_col: str, out: str = "t_idx") -> DataFrame:
     times = df.select(time_col).distinct()
     numbered = times.withColumn(out, (F.row_number().over(Window.orderBy(time_col)) - 1).cast("int"))
     return df.join(numbered, time_col)
-
-
-def cell_index(df: DataFrame, x_col: str, y_col: str, x0: float, y0: float, step: float) -> DataFrame:
-    """Adds ix, iy of a regular grid and one cell_id from them."""
-    ix, iy = (F.floor((F.col(c) - o) / step + 0.5).cast("int") for c, o in ((x_col, x0), (y_col, y0)))
-    return df.withColumns({"ix": ix, "iy": iy, "cell_id": F.shiftleft(iy.cast("long"), 32).bitwiseOR(ix.cast("long").bitwiseAND(0xFFFFFFFF))})

@@ -23,8 +23,8 @@ def draft_weight(melt, draft, a: float = 1.0) -> Column:
 
 
 def threshold_weight(draft, threshold: float | Column = 1000.0) -> Column:
-    """1 above the threshold, else 0."""
-    return F.when(_c(draft) > threshold, 1.0).otherwise(0.0)
+    """1 above the threshold, else 0; null without a draft."""
+    return F.when(_c(draft) > threshold, 1.0).when(_c(draft).isNotNull(), 0.0)
 
 
 def inverse_distance_weight(distance, a: float = 1.0) -> Column:
@@ -45,6 +45,11 @@ def sigmoid_weight(draft, mu: float | Column, k: float = 0.005, a: float = 1.0)
     return F.pow(1.0 / (1.0 + F.exp(-k * (_c(draft) - mu))), F.lit(a))
 
 
+def sigmoid_weight_of(draft, *key: str, k: float = 0.005, a: float = 1.0) -> Column:
+    """The sigmoid weight around the key's own mean draft."""
+    return sigmoid_weight(draft, F.avg(_c(draft)).over(Window.partitionBy(*key)), k, a)
+
+
 def uniform_weight(melt) -> Column:
     return F.when(_c(melt).isNotNull(), 1.0)
 
@@ -60,9 +65,14 @@ def product(*weights: Column) -> Column:
     return out
 
 
-def combined_weight(melt, draft, distance, mu, a: float = 1, b: float = 1, c: float = 1, d: float = 1, e: float = 1, f: float = 0.005) -> Column:
-    """Draft, distance, melt, Gaussian and sigmoid weights multiplied, each to its power; f is the sigmoid's slope."""
-    return product(draft_weight(melt, draft, a), inverse_distance_weight(distance, b), melt_weight(melt, c), F.pow(gaussian_weight(draft), F.lit(d)), sigmoid_weight(draft, mu, f, e))
+def combined_weight(melt, draft, distance, dynamic, a: float = 1, b: float = 1, c: float = 1, d: float = 1, e: float = 1, f: float = 1) -> Column:
+    """Six factors, each to its power: melt, draft, inverse distance (left out without one), the Gaussian of draft, the
+    threshold weight of draft, and the threshold weight at ``dynamic`` (the region's own); null where melt is."""
+    own = [melt_weight(melt, a), F.pow(F.abs(_c(draft)), F.lit(b))]
+    if distance is not None:
+        own.append(inverse_distance_weight(distance, c))
+    own += [F.pow(x, F.lit(p)) for x, p in ((gaussian_weight(draft), d), (threshold_weight(draft), e), (threshold_weight(draft, _c(dynamic)), f))]
+    return F.when(_c(melt).isNotNull(), product(*own))
 
 
 def piecewise(draft, threshold, slope, intercept, shallow) -> Column:
@@ -87,6 +97,13 @@ def from_model(draft, threshold, slope, intercept, kind, constant=None) -> Colum
     return F.when(_c(kind) == "zero", 0.0).when(_c(kind) == "constant", F.greatest(_c(constant) if constant is not None else F.lit(0.0), F.lit(0.0))).otherwise(line)
 
 
+def from_strategy(draft, threshold, slope, intercept, kind) -> Column:
+    """Melt by the type of a region's model: its line from the threshold on and the line's value there below it, or else its
+    intercept; never below 0, null without a positive draft."""
+    line = piecewise(draft, threshold, slope, intercept, _c(slope) * _c(threshold) + _c(intercept))
+    return F.when(_c(draft) > 0, F.greatest(F.when(_c(kind) == "piecewise_linear", line).otherwise(_c(intercept)), F.lit(0.0)))
+
+
 def melt_to_flux(v) -> Column:
     """m of ice a year to kg/m2/s."""
     return _c(v) * (ICE / YEAR_S)

@@ -65,35 +65,36 @@ def pelt(y: np.ndarray, model: str = "l2", penalty: float = 10.0, min_size: int
     return out[::-1]
 
 
-def binary_segmentation(y: np.ndarray, model: str = "l2", penalty: float = 10.0, min_size: int = 2, jump: int = 5) -> list[int]:
-    """Splits where the cost falls most, as long as it falls by more than the penalty."""
+def binary_segmentation(y: np.ndarray, model: str = "l2", penalty: float = 10.0, min_size: int = 2, jump: int = 5, breaks: int | None = None) -> list[int]:
+    """Splits where the cost falls most: ``breaks`` times if given, else as long as it falls by more than the penalty. Among
+    equal falls the last place wins."""
     n, cost = len(y), segment_cost(y, model)
     ends = [n]
-    while True:
-        best = (penalty, None)
+    while breaks is None or len(ends) <= breaks:
+        best = (penalty if breaks is None else -np.inf, -1)
         for a, b in zip([0, *ends[:-1]], ends, strict=True):
             whole = cost(a, b) if b > a else 0.0
             for k in range(-(-(a + min_size) // jump) * jump, b - min_size + 1, jump):
-                gain = whole - cost(a, k) - cost(k, b)
-                if gain > best[0]:
-                    best = (gain, k)
-        if best[1] is None:
+                best = max(best, (whole - cost(a, k) - cost(k, b), k))
+        if best[1] < 0:
             return ends
         ends = sorted([*ends, best[1]])
+    return ends
 
 
-def sliding_window(y: np.ndarray, model: str = "l2", penalty: float = 10.0, width: int = 10, min_size: int = 2, jump: int = 5) -> list[int]:
-    """Peaks of the gain from splitting a window in its middle, the highest first, as long as the whole cost falls by more
-    than the penalty."""
+def sliding_window(y: np.ndarray, model: str = "l2", penalty: float = 10.0, width: int = 10, min_size: int = 2, jump: int = 5, breaks: int | None = None) -> list[int]:
+    """Peaks of the gain from splitting a window in its middle, the highest first: ``breaks`` of them if given, else as long as
+    the whole cost falls by more than the penalty. A peak lies above its neighbours, the first place following the last."""
     n, cost, half = len(y), segment_cost(y, model), width // 2
-    at = [k for k in range(0, n, jump) if half <= k <= n - half]
-    gain = {k: cost(k - half, k + half) - cost(k - half, k) - cost(k, k + half) for k in at}
-    peaks = sorted((k for k in at if all(gain[k] >= gain[j] for j in at if abs(j - k) <= max(min_size, half))), key=lambda k: -gain[k])
+    at = [k for k in range(0, n, jump) if half <= k < n - half]
+    gain = [cost(k - half, k + half) - cost(k - half, k) - cost(k, k + half) for k in at]
+    near = max(max(2 * half, 2 * min_size) // (2 * jump), 1)
+    peaks = [i for i in range(len(at)) if all(gain[i] > gain[(i + d) % len(at)] for j in range(1, near + 1) for d in (-j, j))]
     ends = [n]
     whole = lambda e: sum(cost(a, b) for a, b in zip([0, *e[:-1]], e, strict=True))
-    for k in peaks:
-        more = sorted({*ends, k})
-        if whole(ends) - whole(more) <= penalty:
+    for i in sorted(peaks, key=lambda i: (gain[i], at[i]), reverse=True):
+        more = sorted({*ends, at[i]})
+        if len(more) - 1 > breaks if breaks is not None else whole(ends) - whole(more) <= penalty:
             break
         ends = more
     return ends
@@ -121,11 +122,15 @@ def median_filter(y: np.ndarray, size: int = 3) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, size), axis=1)
 
 
-def knee(x: np.ndarray, y: np.ndarray, window: int = 15, poly: int = 2) -> float | None:
-    """Where the smoothed curve bends most: the largest second difference. None for fewer values than the window."""
-    if len(y) < window:
-        return None
-    return float(x[int(np.argmax(np.gradient(np.gradient(savgol(y, window, poly), x), x)))])
+def knee(x: np.ndarray, y: np.ndarray, window: int = 15, poly: int = 2, running: bool = False) -> float:
+    """Where the smoothed curve bends most: the place x of the largest second difference over the values' numbers. The window
+    shrinks to len // 2 * 2 + 1 (three at least); a curve of fewer values is not smoothed. ``running``: a running median first."""
+    window = max(3, min(window, len(y) // 2 * 2 + 1))
+    if running:
+        y = median_filter(y, window)
+    if len(y) >= window:
+        y = savgol(y, window, min(poly, window - 1))
+    return float(x[int(np.argmax(np.gradient(np.gradient(y))))])
 
 
 def t_two_sided(r: float, n: int) -> float:

@@ -10,35 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import forgotten, stored
 from .timeseries import Key, keys
 
 
-def nearest(targets: DataFrame, sources: DataFrame, key: Key, x: str, y: str, source_id: str, size: float, rounds: int = 12) -> DataFrame:
+def nearest(targets: DataFrame, sources: DataFrame, key: Key, x: str, y: str, source_id: str, size: float) -> DataFrame:
     """(key of targets, x, y, source_id, dist): the nearest source of each target; among equals the smallest (y, x, id).
-    ``size`` is the first bucket's side, best a few times the usual distance; it doubles each round. After ``rounds`` the
-    targets left, if any, meet all sources."""
+    ``size`` is the first bucket's side, best a few times the usual distance; it doubles until every target is settled, so
+    only targets far from all sources ever meet many. Points without both coordinates take no part."""
     names = keys(key)
     done = None
-    left = stored(targets.select(*names, x, y), "nearest")  # each round starts from what the last one left, not from the input
-    src = sources.select(F.col(x).alias("__sx"), F.col(y).alias("__sy"), F.col(source_id).alias("__id"))
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            b = size * 2**turn
-            around = left.withColumns({"__bx": F.floor(F.col(x) / b), "__by": F.floor(F.col(y) / b)})
-            around = around.withColumn("__bx", F.explode(F.sequence(F.col("__bx") - 1, F.col("__bx") + 1))).withColumn("__by", F.explode(F.sequence(F.col("__by") - 1, F.col("__by") + 1)))
-            met = around.join(src.withColumns({"__bx": F.floor(F.col("__sx") / b), "__by": F.floor(F.col("__sy") / b)}), ["__bx", "__by"])
-        else:
-            b, met = float("inf"), left.join(src)
+    there = lambda a, b: (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
+    left = stored(targets.select(*names, x, y).filter(there(x, y)), "nearest")  # each round starts from what the last one left, not from the input
+    src = sources.select(F.col(x).alias("__sx"), F.col(y).alias("__sy"), F.col(source_id).alias("__id")).filter(there("__sx", "__sy"))
+    if not src.limit(1).count():
+        return left.select(*names, x, y, F.lit(None).cast(sources.schema[source_id].dataType).alias(source_id), F.lit(None).cast("double").alias("dist")).limit(0)
+    b = size
+    while True:
+        around = left.withColumns({"__bx": F.floor(F.col(x) / b), "__by": F.floor(F.col(y) / b)})
+        around = around.withColumn("__bx", F.explode(F.sequence(F.col("__bx") - 1, F.col("__bx") + 1))).withColumn("__by", F.explode(F.sequence(F.col("__by") - 1, F.col("__by") + 1)))
+        met = around.join(src.withColumns({"__bx": F.floor(F.col("__sx") / b), "__by": F.floor(F.col("__sy") / b)}), ["__bx", "__by"])
         d2 = F.pow(F.col("__sx") - F.col(x), F.lit(2)) + F.pow(F.col("__sy") - F.col(y), F.lit(2))
         best = met.groupBy(*names, x, y).agg(F.min(F.struct(d2.alias("d2"), F.col("__sy"), F.col("__sx"), F.col("__id"))).alias("__b"))
         found = best.select(*names, x, y, F.col("__b.__id").alias(source_id), F.sqrt("__b.d2").alias("dist"))
-        found = stored(found.filter(F.col("dist") <= b) if turn < rounds else found, "nearest")
+        found = stored(found.filter(F.col("dist") <= b), "nearest")
         done = found if done is None else done.unionByName(found)
-        left = stored(left.join(found.select(*names), names, "left_anti"), "nearest")
-        if turn == rounds or not left.limit(1).count() or not src.limit(1).count():
+        before, left = left, stored(left.join(found.select(*names), names, "left_anti"), "nearest")
+        forgotten(before)
+        if not left.limit(1).count():
             return done
-    return done
+        b *= 2
 
 
 def fill_map(cells: DataFrame, valid: DataFrame, region: str, cell: str, ix: str, iy: str) -> DataFrame:
@@ -57,7 +58,8 @@ def fill_map(cells: DataFrame, valid: DataFrame, region: str, cell: str, ix: str
         found = met.groupBy(region, cell).agg(F.min(F.struct(d2.alias("d2"), F.col("__sy"), F.col("__sx"), F.col("__s"))).alias("__b"))
         found = stored(found.filter(F.col("__b.d2") <= b * b).select(region, cell, F.col("__b.__s").alias("source")), "fill")
         done = found if done is None else done.unionByName(found)
-        left = stored(left.join(found, [region, cell], "left_anti"), "fill")
+        before, left = left, stored(left.join(found, [region, cell], "left_anti"), "fill")
+        forgotten(before)
         if not left.limit(1).count():
             return done
         b *= 2

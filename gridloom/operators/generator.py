@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .timeseries import Key, keys
 
@@ -17,13 +19,13 @@ MOST_STEPS = 5_000
 
 
 def series(cube: DataFrame, cell: Key, t: str, v: str) -> DataFrame:
-    """(cell, y): each cell's whole series in order of time, less its mean; cells with missing steps are left out."""
+    """(cell, y, whole): each cell's series in order of time, less its mean; whole: whether no step of the cube is missing."""
     names = keys(cell)
     n = cube.agg(F.count_distinct(t).alias("__n"))  # one row
     own = cube.filter(F.col(v).isNotNull()).groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct(t, v))), lambda s: s[v]).alias("y"))
-    own = own.crossJoin(n).filter(F.size("y") == F.col("__n"))
+    own = own.crossJoin(n).withColumn("whole", F.size("y") == F.col("__n"))
     mean = F.aggregate("y", F.lit(0.0), lambda a, b: a + b) / F.size("y")
-    return own.select(*names, F.transform("y", lambda q: q - mean).alias("y"))
+    return own.select(*names, F.transform("y", lambda q: q - mean).alias("y"), "whole")
 
 
 def gram(rows: DataFrame, steps: int) -> np.ndarray:
@@ -52,15 +54,20 @@ def gram(rows: DataFrame, steps: int) -> np.ndarray:
     return out
 
 
-def eof(cube: DataFrame, cell: Key, t: str, v: str, modes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def eof(cube: DataFrame, cell: Key, t: str, v: str, modes: int | None = None, drop_gaps: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """loadings (cell, mode, loading), scores (t, mode, score) and variance (mode, ratio) of the centred cube, modes from 1 in
-    order of variance. Cells never leave their tasks: only the Gram matrix of the times does. The loadings have length 1;
+    order of variance. Raises ValueError if cells miss steps, unless drop_gaps leaves these cells out. Cells never leave their tasks: only the Gram matrix of the times does. The loadings have length 1;
     each mode's largest score is positive."""
     names = keys(cell)
     times = [r[0] for r in cube.select(t).distinct().orderBy(t).collect()]
     if len(times) > MOST_STEPS:
         raise ValueError(f"{len(times)} steps; at most {MOST_STEPS}")
     rows = series(cube, cell, t, v)
+    if not drop_gaps:
+        gaps = rows.agg(F.count_if(~F.col("whole")).alias("gaps"), F.count("*").alias("all")).first()
+        if gaps.gaps:
+            raise ValueError(f"{gaps.gaps} of {gaps.all} cells miss steps; fill them, or leave them out with drop_gaps")
+    rows = rows.filter("whole").drop("whole")
     value, vector = np.linalg.eigh(gram(rows, len(times)))
     order = np.argsort(value)[::-1]
     value, vector = np.clip(value[order], 0, None), vector[:, order]
@@ -116,78 +123,140 @@ def phase_randomised(scores: DataFrame, t: str, n: int, seed: int = 0) -> DataFr
     return realisations.crossJoin(scores).groupBy("realization", "mode").applyInPandas(draw, f"realization int, {t} {kind}, mode int, score double")
 
 
-def reconstructed(loadings: DataFrame, scores: DataFrame, cell: Key, t: str, first: int = 1, last: int | None = None, step: int = 1) -> DataFrame:
-    """(realization if scores have it, t, cell, value): sums of score * loading over modes first, first + step, ... last."""
-    names = keys(cell)
+#: Rows of a block of cells or of times; a product of two blocks is a batch of some 250,000 values.
+BLOCK = 512
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """(rows): df's rows in blocks, each as one packed table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(at, BLOCK))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+    return df.mapInArrow(run, "rows binary")
+
+
+def _rebuilt(loadings: DataFrame, scores: DataFrame, cell: Key, t: str, first: int, last: int | None, step: int, moments: DataFrame | None = None) -> DataFrame:
+    """(realization if scores have it, t, cell, value): sums of score * loading, times each cell's std plus its mean plus its
+    season at that time if ``moments`` (cell, mean, std, times, seasons) is given; times without a season are left out.
+
+    Cells go into blocks and times into blocks; a pair of blocks is one matrix product in one task, so neither cells nor times
+    meet row by row, and no value is shuffled after it is made."""
+    names, by = keys(cell), [c for c in ("realization", t) if c in scores.columns]
     used = (F.col("mode") >= first) & (F.pmod(F.col("mode") - first, F.lit(step)) == 0)
     if last is not None:
         used = used & (F.col("mode") <= last)
-    by = [c for c in ("realization", t) if c in scores.columns]
-    # a time's scores are one short row, so cells stay where they are and meet it by broadcast if that is small
-    packed = scores.filter(used).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("mode", "score"))).alias("s"))
-    cells = loadings.filter(used).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("mode", "loading"))).alias("l"))
-    both = cells.crossJoin(packed)
-    total = F.aggregate(F.zip_with("s", "l", lambda a, b: a["score"] * b["loading"]), F.lit(0.0), lambda a, b: a + b)
-    return both.select(*by, *names, total.alias("value"))
+    lists = lambda df, own, v: df.filter(used).groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("mode", v))), lambda s: s[v]).alias("w"))
+    cells, rows = lists(loadings, names, "loading"), lists(scores, by, "score")
+    if moments is not None:
+        cells = cells.join(moments, names)
+    whole = moments is not None
+    both = _packed(cells).withColumnRenamed("rows", "cells").crossJoin(_packed(rows).withColumnRenamed("rows", "times"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        lists = table.column("w").combine_chunks()
+        return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("cells"), batch.column("times"), strict=True):
+                own, when = (pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks() for x in (a, b))
+                value = matrix(when) @ matrix(own).T  # times x cells
+                keep = np.ones(value.shape, bool)
+                if whole:
+                    at, seasons = own.column("times").combine_chunks(), own.column("seasons").combine_chunks()
+                    known = pc.unique(at.flatten())
+                    season = np.full((len(own), len(known) + 1), np.nan)  # the last column: no season
+                    season[np.repeat(np.arange(len(own)), at.value_lengths().to_numpy()), pc.index_in(at.flatten(), known).to_numpy()] = seasons.flatten().to_numpy(zero_copy_only=False)
+                    place = pc.index_in(when.column(t).combine_chunks(), known).fill_null(len(known)).to_numpy()
+                    mean, std = (own.column(c).to_numpy() for c in ("mean", "std"))
+                    value = value * std + mean + season[:, place].T
+                    keep = np.isfinite(value)
+                i, j = (pa.array(x) for x in np.nonzero(keep))
+                yield pa.RecordBatch.from_arrays([*(when.column(c).combine_chunks().take(i) for c in by), *(own.column(c).combine_chunks().take(j) for c in names), pa.array(value[keep])], names=[*by, *names, "value"])
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, own in ((scores, by), (loadings, names)) for c in own]
+    return both.mapInArrow(product, f"{', '.join(kinds)}, value double")
+
+
+def reconstructed(loadings: DataFrame, scores: DataFrame, cell: Key, t: str, first: int = 1, last: int | None = None, step: int = 1) -> DataFrame:
+    """(realization if scores have it, t, cell, value): sums of score * loading over modes first, first + step, ... last."""
+    return _rebuilt(loadings, scores, cell, t, first, last, step)
 
 
 def realisations(loadings: DataFrame, scores: DataFrame, moments: DataFrame, seasonality: DataFrame, cell: Key, t: str, mean: str, std: str, season: str) -> DataFrame:
     """(realization, t, cell, value): reconstruction * std + mean + seasonality of each cell."""
     names = keys(cell)
-    field = reconstructed(loadings, scores, cell, t).join(moments.select(*names, mean, std), names)
-    field = field.withColumn("value", F.col("value") * F.col(std) + F.col(mean))
-    return field.join(seasonality.select(*names, t, season), [*names, t]).withColumn("value", F.col("value") + F.col(season)).select("realization", t, *names, "value")
+    own = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(season).cast("double").alias("s"))))
+    seasons = seasonality.filter(F.col(t).isNotNull()).groupBy(*names).agg(own.alias("__s")).select(*names, F.col("__s.t").alias("times"), F.col("__s.s").alias("seasons"))
+    extra = moments.select(*names, F.col(mean).cast("double").alias("mean"), F.col(std).cast("double").alias("std")).join(seasons, names)
+    return _rebuilt(loadings, scores, cell, t, 1, None, 1, extra)
+
+
+def _each_series(df: DataFrame, key: Key, t: str, v: str, fn: Callable[[np.ndarray, np.ndarray], dict[str, list]], out: str) -> DataFrame:
+    """(key, ``out``): what fn gives for each key's times and values (NaN where missing) in order of time, many keys a batch."""
+    names = keys(key)
+    schema = T.StructType.fromDDL(out)
+    own = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(v).cast("double").alias("v"))))
+    lists = df.groupBy(*names).agg(own.alias("__s"), F.count("*").alias("__n")).select(*names, F.col("__s.t").alias("t"), F.col("__s.v").alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for x, y in zip(pdf["t"], pdf["v"], strict=True):
+                if len(x) > MOST_STEPS:
+                    raise ValueError(f"a series of {len(x)} steps; at most {MOST_STEPS}")
+                found.append(fn(np.asarray(x), np.array(y, float)))
+            yield pdf[names].assign(**{f.name: [x[f.name] for x in found] for f in schema.fields})
+
+    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+    return lists.mapInPandas(run, f"{kinds}, {out}")
 
 
 def segment_trends(df: DataFrame, key: Key, t: str, v: str, deg: int = 1, model: str = "rbf", penalty: float = 10.0, out: str = "detrended") -> DataFrame:
     """(key, t, v, segment, out): break points of each series, then each segment less its own polynomial (mean not restored).
-    A series is one group of at most a few thousand steps."""
+    A series has at most MOST_STEPS steps: the kernel's table takes their square."""
     from .changepoint import pelt
 
-    names = keys(key)
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t).reset_index(drop=True)
-        y, x = pdf[v].to_numpy(float), pdf[t].to_numpy(float)
+    def cut(x: np.ndarray, y: np.ndarray) -> dict[str, list]:
         good = np.isfinite(y)
-        ends = pelt(y[good], model=model, penalty=penalty)
-        segment = np.full(len(y), -1)
-        flat = np.full(len(y), np.nan)
+        segment, flat = np.full(len(y), -1), np.full(len(y), np.nan)
         own, a = np.flatnonzero(good), 0
-        for k, b in enumerate(ends):
+        at_all = x.astype(float)
+        for k, b in enumerate(pelt(y[good], model=model, penalty=penalty) if len(own) else []):
             at = own[a:b]
             segment[at] = k
             if len(at) > deg:
-                mid = x[at].mean()
-                flat[at] = y[at] - np.polyval(np.polyfit(x[at] - mid, y[at], deg), x[at] - mid)
+                mid = at_all[at].mean()
+                flat[at] = y[at] - np.polyval(np.polyfit(at_all[at] - mid, y[at], deg), at_all[at] - mid)
             elif len(at):
                 flat[at] = y[at] - y[at].mean()
             a = b
-        return pdf.assign(segment=segment, **{out: flat})[[*names, t, v, "segment", out]]
+        return {"t": x.tolist(), "v": [q if np.isfinite(q) else None for q in y.tolist()], "segment": segment.tolist(), "flat": [q if np.isfinite(q) else None for q in flat.tolist()]}
 
-    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in [*names, t, v])
-    done = df.select(*names, t, v).groupBy(*names).applyInPandas(cut, f"{kinds}, segment int, {out} double")
-    return done.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    kind = df.schema[t].dataType.simpleString()
+    done = _each_series(df, key, t, v, cut, f"t array<{kind}>, v array<double>, segment array<int>, flat array<double>")
+    rows = done.select(*keys(key), F.explode(F.arrays_zip("t", "v", "segment", "flat")).alias("r"))
+    return rows.select(*keys(key), F.col("r.t").alias(t), F.col("r.v").alias(v), F.col("r.segment").alias("segment"), F.col("r.flat").alias(out))
 
 
 def break_points(df: DataFrame, key: Key, t: str, v: str, model: str = "l2", penalty: float = 10.0, method: str = "pelt", jump: int = 5) -> DataFrame:
     """(key, segment, start, end, n): the segments between change points of each series, by time."""
     from .changepoint import METHODS
 
-    names = keys(key)
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        ends = METHODS[method](pdf[v].to_numpy(float), model=model, penalty=penalty, jump=jump)
-        x = pdf[t].to_numpy()
+    def cut(x: np.ndarray, y: np.ndarray) -> dict[str, list]:
+        ends = METHODS[method](y, model=model, penalty=penalty, jump=jump)
         starts = [0, *ends[:-1]]
-        out = pd.DataFrame({"segment": range(len(ends)), "start": [float(x[a]) for a in starts], "end": [float(x[b - 1]) for b in ends], "n": [b - a for a, b in zip(starts, ends, strict=True)]})
-        for name in reversed(names):
-            out.insert(0, name, pdf[name].iloc[0])
-        return out
+        return {"start": [float(x[a]) for a in starts], "end": [float(x[b - 1]) for b in ends], "n": [b - a for a, b in zip(starts, ends, strict=True)]}
 
-    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
-    return df.filter(F.col(v).isNotNull()).groupBy(*names).applyInPandas(cut, f"{kinds}, segment int, start double, end double, n long")
+    done = _each_series(df.filter(F.col(v).isNotNull()), key, t, v, cut, "start array<double>, end array<double>, n array<bigint>")
+    rows = done.select(*keys(key), F.posexplode(F.arrays_zip("start", "end", "n")).alias("segment", "r"))
+    return rows.select(*keys(key), "segment", *(F.col(f"r.{c}").alias(c) for c in ("start", "end", "n")))
 
 
 def trend_component(df: DataFrame, key: Key, t: str, v: str, penalty: float = 10.0, model: str = "rbf", out: str = "trend") -> DataFrame:

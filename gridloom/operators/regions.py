@@ -27,19 +27,37 @@ def edges(regions: DataFrame) -> DataFrame:
     return flat.filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
 
 
+#: Squares to a side of the whole plane in which boxes are looked up, and bands of a region's height in which its edges are.
+SQUARES, BANDS = 32, 64
+
+
 def in_boxes(cells: DataFrame, regions: DataFrame, x: str = "x", y: str = "y", grow: float = 0.0) -> DataFrame:
-    """Cells joined to the regions whose bounding box, grown by a distance, holds them."""
-    box = regions.select("region_id", "xmin", "xmax", "ymin", "ymax")
-    return cells.join(box, F.col(x).between(F.col("xmin") - grow, F.col("xmax") + grow) & F.col(y).between(F.col("ymin") - grow, F.col("ymax") + grow)).drop("xmin", "xmax", "ymin", "ymax")
+    """Cells joined to the regions whose bounding box, grown by a distance, holds them. Both meet by the squares of a coarse
+    grid, so a cell is compared with the boxes that reach into its square."""
+    box = regions.select("region_id", *((F.col(c) + (grow if c.endswith("max") else -grow)).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")))
+    whole = box.agg(*(f(c).alias(f"__{c}") for c, f in (("xmin", F.min), ("xmax", F.max), ("ymin", F.min), ("ymax", F.max))))  # one row
+    at = lambda v, c: F.floor((v - F.col(f"__{c}min")) / F.greatest((F.col(f"__{c}max") - F.col(f"__{c}min")) / SQUARES, F.lit(1e-300)))
+    placed = box.crossJoin(whole)
+    for c in "xy":
+        placed = placed.withColumn(f"__b{c}", F.explode(F.sequence(at(F.col(f"{c}min"), c), at(F.col(f"{c}max"), c))))
+    placed = placed.drop(*(f"__{c}{e}" for c in "xy" for e in ("min", "max")))
+    own = cells.crossJoin(whole).withColumns({"__bx": at(F.col(x), "x"), "__by": at(F.col(y), "y")}).drop(*(f"__{c}{e}" for c in "xy" for e in ("min", "max")))
+    inside = F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax"))
+    return own.join(placed, ["__bx", "__by"]).filter(inside).drop("xmin", "xmax", "ymin", "ymax", "__bx", "__by")
 
 
 def cell_region(cells: DataFrame, regions: DataFrame, cell: str = "cell_id", x: str = "x", y: str = "y", buffer: float = 0.0) -> DataFrame:
     """(cell, region_id): cells whose centre lies inside a region, or within ``buffer`` of its edge. A ray to the right of a
     point crosses an odd number of the edges around it; an edge has its lower end but not its upper, so no corner counts
-    twice, and a point on a left or lower edge is inside. The ray's crossings are summed up before the shuffle."""
-    near = in_boxes(cells.select(cell, x, y).distinct(), regions, x, y, buffer)
-    met = near.join(edges(regions), "region_id")
+    twice, and a point on a left or lower edge is inside. A cell meets the edges of its band of the region's height only. The
+    ray's crossings are summed up before the shuffle."""
     px, py = F.col(x), F.col(y)
+    near = in_boxes(cells.select(cell, x, y).distinct(), regions, x, y, buffer)
+    height = regions.select("region_id", (F.col("ymin") - buffer).alias("__y0"), F.greatest((F.col("ymax") - F.col("ymin") + 2 * buffer) / BANDS, F.lit(1e-300)).alias("__h"))
+    band = lambda v: F.floor((v - F.col("__y0")) / F.col("__h"))
+    own = near.join(height, "region_id").withColumn("__band", band(py)).drop("__y0", "__h")
+    cut_up = edges(regions).join(height, "region_id").withColumn("__band", F.explode(F.sequence(band(F.least("y0", "y1") - buffer), band(F.greatest("y0", "y1") + buffer)))).drop("__y0", "__h")
+    met = own.join(cut_up, ["region_id", "__band"])
     cut = (F.col("y0") > py) != (F.col("y1") > py)
     at = F.col("x0") + (py - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
     crosses = F.sum(F.when(cut & (px < at), 1).otherwise(0))
@@ -59,6 +77,11 @@ def areas(regions: DataFrame) -> DataFrame:
     return s.select("region_id", F.abs(F.col("s") / 2).alias("area"), (F.col("sx") / (3 * F.col("s"))).alias("cx"), (F.col("sy") / (3 * F.col("s"))).alias("cy"))
 
 
+def distances(regions: DataFrame, x: float, y: float) -> DataFrame:
+    """(region_id, distance): how far each region's centroid is from a point."""
+    return areas(regions).select("region_id", F.hypot(F.col("cx") - x, F.col("cy") - y).alias("distance"))
+
+
 def clip(cube: DataFrame, bridge: DataFrame, cell: str = "cell_id") -> DataFrame:
     """The cube's rows inside regions, with region_id."""
     return cube.join(bridge, cell)
@@ -70,16 +93,16 @@ def overlay(full: DataFrame, part: DataFrame, key: Key, *values: str) -> DataFra
     return full.join(new, keys(key), "left").withColumns({v: F.coalesce(f"__{v}", v) for v in values}).drop(*(f"__{v}" for v in values))
 
 
-def conflicts(pieces: DataFrame, key: Key, v: str) -> DataFrame:
-    """Keys for which the pieces have more than one value."""
-    return pieces.filter(F.col(v).isNotNull()).groupBy(*keys(key)).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi")).filter("__lo <> __hi").drop("__lo", "__hi")
+def conflicts(pieces: DataFrame, key: Key, *values: str) -> DataFrame:
+    """(key, differing): keys for which the pieces have more than one value, and of which columns."""
+    both = [F.when(F.min(v) != F.max(v), F.lit(v)) for v in values]
+    return pieces.groupBy(*keys(key)).agg(F.array_compact(F.array(*both)).alias("differing")).filter(F.size("differing") > 0)
 
 
 def merge_no_conflicts(pieces: DataFrame, key: Key, *values: str) -> DataFrame:
     """One row for each key; the value of the pieces that have one. Raises ValueError where they differ."""
-    for v in values:
-        if found := conflicts(pieces, key, v).limit(3).collect():
-            raise ValueError(f"pieces have different values of {v}, as for {', '.join(str(tuple(r)) for r in found)}")
+    if found := conflicts(pieces, key, *values).limit(3).collect():
+        raise ValueError(f"pieces have different values, as for {', '.join(str(tuple(r)) for r in found)}")
     return pieces.groupBy(*keys(key)).agg(*(F.max(v).alias(v) for v in values))
 
 
@@ -92,11 +115,26 @@ def merge_by_priority(pieces: DataFrame, priorities: DataFrame, key: Key, region
 
 
 def listed_then_alphabetical(regions: DataFrame, listed: list[str], name: str = "name") -> DataFrame:
-    """(name, priority): the listed names first, then all others by name; earlier means higher."""
-    manual = F.when(F.col(name).isin(listed), F.array_position(F.array(*(F.lit(x) for x in listed)), F.col(name)))
+    """(name, priority) of the order in which regions are merged, the last one winning: the listed names first, from the lowest
+    priority on, then all others by name."""
+    manual = F.when(F.col(name).isin(listed), F.array_position(F.array(*(F.lit(x) for x in listed)), F.col(name))) if listed else F.lit(None)
     at = F.row_number().over(Window.orderBy(F.coalesce(manual, F.lit(len(listed) + 1)), name))  # a row a region
-    n = regions.select(name).distinct()
-    return n.withColumn("__at", at).crossJoin(n.agg(F.count("*").alias("__n"))).select(name, (F.col("__n") - F.col("__at")).alias("priority"))
+    return regions.select(name).distinct().select(name, (at - 1).alias("priority"))
+
+
+def by_area(names: DataFrame, regions: DataFrame, name: str = "name") -> DataFrame:
+    """(name, priority): larger regions win; a name without a region counts as the smallest; among equals the name decides."""
+    size = areas(regions).join(regions.select("region_id", F.col(name).alias("__name")), "region_id")
+    own = names.select(name).distinct().join(size.groupBy("__name").agg(F.first("area").alias("__area")), F.col(name) == F.col("__name"), "left")
+    return own.select(name, (F.row_number().over(Window.orderBy(F.coalesce("__area", F.lit(0.0)), name)) - 1).alias("priority"))  # a row a region
+
+
+def by_distance(names: DataFrame, regions: DataFrame, x: float, y: float, name: str = "name") -> DataFrame:
+    """(name, priority): regions whose centroid is closer to a point win; a name without a region is the farthest; among equals
+    the name decides."""
+    away = distances(regions, x, y).withColumnRenamed("distance", "__away").join(regions.select("region_id", F.col(name).alias("__name")), "region_id")
+    own = names.select(name).distinct().join(away.groupBy("__name").agg(F.first("__away").alias("__away")), F.col(name) == F.col("__name"), "left")
+    return own.select(name, (F.row_number().over(Window.orderBy(F.coalesce("__away", F.lit(float("inf"))).desc(), name)) - 1).alias("priority"))  # a row a region
 
 
 def paint(bridge: DataFrame, values: DataFrame, region: str = "region_id") -> DataFrame:

@@ -117,8 +117,11 @@ def difference(a: DataFrame, b: DataFrame, key: Key, v: str, out: str = "differe
 
 
 def delaunay(points: pd.DataFrame, node: str = "node", x: str = "x", y: str = "y") -> pd.DataFrame:
-    """Triangles of a small mesh's nodes (thousands; made once on the driver for mesh_weights): every triangle's circle is
-    empty of other nodes. Nodes are added one by one and the hole around each is filled anew."""
+    """Triangles of a small mesh's nodes (5,000 at most, else a ValueError; made once on the driver for mesh_weights, which takes
+    a larger mesh as a table of triangles): every triangle's circle is empty of other nodes. Nodes are added one by one and the
+    hole around each is filled anew."""
+    if len(points) > 5_000:
+        raise ValueError(f"{len(points)} nodes; at most 5000 are triangulated here")
     p = points[[x, y]].to_numpy(float)
     low, span = p.min(0), max(float((p.max(0) - p.min(0)).max()), 1.0)
     far = np.vstack([p, low + span * np.array([[-50.0, -50.0], [100.0, -50.0], [-50.0, 100.0]])])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import require
+from ..sources.shared import stored
 from .timeseries import Key, keys
 
 
@@ -110,16 +113,23 @@ def spread_against_change(df: DataFrame, cell: Key, member: str, t: str, v: str,
     return out.withColumn("ratio", F.when(F.abs("change") >= least, F.col("range") / (F.abs("change") + guard)))
 
 
-def field_summary(df: DataFrame, key: Key, v: str, threshold: float) -> DataFrame:
+def quantiles(v: str, *shares: float, exact: bool = True) -> Column:
+    """An array of quantiles. Exact ones gather a key's distinct values in one task; exact=False uses mergeable sketches, for
+    few keys of very many values."""
+    at = F.array(*(F.lit(p) for p in shares))
+    return F.percentile(v, at) if exact else F.percentile_approx(v, at, 10_000)
+
+
+def field_summary(df: DataFrame, key: Key, v: str, threshold: float, exact: bool = True) -> DataFrame:
     """Mean, median, deviation, maximum, quartiles, 90th percentile and how many values lie above threshold."""
-    q = F.percentile(v, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75, 0.9))))
+    q = quantiles(v, 0.25, 0.5, 0.75, 0.9, exact=exact)
     out = df.groupBy(*keys(key)).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("highest"), q.alias("__q"), F.sum(F.when(F.col(v) > threshold, 1).otherwise(0)).alias("n_above"))
     return out.select(*keys(key), "mean", "std", "highest", *(F.col("__q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75", "q90"))), "n_above")
 
 
-def distribution(df: DataFrame, key: Key, v: str, flat: float = 1e-10) -> DataFrame:
+def distribution(df: DataFrame, key: Key, v: str, flat: float = 1e-10, exact: bool = True) -> DataFrame:
     """Members' mean, deviation, median, quartiles, skewness and excess kurtosis (0 for a deviation of up to flat)."""
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = quantiles(v, 0.25, 0.5, 0.75, exact=exact)
     own = df.groupBy(*keys(key)).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), q.alias("__q"), F.skewness(v).alias("__s"), F.kurtosis(v).alias("__k"))
     shape = [F.when(F.col("std") > flat, F.col(c)).otherwise(0.0).alias(n) for c, n in (("__s", "skewness"), ("__k", "kurtosis"))]
     return own.select(*keys(key), "n", "mean", "std", *(F.col("__q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))), *shape)
@@ -140,9 +150,9 @@ def histogram(df: DataFrame, key: Key, v: str, bins: int = 50) -> DataFrame:
     return counted.select(*names, "bin", (F.col("__lo") + F.col("bin") * width).alias("low"), "n", F.when(width > 0, F.col("n") / F.col("__n") / width).alias("density"))
 
 
-def auto_bins(df: DataFrame, key: Key, v: str) -> DataFrame:
+def auto_bins(df: DataFrame, key: Key, v: str, exact: bool = True) -> DataFrame:
     """How many equal bins the finer of Sturges' and Freedman-Diaconis' widths gives."""
-    own = df.groupBy(*keys(key)).agg(F.count(v).alias("__n"), (F.max(v) - F.min(v)).alias("__r"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    own = df.groupBy(*keys(key)).agg(F.count(v).alias("__n"), (F.max(v) - F.min(v)).alias("__r"), quantiles(v, 0.25, 0.75, exact=exact).alias("__q"))
     sturges = F.col("__r") / (F.log2("__n") + 1)
     fd = 2 * (F.col("__q")[1] - F.col("__q")[0]) / F.pow("__n", F.lit(1 / 3))
     width = F.when(fd > 0, F.least(sturges, fd)).otherwise(sturges)
@@ -176,10 +186,8 @@ def kernel_density(df: DataFrame, key: Key, v: str, points: int = 300, margin: f
 
 
 def robust_limits(df: DataFrame, key: Key, v: str, low: float = 0.01, high: float = 0.99, exact: bool = True) -> DataFrame:
-    """Percentiles and the largest magnitude of v, for symmetric scales. exact=False uses mergeable sketches."""
-    at = F.array(F.lit(low), F.lit(high))
-    q = F.percentile(v, at) if exact else F.percentile_approx(v, at, 10_000)
-    own = df.groupBy(*keys(key)).agg(q.alias("__q"), F.max(F.abs(v)).alias("largest"))
+    """Percentiles and the largest magnitude of v, for symmetric scales."""
+    own = df.groupBy(*keys(key)).agg(quantiles(v, low, high, exact=exact).alias("__q"), F.max(F.abs(v)).alias("largest"))
     return own.select(*keys(key), F.col("__q")[0].alias("low"), F.col("__q")[1].alias("high"), "largest")
 
 
@@ -193,50 +201,88 @@ def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 
 def every_nth(df: DataFrame, key: Key, order: str, step: int) -> DataFrame:
-    """Every step-th row of each key, from the first."""
-    n = F.row_number().over(Window.partitionBy(*keys(key)).orderBy(order))
-    return df.withColumn("__n", n).filter(F.pmod(F.col("__n") - 1, F.lit(step)) == 0).drop("__n")
+    """Every step-th row of each key, from the first. Rows are put in order by ranges of (key, order), so a large key lies in
+    many tasks; each task numbers its own rows, and starts where the tasks before it have ended."""
+    names = keys(key)
+    ranged = df.repartitionByRange(*names, order).withColumn("__nth_task", F.spark_partition_id())
+    own = stored(ranged, "every-nth")  # the ranges are drawn from samples, so they must not be drawn again
+    copies = {c: f"__nth_key{i}" for i, c in enumerate(names)}
+    before = Window.partitionBy(*copies.values()).orderBy("__nth_of").rowsBetween(Window.unboundedPreceding, -1)
+    rows = own.groupBy(*(F.col(c).alias(x) for c, x in copies.items()), F.col("__nth_task").alias("__nth_of")).agg(F.count("*").alias("__nth_rows"))
+    ahead = rows.withColumn("__nth_ahead", F.coalesce(F.sum("__nth_rows").over(before), F.lit(0)))
+    numbered = own.withColumn("__nth_row", F.row_number().over(Window.partitionBy(*names, "__nth_task").orderBy(order)))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(x)) for c, x in copies.items()), F.col("__nth_task") == F.col("__nth_of"))
+    return numbered.join(ahead, same).filter(F.pmod(F.col("__nth_row") + F.col("__nth_ahead") - 1, F.lit(step)) == 0).select(*df.columns)
 
 
 def sample_per_key(df: DataFrame, key: Key, order: Column, most: int = 2000) -> DataFrame:
-    """At most ``most`` rows of each key, the first by ``order`` (rand(seed), or a hash for a sample that stays)."""
+    """At most ``most`` rows of each key, the first by ``order`` (rand(seed), or a hash for a sample that stays). A key's rows
+    are first thinned out in 64 parts, so no task holds a large key."""
+    part = F.row_number().over(Window.partitionBy(*keys(key), "__part").orderBy("__o"))
+    thin = df.withColumn("__o", order).withColumn("__part", F.pmod(F.xxhash64("__o"), F.lit(64))).withColumn("__n", part).filter(F.col("__n") <= most)
     n = F.row_number().over(Window.partitionBy(*keys(key)).orderBy("__o"))
-    return df.withColumn("__o", order).withColumn("__n", n).filter(F.col("__n") <= most).drop("__o", "__n")
+    return thin.withColumn("__n", n).filter(F.col("__n") <= most).drop("__o", "__n", "__part")
 
 
 def autocorrelation(df: DataFrame, key: Key, t: str, v: str, lags: int | None = None) -> DataFrame:
-    """(key, lag, r): sums of products of the mean-removed series at each lag, over their maximum. t counts steps."""
+    """(key, lag, r): sums of products of the mean-removed series at each lag up to ``lags`` (all), over their maximum. t counts
+    steps; missing ones add nothing. A series of T steps goes to one task as a whole, which takes T log T (a product of
+    Fourier transforms), so it must be a regional mean or a mode, not a cube."""
     names = keys(key)
-    mean = F.avg(v).over(Window.partitionBy(*names))
-    own = df.filter(F.col(v).isNotNull()).select(*names, F.col(t).alias("__t"), (F.col(v) - mean).alias("__a"))
-    late = own.withColumnsRenamed({"__t": "__u", "__a": "__b"})
-    joined = own.join(late, names).filter(F.col("__u") >= F.col("__t"))
-    if lags is not None:
-        joined = joined.filter(F.col("__u") - F.col("__t") <= lags)
-    sums = joined.groupBy(*names, (F.col("__u") - F.col("__t")).alias("lag")).agg(F.sum(F.col("__a") * F.col("__b")).alias("__s"))
-    return sums.select(*names, "lag", (F.col("__s") / F.max("__s").over(Window.partitionBy(*names))).alias("r"))
+
+    def of_key(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[t].to_numpy(np.int64)
+        a = np.zeros(at.max() - at.min() + 1)
+        seen = np.zeros(len(a))
+        np.add.at(a, at - at.min(), pdf[v].to_numpy(float) - pdf[v].mean())
+        np.add.at(seen, at - at.min(), 1)
+        size = 1 << (2 * len(a) - 1).bit_length()
+        product = lambda x: np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[: len(a)]
+        s, pairs = product(a), np.rint(product(seen))
+        lag = np.flatnonzero(pairs > 0)
+        s = s[lag] / s[lag].max() if s[lag].max() > 0 else np.full(len(lag), np.nan)
+        keep = slice(None) if lags is None else lag <= lags
+        return pd.DataFrame({**{n: [pdf[n].iloc[0]] * len(lag[keep]) for n in names}, "lag": lag[keep].astype(np.int32), "r": s[keep]})
+
+    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+    return df.filter(F.col(v).isNotNull() & F.col(t).isNotNull()).groupBy(*names).applyInPandas(of_key, f"{kinds}, lag int, r double")
 
 
 def power_spectrum(df: DataFrame, key: Key, t: str, v: str) -> DataFrame:
     """(key, frequency, power): the periodogram |rfft|^2 / n of the mean-removed series, cycles a step. A series goes to one
     task as a whole, so it must be a regional mean or a mode, not a cube."""
-    import numpy as np
-    import pandas as pd
 
+    def spectrum(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.fft.rfftfreq(len(y)), np.abs(np.fft.rfft(y - y.mean())) ** 2 / len(y)
+
+    return _spectra(df, key, t, v, spectrum)
+
+
+def mean_spectrum(df: DataFrame, key: Key, t: str, v: str, size: int = 256, rate: float = 2.0) -> DataFrame:
+    """(key, frequency, power): the density averaged over pieces of ``size`` steps without overlap (Welch's method), each under
+    a Hann window; a shorter series is filled up with zeros, a rest shorter than a piece is left out. One-sided: all but the
+    first and last frequency count twice. ``rate``: steps a unit of time. A series goes to one task, as in power_spectrum."""
+
+    def spectrum(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = np.pad(y, (0, max(0, size - len(y))))
+        window = np.hanning(size)
+        pieces = y[: len(y) // size * size].reshape(-1, size) * window
+        power = (np.abs(np.fft.rfft(pieces, axis=1)) ** 2).mean(0) / (rate * (window**2).sum())
+        power[1 : -1 if size % 2 == 0 else None] *= 2
+        return np.fft.rfftfreq(size, 1 / rate), power
+
+    return _spectra(df, key, t, v, spectrum)
+
+
+def _spectra(df: DataFrame, key: Key, t: str, v: str, spectrum: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     names = keys(key)
 
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(t)[v].to_numpy(float)
-        power = np.abs(np.fft.rfft(y - y.mean())) ** 2 / len(y)
-        out = pd.DataFrame({"frequency": np.fft.rfftfreq(len(y)), "power": power})
+    def of_key(pdf: pd.DataFrame) -> pd.DataFrame:
+        frequency, power = spectrum(pdf.sort_values(t)[v].to_numpy(float))
+        out = pd.DataFrame({"frequency": frequency, "power": power})
         for n in reversed(names):
             out.insert(0, n, pdf[n].iloc[0])
         return out
 
     kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
-    return df.filter(F.col(v).isNotNull()).groupBy(*names).applyInPandas(spectrum, f"{kinds}, frequency double, power double")
-
-
-def checked(df: DataFrame, *names: str) -> DataFrame:
-    require(df, *names)
-    return df
+    return df.filter(F.col(v).isNotNull()).groupBy(*names).applyInPandas(of_key, f"{kinds}, frequency double, power double")

@@ -163,39 +163,38 @@ def rate_between(df: DataFrame, key: Key, t: str, v: str, first: tuple, last: tu
     return df.groupBy(*keys(key)).agg(((within(last) - within(first)) / years).alias(out))
 
 
-def interpolate(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str = "target") -> DataFrame:
-    """Linear values at the target times inside each series' own range: (key, target, v). Each target joins the one segment
-    of each series that holds it."""
+def _between(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str) -> DataFrame:
+    """(key, target, __a, __b): for every target time the series' points (t, v) at or before it and after it. Points and
+    targets are put in one order of time per key, so nothing is compared with anything but its neighbours."""
     names = keys(key)
-    w = Window.partitionBy(*names).orderBy(t)
-    seg = df.filter(F.col(v).isNotNull()).select(*names, F.col(t).alias("__t0"), F.col(v).alias("__v0"), F.lead(t).over(w).alias("__t1"), F.lead(v).over(w).alias("__v1"))
-    seg = seg.withColumn("__last", F.col("__t1").isNull())
-    inside = (F.col(target) >= F.col("__t0")) & (F.col(target) < F.col("__t1")) | F.col("__last") & (F.col(target) == F.col("__t0"))
-    joined = seg.join(targets.select(target).distinct(), inside)
-    part = (F.col(target) - F.col("__t0")) / (F.col("__t1") - F.col("__t0"))
-    return joined.select(*names, target, F.when(F.col("__last"), F.col("__v0")).otherwise(F.col("__v0") + (F.col("__v1") - F.col("__v0")) * part).alias(v))
-
-
-def interpolate_clamped(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str = "target") -> DataFrame:
-    """As interpolate, but beyond a series' ends its end values hold. targets may carry the key columns."""
-    names = keys(key)
-    w = Window.partitionBy(*names).orderBy(t)
-    seg = df.filter(F.col(v).isNotNull()).select(
-        *names, F.col(t).alias("__t0"), F.col(v).alias("__v0"), F.lead(t).over(w).alias("__t1"), F.lead(v).over(w).alias("__v1"), F.lag(t).over(w).isNull().alias("__first")
-    )
-    inside = (F.col(target) >= F.col("__t0")) & ((F.col(target) < F.col("__t1")) | F.col("__t1").isNull()) | F.col("__first") & (F.col(target) < F.col("__t0"))
+    points = df.filter(F.col(v).isNotNull()).select(*names, F.col(t).cast("double").alias("__t"), F.struct(F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v")).alias("__p"))
     own = [n for n in names if n in targets.columns]
     goal = targets.select(*own, target).distinct()
-    joined = seg.join(goal.withColumnsRenamed({n: f"__{n}" for n in own}), inside & _all([F.col(n) == F.col(f"__{n}") for n in own]))
-    part = F.least(F.greatest((F.col(target) - F.col("__t0")) / (F.col("__t1") - F.col("__t0")), F.lit(0.0)), F.lit(1.0))
-    return joined.select(*names, target, F.when(F.col("__t1").isNull(), F.col("__v0")).otherwise(F.col("__v0") + (F.col("__v1") - F.col("__v0")) * part).alias(v))
+    series = points.select(*names).distinct()
+    goal = series.join(goal, own) if own else series.crossJoin(goal)  # a row for each value that is asked for
+    goal = goal.select(*names, F.col(target).cast("double").alias("__t"), F.lit(None).cast("struct<t:double,v:double>").alias("__p"), F.col(target))
+    w = Window.partitionBy(*names).orderBy("__t", F.col("__p").isNull())
+    both = points.withColumn(target, F.lit(None).cast(targets.schema[target].dataType)).unionByName(goal)
+    near = both.withColumns({"__a": F.last("__p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first("__p", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    return near.filter("__p is null").select(*names, target, "__a", "__b")
 
 
-def _all(tests: list[Column]) -> Column:
-    out = F.lit(True)
-    for x in tests:
-        out = out & x
-    return out
+def _on_line(target: str) -> Column:
+    return F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * ((F.col(target) - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t")))
+
+
+def interpolate(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str = "target") -> DataFrame:
+    """Linear values at the target times inside each series' own range: (key, target, v)."""
+    near = _between(df, key, t, v, targets, target)
+    last = F.col("__b").isNull()
+    inside = near.filter(F.col("__a").isNotNull() & (~last | (F.col("__a.t") == F.col(target))))
+    return inside.select(*keys(key), target, F.when(last, F.col("__a.v")).otherwise(_on_line(target)).alias(v))
+
+
+def interpolate_clamped(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str = "target") -> DataFrame:
+    """As interpolate, but beyond a series' ends its end values hold. targets may carry the key columns."""
+    value = F.when(F.col("__b").isNull(), F.col("__a.v")).when(F.col("__a").isNull(), F.col("__b.v")).otherwise(_on_line(target))
+    return _between(df, key, t, v, targets, target).select(*keys(key), target, value.alias(v))
 
 
 def climatology_repeated(df: DataFrame, key: Key, t: str, v: str, steps: DataFrame, step: str = "t_idx") -> DataFrame:

@@ -9,8 +9,10 @@ from ..functions import scalars
 from ..functions.columns import month_of
 from ..operators import fill, generator, regions, regress, stats, subset
 from ..operators import timeseries as ts
+from ..sources.shared import stored
 from ..streaming import means
 from .base import CUBE, Tables, query
+from .series import whole
 
 
 def components(cube: DataFrame, bridge: DataFrame, grid: DataFrame, cell: str, t: str, v: str, draft: str, start: int, end: int) -> tuple[DataFrame, DataFrame]:
@@ -45,20 +47,17 @@ def forcings(variability: DataFrame, seasonality: DataFrame, cell: str, t: str,
     return generator.realisations(loadings, drawn, moments, seasonality.withColumnRenamed("value", "season"), cell, t, "value_mean", "value_std", "season")
 
 
-def analyse_regions(points: DataFrame, key: str, draft: str, melt: str, preset: str = "balanced", n_bins: int = 50, min_points: int = 5) -> DataFrame:
-    """One record a region: assessment, threshold (the median draft where bins are too few), strategy, skill, ranges."""
-    gate = regress.assess(points, key, draft, melt, preset)
-    more = regress.quality(points, key, draft, melt).select(key, "melt_mean", "draft_range")
-    category = F.when(F.col("category") == "insufficient", "insufficient_data").when(F.col("passes"), "meaningful").when(F.abs("melt_mean") < 1, "noisy_low_melt").otherwise("noisy_significant_melt")
-    gate = gate.join(more, key)
-    at = regress.thresholds(regress.binned(points, key, draft, melt, n_bins, min_points), key)
-    middle = points.groupBy(key).agg(F.median(draft).alias("__mid"))
-    at = middle.join(at, key, "left").select(key, F.coalesce("threshold", "__mid").alias("threshold"))
-    fits = regress.strategy_fit(gate.withColumn("category", category), regress.piecewise_fit(points, at, key, draft, melt), key)
-    own = points.join(fits.join(at, key), key)
-    predicted = F.when(F.col("strategy") == "piecewise", scalars.piecewise(draft, "threshold", "slope", "intercept", F.lit(0.0))).otherwise(F.col("constant"))
-    skill = regress.skill(own.withColumn("__p", predicted), key, melt, "__p").select(key, F.col("r2").alias("skill_r2"), "rmse", "mae", "bias")
-    return gate.select(key, "n", "correlation", "r2", "category", "confidence", "draft_range").join(at, key).join(fits, key).join(skill, key, "left")
+def analyse_regions(points: DataFrame, key: str, draft: str, melt: str, rule: str | regress.Assessment = "balanced", n_bins: int = 50, min_points: int = 10, min_range: float = 100.0, penalty: float = 10.0) -> DataFrame:
+    """One record a region: assessment, threshold (the median draft where bins are too few or the drafts lie closer than
+    min_range), strategy, skill, ranges."""
+    gate = regress.assess(points, key, draft, melt, rule)
+    whole = points.groupBy(key).agg(F.median(draft).alias("__mid"), (F.max(draft) - F.min(draft)).alias("__range"), (F.max(melt) - F.min(melt)).alias("melt_range"))
+    at = regress.thresholds(regress.binned(points, key, draft, melt, n_bins, min_points), key, penalty=penalty, min_size=3)
+    at = whole.join(at, key, "left").select(key, "melt_range", F.when(F.col("__range") >= min_range, F.coalesce("threshold", "__mid")).otherwise(F.col("__mid")).alias("threshold"))
+    fits = regress.strategy_fit(gate, regress.piecewise_fit(points, at, key, draft, melt), key)
+    predicted = scalars.from_strategy(draft, "threshold", "slope", "intercept", "model_type")
+    skill = regress.skill(points.join(fits, key).withColumn("__p", predicted), key, melt, "__p").select(key, F.col("r2").alias("skill_r2"), "rmse", "mae", "bias")
+    return gate.select(key, "n", "correlation", "r2", "is_meaningful", "category", "confidence", "draft_range").join(at.select(key, "melt_range"), key).join(fits, key).join(skill, key, "left")
 
 
 def apply_to_members(base: DataFrame, trends: DataFrame, member: str, cell: str, t: str, v: str, start: int) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +87,8 @@ def plan_components(t: Tables) -> DataFrame:
 
 @query()
 def plan_shelf_grid(t: Tables) -> DataFrame:
-    own = t.bent.select((F.col("l_orderkey") % 300).alias("cell"), F.lit(0).alias("t"), (F.col("draft") + (F.col("l_orderkey") % 300) / 10).alias("draft"), (F.col("melt") + (F.col("l_orderkey") % 300) / 20).alias("melt"))
+    melt = 5 + 0.4 * F.greatest(F.col("l_quantity") - 25, F.lit(0.0)) + F.col("l_discount")
+    own = t.lineitem.select(F.col("l_partkey").alias("cell"), F.lit(0).alias("t"), F.col("l_quantity").alias("draft"), melt.alias("melt"))
     cells = own.select("cell").distinct()
     bridge = cells.select("cell", (F.col("cell") % 3).alias("region_id")).unionByName(cells.filter("cell % 5 = 0").select("cell", F.lit(7).cast("long").alias("region_id")))
     priority = bridge.select("region_id").distinct().withColumn("priority", F.col("region_id"))
@@ -97,8 +97,7 @@ def plan_shelf_grid(t: Tables) -> DataFrame:
 
 @query()
 def plan_forcings(t: Tables) -> DataFrame:
-    own = t.cube.join(t.cell_region, "cell").filter("t > 40 AND t <= 112").groupBy(F.col("region").alias("cell"), "t").agg(F.avg("v").alias("v"))
-    own = own.withColumn("month", month_of("t"))
+    own = stored(whole(t).withColumn("month", month_of("t")), "whole")
     flat = ts.deseasonalise(own, "cell", "month", "v", "value")
     season = flat.select("cell", "t", (F.col("v") - F.col("value")).alias("value"))
     return forcings(flat.select("cell", "t", "value"), season, "cell", "t", 3, 11, modes=10)
@@ -106,7 +105,7 @@ def plan_forcings(t: Tables) -> DataFrame:
 
 @query()
 def r_analyse_regions(t: Tables) -> DataFrame:
-    return analyse_regions(t.bent, "region", "draft", "melt")
+    return analyse_regions(t.bent, "region", "draft", "melt", min_range=20.0)
 
 
 @query("SELECT cell, m AS member, t, {r:CASE WHEN c.t >= 80 THEN c.v + m + x.v ELSE c.v + m END} AS v FROM cube c CROSS JOIN (VALUES (0), (2)) AS k(m) LEFT JOIN (SELECT cell, t + 20 AS t, v FROM cube) x USING (cell, t)", ctes=CUBE)

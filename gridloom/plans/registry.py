@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, pipelines, regression, series, spatial, statistics  # noqa: F401
+from . import base, pipelines, regression, series, spatial, statistics, storage  # noqa: F401
 
 FLAGSHIP = "w_detrended_mean_series"
 QUERIES, ORACLE_SQL = base.QUERIES, base.SQL

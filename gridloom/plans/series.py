@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_of
-from ..operators import generator, regress, stats, subset
+from ..operators import fill, generator, stats, subset
 from ..operators import timeseries as ts
 from .base import CELL_REGION, CUBE, RUNS, Tables, query
 
@@ -32,7 +32,14 @@ def w_detrend_no_mean(t: Tables) -> DataFrame:
     return ts.detrend(t.cube, "cell", "t", "v", keep_mean=False).select("cell", "t", "v")
 
 
-@query()
+# normal equations of a parabola in t less its mean
+_QUADRATIC = f"""u AS (SELECT cell, t, v, t - avg(t) OVER {_W} AS u, avg(v) OVER {_W} AS m FROM cube),
+p AS (SELECT cell, count(*) AS n, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(v) AS r0, sum(u * v) AS r1, sum(u * u * v) AS r2 FROM u GROUP BY 1),
+c AS (SELECT *, n * (s2 * s4 - s3 * s3) - s2 * s2 * s2 AS det FROM p),
+k AS (SELECT cell, (r0 * (s2 * s4 - s3 * s3) - s2 * (r2 * s2 - r1 * s3)) / det AS a, (n * (r1 * s4 - s3 * r2) + r0 * s3 * s2 - s2 * s2 * r1) / det AS b, (n * (s2 * r2 - s3 * r1) - s2 * s2 * r0) / det AS c FROM c)"""
+
+
+@query("SELECT cell, t, {r:v - a - b * u - c * u * u + m} AS v FROM u JOIN k USING (cell)", digits=2, ctes=f"{CUBE}, {_QUADRATIC}")
 def w_detrend_quadratic(t: Tables) -> DataFrame:
     return ts.detrend(t.cube, "cell", "t", "v", deg=2).select("cell", "t", "v")
 
@@ -158,14 +165,6 @@ def w_rate_between(t: Tables) -> DataFrame:
     return ts.rate_between(t.cube, "cell", "t", "v", (36, 47), (96, 107), 5.0)
 
 
-@query()
-def w_knee(t: Tables) -> DataFrame:
-    bins = regress.binned(t.bent, "region", "draft", "melt", 49, 1, median=True)
-    plain = regress.knees(bins, "region")
-    smooth = regress.knees(bins, "region", smooth=True, low=5.0, high=45.0).withColumnRenamed("knee", "smooth_knee")
-    return plain.join(smooth, "region")
-
-
 @query(f"""SELECT cell, t, {{r:v_mean}} AS v_mean, {{r:v_std}} AS v_std, {{r:(v - v_mean) / CASE WHEN v_std = 0 THEN 1e-10 ELSE v_std END}} AS z
 FROM (SELECT *, avg(v) OVER {_W} AS v_mean, stddev_pop(v) OVER {_W} AS v_std FROM cube)""", ctes=CUBE)
 def w_normalise(t: Tables) -> DataFrame:
@@ -227,35 +226,40 @@ def p_series_of_chosen_cells(t: Tables) -> DataFrame:
     return stats.spatial_mean(own, "t", "v")
 
 
+def whole(t: Tables) -> DataFrame:
+    """(cell, t, v): every supplier at every month, missing months from the nearest supplier that has the month."""
+    bridge = t.supplier.select(F.col("s_suppkey").alias("cell"), F.lit(0).alias("region_id"))
+    grid = t.supplier.select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") % 10).cast("int").alias("ix"), F.floor(F.col("s_suppkey") / 10).cast("int").alias("iy"))
+    return fill.extrapolate(t.cube.select("cell", "t", "v"), bridge, grid, "cell", "t", "v").select("cell", "t", "v")
+
 
-def _whole(t: Tables) -> DataFrame:
-    """(cell, t, v): nations' months, which miss no month."""
-    own = t.cube.join(t.cell_region, "cell").filter((F.col("t") > 40) & (F.col("t") <= 112))
-    return own.groupBy(F.col("region").alias("cell"), "t").agg(F.avg("v").alias("v"))
+WHOLE = """place AS (SELECT s_suppkey AS cell, (s_suppkey % 10)::INT AS ix, (s_suppkey // 10)::INT AS iy FROM supplier),
+gap AS (SELECT p.cell, p.ix, p.iy, x.t FROM place p CROSS JOIN (SELECT DISTINCT t FROM cube) x ANTI JOIN cube c ON c.cell = p.cell AND c.t = x.t),
+whole AS (
+  SELECT cell, t, v FROM cube
+  UNION ALL SELECT g.cell, g.t, arg_min(c.v, (pow(g.ix - p.ix, 2) + pow(g.iy - p.iy, 2), p.iy, p.ix)) FROM gap g JOIN cube c ON c.t = g.t JOIN place p ON p.cell = c.cell GROUP BY g.cell, g.t)"""
 
 
 @query()
 def e_variance(t: Tables) -> DataFrame:
-    return generator.eof(_whole(t), "cell", "t", "v")[2]
+    return generator.eof(whole(t), "cell", "t", "v")[2]
 
 
-@query("""w AS (SELECT region AS cell, t, avg(v) AS v FROM cube JOIN cell_region USING (cell) WHERE t > 40 AND t <= 112 GROUP BY ALL),
-g AS (SELECT cell FROM w GROUP BY cell HAVING count(*) = (SELECT count(DISTINCT t) FROM w))
-SELECT t, cell, {r:v - avg(v) OVER (PARTITION BY cell)} AS value FROM w JOIN g USING (cell)""", ctes=f"{CUBE}, {CELL_REGION}")
+@query("SELECT t, cell, {r:v - avg(v) OVER (PARTITION BY cell)} AS value FROM whole", ctes=f"{CUBE}, {WHOLE}")
 def e_all_modes_give_the_field_back(t: Tables) -> DataFrame:
-    loadings, scores, _ = generator.eof(_whole(t), "cell", "t", "v")
+    loadings, scores, _ = generator.eof(whole(t), "cell", "t", "v")
     return generator.reconstructed(loadings, scores, "cell", "t")
 
 
 @query()
 def e_phase_randomised(t: Tables) -> DataFrame:
-    scores = generator.eof(_whole(t), "cell", "t", "v", modes=5)[1]
+    scores = generator.eof(whole(t), "cell", "t", "v", modes=5)[1]
     return generator.phase_randomised(scores, "t", 4, seed=7)
 
 
 @query()
 def e_realisations(t: Tables) -> DataFrame:
-    own = ts.normalise(_whole(t), "cell", "v", "z")
+    own = ts.normalise(whole(t), "cell", "v", "z")
     loadings, scores, _ = generator.eof(own.select("cell", "t", "z"), "cell", "t", "z")
     drawn = generator.phase_randomised(scores, "t", 2, seed=3)
     moments = own.select("cell", "v_mean", "v_std").distinct()

@@ -37,10 +37,10 @@ def g_cells_within_buffer(t: Tables) -> DataFrame:
 
 
 @query("""s AS (SELECT region_id, sum(x0 * y1 - x1 * y0) AS s, sum((x0 + x1) * (x0 * y1 - x1 * y0)) AS sx, sum((y0 + y1) * (x0 * y1 - x1 * y0)) AS sy FROM edge GROUP BY 1)
-SELECT s.region_id, {r:abs(s / 2)} AS area, {r:sx / (3 * s)} AS cx, {r:sy / (3 * s)} AS cy, count(c.cell_id) AS n_cells FROM s LEFT JOIN bridge c ON c.region_id = s.region_id GROUP BY ALL""", ctes=_GEO)
+SELECT s.region_id, {r:abs(s / 2)} AS area, {r:sx / (3 * s)} AS cx, {r:sy / (3 * s)} AS cy, {r:sqrt(pow(sx / (3 * s) - 5, 2) + pow(sy / (3 * s) - 12, 2))} AS distance, count(c.cell_id) AS n_cells FROM s LEFT JOIN bridge c ON c.region_id = s.region_id GROUP BY ALL""", ctes=_GEO)
 def f_area_and_centroid(t: Tables) -> DataFrame:
     n = regions.cell_region(t.customers, t.polygons).groupBy("region_id").agg(F.count("*").alias("n_cells"))
-    return regions.areas(t.polygons).join(n, "region_id", "left").fillna(0, ["n_cells"])
+    return regions.areas(t.polygons).join(regions.distances(t.polygons, 5.0, 12.0), "region_id").join(n, "region_id", "left").fillna(0, ["n_cells"])
 
 
 @query("SELECT region_id, {r:sum(x * 3.5)} AS total, count(*) AS n_cells FROM customers JOIN bridge USING (cell_id) GROUP BY 1", ctes=_GEO)
@@ -61,11 +61,29 @@ def g_merge_by_priority(t: Tables) -> DataFrame:
     return regions.merge_by_priority(pieces, t.polygons.select("region_id", F.col("region_id").alias("priority")), "cell_id", "region_id", "level")
 
 
-@query("SELECT r_name AS name, (row_number() OVER (ORDER BY CASE r_name WHEN 'ASIA' THEN 1 WHEN 'AFRICA' THEN 2 ELSE 3 END DESC, r_name DESC) - 1)::INT AS priority FROM region")
+@query("SELECT r_name AS name, (row_number() OVER (ORDER BY CASE r_name WHEN 'ASIA' THEN 1 WHEN 'AFRICA' THEN 2 ELSE 3 END, r_name) - 1)::INT AS priority FROM region")
 def u_listed_then_alphabetical(t: Tables) -> DataFrame:
     return regions.listed_then_alphabetical(t.region, ["ASIA", "AFRICA"], "r_name").select(F.col("r_name").alias("name"), F.col("priority").cast("int").alias("priority"))
 
 
+_ORDERS = """named AS (SELECT * FROM (VALUES (1, 'square'), (2, 'concave'), (3, 'holed'), (4, 'overlap'), (9, 'absent')) AS n(region_id, name)),
+shape AS (SELECT region_id, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area, sum((x0 + x1) * (x0 * y1 - x1 * y0)) / (3 * sum(x0 * y1 - x1 * y0)) AS cx, sum((y0 + y1) * (x0 * y1 - x1 * y0)) / (3 * sum(x0 * y1 - x1 * y0)) AS cy FROM edge GROUP BY 1),
+orders_ AS (
+  SELECT 'listed' AS kind, region_id, name, row_number() OVER (ORDER BY CASE name WHEN 'overlap' THEN 1 WHEN 'concave' THEN 2 ELSE 3 END, name) - 1 AS priority FROM named
+  UNION ALL SELECT 'area', region_id, name, row_number() OVER (ORDER BY coalesce(area, 0), name) - 1 FROM named LEFT JOIN shape USING (region_id)
+  UNION ALL SELECT 'distance', region_id, name, row_number() OVER (ORDER BY coalesce(sqrt(pow(cx - 5, 2) + pow(cy - 12, 2)), 1e300) DESC, name) - 1 FROM named LEFT JOIN shape USING (region_id))"""
+
+
+@query("SELECT kind, cell_id, arg_max(name, priority) AS name, {r:arg_max(region_id * 10.0, priority)} AS level FROM bridge JOIN orders_ USING (region_id) GROUP BY ALL", ctes=f"{_GEO}, {_ORDERS}")
+def g_merge_in_three_orders(t: Tables) -> DataFrame:
+    regions_ = t.polygons.select("region_id", "name", "rings")
+    names = regions_.select("name").unionByName(t.spark.createDataFrame([("absent",)], "name string"))
+    pieces = regions.paint(regions.cell_region(t.customers, t.polygons), regions_.select("region_id", "name", (F.col("region_id") * 10.0).alias("level"))).withColumn("label", F.col("name"))
+    orders = {"listed": regions.listed_then_alphabetical(names, ["overlap", "concave"]), "area": regions.by_area(names, regions_), "distance": regions.by_distance(names, regions_, 5.0, 12.0)}
+    parts = [regions.merge_by_priority(pieces, x, "cell_id", "name", "label", "level").select(F.lit(k).alias("kind"), "cell_id", F.col("label").alias("name"), "level") for k, x in orders.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT cell, {r:avg(v)} AS v FROM cube JOIN cell_region USING (cell) GROUP BY 1", ctes=f"{CUBE}, {CELL_REGION}")
 def g_merge_pieces(t: Tables) -> DataFrame:
     own = t.cube.join(t.cell_region, "cell").groupBy("cell", "region").agg(F.avg("v").alias("v"))
@@ -200,11 +218,27 @@ def j_renormalised(t: Tables) -> DataFrame:
     return regrid.apply_weights(own, weights, "cell_id", "value", renormalise=0.01)
 
 
-@query()
+_MESH = """node AS (SELECT s_suppkey AS id, (s_suppkey % 10) + 0.3::DOUBLE * (s_suppkey // 10) AS x, (s_suppkey // 10)::DOUBLE AS y FROM supplier),
+corner AS (SELECT id AS a, id + 1 AS b, id + 10 AS c FROM node WHERE id % 10 < 9 UNION ALL SELECT id + 11, id + 10, id + 1 FROM node WHERE id % 10 < 9),
+tri AS (SELECT k.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy FROM corner k JOIN node a ON k.a = a.id JOIN node b ON k.b = b.id JOIN node c ON k.c = c.id),
+goal AS (SELECT p_partkey AS dst, (p_retailprice * 7) % 14 + 0.0123 - 1 AS x, (p_size * 3) % (SELECT max(s_suppkey) // 10 + 2 FROM supplier) + 0.371 - 0.5 AS y FROM part),
+met AS (SELECT dst, a, b, c, ((by_ - cy) * (x - cx) + (cx - bx) * (y - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS wa, ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS wb FROM goal, tri),
+inside AS (SELECT dst, min({'a': a, 'b': b, 'c': c, 'wa': wa, 'wb': wb}) AS m FROM met WHERE wa >= -1e-12 AND wb >= -1e-12 AND 1 - wa - wb >= -1e-12 GROUP BY 1)"""
+
+
+@query("""SELECT dst, unnest([m.a, m.b, m.c]) AS src, {r:unnest([m.wa, m.wb, 1 - m.wa - m.wb])} AS w FROM inside
+UNION ALL SELECT dst, arg_min(id, (pow(g.x - n.x, 2) + pow(g.y - n.y, 2), n.y, n.x, n.id)), 1.0 FROM goal g ANTI JOIN inside USING (dst) CROSS JOIN node n GROUP BY dst""", ctes=_MESH)
 def j_mesh_triangles(t: Tables) -> DataFrame:
-    nodes = t.polygons.select(F.explode(F.flatten("rings")).alias("p")).select("p.x", "p.y").distinct().withColumn("node", F.xxhash64("x", "y"))
-    mesh = t.spark.createDataFrame(regrid.delaunay(nodes.orderBy("x", "y").toPandas()))  # the corners of the regions' outlines
-    return regrid.mesh_weights(t.customers, mesh, nodes, "cell_id", "node", "x", "y", 3.0)
+    """Parts in a skewed mesh of triangles between suppliers."""
+    k = F.col("s_suppkey")
+    nodes = t.supplier.select(k.alias("node"), (k % 10 + 0.3 * F.floor(k / 10)).alias("x"), F.floor(k / 10).cast("double").alias("y"))
+    first = nodes.filter("node % 10 < 9")
+    corners = first.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b"), (F.col("node") + 10).alias("c")).unionByName(first.select((F.col("node") + 11).alias("a"), (F.col("node") + 10).alias("b"), (F.col("node") + 1).alias("c")))
+    for c in "abc":
+        corners = corners.join(nodes.select(F.col("node").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")), c)
+    rows = t.supplier.agg((F.floor(F.max("s_suppkey") / 10) + 2).alias("rows"))
+    goal = t.part.crossJoin(rows).select(F.col("p_partkey").alias("dst"), ((F.col("p_retailprice") * 7) % 14 + 0.0123 - 1).alias("x"), ((F.col("p_size") * 3) % F.col("rows") + 0.371 - 0.5).cast("double").alias("y"))
+    return regrid.mesh_weights(goal, corners, nodes, "dst", "node", "x", "y", 3.0)
 
 
 @query("""SELECT cell, t, 'melt' AS field, {r:v * 2 + 1} AS value FROM cube UNION ALL SELECT cell, t, 'thickness', {r:greatest(draft - 25, 0)} FROM cube""", ctes=CUBE)
@@ -272,9 +306,13 @@ def p_where(t: Tables) -> DataFrame:
     return subset.where(t.lineitem, "l_extendedprice", F.col("l_discount") > 0.05, 0.0).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) LIKE '%an%' AND n_nationkey BETWEEN 3 AND 20")
+@query("""SELECT 'part' AS kind, c_custkey, c_name FROM customer WHERE lower(c_name) LIKE '%r#%1' || '%' AND c_nationkey BETWEEN 3 AND 20
+UNION ALL SELECT 'whole', c_custkey, c_name FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)""")
 def p_regions(t: Tables) -> DataFrame:
-    return subset.regions_named(subset.regions_between(t.nation, "n_nationkey", 3, 20), "n_name", "AN").select("n_nationkey", "n_name")
+    part = subset.regions_named(subset.regions_named(subset.regions_between(t.customer, "c_nationkey", 3, 20), "c_name", "R#"), "c_name", "1")
+    first = t.customer.agg(F.min("c_name")).first()[0]
+    whole = subset.regions_named(t.customer, "c_name", first, exact=True)
+    return part.select(F.lit("part").alias("kind"), "c_custkey", "c_name").unionByName(whole.select(F.lit("whole").alias("kind"), "c_custkey", "c_name"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_tax != 0)")
@@ -322,9 +360,10 @@ def s_first_base(t: Tables) -> DataFrame:
     return io.first_base(own)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def s_remaining_work(t: Tables) -> DataFrame:
-    return io.remaining(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    done = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return io.remaining(t.customer.select("c_custkey"), done, "c_custkey")
 
 
 @query("SELECT l_suppkey AS name FROM (SELECT DISTINCT l_suppkey FROM lineitem) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 != 0)")
@@ -344,18 +383,21 @@ def u_union_all(t: Tables) -> DataFrame:
     return subset.union_all(own.filter("ix < 10").withColumn("a", F.lit("low")), own.filter("ix >= 40").withColumn("b", F.lit("high")))
 
 
-@query("""m AS (SELECT avg(l_quantity) AS mu, stddev_pop(l_quantity) AS sd FROM lineitem)
-SELECT l_orderkey, l_linenumber, {r:pow(l_quantity, 0.25)} AS draft, CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0.0 END AS threshold, {r:pow(1 / (l_tax + 1e-6), 0.5)} AS distance,
-  {r:exp(-0.5 * pow((l_quantity - 20) / 8, 2))} AS gauss, {r:exp(-0.5 * pow((l_quantity - mu) / sd, 2))} AS gauss_own, {r:1 / (1 + exp(-0.1 * (l_quantity - 25)))} AS sigmoid,
-  {r:pow(l_quantity, 0.25) / (l_tax + 1e-6)} AS draft_distance, {r:pow(l_quantity, 1) / (l_tax + 1e-6) * l_extendedprice * exp(-0.5 * pow((l_quantity - 1200) / 300, 2)) / (1 + exp(-0.005 * (l_quantity - 25)))} AS combined
-FROM lineitem, m""")
+@query("""o AS (SELECT *, l_returnflag AS region, l_quantity * 40 AS h FROM lineitem), m AS (SELECT region, avg(h) AS mu, stddev_pop(h) AS sd FROM o GROUP BY 1)
+SELECT l_orderkey, l_linenumber, {r:pow(h, 0.25)} AS draft, CASE WHEN h > 1000 THEN 1.0::DOUBLE ELSE 0.0 END AS threshold, {r:pow(1 / (l_tax + 1e-6), 0.5)} AS distance,
+  {r:exp(-0.5 * pow((h - 800) / 320, 2))} AS gauss, {r:exp(-0.5 * pow((h - mu) / sd, 2))} AS gauss_own, {r:1 / (1 + exp(-0.1 * (h - 900)))} AS sigmoid, {r:1 / (1 + exp(-0.005 * (h - mu)))} AS sigmoid_own,
+  {r:1 / (1 + exp(-0.005 * (h - mu))) / (l_tax + 1e-6)} AS sigmoid_distance, {r:pow(h, 0.25) / (l_tax + 1e-6)} AS draft_distance,
+  {r:CASE WHEN l_discount > 0 THEN pow(abs(l_discount - 0.05), 2) * pow(h, 0.5) * pow(1 / (l_tax + 1e-6), 0.25) * exp(-0.5 * pow((h - 1200) / 300, 2)) * CASE WHEN h > 1000 THEN 1 ELSE 0 END * CASE WHEN h > 1500 THEN 1 ELSE 0 END END} AS combined
+FROM o JOIN m USING (region)""")
 def f_weights(t: Tables) -> DataFrame:
-    q, p = "l_quantity", "l_extendedprice"
-    return t.lineitem.withColumn("one", F.lit(1)).select(
+    own = t.lineitem.withColumns({"region": F.col("l_returnflag"), "h": F.col("l_quantity") * 40, "m": F.when(F.col("l_discount") > 0, F.col("l_discount") - 0.05)})
+    q, p = "h", "l_extendedprice"
+    return own.select(
         "l_orderkey", "l_linenumber",
-        scalars.draft_weight(p, q, 0.25).alias("draft"), scalars.threshold_weight(q, 25.0).alias("threshold"), scalars.inverse_distance_weight("l_tax", 0.5).alias("distance"),
-        scalars.gaussian_weight(q, 20.0, 8.0).alias("gauss"), scalars.gaussian_weight_of(q, "one").alias("gauss_own"), scalars.sigmoid_weight(q, 25.0, 0.1).alias("sigmoid"),
-        scalars.product(scalars.draft_weight(p, q, 0.25), scalars.inverse_distance_weight("l_tax")).alias("draft_distance"), scalars.combined_weight(p, q, "l_tax", 25.0).alias("combined"),
+        scalars.draft_weight(p, q, 0.25).alias("draft"), scalars.threshold_weight(q).alias("threshold"), scalars.inverse_distance_weight("l_tax", 0.5).alias("distance"),
+        scalars.gaussian_weight(q, 800.0, 320.0).alias("gauss"), scalars.gaussian_weight_of(q, "region").alias("gauss_own"), scalars.sigmoid_weight(q, 900.0, 0.1).alias("sigmoid"), scalars.sigmoid_weight_of(q, "region").alias("sigmoid_own"),
+        scalars.product(scalars.sigmoid_weight_of(q, "region"), scalars.inverse_distance_weight("l_tax")).alias("sigmoid_distance"),
+        scalars.product(scalars.draft_weight(p, q, 0.25), scalars.inverse_distance_weight("l_tax")).alias("draft_distance"), scalars.combined_weight("m", q, "l_tax", F.lit(1500.0), 2, 0.5, 0.25).alias("combined"),
     )
 
 
@@ -379,6 +421,23 @@ def f_units(t: Tables) -> DataFrame:
     )
 
 
+@query("""SELECT c_custkey, name, unit, {r:c_acctbal * CASE WHEN name ILIKE '%volume%' THEN CASE unit WHEN 'm3' THEN 1 WHEN 'kg' THEN 910 ELSE 910 / 1e12 * 1e9 END WHEN name ILIKE '%area%' THEN 1e-6 * CASE unit WHEN 'Gt' THEN 1e9 ELSE 1 END
+  WHEN name ILIKE '%flux%' OR name ILIKE '%massbal%' THEN CASE unit WHEN 'm3' THEN 1 / 910.0::DOUBLE WHEN 'kg' THEN 1 ELSE 1e-12 * 1e9 END ELSE CASE unit WHEN 'Gt' THEN 1e9 ELSE 1 END END} AS value
+FROM customer, (VALUES ('totalIceVolume'), ('groundedIceArea'), ('totalCalvingFlux'), ('totalFloatingBasalMassBal'), ('deltat')) AS n(name), (VALUES ('m3'), ('kg'), ('Gt')) AS u(unit)""")
+def f_scaled_statistics(t: Tables) -> DataFrame:
+    """Every kind of statistic in every unit; those of Gt times 1e9, so that digits are left to compare."""
+    names = t.spark.createDataFrame([(x,) for x in ("totalIceVolume", "groundedIceArea", "totalCalvingFlux", "totalFloatingBasalMassBal", "deltat")], "name string")
+    own = t.customer.select("c_custkey", "c_acctbal").crossJoin(names)
+    parts = [own.select("c_custkey", "name", F.lit(u).alias("unit"), (scalars.scaled("name", "c_acctbal", u) * (1e9 if u == "Gt" else 1.0)).alias("value")) for u in ("m3", "kg", "Gt")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT c_custkey, {r:c_acctbal} AS there_and_back, {r:c_acctbal / (1 / 3.62e14 * 910 / 1028 * 1000) / 1e12} AS volume FROM customer")
+def f_sea_level_back(t: Tables) -> DataFrame:
+    back = scalars.sea_level_to_flotation(scalars.flotation_to_sea_level("c_acctbal", 1e12), 1e12)
+    return t.customer.select("c_custkey", back.alias("there_and_back"), (scalars.sea_level_to_flotation("c_acctbal") / 1e12).alias("volume"))
+
+
 @query("""SELECT p_partkey, regexp_replace(trim(p_type), '[^A-Za-z0-9]', '', 'g') AS plain, nullif(regexp_extract(p_name || '_2015_' || p_partkey, '([0-9]{4})', 1), '')::INT AS year,
   rpad(printf('%04d-07-01_00:00:00', p_size), 64, ' ') AS stamp, p_size AS member FROM part""")
 def f_text(t: Tables) -> DataFrame:

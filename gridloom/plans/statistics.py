@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..operators import timeseries as ts
-from .base import CELL_REGION, CUBE, FIELD, RUNS, Tables, query
+from .base import CELL_REGION, CUBE, FIELD, POINTS, RUNS, Tables, query
 
 
 @query("SELECT cell, {r:avg(v)} AS v, {r:avg(draft)} AS draft FROM cube GROUP BY cell", ctes=CUBE)
@@ -167,9 +167,20 @@ def a_distinct_codes(t: Tables) -> DataFrame:
     return t.part.select("p_size").distinct()
 
 
-@query()
+# sums of sines and cosines over the steps of each series
+@query("""a AS (SELECT member, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY member) AS n, v - avg(v) OVER (PARTITION BY member) AS a FROM runs WINDOW w AS (PARTITION BY member ORDER BY t)),
+k AS (SELECT member, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT member, n FROM a))
+SELECT member, {r:k / n} AS frequency, {r:(pow(sum(a * cos(2 * pi() * k * i / n)), 2) + pow(sum(a * sin(2 * pi() * k * i / n)), 2)) / n / 1e6} AS power FROM a JOIN k USING (member, n) GROUP BY member, k, n""", ctes=RUNS)
 def a_power_spectrum(t: Tables) -> DataFrame:
-    return stats.power_spectrum(t.runs, "member", "t", "v")
+    return stats.power_spectrum(t.runs, "member", "t", "v").withColumn("power", F.col("power") / 1e6)
+
+
+@query("""p AS (SELECT member, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY member) AS n, v FROM runs WINDOW w AS (PARTITION BY member ORDER BY t)),
+h AS (SELECT member, i // 32 AS piece, i % 32 AS j, v * (0.5 - 0.5 * cos(2 * pi() * (i % 32) / 31)) AS a FROM p WHERE i < n // 32 * 32 OR n < 32),
+k AS (SELECT member, piece, k, pow(sum(a * cos(2 * pi() * k * j / 32)), 2) + pow(sum(a * sin(2 * pi() * k * j / 32)), 2) AS power FROM h, (SELECT unnest(range(0, 17)) AS k) GROUP BY ALL)
+SELECT member, {r:k / 16.0} AS frequency, {r:avg(power) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END / (2.0 * (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * j / 31), 2)) FROM (SELECT unnest(range(0, 32)) AS j))) / 1e6} AS power FROM k GROUP BY member, k""", ctes=RUNS)
+def a_mean_spectrum(t: Tables) -> DataFrame:
+    return stats.mean_spectrum(t.runs, "member", "t", "v", 32).withColumn("power", F.col("power") / 1e6)
 
 
 @query("""a AS (SELECT member, t, v - avg(v) OVER (PARTITION BY member) AS a FROM runs),
@@ -200,6 +211,6 @@ def o_every_nth(t: Tables) -> DataFrame:
     return stats.every_nth(t.supplier, "s_nationkey", "s_suppkey", 3).select("s_nationkey", "s_suppkey")
 
 
-@query()
+@query("""SELECT region, point, {r:draft} AS draft, {r:melt} AS melt FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY md5(point::VARCHAR)) AS k FROM points) WHERE k <= 200""", ctes=POINTS)
 def o_sample_points(t: Tables) -> DataFrame:
-    return stats.sample_per_key(t.points, "region", F.xxhash64("point"), 2000)
+    return stats.sample_per_key(t.points, "region", F.md5(F.col("point").cast("string")), 200)

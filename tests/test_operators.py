@@ -178,6 +178,103 @@ def test_shelf_parameters_find_the_planted_law(spark):
     assert not got["few"].is_meaningful
 
 
+def brute_curve(d, m, n_bins, least):
+    edges = np.linspace(d.min(), d.max(), n_bins + 1)
+    at = np.digitize(d, edges) - 1
+    own = [i for i in range(n_bins) if (at == i).sum() >= least]
+    return np.array([d[at == i].mean() for i in own]), np.array([m[at == i].mean() for i in own])
+
+
+def brute_break(draft, melt, method):
+    """The draft before the one break by least squares, at multiples of five bins; the median without one."""
+    n, sse = len(melt), lambda a, b: ((melt[a:b] - melt[a:b].mean()) ** 2).sum()
+    if method == "binseg":
+        found = [(sse(0, n) - sse(0, k) - sse(k, n), k) for k in range(0, n, 5) if k >= 2 and n - k >= 2]
+    else:
+        gain = [(sse(k - 2, k + 2) - sse(k - 2, k) - sse(k, k + 2), k) for k in range(0, n, 5) if 2 <= k < n - 2]
+        found = [g for i, g in enumerate(gain) if g[0] > gain[i - 1][0] and g[0] > gain[(i + 1) % len(gain)][0]]
+    return draft[max(found)[1] - 1] if found else np.median(draft)
+
+
+def test_thresholds_match_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for k in range(8):
+        d = rng.uniform(0, 100, 600)
+        m = np.where(d < 20 + 8 * k, 1.0, 4.0 if k % 2 else 1 + 0.1 * (d - 20 - 8 * k)) + rng.normal(0, 0.3, 600)
+        rows += [(k, float(a), float(b)) for a, b in zip(d, m)]
+        for method in ("binseg", "window"):
+            want[k, method] = brute_break(*brute_curve(d, m, 30, 5), method)
+    rows += [(99, float(i), 1.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "region int, draft double, melt double")
+    bins = regress.binned(df, "region", "draft", "melt", 30, 5)
+    for method in ("binseg", "window"):
+        got = {r.region: r.threshold for r in regress.thresholds(bins.unionByName(bins.filter("region = 0 AND bin < 9").withColumn("region", F.lit(50))), "region", method).collect()}
+        assert got.pop(50) is None  # fewer than ten bins
+        assert all(abs(got[k] - want[k, method]) < 1e-9 for k in range(8)) and len(got) == 8
+    step = spark.createDataFrame([(1, i, float(i), 0.0 if i < 20 else 5.0) for i in range(40)], "region int, bin int, draft double, melt double")
+    flat = step.withColumn("melt", F.lit(1.0))
+    for method in ("pelt", "binseg", "window"):
+        assert regress.thresholds(step, "region", method).first().threshold == 19.0  # the last bin before the break
+    assert regress.thresholds(flat, "region", "window").first().threshold == 19.5  # no peak: the median
+    with pytest.raises(ValueError):
+        regress.thresholds(flat, "region", "other")
+
+
+def test_knees_of_known_curves(spark):
+    rows = [("bend", x / 10, max(x / 10 - 60, 0.0) ** 2) for x in range(1000)] + [("few", float(i), 1.0) for i in range(9)] + [("steep", x / 10, 0.0 if x < 300 else 50.0 * (x / 10 - 30)) for x in range(1000)]
+    df = spark.createDataFrame(rows, "region string, draft double, melt double")
+    plain = {r.region: r.knee for r in regress.knees(df, "region", "draft", "melt").collect()}
+    assert plain["few"] == 1000.0 and abs(plain["steep"] - 30) < 3 and plain["bend"] > 60
+    smooth = {r.region: r.knee for r in regress.knees(df, "region", "draft", "melt", smooth=True, low=35.0, high=70.0).collect()}
+    assert smooth["few"] == 1000.0 and smooth["steep"] == 35.0 and 60 < smooth["bend"] <= 70
+    some = df.filter("region = 'bend' AND draft IN (0.0, 30.0, 60.0, 99.9)").unionByName(df.filter("region = 'bend' AND draft < 1"))
+    assert regress.knees(some, "region", "draft", "melt", smooth=True).first().knee == 1000.0  # fewer than five bins of over three points
+    w = {(r.region, r.draft): r.w for r in regress.with_dynamic_threshold(df.unionByName(spark.createDataFrame([("steep", None, 1.0)], df.schema)), "region", "draft", "melt").collect()}
+    assert w["steep", 20.0] == 0.0 and w["steep", 40.0] == 1.0 and w["few", 8.0] == 0.0 and w["steep", None] is None
+
+
+def test_a_sweep_is_the_chain_of_every_set(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(4):
+        d = rng.uniform(0, 500, 900)
+        rows += [(f"r{k}", float(a), float(b)) for a, b in zip(d, np.where(d < 150 + 50 * k, 2.0, 2 + 0.03 * (d - 150 - 50 * k)) + rng.normal(0, 0.5 + 3 * (k == 3), 900))]
+    rows += [("few", float(i), float(i)) for i in range(12)] + [("r0", None, 1.0), ("r1", 3.0, None)]
+    df = spark.createDataFrame(rows, "region string, draft double, melt double")
+    sets = [("a", 0.1, 0.2, 1.0, 50, 5), ("b", 0.3, 0.5, 0.5, 30, 3), ("c", 0.9, 0.9, 2.0, 40, 5)]
+    got = {(r.set_name, r.region): r for r in regress.sweep(df, spark.createDataFrame(sets, "set_name string, min_r2 double, min_corr double, penalty double, n_bins int, min_points int"), "region", "draft", "melt").collect()}
+    assert len(got) == 15
+    for name, r2, corr, penalty, n_bins, least in sets:
+        for r in regress.shelf_parameters(df, "region", "draft", "melt", min_r2=r2, min_corr=corr, penalty=penalty, n_bins=n_bins, min_points=least).collect():
+            own = got[name, r.region]
+            assert own.is_meaningful == r.is_meaningful and own.paramType == r.paramType
+            assert all(abs(own[c] - r[c]) < 1e-7 * max(1, abs(r[c])) for c in ("minDraft", "constantValue", "alpha0", "alpha1"))
+
+
+def test_weights_of_a_piecewise_fit_are_repeats(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", float(x), float(y), int(k)) for x, y, k in zip(rng.uniform(0, 50, 200), rng.normal(3, 1, 200), rng.integers(0, 4, 200))]
+    df = spark.createDataFrame(rows, "region string, draft double, melt double, k int")
+    at = spark.createDataFrame([("a", 20.0)], "region string, threshold double")
+    weighted = regress.piecewise_fit(df, at, "region", "draft", "melt", weight="k").first()
+    plain = regress.piecewise_fit(df.filter("k > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k")))), at, "region", "draft", "melt").first()
+    assert all(abs(weighted[c] - plain[c]) < 1e-9 for c in ("shallow_mean", "slope", "intercept"))
+    with pytest.raises(ValueError):
+        regress.chosen(df, at, "region", "draft", "melt", "other")
+
+
+def test_presets_and_logics_are_known(spark):
+    df = spark.createDataFrame([("a", float(i), 2.0 * i) for i in range(60)], "region string, draft double, melt double")
+    best = regress.assess(df, "region", "draft", "melt", regress.Assessment(use_correlation=True, use_mse=True, logic="weighted")).first()
+    assert best.category == "excellent" and best.is_meaningful and best.nmse == 0.0
+    assert regress.assess(df.limit(10), "region", "draft", "melt").first().category == "insufficient_data"
+    with pytest.raises(ValueError):
+        regress.assess(df, "region", "draft", "melt", "other")
+    with pytest.raises(ValueError):
+        regress.assess(df, "region", "draft", "melt", regress.Assessment(logic="other"))
+
+
 def test_missing_policies_differ(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", None, 7.0), ("a", 3.0, None)], "region string, draft double, melt double")
     assert regress.draft_regression(df, "region", "draft", "melt").first().n == 2
@@ -204,7 +301,7 @@ def test_merging(spark):
     with pytest.raises(ValueError):
         regions.merge_no_conflicts(equal.unionByName(spark.createDataFrame([(1, 6.0)], "cell int, v double")), "cell", "v")
     names = spark.createDataFrame([("b",), ("a",), ("c",)], "name string")
-    assert [r.name for r in regions.listed_then_alphabetical(names, ["c"]).orderBy(F.desc("priority")).collect()] == ["c", "a", "b"]
+    assert [r.name for r in regions.listed_then_alphabetical(names, ["c"]).orderBy("priority").collect()] == ["c", "a", "b"]
 
 
 def test_filling_keeps_valid_cells_and_takes_the_nearest(spark):
@@ -271,6 +368,62 @@ def test_loadings_are_orthonormal(spark):
     assert abs(sum(ratio) - 1) < 1e-9 and ratio == sorted(ratio, reverse=True)
 
 
+def test_gaps_are_told(spark):
+    cube = spark.createDataFrame([(c, t, float(c * t + t * t)) for c in range(4) for t in range(5) if (c, t) != (2, 3)], "cell int, t int, v double")
+    with pytest.raises(ValueError, match="1 of 4 cells"):
+        generator.eof(cube, "cell", "t", "v")
+    assert generator.eof(cube, "cell", "t", "v", drop_gaps=True)[0].select("cell").distinct().count() == 3
+
+
+def test_realisations_add_moments_and_season(spark):
+    rng = np.random.default_rng(10)
+    cells, steps = 700, 9  # more cells than a block has
+    cube = spark.createDataFrame([(c, t, float(v)) for (c, t), v in np.ndenumerate(rng.normal(size=(cells, steps)))], "cell int, t int, v double")
+    z = ts.normalise(cube, "cell", "v", "z")
+    loadings, scores, _ = generator.eof(z.select("cell", "t", "z"), "cell", "t", "z")
+    season = cube.filter("NOT (cell = 3 AND t = 2)").select("cell", "t", (F.col("t") * 100.0).alias("s"))
+    own = scores.withColumn("realization", F.lit(0))
+    got = generator.realisations(loadings, own, z.select("cell", "v_mean", "v_std").distinct(), season, "cell", "t", "v_mean", "v_std", "s")
+    both = got.join(cube, ["cell", "t"])
+    assert got.count() == cells * steps - 1 and both.filter(F.abs(F.col("value") - F.col("v") - F.col("t") * 100) > 1e-8).count() == 0
+
+
+def test_every_nth_of_a_large_key(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END k", "id", "1 __n")
+    got = {(r.k, r.id) for r in stats.every_nth(df, "k", "id", 7).collect()}
+    order = {k: sorted(i for i in range(5000) if (i % 10 == 0) == (k == "b")) for k in "ab"}
+    assert got == {(k, i) for k, v in order.items() for i in v[::7]}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from gridloom.sources import shared
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077", "getConf": staticmethod(lambda: Cluster.conf)})
+
+    with pytest.raises(ValueError):
+        shared.checkpoint_dir(Cluster)
+
+
+def test_stored_tables_can_be_forgotten(spark, synthetic):
+    import os
+
+    from gridloom.sources import shared
+
+    held = shared.stored(synthetic, "test")
+    assert held.count() == 288 and os.path.isdir(held._stored_in)
+    shared.forgotten(held, synthetic)
+    assert not os.path.isdir(held._stored_in)
+
+
+def test_unknown_names_are_refused(spark):
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    subset.require_known(names.limit(1), names, "name")
+    with pytest.raises(ValueError):
+        subset.require_known(spark.createDataFrame([("c",)], "name string"), names, "name")
+
+
 def test_polygons_and_run_specs(spark, tmp_path):
     path = tmp_path / "r.geojson"
     path.write_text('{"type":"FeatureCollection","features":[{"properties":{"name":"A"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}},{"properties":{"name":"B"},"geometry":{"type":"MultiPolygon","coordinates":[[[[2,2],[3,2],[3,3],[2,2]]],[[[5,5],[6,5],[6,6],[5,5]]]]}}]}')
