@@ -11,7 +11,7 @@ from ..operators import fill, generator, regions, regress, stats, subset
 from ..operators import timeseries as ts
 from ..sources.shared import stored
 from ..streaming import means
-from .base import CUBE, Tables, query
+from .base import CELL_REGION, CUBE, Tables, query
 from .series import whole
 
 
@@ -60,25 +60,25 @@ def analyse_regions(points: DataFrame, key: str, draft: str, melt: str, rule: st
     return gate.select(key, "n", "correlation", "r2", "is_meaningful", "category", "confidence", "draft_range").join(at.select(key, "melt_range"), key).join(fits, key).join(skill, key, "left")
 
 
-def apply_to_members(base: DataFrame, trends: DataFrame, member: str, cell: str, t: str, v: str, start: int) -> tuple[DataFrame, DataFrame]:
-    """Every member's forcing with its trend added from ``start`` on, and (member, ok): whether both have the same steps from
-    there. Members that do not are left out."""
-    a = base.filter(F.col(t) >= start).groupBy(member).agg(F.count_distinct(t).alias("a"))
-    b = trends.groupBy(member).agg(F.count_distinct(t).alias("b"))
-    state = a.join(b, member, "full").select(member, F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("ok"))
-    good = state.filter("ok").select(member)
-    moved = trends.join(good, member, "left_semi").select(member, cell, (F.col(t) + start).alias(t), F.col(v).alias("__x"))
-    joined = base.join(good, member, "left_semi").join(moved, [member, cell, t], "left")
-    return joined.withColumn(v, F.when(F.col(t) >= start, F.col(v) + F.col("__x")).otherwise(F.col(v))).drop("__x"), state
-
-
 def _grid(t: Tables) -> tuple[DataFrame, DataFrame]:
     bridge = t.supplier.select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("region_id"))
     grid = t.supplier.select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") % 10).cast("int").alias("ix"), F.floor(F.col("s_suppkey") / 10).cast("int").alias("iy"))
     return bridge, grid
 
 
-@query()
+# the trend and season of each cell, the fit of the cells' means on draft per region, and the nearest cell of the region for gaps
+_COMPONENTS = """own AS (SELECT cell, t, month, draft, v - coalesce(regr_slope(v, t) OVER c * (t - regr_avgx(v, t) OVER c), 0) AS d FROM cube WHERE t BETWEEN 40 AND 111 WINDOW c AS (PARTITION BY cell)),
+flat AS (SELECT *, d - avg(d) OVER (PARTITION BY cell, month) + avg(d) OVER (PARTITION BY cell) AS s FROM own),
+mean AS (SELECT cell, first(region) AS region, avg(s) AS s, avg(draft) AS draft FROM flat JOIN cell_region USING (cell) GROUP BY 1),
+line AS (SELECT region, regr_slope(s, draft) AS a, regr_intercept(s, draft) AS b FROM mean GROUP BY 1),
+part AS (SELECT m.region, f.cell, t, d - f.s AS seasonality, f.s - coalesce(a * m.draft + b, 0) AS variability FROM flat f JOIN mean m USING (cell) JOIN line USING (region)),
+place AS (SELECT s_suppkey AS cell, s_nationkey AS region, (s_suppkey % 10)::INT AS ix, (s_suppkey // 10)::INT AS iy FROM supplier),
+gap AS (SELECT p.*, x.t FROM place p JOIN (SELECT DISTINCT region, t FROM part) x USING (region) ANTI JOIN part q ON q.cell = p.cell AND q.t = x.t),
+source AS (SELECT g.cell, g.t, g.region, arg_min(p.cell, (pow(g.ix - p.ix, 2) + pow(g.iy - p.iy, 2), p.iy, p.ix)) AS source FROM gap g JOIN part q ON q.region = g.region AND q.t = g.t JOIN place p ON p.cell = q.cell GROUP BY ALL)"""
+
+
+@query("""SELECT region AS region_id, cell, t, {r:seasonality} AS seasonality, {r:variability} AS variability FROM part
+UNION ALL SELECT s.region, s.cell, s.t, {r:seasonality}, {r:variability} FROM source s JOIN part p ON p.cell = s.source AND p.t = s.t""", ctes=f"{CUBE}, {CELL_REGION}, {_COMPONENTS}")
 def plan_components(t: Tables) -> DataFrame:
     bridge, grid = _grid(t)
     season, vary = components(t.cube, bridge, grid, "cell", "t", "v", "draft", 40, 111)
@@ -115,7 +115,7 @@ def j_members_with_trend(t: Tables) -> DataFrame:
     trend = t.cube.filter("t >= 60").select("cell", (F.col("t") - 60).alias("t"), "v").crossJoin(members)
     last = t.cube.agg(F.max("t").alias("last"))
     trend = trend.crossJoin(last).filter("t + 80 <= last AND NOT (member = 1 AND t > 5)")
-    return apply_to_members(base, trend.select("member", "cell", "t", "v"), "member", "cell", "t", "v", 80)[0].select("cell", "member", "t", "v")
+    return ts.apply_to_members(base, trend.select("member", "cell", "t", "v"), "member", "cell", "t", "v", 80)[0].select("cell", "member", "t", "v")
 
 
 @query("SELECT l_suppkey, {r:avg(l_extendedprice)} AS mean, count(*) AS n FROM lineitem GROUP BY 1")

@@ -225,6 +225,31 @@ def r_shelf_parameters(t: Tables) -> DataFrame:
     return regress.shelf_parameters(t.bent, "region", "draft", "melt")
 
 
+# the whole chain over bends and noise, with one break by least squares
+_CHAIN = f"""{_bins(50, "both_")},
+curve AS (SELECT region, avg(draft) AS draft, avg(melt) AS y, row_number() OVER (PARTITION BY region ORDER BY bin) - 1 AS i, count(*) OVER (PARTITION BY region) AS n FROM bins WHERE bin < 50 GROUP BY region, bin HAVING count(*) >= 5),
+run AS (SELECT *, sum(y) OVER w AS s, sum(y * y) OVER w AS q, sum(y) OVER (PARTITION BY region) AS ss, sum(y * y) OVER (PARTITION BY region) AS qq FROM curve WINDOW w AS (PARTITION BY region ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+found AS (SELECT region, arg_max(i, (qq - ss * ss / n - (q - s * s / i) - (qq - q - (ss - s) * (ss - s) / (n - i)), i)) AS i FROM run WHERE i % 5 = 0 AND i >= 2 AND n - i >= 2 AND n >= 10 GROUP BY 1),
+at_ AS (SELECT f.region, c.draft AS threshold FROM found f JOIN curve c ON c.region = f.region AND c.i = f.i - 1),
+own AS (SELECT b.*, threshold FROM both_ b JOIN at_ USING (region)),
+fit AS (SELECT region, first(threshold) AS threshold, CASE WHEN count(*) FILTER (draft < threshold) >= 5 THEN avg(melt) FILTER (draft < threshold) ELSE avg(melt) END AS shallow_mean,
+  CASE WHEN count(*) FILTER (draft >= threshold) >= 5 THEN regr_slope(melt, draft) FILTER (draft >= threshold) ELSE regr_slope(melt, draft) END AS slope,
+  CASE WHEN count(*) FILTER (draft >= threshold) >= 5 THEN regr_intercept(melt, draft) FILTER (draft >= threshold) ELSE regr_intercept(melt, draft) END AS intercept FROM own GROUP BY 1),
+c AS (
+  SELECT region, sum(pow(melt - CASE WHEN draft < f.threshold THEN 0 ELSE slope * draft + intercept END, 2)) AS zero, sum(pow(melt - CASE WHEN draft < f.threshold THEN shallow_mean ELSE slope * draft + intercept END, 2)) AS mean,
+    sum(pow(melt - CASE WHEN draft < f.threshold THEN slope * f.threshold + intercept ELSE slope * draft + intercept END, 2)) AS at_, first(f.threshold) AS threshold, first(shallow_mean) AS shallow_mean, first(slope) AS slope, first(intercept) AS intercept
+  FROM both_ JOIN fit f USING (region) GROUP BY region),
+picked AS (SELECT *, CASE WHEN zero <= mean AND zero <= at_ THEN 0 WHEN mean <= at_ THEN shallow_mean ELSE slope * threshold + intercept END AS constant FROM c),
+gated AS (SELECT *, n >= 20 AND abs(correlation) >= 0.3 AND r2 >= 0.1 AS ok FROM gate)"""
+
+
+@query("""SELECT region, n, {r:correlation} AS correlation, {r:r2} AS r2, ok AS is_meaningful, {r:CASE WHEN ok THEN threshold ELSE 0 END} AS "minDraft", {r:CASE WHEN ok THEN constant ELSE melt_mean END} AS "constantValue",
+  CASE WHEN ok THEN 0 ELSE 1 END AS "paramType", {r:CASE WHEN ok THEN intercept ELSE 0 END} AS alpha0, {r:CASE WHEN ok THEN slope ELSE 0 END} AS alpha1 FROM gated LEFT JOIN picked USING (region)""", digits=6,
+       ctes=f"{BENT}, {NOISE}, both_ AS (SELECT 'b' || region AS region, draft, melt FROM bent UNION ALL SELECT 'n' || region, draft, melt FROM noise), {_GATE.format('both_')}, {_CHAIN}")
+def r_shelf_parameters_one_break(t: Tables) -> DataFrame:
+    return regress.shelf_parameters(_both(t), "region", "draft", "melt", method="binseg", noisy="mean")
+
+
 # a bend, noise, and freezing, as regions of their own
 _MIXED = """mixed AS (
   SELECT 'b' || region AS region, draft, melt FROM bent UNION ALL SELECT 'n' || region, draft, melt FROM noise UNION ALL SELECT 'f' || region, draft, -melt FROM noise WHERE draft < 30

@@ -35,7 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _store(spark: SparkSession, place: str):
+def file_system(spark: SparkSession, place: str):
     """The file system of a folder, and the folder, for Spark's own writers may be the only ones that reach it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
@@ -46,7 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and the driver keeps nothing of the plan before. The folder goes when the application ends, or when forgotten."""
     spark, place = df.sparkSession, shared_dir(df.sparkSession, name)
     df.write.parquet(place)
-    files, path = _store(spark, place)
+    files, path = file_system(spark, place)
     files.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(place)
     out._stored_in = place
@@ -57,5 +57,5 @@ def forgotten(*tables: DataFrame) -> None:
     """Deletes the folders of stored tables that nothing reads any more, such as the last round's state of a loop."""
     for df in tables:
         if place := getattr(df, "_stored_in", None):
-            files, path = _store(df.sparkSession, place)
+            files, path = file_system(df.sparkSession, place)
             files.delete(path, True)

@@ -497,10 +497,8 @@ def test_means_follow_new_files(spark, tmp_path):
 
 
 def test_members_with_other_lengths_are_left_out(spark):
-    from gridloom.plans.pipelines import apply_to_members
-
     base = spark.createDataFrame([(m, 0, t, 1.0) for m in (0, 1) for t in range(6)], "member int, cell int, t int, v double")
     trend = spark.createDataFrame([(0, 0, t, 2.0) for t in range(4)] + [(1, 0, t, 2.0) for t in range(3)], "member int, cell int, t int, v double")
-    done, state = apply_to_members(base, trend, "member", "cell", "t", "v", 2)
+    done, state = ts.apply_to_members(base, trend, "member", "cell", "t", "v", 2)
     assert {r.member: r.ok for r in state.collect()} == {0: True, 1: False}
     assert [r.v for r in done.orderBy("t").collect()] == [1.0, 1.0, 3.0, 3.0, 3.0, 3.0]
