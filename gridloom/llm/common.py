@@ -7,11 +7,20 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed, forgotten, shared_dir, stored  # noqa: F401
+from ..sources.shared import checkpointed, file_system, forgotten, shared_dir, stored  # noqa: F401
+
+
+#: A table of fewer bytes may lie in one row group, which one task reads.
+SMALL = 64 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table of documents; the rows of a small one are dealt to all cores."""
+    place = f"{sf_dir}/documents.parquet"
+    df = spark.read.parquet(place)
+    files, path = file_system(spark, place)
+    small = files.getContentSummary(path).getLength() < SMALL
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
 def parallelism(spark: SparkSession) -> int:

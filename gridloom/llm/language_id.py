@@ -2,14 +2,14 @@
 
 Texts are lower-cased; everything but letters becomes a space and spaces in a row count once. Character sequences of
 ``ORDER`` are counted per language over all learning texts but an eighth; each task sums up its own, Spark adds them. From
-these counts come, per language, the discounted counts and the back-off weights of all orders, as tables that Spark groups.
-Texts are packed into blocks; the distinct sequences of all blocks get their probabilities in each language by joins, order by
-order. Each block then asks the ranges of sequences for its own, and the answers are joined to its texts. The language of the
-lowest cross-entropy per character wins. The eighth that was held back calibrates rejection: a text is rejected if its
+these counts come, per language, the discounted counts and the back-off weights of all orders.
+Counts of up to ``BROADCAST`` bytes become sorted arrays on the driver, which go to the tasks, where sequences are searched in
+them. Larger ones stay where they are, in tables that Spark groups: texts are packed into blocks; the distinct sequences of all blocks get their probabilities in each language by joins,
+order by order; each block asks the ranges of sequences for its own, and the answers are joined to its texts. Both ways give
+the same probabilities. The language of the lowest cross-entropy per character wins. The eighth that was held back calibrates rejection: a text is rejected if its
 cross-entropy, less what chance gives a text of its length, lies above nearly all of its language's texts there by ``SLACK``.
 
-No sequence and no language is left out; no table of sequences goes to the driver, but for small ones that Spark broadcasts by
-its own size check. A sequence holds 16 bits a character: letters beyond the first 65,536 code points share 8,448 codes that no
+No sequence and no language is left out. A sequence holds 16 bits a character: letters beyond the first 65,536 code points share 8,448 codes that no
 letter has, so two of these count as one where their numbers are equal modulo 8,448, and none counts as a common letter.
 
 Defined results: null texts and texts without a letter get ``und``, score 0 and are rejected; ties go to the language that
@@ -21,7 +21,7 @@ replaced.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,10 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, documents, freed, stored, text_batches
+from .common import crc_mod, documents, forgotten, freed, parallelism, stored, text_batches
 from .textbuf import mix, pieces, trimmed
 
 ORDER = 4
+#: Bytes of the sorted arrays of all models together that are broadcast (at most 160 for each sequence of a language), and of
+#: the blocks' rows that a task takes together.
+BROADCAST, TASK = 64 << 20, 64 << 20
 #: A block of texts ends beyond so many bytes, or about so many distinct sequences.
 BLOCK, KINDS = 16 << 20, 1_000_000
 RESULTS = ("lang_pred", "score", "cross_entropy", "rejected")
@@ -120,31 +123,105 @@ def _each(values: list[float], k: Column) -> Column:
     return F.element_at(F.array(*(F.lit(float(x)) for x in values)), k + 1)
 
 
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once else 0.5
+
+
+class Arrays:
+    """The models as sorted arrays: for each language and each order from 1 the sequences with their discounted counts, and the
+    contexts with their totals and what is left to the back-off; and the probability below order 1."""
+
+    def __init__(self, k: np.ndarray, seq: np.ndarray, n: np.ndarray, langs: int):
+        self.floors: list[float] = []
+        self.models: list[list[tuple[np.ndarray, ...]]] = []
+        for i in range(langs):
+            own, times, orders = seq[k == i], n[k == i], []
+            for order in range(ORDER, 0, -1):
+                at = np.argsort(own, kind="stable")
+                own, times = own[at], times[at]
+                off = _discount(int((times == 1).sum()), int((times == 2).sum()))
+                context, begin = np.unique(own >> np.uint64(16), return_index=True)
+                kinds = np.diff(np.append(begin, len(own)))
+                orders.insert(0, (own, times - np.minimum(times, off), context, np.add.reduceat(times, begin).astype(float), off * kinds))
+                floor = 1.0 / (len(own) + 1)
+                if order > 1:  # lower orders count the characters that come before
+                    own, times = np.unique(own & np.uint64((1 << (16 * (order - 1))) - 1), return_counts=True)
+            self.models.append(orders)
+            self.floors.append(floor)
+
+    def log_probabilities(self, seqs: np.ndarray) -> np.ndarray:
+        """Of every language (sequences x languages)."""
+        out = np.empty((len(seqs), len(self.floors)), np.float32)
+        for k, (orders, floor) in enumerate(zip(self.models, self.floors, strict=True)):
+            p = np.full(len(seqs), floor)
+            for order, (keys, n, contexts, total, off) in enumerate(orders, 1):
+                own = seqs & np.uint64((1 << (16 * order)) - 1)
+                i, known = self._find(keys, own)
+                j, has = self._find(contexts, own >> np.uint64(16))
+                p = np.where(has, (np.where(known, n[i], 0.0) + off[j] * p) / total[j], p)
+            out[:, k] = np.log(p)
+        return out
+
+    @staticmethod
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
+
+
+class Memo:
+    """Log probabilities of the sequences that a task has met, at most ``KINDS`` of them."""
+
+    def __init__(self, arrays: Arrays):
+        self.arrays, self.seqs = arrays, np.zeros(0, np.uint64)
+        self.values = np.zeros((0, len(arrays.floors)), np.float32)
+
+    def __call__(self, own: np.ndarray) -> np.ndarray:
+        """own: sorted distinct sequences."""
+        at = np.minimum(np.searchsorted(self.seqs, own), max(0, len(self.seqs) - 1))
+        new = own[self.seqs[at] != own] if len(self.seqs) else own
+        if len(new):
+            if len(self.seqs) + len(new) > KINDS:
+                self.seqs, self.values, new = self.seqs[:0], self.values[:0], own
+            both = np.concatenate([self.seqs, new])
+            order = np.argsort(both, kind="stable")
+            self.seqs, self.values = both[order], np.concatenate([self.values, self.arrays.log_probabilities(new)])[order]
+        return self.values[np.searchsorted(self.seqs, own)]
+
+
 @dataclass
 class Model:
-    """Languages in order of name; for each order from 1 the tables (k, seq, own) of discounted counts and (k, context, total,
-    off) of what they are divided by and what is left to the back-off, k being the language's place; the probability below
-    order 1; and the cross-entropy above which a text is rejected."""
+    """Languages in order of name, and the cross-entropy above which a text is rejected in each. The models themselves are sorted
+    arrays, or else for each order from 1 the tables (k, seq, own) of discounted counts and (k, context, total, off) of what they
+    are divided by and what is left to the back-off, k being the language's place, and the probability below order 1; ``stored_``:
+    the written tables that these read."""
 
     langs: list[str]
+    arrays: Arrays | None = None
     orders: list[tuple[DataFrame, DataFrame]] = field(default_factory=list)
     floors: list[float] = field(default_factory=list)
     limits: list[float] = field(default_factory=list)
+    stored_: list[DataFrame] = field(default_factory=list)
 
 
-def build(counts: DataFrame) -> Model:
+def build(counts: DataFrame, broadcast: int | None = None) -> Model:
     """The models from all of (lang, seq, n)."""
     counts = stored(counts, "language-counts")
-    model = Model(sorted(r.lang for r in counts.select("lang").distinct().collect()))
+    kinds = {r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}  # a row a language
+    model = Model(sorted(kinds), stored_=[counts])
     if not model.langs:
         return model
     now = counts.select((F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")) - 1).cast("int").alias("k"), "seq", "n")
+    if sum(kinds.values()) * 160 <= (BROADCAST if broadcast is None else broadcast):
+        table = now.toArrow()
+        model.arrays = Arrays(table.column("k").to_numpy(), table.column("seq").to_numpy().view(np.uint64), table.column("n").to_numpy(), len(model.langs))
+        return model
     for order in range(ORDER, 0, -1):
         if order < ORDER:  # lower orders count the characters that come before
             now = stored(now.groupBy("k", _low(F.col("seq"), order).alias("seq")).agg(F.count("*").alias("n")), "language-counts")
+            model.stored_.append(now)
         few = {r.k: r for r in now.groupBy("k").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count("*").alias("kinds")).collect()}  # a row a language
         few = [few[k] for k in range(len(model.langs))]
-        off = _each([r.once / (r.once + 2 * r.twice) if r.once else 0.5 for r in few], F.col("k"))
+        off = _each([_discount(r.once, r.twice) for r in few], F.col("k"))
         seen = now.select("k", "seq", (F.col("n") - F.least(F.col("n").cast("double"), off)).alias("own"))
         context = now.groupBy("k", F.shiftrightunsigned("seq", 16).alias("context")).agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("kinds"))
         model.orders.insert(0, (seen, context.select("k", "context", "total", (off * F.col("kinds")).alias("off"))))
@@ -195,7 +272,9 @@ def probabilities(wanted: DataFrame, model: Model) -> DataFrame:
         else:
             asked = asked.withColumn("lower", _low(F.col("seq"), order - 1)).join(lower.select("k", F.col("seq").alias("lower"), F.col("p").alias("less")), ["k", "lower"])
         p = F.when(F.col("total").isNull(), F.col("less")).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("off") * F.col("less")) / F.col("total"))
-        lower = stored(asked.select("k", "seq", p.alias("p")), "language-probabilities")
+        before, lower = lower, stored(asked.select("k", "seq", p.alias("p")), "language-probabilities")
+        if before is not None:
+            forgotten(before)
     return lower
 
 
@@ -228,7 +307,8 @@ def answered(blocks: DataFrame, model: Model) -> tuple[DataFrame, int]:
     asked = blocks.agg(F.sum(F.length("seqs") / 8)).first()[0] or 0
     langs = len(model.langs)
     ranges = _ranges(int(max(wanted.count() * langs / 500_000, asked * langs / 4_000_000)))
-    known = probabilities(wanted, model).select(F.pmod("seq", F.lit(ranges)).cast("int").alias("part"), "k", "seq", F.log("p").cast("float").alias("p"))
+    table = probabilities(wanted, model)
+    known = table.select(F.pmod("seq", F.lit(ranges)).cast("int").alias("part"), "k", "seq", F.log("p").cast("float").alias("p"))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,35 +329,40 @@ def answered(blocks: DataFrame, model: Model) -> tuple[DataFrame, int]:
 
     requests = blocks.select("block", "seqs").mapInArrow(trimmed(dealt), "block long, part int, seqs binary")
     out = known.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(looked_up, "block long, part int, values binary")
-    return stored(out, "language-answers"), ranges
+    out = stored(out, "language-answers")
+    forgotten(wanted, table)
+    return out, ranges
 
 
-def found(blocks: DataFrame, answers: tuple[DataFrame, int], model: Model, schema: T.StructType, text_col: str, prefix: str = "", drop: bool = False) -> DataFrame:
-    """The blocks' rows (of ``schema``) with lang_pred, score, cross_entropy (null for und), rejected and letters, each name
-    after ``prefix``; ``drop``: without the text."""
-    table, ranges = answers
-    langs, limits = model.langs, np.array(model.limits or [np.inf] * len(model.langs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                seqs = np.frombuffer(batch.column("seqs")[i].as_buffer(), np.uint64)
-                values = np.zeros((len(seqs), len(langs)), np.float32)
-                part = seqs.view(np.int64) % ranges
-                by_part = np.argsort(part, kind="stable")
-                border = np.searchsorted(part[by_part], np.arange(ranges + 1))
-                for answer in batch.column("answers")[i].values if batch.column("answers")[i].is_valid else ():
-                    own = by_part[border[answer["part"].as_py()] : border[answer["part"].as_py() + 1]]
-                    values[own] = np.frombuffer(answer["values"].as_buffer(), np.float32).reshape(-1, len(langs))
-                for rows in pa.ipc.open_stream(batch.column("rows")[i].as_buffer()):
-                    for piece in pieces(rows, text_col, 1 << 19):
-                        yield judged(piece, seqs, values)
+@dataclass
+class Judge:
+    """Gives rows of ``schema`` their lang_pred, score, cross_entropy (null for und), rejected and letters, each name after
+    ``prefix``; ``drop``: without the text."""
 
-    def judged(part: pa.RecordBatch, seqs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        seq, row = sequences(part.column(text_col).to_pylist())
+    langs: list[str]
+    limits: list[float]
+    schema: T.StructType
+    text_col: str
+    prefix: str
+    drop: bool
+
+    def __post_init__(self):
+        self.rest = [x for x in self.schema.fields if not (self.drop and x.name == self.text_col)]
+        self.names = [f"{self.prefix}{x}" for x in (*RESULTS, "letters")]
+        kinds = [T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType(), T.LongType()]
+        self.out = T.StructType([*self.rest, *(T.StructField(a, b) for a, b in zip(self.names, kinds, strict=True))])
+
+    def __call__(self, rows: pa.RecordBatch, lookup: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """``lookup``: log probabilities (sequences x languages) of sorted distinct sequences."""
+        for piece in pieces(rows, self.text_col, 1 << 19):
+            yield self.judged(piece, lookup)
+
+    def judged(self, part: pa.RecordBatch, lookup: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        langs, limits = self.langs, np.array(self.limits or [np.inf] * len(self.langs))
+        seq, row = sequences(part.column(self.text_col).to_pylist())
         n = np.bincount(row, minlength=part.num_rows)
         own, at = np.unique(seq, return_inverse=True)
-        own = values[np.searchsorted(seqs, own)].astype(np.float64)
+        own = lookup(own).astype(np.float64)
         entropy = np.full((part.num_rows, len(langs)), np.inf)
         for k in range(len(langs)):
             np.divide(np.bincount(row, weights=-own[:, k][at], minlength=part.num_rows), n, out=entropy[:, k], where=n > 0)
@@ -288,14 +373,51 @@ def found(blocks: DataFrame, answers: tuple[DataFrame, int], model: Model, schem
         over = ~good | (low - CHANCE / np.sqrt(np.maximum(n, 1)) > limits[best])
         pred = [langs[b] if g else UNKNOWN for b, g in zip(best.tolist(), good.tolist(), strict=True)]
         new = [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(low, from_pandas=True), pa.array(over), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays([*(part.column(x.name) for x in rest), *new], names=[*(x.name for x in rest), *names])
+        return pa.RecordBatch.from_arrays([*(part.column(x.name) for x in self.rest), *new], names=[*(x.name for x in self.rest), *self.names])
+
+
+def in_blocks(df: DataFrame, model: Model, judge: Judge) -> DataFrame:
+    """df judged with a model of any size."""
+    blocks = packed(df, judge.text_col)
+    table, ranges = answered(blocks, model)
+    langs = len(model.langs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                seqs = np.frombuffer(batch.column("seqs")[i].as_buffer(), np.uint64)
+                values = np.zeros((len(seqs), langs), np.float32)
+                part = seqs.view(np.int64) % ranges
+                by_part = np.argsort(part, kind="stable")
+                border = np.searchsorted(part[by_part], np.arange(ranges + 1))
+                for answer in batch.column("answers")[i].values if batch.column("answers")[i].is_valid else ():
+                    own = by_part[border[answer["part"].as_py()] : border[answer["part"].as_py() + 1]]
+                    values[own] = np.frombuffer(answer["values"].as_buffer(), np.float32).reshape(-1, langs)
+                lookup = lambda own, seqs=seqs, values=values: values[np.searchsorted(seqs, own)]
+                for rows in pa.ipc.open_stream(batch.column("rows")[i].as_buffer()):
+                    yield from judge(rows, lookup)
+
+    size = blocks.agg(F.coalesce(F.sum(F.length("rows")), F.lit(0))).first()[0]
+    n = max(parallelism(df.sparkSession), 1 + size // TASK)
+    lists = table.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias("answers"))
+    joined = blocks.repartition(n, "block").join(lists, "block", "left").select("seqs", "rows", "answers")
+    return joined.mapInArrow(trimmed(run), judge.out)
+
+
+def found(df: DataFrame, model: Model, text_col: str, prefix: str = "", drop: bool = False) -> DataFrame:
+    """df with lang_pred, score, cross_entropy (null for und), rejected and letters, each name after ``prefix``; ``drop``: without
+    the text."""
+    judge = Judge(model.langs, model.limits, df.schema, text_col, prefix, drop)
+    if model.arrays is None:
+        return in_blocks(df, model, judge)
+    held = df.sparkSession.sparkContext.broadcast(model.arrays)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(held.value)
+        for batch in batches:
+            yield from judge(batch, memo)
 
-    kinds = [T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType(), T.LongType()]
-    names = [f"{prefix}{x}" for x in (*RESULTS, "letters")]
-    rest = [x for x in schema.fields if not (drop and x.name == text_col)]
-    lists = table.groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias("answers"))
-    joined = blocks.join(lists, "block", "left").select("seqs", "rows", "answers")
-    return joined.mapInArrow(trimmed(run), T.StructType([*rest, *(T.StructField(a, b) for a, b in zip(names, kinds, strict=True))]))
+    return df.mapInArrow(trimmed(run), judge.out)
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -305,8 +427,7 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", prefix: str = ""
     if not model.langs:
         return df.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(None).cast("double"), F.lit(True)), strict=True)))
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}  # results get no name of theirs
-    blocks = packed(df.toDF(*place.values()), place[text_col])
-    out = found(blocks, answered(blocks, model), model, df.toDF(*place.values()).schema, place[text_col], "__")
+    out = found(df.toDF(*place.values()), model, place[text_col], "__")
     return out.select(*(F.col(x).alias(c) for c, x in place.items()), *(F.col(f"__{x}").alias(n) for x, n in zip(RESULTS, names, strict=True)))
 
 
@@ -330,8 +451,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     model = build(count_sequences(own.filter(counts_in_models(F.col("text"))), "text", "lang"))
     if model.langs:
         rows = own.filter(~counts_in_models(F.col("text"))).select("text", F.length("text").alias("size"))
-        blocks = packed(rows, "text")
-        model.limits = _limits(found(blocks, answered(blocks, model), model, rows.schema, "text", "__", drop=True), model.langs)
+        model.limits = _limits(found(rows, model, "text", "__", drop=True), model.langs)
     return model
 
 
@@ -341,7 +461,7 @@ def learns(id_col: Column) -> Column:
 
 
 def _known(docs: DataFrame, text_col: str, lang_col: str, learning: Column, drop: bool) -> tuple[Model, DataFrame] | None:
-    """The model, and all rows' results (with the text unless ``drop``), from one packing; the rows get ``learning`` (2 for texts
+    """The model, and all rows' results (with the text unless ``drop``), judged once; the rows get ``learning`` (2 for texts
     that are counted, 1 for those held back, else 0) and ``size``."""
     part = F.when(learning & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull(), F.when(counts_in_models(F.col(text_col)), 2).otherwise(1)).otherwise(0)
     own = docs.withColumns({"learning": part, "size": F.length(text_col)})
@@ -349,8 +469,8 @@ def _known(docs: DataFrame, text_col: str, lang_col: str, learning: Column, drop
     model = build(count_sequences(own.filter("learning = 2"), text_col, lang_col))
     if not model.langs:
         return None
-    blocks = packed(own, text_col)
-    results = stored(found(blocks, answered(blocks, model), model, own.schema, text_col, "__", drop), "language-results")
+    results = stored(found(own, model, text_col, "__", drop), "language-results")
+    forgotten(*model.stored_)
     model.limits = _limits(results.filter("learning = 1"), model.langs)
     return model, results
 

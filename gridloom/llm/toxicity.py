@@ -9,7 +9,7 @@ labelled texts that may be learnt from.
 Bounds: of at most ``POSITIVES`` toxic and about ``UNLABELLED`` texts of all, chosen by a hash of their ids, the candidate words
 (hashes, at most ``WORDS``) go to the driver for the fit. Candidate words and their positive counts come from these toxic texts
 only, where they must occur ``LEAST`` times, ``RATIO`` times as often as in all texts that may be learnt from, and with a
-``SURPRISE`` that chance does not give. Of rows that repeat an id one is learnt from.
+``SURPRISE`` that chance does not give (less where there are few candidates). Of rows that repeat an id one is learnt from.
 
 Defined results: null and empty texts have no words and get the score of a text without any known word; rows that repeat
 an id each get their score; without positives every score is near 0; other columns stay, but those
@@ -32,8 +32,9 @@ from .textbuf import LOWER, NOT_ALNUM, pieces, spans_hash, texts_of, words
 
 POSITIVES, UNLABELLED = 8_000, 24_000
 #: Words: least positives with it, least ratio of its share among positives to its share among all, least surprise (twice
-#: the log likelihood ratio of a Poisson count) so that few words get in by chance, at most so many.
-LEAST, RATIO, SURPRISE, WORDS = 5, 1.5, 15.0, 50_000
+#: the log likelihood ratio of a Poisson count) so that few words get in by chance, at most so many. Of k candidate words
+#: about one gets in by chance at a surprise of 2 log k, so that is enough where there are few.
+LEAST, RATIO, SURPRISE, WORDS = 3, 1.5, 15.0, 50_000
 #: Slices of the words whose counts are summed apart.
 SLICES = 16
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         ratio = n / expected
         surprise = 2 * (n * np.log(ratio) - (n - expected))
         best = np.argsort(-surprise, kind="stable")[:WORDS]
-        h = np.sort(h[best[(ratio[best] >= RATIO) & (surprise[best] >= SURPRISE)]])
+        h = np.sort(h[best[(ratio[best] >= RATIO) & (surprise[best] >= min(SURPRISE, 2 * np.log(len(h))))]])
     else:
         rows = own.count()
     if not len(h):

@@ -452,16 +452,33 @@ def test_probabilities_in_tables_are_those_of_the_definition(spark, docs):
     long = " ".join(r.text for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(4).collect())[:3000]
     texts = [("d", long), ("a", "abba baab, a banana bandana"), ("a", "cab abaca"), ("b", "日本語の文章です 日本"), ("c", "x")]
     df = spark.createDataFrame(texts, "lang string, text string")
-    model = language_id.build(language_id.count_sequences(df, "text", "lang"))
+    counts = language_id.count_sequences(df, "text", "lang")
+    model, small = language_id.build(counts, broadcast=0), language_id.build(counts)
     asked = np.unique(language_id.sequences([t for _, t in texts] + ["bandit 日語 x zz"])[0])
     wanted = spark.createDataFrame([(int(x),) for x in asked.view(np.int64)], "seq long")
     got = {(r.k, r.seq): r.p for r in language_id.probabilities(wanted, model).collect()}
     assert len(got) == 4 * len(asked)
     for k, lang in enumerate(model.langs):
         p = brute_models([t for x, t in texts if x == lang])
+        assert np.allclose(np.exp(small.arrays.log_probabilities(asked))[:, k], [p(characters(x)) for x in asked], rtol=1e-5, atol=1e-9)
         assert np.allclose([got[k, int(x)] for x in asked.view(np.int64)], [p(characters(x)) for x in asked], atol=1e-9)
 
 
+def test_both_ways_of_scoring_give_the_same(spark, odd, docs, monkeypatch):
+    rows = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    found = []
+    for broadcast in (64 << 20, 0):
+        monkeypatch.setattr(language_id, "BROADCAST", broadcast)
+        model = language_id.train(docs)
+        assert (model.arrays is None) == (broadcast == 0)
+        found.append({(r.doc_id, i): r for r, i in zip(language_id.scored(rows, model).orderBy("doc_id", "text").collect(), range(10**6))})
+    assert len(found[0]) == rows.count()
+    for key, a in found[0].items():
+        b = found[1][key]
+        assert (a.lang_pred, a.rejected) == (b.lang_pred, b.rejected) and abs(a.score - b.score) < 1e-5 and (a.cross_entropy is None) == (b.cross_entropy is None)
+        assert a.cross_entropy is None or abs(a.cross_entropy - b.cross_entropy) < 1e-5
+
+
 def test_languages_of_odd_rows(spark, odd, empty, docs):
     model = language_id.train(docs)
     got = {r.doc_id: r for r in language_id.scored(odd, model).collect()}
