@@ -213,9 +213,10 @@ def add_over_window(base: DataFrame, extra: DataFrame, key: Key, t: str, v: str,
     if length is not None:
         inside = inside & (F.col(t) < base_start + length)
         moved = moved.filter(F.col(t) < base_start + length)
-    a, b = base.filter(inside).select(t).distinct().count(), moved.select(t).distinct().count()
-    if a != b:
-        raise ValueError(f"the window has {a} steps in one series and {b} in the other")
+    steps = base.filter(inside).select(F.lit(0).alias("__of"), t).union(moved.select(F.lit(1), t)).groupBy("__of").agg(F.count_distinct(t).alias("n"))
+    n = {r["__of"]: r.n for r in steps.collect()}  # two rows
+    if n.get(0, 0) != n.get(1, 0):
+        raise ValueError(f"the window has {n.get(0, 0)} steps in one series and {n.get(1, 0)} in the other")
     joined = base.join(moved, [*names, t], "left")
     out = joined.withColumn(v, F.when(inside, F.col(v) + F.col("__x")).otherwise(F.col(v))).drop("__x")
     return out.filter(inside) if only_window else out

@@ -12,7 +12,6 @@ from ..operators import timeseries as ts
 from ..sources.shared import stored
 from ..streaming import means
 from .base import CELL_REGION, CUBE, Tables, query
-from .series import whole
 
 
 def components(cube: DataFrame, bridge: DataFrame, grid: DataFrame, cell: str, t: str, v: str, draft: str, start: int, end: int) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +96,10 @@ def plan_shelf_grid(t: Tables) -> DataFrame:
 
 @query()
 def plan_forcings(t: Tables) -> DataFrame:
-    own = stored(whole(t).withColumn("month", month_of("t")), "whole")
+    _, grid = _grid(t)
+    everywhere = grid.select("cell", F.lit(0).alias("region_id"))
+    own = fill.extrapolate(t.cube.select("cell", "t", "v"), everywhere, grid, "cell", "t", "v").select("cell", "t", "v")
+    own = stored(own.withColumn("month", month_of("t")), "whole")
     flat = ts.deseasonalise(own, "cell", "month", "v", "value")
     season = flat.select("cell", "t", (F.col("v") - F.col("value")).alias("value"))
     return forcings(flat.select("cell", "t", "value"), season, "cell", "t", 3, 11, modes=10)

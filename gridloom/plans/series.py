@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_of
-from ..operators import fill, generator, stats, subset
+from ..operators import generator, stats, subset
 from ..operators import timeseries as ts
 from .base import CELL_REGION, CUBE, RUNS, Tables, query
 
@@ -222,22 +222,22 @@ def j_interpolate_clamped(t: Tables) -> DataFrame:
 
 @query("SELECT t, {r:avg(v)} AS v FROM (SELECT cell, t, v FROM cube WHERE cell IN (SELECT cell FROM cell_region WHERE region < 10)) GROUP BY t", ctes=f"{CUBE}, {CELL_REGION}")
 def p_series_of_chosen_cells(t: Tables) -> DataFrame:
-    own = subset.chosen_cells(t.cube, t.cell_region.filter("region < 10"), "cell")
+    chosen = t.cell_region.filter("region < 10")
+    subset.require_known(chosen, t.supplier.select(F.col("s_suppkey").alias("cell")), "cell")
+    own = subset.chosen_cells(t.cube, chosen, "cell")
     return stats.spatial_mean(own, "t", "v")
 
 
 def whole(t: Tables) -> DataFrame:
-    """(cell, t, v): every supplier at every month, missing months from the nearest supplier that has the month."""
-    bridge = t.supplier.select(F.col("s_suppkey").alias("cell"), F.lit(0).alias("region_id"))
-    grid = t.supplier.select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") % 10).cast("int").alias("ix"), F.floor(F.col("s_suppkey") / 10).cast("int").alias("iy"))
-    return fill.extrapolate(t.cube.select("cell", "t", "v"), bridge, grid, "cell", "t", "v").select("cell", "t", "v")
+    """(cell, t, v): every supplier at every month of the cube; a missing month takes the supplier's mean."""
+    ends = t.cube.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))  # one row
+    own = t.cube.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("known"), F.avg("v").alias("mean"))
+    rows = own.crossJoin(ends).select("cell", F.explode(F.sequence("lo", "hi")).alias("t"), "known", "mean")
+    return rows.select("cell", "t", F.coalesce(F.try_element_at("known", F.col("t")), "mean").alias("v"))
 
 
-WHOLE = """place AS (SELECT s_suppkey AS cell, (s_suppkey % 10)::INT AS ix, (s_suppkey // 10)::INT AS iy FROM supplier),
-gap AS (SELECT p.cell, p.ix, p.iy, x.t FROM place p CROSS JOIN (SELECT DISTINCT t FROM cube) x ANTI JOIN cube c ON c.cell = p.cell AND c.t = x.t),
-whole AS (
-  SELECT cell, t, v FROM cube
-  UNION ALL SELECT g.cell, g.t, arg_min(c.v, (pow(g.ix - p.ix, 2) + pow(g.iy - p.iy, 2), p.iy, p.ix)) FROM gap g JOIN cube c ON c.t = g.t JOIN place p ON p.cell = c.cell GROUP BY g.cell, g.t)"""
+WHOLE = """whole AS (
+  SELECT cell, t, coalesce(v, mean) AS v FROM (SELECT cell, avg(v) AS mean FROM cube GROUP BY 1) CROSS JOIN (SELECT unnest(range(min(t), max(t) + 1))::INT AS t FROM cube) LEFT JOIN cube USING (cell, t))"""
 
 
 @query()
