@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import require
 
@@ -164,18 +165,23 @@ def rate_between(df: DataFrame, key: Key, t: str, v: str, first: tuple, last: tu
 
 
 def _between(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str) -> DataFrame:
-    """(key, target, __a, __b): for every target time the series' points (t, v) at or before it and after it. Points and
-    targets are put in one order of time per key, so nothing is compared with anything but its neighbours."""
+    """(key, target, __a, __b): for every target time the series' points (t, v) at or before it and after it. A series' first
+    point brings its targets along; points and targets are then in one order of time per key, so nothing is compared with
+    anything but its neighbours, and the series are read once."""
     names = keys(key)
-    points = df.filter(F.col(v).isNotNull()).select(*names, F.col(t).cast("double").alias("__t"), F.struct(F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v")).alias("__p"))
     own = [n for n in names if n in targets.columns]
-    goal = targets.select(*own, target).distinct()
-    series = points.select(*names).distinct()
-    goal = series.join(goal, own) if own else series.crossJoin(goal)  # a row for each value that is asked for
-    goal = goal.select(*names, F.col(target).cast("double").alias("__t"), F.lit(None).cast("struct<t:double,v:double>").alias("__p"), F.col(target))
-    w = Window.partitionBy(*names).orderBy("__t", F.col("__p").isNull())
-    both = points.withColumn(target, F.lit(None).cast(targets.schema[target].dataType)).unionByName(goal)
-    near = both.withColumns({"__a": F.last("__p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first("__p", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    goals = targets.select(*own, target).distinct().groupBy(*own).agg(F.collect_list(target).alias("__goals"))  # a row, or one a key
+    point = F.struct(F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v"))
+    points = df.filter(F.col(v).isNotNull()).select(*names, point.alias("__p"))
+    first = F.row_number().over(Window.partitionBy(*names).orderBy("__p.t")) == 1
+    kind = targets.schema[target].dataType
+    marked = (points.join(goals, own, "left") if own else points.crossJoin(goals)).withColumn("__first", first)
+    nothing = F.lit(None).cast(kind)
+    row = lambda p, goal: F.struct(p.alias("p"), goal.alias("goal"))
+    asked = F.transform(F.when(F.col("__first"), F.coalesce("__goals", F.array().cast(T.ArrayType(kind)))).otherwise(F.array().cast(T.ArrayType(kind))), lambda g: row(F.lit(None).cast("struct<t:double,v:double>"), g))
+    rows = marked.select(*names, F.explode(F.concat(F.array(row(F.col("__p"), nothing)), asked)).alias("__r")).select(*names, F.col("__r.p").alias("__p"), F.col("__r.goal").alias(target))
+    w = Window.partitionBy(*names).orderBy(F.coalesce("__p.t", F.col(target).cast("double")), F.col("__p").isNull())
+    near = rows.withColumns({"__a": F.last("__p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first("__p", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
     return near.filter("__p is null").select(*names, target, "__a", "__b")
 
 
