@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, prefix_trie, quality_rules, secret_scan, spelling_variants, substring_dedup, token_count, toxicity
+from . import byte_bpe, chat_format, decontaminate, kneser_ney, language_id, near_dedup, prefix_trie, quality_rules, secret_scan, spelling_variants, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_kneser_ney": kneser_ney.query,
     "op12_spelling_variants": spelling_variants.query,
     "op13_prefix_trie": prefix_trie.query,
 }
@@ -24,6 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op4_chat_format": chat_format.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_kneser_ney": kneser_ney.SQL,
     "op12_spelling_variants": spelling_variants.SQL,
     "op13_prefix_trie": prefix_trie.SQL,
 }
