@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fill import nearest
+from . import ordered
 from .timeseries import Key, interpolate_clamped, keys
 
 
@@ -95,15 +96,13 @@ def map_fields(df: DataFrame, mapping: DataFrame, key: Key, clamp: tuple[str, ..
 
 def sigma_levels(fractions: DataFrame, key: Key, level: str, fraction: str) -> DataFrame:
     """Adds top, centre and bottom of each layer from the layers' fractions, in order of level."""
-    from pyspark.sql import Window
-
-    bottom = F.sum(fraction).over(Window.partitionBy(*keys(key)).orderBy(level).rowsBetween(Window.unboundedPreceding, 0))
-    return fractions.withColumn("bottom", bottom).withColumns({"top": F.col("bottom") - F.col(fraction), "centre": F.col("bottom") - 0.5 * F.col(fraction)})
+    own = ordered.running_sums(fractions, key, level, {"bottom": F.col(fraction)}, most=None)
+    return own.withColumns({"top": F.col("bottom") - F.col(fraction), "centre": F.col("bottom") - 0.5 * F.col(fraction)})
 
 
 def interpolate_layers(layers: DataFrame, cell: Key, level: str, v: str, targets: DataFrame, target: str = "target") -> DataFrame:
     """Values at the target levels of each cell, linear between its layers and constant beyond them."""
-    return interpolate_clamped(layers, cell, level, v, targets, target)
+    return interpolate_clamped(layers, cell, level, v, targets, target, most=None)  # a cell has few layers
 
 
 def align(df: DataFrame, grid: DataFrame, key: Key) -> DataFrame:

@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import require
+from . import ordered
 
 Key = str | Sequence[str]
 
@@ -125,7 +125,7 @@ def elapsed_years(df: DataFrame, key: Key, days: str, out: str = "years", year_d
 def cumulative(df: DataFrame, key: Key, t: str, rate: str | Column, dt: str | Column, out: str = "total") -> DataFrame:
     """The running sum of rate * dt."""
     step = (F.col(rate) if isinstance(rate, str) else rate) * (F.col(dt) if isinstance(dt, str) else dt)
-    return df.withColumn(out, F.sum(step).over(Window.partitionBy(*keys(key)).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)))
+    return ordered.running_sums(df, key, t, {out: step})
 
 
 def budget(df: DataFrame, key: Key, t: str, dt: str, surface: str, line: str, migration: str, floating_surface: str, calving: str, basal: str) -> DataFrame:
@@ -137,9 +137,7 @@ def budget(df: DataFrame, key: Key, t: str, dt: str, surface: str, line: str, mi
         "floating": c(floating_surface) + c(line) + c(migration) - c(calving) + c(basal),
         "floating_no_migration": c(floating_surface) + c(line) - c(calving) + c(basal),
     }
-    for name, rate in rates.items():
-        df = cumulative(df, key, t, rate, dt, name)
-    return df
+    return ordered.running_sums(df, key, t, {name: rate * c(dt) for name, rate in rates.items()})
 
 
 def totals_without(df: DataFrame, run: Key, t: str, region: str, v: str, left_out: str) -> DataFrame:
@@ -164,43 +162,21 @@ def rate_between(df: DataFrame, key: Key, t: str, v: str, first: tuple, last: tu
     return df.groupBy(*keys(key)).agg(((within(last) - within(first)) / years).alias(out))
 
 
-def _between(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str) -> DataFrame:
-    """(key, target, __a, __b): for every target time the series' points (t, v) at or before it and after it. A series' first
-    point brings its targets along; points and targets are then in one order of time per key, so nothing is compared with
-    anything but its neighbours, and the series are read once."""
-    names = keys(key)
-    own = [n for n in names if n in targets.columns]
-    goals = targets.select(*own, target).distinct().groupBy(*own).agg(F.collect_list(target).alias("__goals"))  # a row, or one a key
-    point = F.struct(F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v"))
-    points = df.filter(F.col(v).isNotNull()).select(*names, point.alias("__p"))
-    first = F.row_number().over(Window.partitionBy(*names).orderBy("__p.t")) == 1
-    kind = targets.schema[target].dataType
-    marked = (points.join(goals, own, "left") if own else points.crossJoin(goals)).withColumn("__first", first)
-    nothing = F.lit(None).cast(kind)
-    row = lambda p, goal: F.struct(p.alias("p"), goal.alias("goal"))
-    asked = F.transform(F.when(F.col("__first"), F.coalesce("__goals", F.array().cast(T.ArrayType(kind)))).otherwise(F.array().cast(T.ArrayType(kind))), lambda g: row(F.lit(None).cast("struct<t:double,v:double>"), g))
-    rows = marked.select(*names, F.explode(F.concat(F.array(row(F.col("__p"), nothing)), asked)).alias("__r")).select(*names, F.col("__r.p").alias("__p"), F.col("__r.goal").alias(target))
-    w = Window.partitionBy(*names).orderBy(F.coalesce("__p.t", F.col(target).cast("double")), F.col("__p").isNull())
-    near = rows.withColumns({"__a": F.last("__p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first("__p", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    return near.filter("__p is null").select(*names, target, "__a", "__b")
-
-
 def _on_line(target: str) -> Column:
     return F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * ((F.col(target) - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t")))
 
 
 def interpolate(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str = "target") -> DataFrame:
     """Linear values at the target times inside each series' own range: (key, target, v)."""
-    near = _between(df, key, t, v, targets, target)
+    near = ordered.between(df, key, t, v, targets, target, inside=True)
     last = F.col("__b").isNull()
-    inside = near.filter(F.col("__a").isNotNull() & (~last | (F.col("__a.t") == F.col(target))))
-    return inside.select(*keys(key), target, F.when(last, F.col("__a.v")).otherwise(_on_line(target)).alias(v))
+    return near.select(*keys(key), target, F.when(last, F.col("__a.v")).otherwise(_on_line(target)).alias(v))
 
 
-def interpolate_clamped(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str = "target") -> DataFrame:
-    """As interpolate, but beyond a series' ends its end values hold. targets may carry the key columns."""
+def interpolate_clamped(df: DataFrame, key: Key, t: str, v: str, targets: DataFrame, target: str = "target", most: int | None = ordered.MOST) -> DataFrame:
+    """As interpolate, but beyond a series' ends its end values hold. targets may carry the key columns. most: see ``blocked``."""
     value = F.when(F.col("__b").isNull(), F.col("__a.v")).when(F.col("__a").isNull(), F.col("__b.v")).otherwise(_on_line(target))
-    return _between(df, key, t, v, targets, target).select(*keys(key), target, value.alias(v))
+    return ordered.between(df, key, t, v, targets, target, inside=False, most=most).select(*keys(key), target, value.alias(v))
 
 
 def climatology_repeated(df: DataFrame, key: Key, t: str, v: str, steps: DataFrame, step: str = "t_idx") -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import moments, stats
 from ..operators import timeseries as ts
+from ..sources.shared import file_system, shared_dir
+from ..streaming import means
+from ..streaming import moments as streamed
 from .base import CELL_REGION, CUBE, FIELD, POINTS, RUNS, Tables, query
 
 
@@ -59,6 +62,36 @@ def a_merged_mean(t: Tables) -> DataFrame:
     return stats.merged_mean(parts, "cell")
 
 
+_SEASONS = """fit AS (SELECT cell, t, month, v, v - coalesce(regr_slope(v, t) OVER c * (t - regr_avgx(v, t) OVER c), 0) AS y, coalesce(regr_slope(v, t) OVER c, 0) AS slope, avg(v) OVER c AS mean, count(*) OVER c AS n FROM cube WINDOW c AS (PARTITION BY cell)),
+flat AS (SELECT *, y - avg(y) OVER (PARTITION BY cell, month) AS e FROM fit),
+lefts AS (SELECT cell, avg(e * e) AS left_over FROM flat GROUP BY 1)
+SELECT cell, month, any_value(n) AS n, count(*) AS n_month, {r:any_value(mean)} AS mean, {r:any_value(slope)} AS slope, {r:avg(y) - any_value(mean)} AS season, {r:any_value(left_over) / 1e6} AS left_over
+FROM flat JOIN lefts USING (cell) GROUP BY cell, month"""
+
+
+def _seasons(done: DataFrame) -> DataFrame:
+    own = done.select("cell", "n", "mean", "slope", (F.col("left") / 1e6).alias("left_over"), F.explode("seasons").alias("s"))
+    return own.select("cell", "s.month", "n", F.col("s.n").alias("n_month"), "mean", "slope", F.col("s.season").alias("season"), "left_over")
+
+
+@query(_SEASONS, digits=3, ctes=CUBE)
+def a_merged_seasons(t: Tables) -> DataFrame:
+    """Each year's part has its own sums, which are added up in any order."""
+    parts = moments.state(t.cube.withColumn("part", F.floor(F.col("t") / 12)), ["part", "cell"], "t", "month", "v", t0=42.0)
+    return _seasons(moments.finished(parts, "cell"))
+
+
+@query(_SEASONS, digits=3, ctes=CUBE)
+def a_streamed_seasons(t: Tables) -> DataFrame:
+    """The same of a cube that comes as a stream of files."""
+    place = shared_dir(t.spark, "cube")
+    t.cube.write.parquet(place)
+    out = streamed.read_once(t.spark, means.read_growing(t.spark, place), "cell", "t", "month", "v")
+    files, path = file_system(t.spark, place)
+    files.delete(path, True)
+    return _seasons(out)
+
+
 @query("SELECT cell, {r:var_pop(v)} AS variance FROM cube GROUP BY cell", digits=1, ctes=CUBE)
 def a_variance_map(t: Tables) -> DataFrame:
     return stats.variance_map(t.cube, "cell", "v")

@@ -502,3 +502,108 @@ def test_members_with_other_lengths_are_left_out(spark):
     done, state = ts.apply_to_members(base, trend, "member", "cell", "t", "v", 2)
     assert {r.member: r.ok for r in state.collect()} == {0: True, 1: False}
     assert [r.v for r in done.orderBy("t").collect()] == [1.0, 1.0, 3.0, 3.0, 3.0, 3.0]
+
+
+@pytest.mark.parametrize("most", [3, 40, 10**6])
+def test_ordered_scans_by_brute_force(spark, most):
+    """Long keys, null keys, repeated times, missing values; cut into blocks or not."""
+    import random
+
+    from gridloom.operators import ordered
+
+    rng = random.Random(7)
+    rows = [(k, rng.randint(0, 60) / 2, rng.choice([None, rng.random()])) for k in ("a", "b", None) for _ in range({"a": 200, "b": 12}.get(k, 30))]
+    df = spark.createDataFrame(rows, "k string, t double, v double")
+    goals = [x / 4 - 3 for x in range(140)]
+    near = {(r.k, r.g): (r["__a"] and tuple(r["__a"]), r["__b"] and tuple(r["__b"])) for r in ordered.between(df, "k", "t", "v", spark.createDataFrame([(g,) for g in goals], "g double"), "g", False, most).collect()}
+    for k in ("a", "b", None):
+        own = sorted((t, v) for x, t, v in rows if x == k and v is not None)
+        for g in goals:
+            if k is not None:
+                a, b = [p for p in own if p[0] <= g], [p for p in own if p[0] > g]
+                assert near[k, g] == (a[-1] if a else None, min(b) if b else None)
+    steps = spark.createDataFrame([(k, i, v) for i, (k, t, v) in enumerate(rows)], "k string, i long, v double")
+    got = {(r.k, r.i): r.s for r in ordered.running_sums(steps, "k", "i", {"s": F.col("v") * 2}, most).collect()}
+    for k in ("a", "b", None):
+        total = None
+        for i, (x, _, v) in enumerate(rows):
+            if x == k:
+                total = total if v is None else (total or 0.0) + 2 * v
+                assert got[k, i] == (total if total is None else pytest.approx(total))
+
+
+def test_long_series_stay_in_blocks(spark):
+    """No window holds more of a key than a block, and targets do not travel with points."""
+    from gridloom.operators import ordered
+
+    df = spark.range(50_000).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.col("id").cast("double").alias("v"))
+    own, many = ordered.blocked(df, "k", "t", 10_000)
+    sizes = [r["count"] for r in own.groupBy("__block").count().collect()]
+    assert many and len(sizes) == 5 and max(sizes) < 20_000
+    goals = spark.range(0, 50_000, 700).select((F.col("id") + 0.5).alias("target"))
+    near = ordered.between(df, "k", "t", "v", goals, "target", True, 10_000)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+    got = near.collect()
+    assert len(got) == 72 and all(r["__a"].t == r.target - 0.5 and r["__b"].t == r.target + 0.5 for r in got)
+
+
+@pytest.fixture(scope="module")
+def monthly(spark):
+    """Three cells with a trend, a season and gaps; one cell with a single time, one without values."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(c, t, t % 12, None if rng.random() < 0.1 else 1e4 + 3 * c * t + 50 * ((t % 12) - 5) + rng.random()) for c in (1, 2, 3) for t in range(7, 90)]
+    return spark.createDataFrame([*rows, (4, 30, 6, 8.0), (5, 30, 6, None)], "cell int, t int, month int, v double").cache()
+
+
+def by_one_go(df):
+    """The same by detrending and deseasonalising the whole series."""
+    flat = ts.detrend(df.filter("v is not null"), "cell", "t", "v", "y")
+    left = ts.deseasonalise(flat, "cell", "month", "y", "z")
+    means = {r.cell: (r.n, r.mean, r.left) for r in left.groupBy("cell").agg(F.count("v").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("left")).collect()}
+    season = {(r.cell, r.month): r.s for r in flat.groupBy("cell", "month").agg(F.avg("y").alias("s")).collect()}
+    return means, season
+
+
+def agrees(done, want):
+    means, season = want
+    got = {r.cell: r for r in done.collect()}
+    assert got.keys() == means.keys()
+    for c, (n, mean, left) in means.items():
+        assert got[c].n == n and (got[c].mean, got[c].left) == (pytest.approx(mean), pytest.approx(left, abs=1e-6))
+        assert {m.month: m.season + mean for m in got[c].seasons} == pytest.approx({m: s for (k, m), s in season.items() if k == c})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_moments_of_any_parts_in_any_order(spark, monthly, seed):
+    from gridloom.operators import moments
+
+    parts = [moments.state(monthly.filter((F.hash("cell", "t") + seed) % 5 == i), "cell", "t", "month", "v", 40.0, 1e4) for i in range(-4, 5)]
+    left, right = moments.merged(*parts[::2], key="cell"), moments.merged(*reversed(parts[1::2]), key="cell")
+    agrees(moments.finished(moments.merged(right, left, key="cell"), "cell", 1e4), by_one_go(monthly))
+
+
+def test_moments_follow_new_files(spark, monthly, tmp_path):
+    """Rounds of files, compacted level by level; a round that is run again changes nothing."""
+    import os
+
+    from gridloom.streaming import means
+    from gridloom.streaming import moments as streamed
+
+    place, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for i in range(9):
+        monthly.filter(f"abs(hash(cell, t)) % 9 = {i}").coalesce(1).write.mode("append").parquet(place)
+        stream = means.read_growing(spark, place)
+        streamed.follow(stream, "cell", "t", "month", "v", out, state, once=True, t0=40.0, v0=1e4, fan=3).awaitTermination()
+        folders = sorted(x for x in os.listdir(out) if x.startswith("rounds"))
+        assert len(folders) <= 4
+    assert folders == ["rounds-0-8"]
+    agrees(streamed.now(spark, out, "cell", 1e4), by_one_go(monthly))
+    streamed._compacted(spark, out, 8, "cell", 3)
+    monthly.limit(0).write.mode("append").parquet(place)
+    streamed.follow(means.read_growing(spark, place), "cell", "t", "month", "v", out, state, once=True, t0=40.0, v0=1e4, fan=3).awaitTermination()
+    agrees(streamed.now(spark, out, "cell", 1e4), by_one_go(monthly))
+    with pytest.raises(ValueError, match="round"):
+        streamed.now(spark, str(tmp_path / "none"), "cell")
