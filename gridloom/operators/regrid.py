@@ -5,8 +5,6 @@ Weights are a table (dst, src, w), made once and applied to any number of fields
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,39 +111,3 @@ def align(df: DataFrame, grid: DataFrame, key: Key) -> DataFrame:
 def difference(a: DataFrame, b: DataFrame, key: Key, v: str, out: str = "difference") -> DataFrame:
     """a - b where both have the key."""
     return a.select(*keys(key), v).join(b.select(*keys(key), F.col(v).alias("__b")), keys(key)).withColumn(out, F.col(v) - F.col("__b")).select(*keys(key), out)
-
-
-def delaunay(points: pd.DataFrame, node: str = "node", x: str = "x", y: str = "y") -> pd.DataFrame:
-    """Triangles of a small mesh's nodes (5,000 at most, else a ValueError; made once on the driver for mesh_weights, which takes
-    a larger mesh as a table of triangles): every triangle's circle is empty of other nodes. Nodes are added one by one and the
-    hole around each is filled anew."""
-    if len(points) > 5_000:
-        raise ValueError(f"{len(points)} nodes; at most 5000 are triangulated here")
-    p = points[[x, y]].to_numpy(float)
-    low, span = p.min(0), max(float((p.max(0) - p.min(0)).max()), 1.0)
-    far = np.vstack([p, low + span * np.array([[-50.0, -50.0], [100.0, -50.0], [-50.0, 100.0]])])
-    n = len(p)
-
-    def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:
-        (ax, ay), (bx, by), (cx, cy) = far[list(t)]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        ux = ((ax**2 + ay**2) * (by - cy) + (bx**2 + by**2) * (cy - ay) + (cx**2 + cy**2) * (ay - by)) / d
-        uy = ((ax**2 + ay**2) * (cx - bx) + (bx**2 + by**2) * (ax - cx) + (cx**2 + cy**2) * (bx - ax)) / d
-        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
-
-    tri = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
-    for i in range(n):
-        bad = [t for t, (ux, uy, r2) in tri.items() if (far[i, 0] - ux) ** 2 + (far[i, 1] - uy) ** 2 < r2 * (1 - 1e-12)]
-        rim: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                k = (min(e), max(e))
-                rim[k] = rim.get(k, 0) + 1
-            del tri[t]
-        for a, b in (e for e, c in rim.items() if c == 1):
-            area = (far[a, 0] - far[i, 0]) * (far[b, 1] - far[i, 1]) - (far[b, 0] - far[i, 0]) * (far[a, 1] - far[i, 1])
-            if abs(area) > 1e-12 * span * span:
-                tri[(a, b, i)] = circle((a, b, i))
-    rows = [sorted(t) for t in tri if max(t) < n]
-    ids = points[node].to_numpy()
-    return pd.DataFrame([{**{k: ids[j] for k, j in zip("abc", t, strict=True)}, **{f"{k}{c}": p[j, d] for k, j in zip("abc", t, strict=True) for d, c in enumerate("xy")}} for t in rows])

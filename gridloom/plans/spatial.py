@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.columns import with_step
-from ..operators import fill, regions, regrid, subset
+from ..operators import fill, mesh, regions, regrid, subset
 from ..sources import io
 from .base import CELL_REGION, CUBE, CUSTOMERS, EDGES, FIELD, RUNS, Tables, query
 
@@ -241,6 +241,37 @@ def j_mesh_triangles(t: Tables) -> DataFrame:
     return regrid.mesh_weights(goal, corners, nodes, "dst", "node", "x", "y", 3.0)
 
 
+_SCATTERED = """node AS (SELECT s_suppkey AS id, s_acctbal / 1000.0::DOUBLE AS x, (s_suppkey * 7919 % 1009) / 100.0::DOUBLE AS y FROM supplier),
+pair AS (SELECT a.id AS a, a.x AS ax, a.y AS ay, b.id AS b, b.x AS bx, b.y AS by_ FROM node a JOIN node b ON a.id < b.id),
+three AS (SELECT p.*, c.id AS c, c.x AS cx, c.y AS cy, (bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax) AS turn FROM pair p JOIN node c ON p.b < c.id),
+tri AS (SELECT a, b, c, ax, ay, bx, by_, cx, cy FROM three t WHERE abs(turn) > 1e-9 AND NOT EXISTS (
+  SELECT 1 FROM node p WHERE p.id NOT IN (t.a, t.b, t.c) AND sign(turn) * (
+    (pow(ax - x, 2) + pow(ay - y, 2)) * ((bx - x) * (cy - y) - (cx - x) * (by_ - y)) - (pow(bx - x, 2) + pow(by_ - y, 2)) * ((ax - x) * (cy - y) - (cx - x) * (ay - y))
+    + (pow(cx - x, 2) + pow(cy - y, 2)) * ((ax - x) * (by_ - y) - (bx - x) * (ay - y))) > 0))"""
+
+
+def _scattered(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("node"), (F.col("s_acctbal") / 1000.0).alias("x"), (F.col("s_suppkey") * 7919 % 1009 / 100.0).alias("y"))
+
+
+@query("SELECT a, b, c, {r:ax} AS ax, {r:ay} AS ay FROM tri", ctes=_SCATTERED)
+def j_delaunay(t: Tables) -> DataFrame:
+    """Triangles between suppliers as scattered nodes."""
+    return mesh.delaunay(_scattered(t), tile=40).select("a", "b", "c", "ax", "ay")
+
+
+@query("""SELECT dst, unnest([m.a, m.b, m.c]) AS src, {r:unnest([m.wa, m.wb, 1 - m.wa - m.wb])} AS w FROM inside
+UNION ALL SELECT dst, arg_min(id, (pow(g.x - n.x, 2) + pow(g.y - n.y, 2), n.y, n.x, n.id)), 1.0 FROM goal g ANTI JOIN inside USING (dst) CROSS JOIN node n GROUP BY dst""", ctes=_SCATTERED + """,
+goal AS (SELECT p_partkey AS dst, (p_retailprice * 7) % 12 + 0.0123 - 1 AS x, (p_size * 3) % 12 + 0.371 - 0.5 AS y FROM part),
+met AS (SELECT dst, a, b, c, ((by_ - cy) * (x - cx) + (cx - bx) * (y - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS wa, ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS wb FROM goal, tri),
+inside AS (SELECT dst, min({'a': a, 'b': b, 'c': c, 'wa': wa, 'wb': wb}) AS m FROM met WHERE wa >= -1e-12 AND wb >= -1e-12 AND 1 - wa - wb >= -1e-12 GROUP BY 1)""")
+def j_barycentric_scattered(t: Tables) -> DataFrame:
+    """Parts in the triangles between scattered suppliers, outside the hull at the nearest supplier."""
+    nodes = _scattered(t)
+    goal = t.part.select(F.col("p_partkey").alias("dst"), ((F.col("p_retailprice") * 7) % 12 + 0.0123 - 1).cast("double").alias("x"), ((F.col("p_size") * 3) % 12 + 0.371 - 0.5).cast("double").alias("y"))
+    return regrid.mesh_weights(goal, mesh.delaunay(nodes, tile=40), nodes, "dst", "node", "x", "y", 1.0)
+
+
 @query("""SELECT cell, t, 'melt' AS field, {r:v * 2 + 1} AS value FROM cube UNION ALL SELECT cell, t, 'thickness', {r:greatest(draft - 25, 0)} FROM cube""", ctes=CUBE)
 def j_map_fields(t: Tables) -> DataFrame:
     mapping = t.spark.createDataFrame([("v", "melt", 2.0, 1.0), ("draft", "thickness", 1.0, -25.0), ("absent", "other", 1.0, 0.0)], "source string, field string, scale double, offset double")

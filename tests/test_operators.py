@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars
 from gridloom.functions.columns import nan_to_null, require, with_step
 from gridloom.operators import changepoint, fill, generator, regions, regrid, regress, stats, subset
+from gridloom.operators import mesh as meshes
 from gridloom.operators import timeseries as ts
 from gridloom.sources import io
 
@@ -336,10 +337,10 @@ def test_weights_reproduce_linear_fields(spark):
 def test_triangulated_meshes(spark):
     rng = np.random.default_rng(4)
     nodes = pd.DataFrame({"node": np.arange(60), "x": rng.uniform(0, 10, 60), "y": rng.uniform(0, 10, 60)})
-    mesh = regrid.delaunay(nodes)
     src = spark.createDataFrame(nodes)
+    mesh = meshes.delaunay(src, tile=20)
     goal = spark.createDataFrame(pd.DataFrame({"dst": np.arange(100, 140), "x": rng.uniform(3, 7, 40), "y": rng.uniform(3, 7, 40)}))
-    weights = regrid.mesh_weights(goal, spark.createDataFrame(mesh), src, "dst", "node", "x", "y", 2.0)
+    weights = regrid.mesh_weights(goal, mesh, src, "dst", "node", "x", "y", 2.0)
     field = src.select("node", (1 + 2 * F.col("x") - F.col("y")).alias("value"))
     got = regrid.apply_weights(field, weights, "node", "value").join(goal, "dst")
     assert got.count() == 40 and got.filter(F.abs(F.col("value") - (1 + 2 * F.col("x") - F.col("y"))) > 1e-6).count() == 0
@@ -607,3 +608,49 @@ def test_moments_follow_new_files(spark, monthly, tmp_path):
     agrees(streamed.now(spark, out, "cell", 1e4), by_one_go(monthly))
     with pytest.raises(ValueError, match="round"):
         streamed.now(spark, str(tmp_path / "none"), "cell")
+
+
+def empty_circles(tri, x, y):
+    """Whether no point lies in the circle of any triangle."""
+    for t in tri:
+        p, q, r = sorted(t), x, y
+        a, b, c = ((q[i], r[i]) for i in p)
+        m = np.array([[b[0] - a[0], b[1] - a[1]], [c[0] - a[0], c[1] - a[1]]])
+        centre = np.linalg.solve(2 * m, (m**2).sum(axis=1))
+        inside = np.hypot(x - a[0] - centre[0], y - a[1] - centre[1]) < np.hypot(*centre) * (1 - 1e-7)
+        if inside.any():
+            return False
+    return True
+
+
+@pytest.mark.parametrize("kind", ["scattered", "clustered", "grid"])
+def test_tiled_triangles(spark, kind):
+    """Every circle is empty over all nodes, and triangles cover the hull once, however nodes are dealt."""
+    rng = np.random.default_rng(6)
+    if kind == "grid":
+        p = np.array([(i, j) for i in range(14) for j in range(9)], float)
+    else:
+        p = rng.random((260, 2)) * [10, 3]
+        if kind == "clustered":
+            p[:180] = [4, 1] + 0.03 * rng.standard_normal((180, 2))
+    rows = [(i + 7, float(a), float(b), "k") for i, (a, b) in enumerate(p)]
+    extra = [(10_000, *rows[5][1:]), (10_001, None, 2.0, "k"), (10_002, 1.0, float("nan"), "k")]  # a second node at one place, two without a place
+    df = spark.createDataFrame(rows + extra, "node long, x double, y double, a string").repartition(3)
+    got = meshes.delaunay(df, tile=40).toPandas()
+    tri = got[["a", "b", "c"]].to_numpy() - 7
+    assert tri.max() < len(p) and (np.diff(tri, axis=1) > 0).all() and len({tuple(t) for t in tri}) == len(tri)
+    assert (got[["ax", "ay"]].to_numpy() == p[tri[:, 0]]).all()
+    assert empty_circles(tri, p[:, 0], p[:, 1])
+    whole = meshes.triangulated(p[:, 0] + 1e-9 * rng.random(len(p)), p[:, 1] + 1e-9 * rng.random(len(p)))
+    hull = whole[whole[:, 2] < 0]
+    area = lambda t: abs(np.linalg.det(np.stack([p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]]], axis=1))).sum() / 2
+    assert area(tri) == pytest.approx(area(whole[whole[:, 2] >= 0]))
+    if kind != "grid":
+        assert len(tri) == 2 * len(p) - 2 - len(hull)
+
+
+def test_no_triangles_on_a_line(spark):
+    line = spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(30)], "node int, x double, y double")
+    assert meshes.delaunay(line, tile=5).collect() == []
+    assert meshes.delaunay(line.limit(0)).collect() == []
+    assert meshes.delaunay(line.limit(2)).collect() == []
