@@ -42,7 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import crc_mod, documents, forgotten, stored, text_batches
 from .substring_dedup import Sizes, gaps, packed, range_of, unpacked
-from .textbuf import LOWER, mix, pieces, spans_hash, texts_of, trimmed, words
+from .textbuf import LOWER, give_back, mix, pieces, spans_hash, texts_of, trimmed, words
 
 ORDER = 3
 #: Documents that the query does not learn from: those whose crc32 modulo 7 is 2. Fixed by the contract.
@@ -241,6 +241,8 @@ def summed(order: int, highest: bool, keep: bool):
             mine = np.unpackbits(np.frombuffer(present.as_buffer(), np.uint8), count=len(x)).astype(bool) & there & ~taken[at]
             taken[at[mine]] = True
             out.append({"order": order, "slice": which, "chunk": k, "sums": [packed(np.where(there, s[at], 0)) for s in model.sums], "owned": np.packbits(mine).tobytes()})
+        del own, model, taken
+        give_back()
         return pa.Table.from_pylist(out, schema=_ANSWER)
 
     return run
@@ -299,6 +301,7 @@ def _results(own: DataFrame, told: DataFrame, model: Model, id_col: str) -> Data
         for chunk in left.to_pylist():
             got = scored(Tokens(chunk), model, {k: answers_of(right, k) for k in range(1, model.order + 1)})
             out.append(pa.table([pa.array(chunk["ids"], schema.field(0).type), *(pa.array(got[f.name], f.type) for f in list(schema)[1:])], schema=schema))
+            give_back()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     done = own.groupBy("chunk").cogroup(told.filter(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(run, f"id {kind.simpleString()}, {SCORES}")
@@ -315,6 +318,7 @@ def _asked(own: DataFrame, order: int, highest: int, ranges: int, above: DataFra
 
     def next_(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [blocks(c["chunk"], order, ranges, *continued(Tokens(c), order, answers_of(right, order + 1))) for c in left.to_pylist()]
+        give_back()
         return pa.concat_tables(out) if out else _BLOCK.empty_table()
 
     columns = own.drop("ids")
