@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import piecewise_three, threshold_weight
 from ..sources.shared import stored
-from . import changepoint
-from .stats import quantiles
+from . import changepoint, selection
+from .stats import with_quantiles
 from .timeseries import Key, keys
 
 
@@ -29,7 +29,7 @@ def valid_points(df: DataFrame, draft: str, melt: str) -> DataFrame:
 
 def clip_quantiles(df: DataFrame, key: Key, draft: str, low: float = 0.01, high: float = 0.99, exact: bool = True) -> DataFrame:
     """Rows within each key's quantile band of draft."""
-    band = df.groupBy(*keys(key)).agg(quantiles(draft, low, high, exact=exact).alias("__q"))
+    band = with_quantiles(df, key, draft, (low, high), (), exact)
     return df.join(band, keys(key)).filter(F.col(draft).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 
@@ -90,9 +90,13 @@ def binned(df: DataFrame, key: Key, draft: str, melt: str, n_bins: int | Column
     ends = df.groupBy(*names).agg(F.min(draft).alias("__lo"), F.max(draft).alias("__hi"))
     at = F.floor((F.col(draft) - F.col("__lo")) / ((F.col("__hi") - F.col("__lo")) / n_bins)).cast("int")
     own = df.filter(F.col(draft).isNotNull() & F.col(melt).isNotNull()).join(ends, names).filter(F.col("__hi") > F.col("__lo")).withColumns({"bin": at, "__least": min_points, "__width": (F.col("__hi") - F.col("__lo")) / n_bins}).filter(F.col("bin") < n_bins)
-    level = F.median(melt) if median else F.avg(melt)
     centre = F.first("__lo") + (F.col("bin") + 0.5) * F.first("__width")
-    return own.groupBy(*names, "bin").agg(centre.alias("centre"), F.avg(draft).alias("draft"), level.alias("melt"), F.count("*").alias("n"), F.first("__least").alias("__least")).filter(F.col("n") >= F.col("__least")).drop("__least")
+    level = selection.sketch(melt, (0.5,)).alias("__sketch") if median else F.avg(melt).alias("melt")
+    out = own.groupBy(*names, "bin").agg(centre.alias("centre"), F.avg(draft).alias("draft"), level, F.count("*").alias("n"), F.first("__least").alias("__least")).filter(F.col("n") >= F.col("__least")).drop("__least")
+    if median:
+        out = selection.exact(own, out, [*names, "bin"], melt, (0.5,))
+        return out.select(*names, "bin", "centre", "draft", F.col("__q")[0].alias("melt"), "n")
+    return out
 
 
 def thresholds(bins: DataFrame, key: Key, method: str = "pelt", penalty: str | float = 1.0, min_bins: int = 10, min_size: int = 2, width: int = 5) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
+from . import selection
 from .timeseries import Key, keys
 
 
@@ -113,24 +114,25 @@ def spread_against_change(df: DataFrame, cell: Key, member: str, t: str, v: str,
     return out.withColumn("ratio", F.when(F.abs("change") >= least, F.col("range") / (F.abs("change") + guard)))
 
 
-def quantiles(v: str, *shares: float, exact: bool = True) -> Column:
-    """An array of quantiles. Exact ones gather a key's distinct values in one task; exact=False uses mergeable sketches, for
-    few keys of very many values."""
-    at = F.array(*(F.lit(p) for p in shares))
-    return F.percentile(v, at) if exact else F.percentile_approx(v, at, 10_000)
+def with_quantiles(df: DataFrame, key: Key, v: str, shares: Sequence[float], own: Sequence[Column], exact: bool) -> DataFrame:
+    """(key, own aggregates, __q: an array of quantiles). Exact ones take a second pass over df, in which no task holds more than
+    some thousandths of a key (``selection``); exact=False keeps to mergeable sketches."""
+    if exact:
+        return selection.exact(df, df.groupBy(*keys(key)).agg(*own, selection.sketch(v, shares).alias("__sketch")), keys(key), v, shares)
+    return df.groupBy(*keys(key)).agg(*own, F.percentile_approx(v, F.array(*map(F.lit, shares)), selection.ACCURACY).alias("__q"))
 
 
 def field_summary(df: DataFrame, key: Key, v: str, threshold: float, exact: bool = True) -> DataFrame:
     """Mean, median, deviation, maximum, quartiles, 90th percentile and how many values lie above threshold."""
-    q = quantiles(v, 0.25, 0.5, 0.75, 0.9, exact=exact)
-    out = df.groupBy(*keys(key)).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("highest"), q.alias("__q"), F.sum(F.when(F.col(v) > threshold, 1).otherwise(0)).alias("n_above"))
+    own = (F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("highest"), F.sum(F.when(F.col(v) > threshold, 1).otherwise(0)).alias("n_above"))
+    out = with_quantiles(df, key, v, (0.25, 0.5, 0.75, 0.9), own, exact)
     return out.select(*keys(key), "mean", "std", "highest", *(F.col("__q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75", "q90"))), "n_above")
 
 
 def distribution(df: DataFrame, key: Key, v: str, flat: float = 1e-10, exact: bool = True) -> DataFrame:
     """Members' mean, deviation, median, quartiles, skewness and excess kurtosis (0 for a deviation of up to flat)."""
-    q = quantiles(v, 0.25, 0.5, 0.75, exact=exact)
-    own = df.groupBy(*keys(key)).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), q.alias("__q"), F.skewness(v).alias("__s"), F.kurtosis(v).alias("__k"))
+    moments = (F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.skewness(v).alias("__s"), F.kurtosis(v).alias("__k"))
+    own = with_quantiles(df, key, v, (0.25, 0.5, 0.75), moments, exact)
     shape = [F.when(F.col("std") > flat, F.col(c)).otherwise(0.0).alias(n) for c, n in (("__s", "skewness"), ("__k", "kurtosis"))]
     return own.select(*keys(key), "n", "mean", "std", *(F.col("__q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))), *shape)
 
@@ -152,7 +154,7 @@ def histogram(df: DataFrame, key: Key, v: str, bins: int = 50) -> DataFrame:
 
 def auto_bins(df: DataFrame, key: Key, v: str, exact: bool = True) -> DataFrame:
     """How many equal bins the finer of Sturges' and Freedman-Diaconis' widths gives."""
-    own = df.groupBy(*keys(key)).agg(F.count(v).alias("__n"), (F.max(v) - F.min(v)).alias("__r"), quantiles(v, 0.25, 0.75, exact=exact).alias("__q"))
+    own = with_quantiles(df, key, v, (0.25, 0.75), (F.count(v).alias("__n"), (F.max(v) - F.min(v)).alias("__r")), exact)
     sturges = F.col("__r") / (F.log2("__n") + 1)
     fd = 2 * (F.col("__q")[1] - F.col("__q")[0]) / F.pow("__n", F.lit(1 / 3))
     width = F.when(fd > 0, F.least(sturges, fd)).otherwise(sturges)
@@ -187,7 +189,7 @@ def kernel_density(df: DataFrame, key: Key, v: str, points: int = 300, margin: f
 
 def robust_limits(df: DataFrame, key: Key, v: str, low: float = 0.01, high: float = 0.99, exact: bool = True) -> DataFrame:
     """Percentiles and the largest magnitude of v, for symmetric scales."""
-    own = df.groupBy(*keys(key)).agg(quantiles(v, low, high, exact=exact).alias("__q"), F.max(F.abs(v)).alias("largest"))
+    own = with_quantiles(df, key, v, (low, high), (F.max(F.abs(v)).alias("largest"),), exact)
     return own.select(*keys(key), F.col("__q")[0].alias("low"), F.col("__q")[1].alias("high"), "largest")
 
 

@@ -50,7 +50,8 @@ def analyse_regions(points: DataFrame, key: str, draft: str, melt: str, rule: st
     """One record a region: assessment, threshold (the median draft where bins are too few or the drafts lie closer than
     min_range), strategy, skill, ranges."""
     gate = regress.assess(points, key, draft, melt, rule)
-    whole = points.groupBy(key).agg(F.median(draft).alias("__mid"), (F.max(draft) - F.min(draft)).alias("__range"), (F.max(melt) - F.min(melt)).alias("melt_range"))
+    ranges = ((F.max(draft) - F.min(draft)).alias("__range"), (F.max(melt) - F.min(melt)).alias("melt_range"))
+    whole = stats.with_quantiles(points, key, draft, (0.5,), ranges, True).withColumn("__mid", F.col("__q")[0])
     at = regress.thresholds(regress.binned(points, key, draft, melt, n_bins, min_points), key, penalty=penalty, min_size=3)
     at = whole.join(at, key, "left").select(key, "melt_range", F.when(F.col("__range") >= min_range, F.coalesce("threshold", "__mid")).otherwise(F.col("__mid")).alias("threshold"))
     fits = regress.strategy_fit(gate, regress.piecewise_fit(points, at, key, draft, melt), key)

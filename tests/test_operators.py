@@ -654,3 +654,32 @@ def test_no_triangles_on_a_line(spark):
     assert meshes.delaunay(line, tile=5).collect() == []
     assert meshes.delaunay(line.limit(0)).collect() == []
     assert meshes.delaunay(line.limit(2)).collect() == []
+
+
+def test_selected_quantiles_are_exact(spark, monkeypatch):
+    """As Spark's own percentile, to the last bit: small and large keys, ties, nulls, null keys, two key columns."""
+    from gridloom.operators import selection
+
+    monkeypatch.setattr(selection, "ACCURACY", 200)
+    monkeypatch.setattr(selection, "MARGIN", 3 / 200)
+    rng = np.random.default_rng(8)
+    rows = [("hot", i % 2, float(v)) for i, v in enumerate(rng.normal(size=6000))] + [("ties", 0, float(v)) for v in rng.integers(0, 3, 900)]
+    rows += [(None, 1, float(v)) for v in rng.random(7)] + [("one", 0, 2.5), ("none", 0, None), ("two", None, 1.0), ("two", None, None), ("two", None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, j int, v double").repartition(4)
+    shares = (0.0, 0.01, 0.25, 0.5, 0.7, 0.999, 1.0)
+    got = {(r.k, r.j): r["__q"] for r in selection.quantiles_of(df, ["k", "j"], "v", *shares).collect()}
+    want = {(r.k, r.j): r.q for r in df.groupBy("k", "j").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    assert {k: v or [None] * 7 for k, v in want.items()} == {k: v or [None] * 7 for k, v in got.items()}
+
+
+def test_a_hot_key_is_not_gathered(spark):
+    """Nine tenths of all rows are one key; what is counted by value is some thousandths of them."""
+    from gridloom.operators import selection
+
+    df = spark.range(400_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(-1).alias("k"), F.rand(3).alias("v")).repartition(8)
+    grouped = df.groupBy("k").agg(selection.sketch("v", (0.25, 0.75)).alias("s"))
+    ends = grouped.filter("k = -1").first().s
+    inside = sum(df.filter((F.col("k") == -1) & F.col("v").between(ends.ends[i], ends.ends[i + 1])).count() for i in (0, 2))
+    assert ends.n == 360_000 and inside < 2 * 10 * ends.n / selection.ACCURACY
+    got = {r.k: r["__q"] for r in selection.quantiles_of(df, ["k"], "v", 0.25, 0.75).collect()}
+    assert got == {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).collect()}
