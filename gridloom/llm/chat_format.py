@@ -6,7 +6,8 @@ it records the reference and how many tokens the part expands to. The template m
 
     <|turn|>role<|body|>content<|end|>
 
-and escapes control strings inside roles and texts: one backslash goes between a control string's first character and the
+and escapes control strings inside roles and texts (adjacent text parts are one text, so a control string can't be put together
+from several of them): one backslash goes between a control string's first character and the
 rest, after any that are there already, so unescaping takes exactly one away and gives the input back. Control strings are
 those of this template (placeholders too) and the common ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``, ``<<SYS>>`` ones. So what is
 unescaped is the template's own: a placeholder that somebody types reads back as text, a real one as an attachment.
@@ -62,23 +63,31 @@ class Flattener:
     page_tokens: int = 512
     pieces: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
+    waiting: list[str] = field(default_factory=list)
     size: int = 0
 
     def put(self, text: str) -> None:
         self.pieces.append(text)
         self.size += len(text)
 
+    def flush(self) -> None:
+        """Writes the text parts since the last attachment, escaped as one text."""
+        if self.waiting:
+            self.put(escape("".join(self.waiting)))
+            self.waiting.clear()
+
     def visit(self, part: dict, turn: int, at: int) -> None:
         kind = part["type"] or "text"
         known = kind in ("text", "image", "audio", "document")
         tokens = getattr(self, f"visit_{kind}" if known else "visit_other")(part)
         if tokens is not None:
+            self.flush()
             mark = f"<|{kind if known else 'other'}:{len(self.attachments)}|>"
             self.attachments.append({"turn": turn, "part": at, "type": kind, "placeholder": mark, "ref": part["ref"], "tokens": tokens})
             self.put(mark)
 
     def visit_text(self, part: dict) -> None:
-        self.put(escape(part["text"] or ""))
+        self.waiting.append(part["text"] or "")
 
     def visit_image(self, part: dict) -> int:
         return math.ceil((part["width"] or 0) / self.patch) * math.ceil((part["height"] or 0) / self.patch)
@@ -102,6 +111,7 @@ def render(turns: list[dict]) -> dict:
         start = out.size
         for i, part in enumerate(turn["parts"] or []):
             out.visit(part, k, i)
+        out.flush()
         if role == LOSS_ROLE:
             loss.append({"start": start, "end": out.size})
         out.put(END)

@@ -19,7 +19,7 @@ Pass three: chunks meet their answers and words covered by a hit window go. Wind
 What passes between chunks and ranges is packed in one row for each pair of them. Because both grow with the root of the
 input beyond 64 GB, so do the windows in a row, and rows grow no faster than the input.
 
-Defined results: null text is a text without words; a null id counts as larger than any other; rows that repeat an id do
+Defined results: ids are whole numbers, any other type is a ValueError; null text is a text without words; a null id counts as larger than any other; rows that repeat an id do
 not remove each other's words; texts under ``size`` words stay; other columns are left out.
 """
 
@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import documents, stored, text_batches
 from .textbuf import SPACE, covered, mix, per_row, pieces, spans_hash, texts_of, trimmed, windows, words
@@ -260,8 +261,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     """For each row: id_col, n_words, n_removed and kept, the words that stay joined by one space. ``sizes``: taken from the
     bytes of the texts unless given."""
     spark = df.sparkSession
-    text_batches(spark)
     id_type = df.schema[id_col].dataType
+    if not isinstance(id_type, IntegralType):
+        raise ValueError(f"{id_col} is {id_type.simpleString()}; ids must be whole numbers, as the smaller one keeps its words")
+    text_batches(spark)
     sizes = sizes or Sizes.of(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])
     own = chunks(df, id_col, text_col, sizes.chunk)
     ranges, bits = 1 + own.agg(F.coalesce(F.sum("spaces"), F.lit(0))).first()[0] // sizes.windows, sizes.cells
