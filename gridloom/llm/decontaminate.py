@@ -10,9 +10,9 @@ n log n.
 Words are told apart by hashes, but a match is of words: the bytes of every word of a run are compared with those of the
 benchmark's word before the search, and the benchmark's own words have unlike hashes (another hash is taken where not).
 
-The benchmark's words go to the workers by broadcast in blocks of at most ``block_bytes`` of text, one block at a time: with
-more text than a block, what a block found is written to the shared folder before the next one. Documents are never
-shuffled.
+The benchmark's words go to the workers by broadcast in blocks of at most ``block_bytes`` of text, of which a worker indexes one
+at a time. Up to ``BLOCKS`` blocks take one pass over the documents and nothing is written between them; a larger benchmark takes
+a pass more, with what the last one found written to the shared folder, for every so many. Documents are never shuffled.
 
 Words: A-Z lower-cased, then runs of ASCII letters and digits and of anything beyond ASCII. A window is ``window``
 consecutive words of one item; an item of fewer words, but not none, is one window.
@@ -25,6 +25,7 @@ their result; other columns stay, but those with a result's name are replaced.
 from __future__ import annotations
 
 import pickle
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, freed, stored, text_batches
+from .common import documents, forgotten, freed, stored, text_batches
 from .textbuf import LOWER, NOT_ALNUM, mix, per_row, pieces, same_bytes, spans_hash, texts_of, trimmed, words
 
 WINDOW = 10
-BLOCK_BYTES = 64 << 20
+#: Bytes of item text that are in a worker's memory at a time (with their index some 40 times that), and such blocks that are
+#: broadcast in one pass over the documents.
+BLOCK_BYTES, BLOCKS = 8 << 20, 16
 SHARD_BYTES = 8 << 20
 #: What a document gets.
 OUT = T.StructType(
@@ -267,55 +270,104 @@ def search(items: Items, own: Words, n: int) -> tuple[np.ndarray, np.ndarray, li
 _loaded: dict[str, Items] = {}
 
 
-def _pass(df: DataFrame, held, text_col: str, window: int, have: bool) -> DataFrame:
-    """df with OUT's columns brought up to date by one block of items."""
+class Found:
+    """What has been found in a batch of texts so far."""
+
+    def __init__(self, part: pa.RecordBatch, text_col: str):
+        buf, off = texts_of(part.column(text_col))
+        row = words(LOWER[buf], off, NOT_ALNUM)[2]
+        self.size = per_row(np.ones(len(row)), row, part.num_rows)
+        self.hit = np.zeros(int(self.size.sum()), bool)
+        self.longest = np.zeros(part.num_rows, np.int64)
+        self.listed: list[list[str]] = [[] for _ in range(part.num_rows)]
+        if OUT.names[0] in part.schema.names:  # from an earlier pass
+            ends = np.cumsum(self.size)
+            for i, raw in enumerate(part.column("hits").to_pylist()):
+                if raw:
+                    self.hit[ends[i] - self.size[i] : ends[i]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.size[i]).astype(bool)
+            self.longest = part.column("longest").to_numpy(zero_copy_only=False).astype(np.int64)
+            self.listed = [x or [] for x in part.column("items").to_pylist()]
+
+    def add(self, items: Items, part: pa.RecordBatch, text_col: str) -> None:
+        hit, longest, listed = search(items, Words(part.column(text_col), items.salt), part.num_rows)
+        self.hit |= hit
+        self.longest = np.maximum(self.longest, longest)
+        self.listed = [a + b if b else a for a, b in zip(self.listed, listed, strict=True)]
+
+    def batch(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        """part with OUT's columns."""
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        n_hit, ends = per_row(self.hit, row, len(self.size)), np.cumsum(self.size)
+        bits = [np.packbits(self.hit[e - s : e]).tobytes() if c else None for e, s, c in zip(ends.tolist(), self.size.tolist(), n_hit.tolist(), strict=True)]
+        new = [pa.array(self.size, pa.int64()), pa.array(n_hit), pa.array(self.longest), pa.array([sorted(set(x)) for x in self.listed], pa.list_(pa.string())), pa.array(bits, pa.binary())]
+        kept = [c for c in part.schema.names if c not in OUT.names]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=[*kept, *OUT.names])
+
+
+def _pass(df: DataFrame, held: list, text_col: str, window: int) -> DataFrame:
+    """df with OUT's columns brought up to date by some blocks of items. With one block texts are only streamed. With more, a
+    task keeps its batches in a file of its own without a name, and goes over it once a block; one block's index is in memory."""
     key = uuid.uuid4().hex
 
+    def items_of(block) -> Items:
+        return Items(*pickle.loads(zlib.decompress(block.value)), window)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:
+        parts = (part for batch in batches for part in pieces(batch, text_col, SHARD_BYTES))
+        if len(held) == 1:
+            if key not in _loaded:
+                _loaded.clear()
+                _loaded[key] = items_of(held[0])
+            for part in parts:
+                found = Found(part, text_col)
+                found.add(_loaded[key], part, text_col)
+                yield found.batch(part)
+            return
+        with tempfile.TemporaryFile() as spool:
+            writer, found = None, []
+            for part in parts:
+                writer = writer or pa.ipc.new_file(spool, part.schema)
+                writer.write_batch(part)
+                found.append(Found(part, text_col))
+            if writer is None:
+                return
+            writer.close()
             _loaded.clear()
-            _loaded[key] = Items(*pickle.loads(zlib.decompress(held.value)), window)
-        items = _loaded[key]
-        for batch in batches:
-            for part in pieces(batch, text_col, SHARD_BYTES):
-                n = part.num_rows
-                own = Words(part.column(text_col), items.salt)
-                row = own.row
-                hit, longest, listed = search(items, own, n)
-                size = per_row(np.ones(len(row)), row, n)
-                ends = np.cumsum(size)
-                kept = [c for c in part.schema.names if not (have and c in OUT.names)]
-                if have:
-                    for i, raw in enumerate(part.column("hits").to_pylist()):
-                        if raw:
-                            hit[ends[i] - size[i] : ends[i]] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=size[i]).astype(bool)
-                    listed = [a + (b or []) for a, b in zip(listed, part.column("items").to_pylist(), strict=True)]
-                    longest = np.maximum(longest, part.column("longest").to_numpy(zero_copy_only=False))
-                n_hit = per_row(hit, row, n)
-                bits = [np.packbits(hit[e - s : e]).tobytes() if c else None for e, s, c in zip(ends.tolist(), size.tolist(), n_hit.tolist(), strict=True)]
-                new = [pa.array(size, pa.int64()), pa.array(n_hit), pa.array(longest), pa.array([sorted(set(x)) for x in listed], pa.list_(pa.string())), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=[*kept, *OUT.names])
-
-    fields = [f for f in df.schema.fields if not (have and f.name in OUT.names)]
+            with pa.ipc.open_file(pa.PythonFile(spool, "r")) as kept:
+                for block in held:
+                    items = items_of(block)
+                    for i, x in enumerate(found):
+                        x.add(items, kept.get_batch(i), text_col)
+                    del items
+                for i, x in enumerate(found):
+                    yield x.batch(kept.get_batch(i))
+
+    fields = [f for f in df.schema.fields if f.name not in OUT.names]
     return df.mapInArrow(trimmed(run), T.StructType([*fields, *OUT.fields]))
 
 
 def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit (words in windows of items), longest (words of the longest verbatim match; 0 without a
     hit), items (ids of the items with such windows, sorted) and hits (a bit for each word; null without any)."""
+    spark = docs.sparkSession
     own = items.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).alias("item_text")).filter(F.length("item_text") > 0)
     size = own.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    text_batches(docs.sparkSession)
+    text_batches(spark)
     found = freed(docs, OUT.names, text_col)
-    for k in range(blocks):
-        block = own.filter(F.pmod(F.xxhash64("name", "item_text"), F.lit(blocks)) == k) if blocks > 1 else own
-        rows = block.collect()
-        held = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(([r.name for r in rows], [r.item_text for r in rows])), 1))
-        found = _pass(found, held, text_col, window, have=k > 0)
-        if k < blocks - 1:  # one block at a time
+    for first in range(0, blocks, BLOCKS):
+        held = []
+        for k in range(first, min(first + BLOCKS, blocks)):
+            block = own.filter(F.pmod(F.xxhash64("name", "item_text"), F.lit(blocks)) == k) if blocks > 1 else own
+            rows = block.collect()  # one block at a time is on the driver
+            held.append(spark.sparkContext.broadcast(zlib.compress(pickle.dumps(([r.name for r in rows], [r.item_text for r in rows])), 1)))
+            del rows
+        before, found = found, _pass(found, held, text_col, window)
+        if first + BLOCKS < blocks:
             found = stored(found, "decontaminate")
-            held.unpersist()
+            forgotten(before)
+            for h in held:
+                h.unpersist()
     return found
 
 
