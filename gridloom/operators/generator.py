@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import stored
 from .timeseries import Key, keys
 
-#: A Gram matrix of so many steps is 200 MB; longer axes must be coarsened first.
-MOST_STEPS = 5_000
+#: A Gram matrix of so many steps is 200 MB; longer axes take subspace iteration, which holds steps x (modes + EXTRA) values.
+MOST_STEPS, LONGEST, EXTRA, PASSES = 5_000, 200_000, 10, 40
 
 
 def series(cube: DataFrame, cell: Key, t: str, v: str) -> DataFrame:
@@ -28,69 +29,117 @@ def series(cube: DataFrame, cell: Key, t: str, v: str) -> DataFrame:
     return own.select(*names, F.transform("y", lambda q: q - mean).alias("y"), "whole")
 
 
-def gram(rows: DataFrame, steps: int) -> np.ndarray:
-    """Sum over cells of y y'. Each task sums up its cells and sends a packed row for each step; the rows of a step are added
-    in one task, as they come."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((steps, steps))
-        for batch in batches:
-            y = batch.column(0).flatten().to_numpy().reshape(-1, steps)
-            total += y.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps, dtype=np.int32)), pa.array([x.tobytes() for x in total], pa.binary())], names=["i", "g"])
+def _added(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of matrices that tasks send as packed blocks of rows (i, g); blocks of one place are added in one task, as they come."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, raw in zip(batch.column("i").to_pylist(), batch.column("g").to_pylist(), strict=True):
-                x = np.frombuffer(raw)
-                total[i] = total[i] + x if i in total else x
+            for i, raw in zip(batch.column("i").to_pylist(), batch.column("g"), strict=True):
+                x = np.frombuffer(raw.as_buffer())
+                total[i] = total[i] + x if i in total else x.copy()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["i", "g"])
 
-    parts = rows.select("y").mapInArrow(part, "i int, g binary").repartition("i")
-    out = np.zeros((steps, steps))
-    for r in parts.mapInArrow(add, "i int, g binary").toLocalIterator():  # a row a step
-        out[r.i] = np.frombuffer(r.g)
+    out = np.zeros(shape)
+    for r in parts.repartition("i").mapInArrow(add, "i int, g binary").toLocalIterator():  # a row a block of the matrix
+        x = np.frombuffer(r.g).reshape(-1, shape[1])
+        out[r.i : r.i + len(x)] = x
     return out
 
 
+def _sent(total: np.ndarray) -> pa.RecordBatch:
+    """A task's matrix in blocks of rows of some 256 KB."""
+    step = max(1, (1 << 15) // total.shape[1])
+    at = range(0, len(total), step)
+    return pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([total[i : i + step].tobytes() for i in at], pa.binary())], names=["i", "g"])
+
+
+def gram(rows: DataFrame, steps: int, cells: int) -> np.ndarray:
+    """Sum over cells of y y'. A task has four times as many cells as steps at least, so that the matrices that tasks send are
+    less than what they have read."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((steps, steps))
+        for batch in batches:
+            y = batch.column(0).flatten().to_numpy().reshape(-1, steps)
+            total += y.T @ y
+        yield _sent(total)
+
+    tasks = max(1, cells // (4 * steps), min(8, cells // steps))
+    return _added(rows.select("y").coalesce(tasks).mapInArrow(part, "i int, g binary"), (steps, steps))
+
+
+def leading(rows: DataFrame, steps: int, modes: int, seed: int = 0, passes: int = PASSES, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues of the Gram matrix and their vectors, without the matrix: a random thin basis goes through the
+    rows (one product a task, steps x few values each), is made orthonormal, and goes again, until the values stay."""
+    wide = min(modes + EXTRA, steps)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((steps, wide)))[0]
+    before = np.zeros(modes)
+    for _ in range(passes):
+        held = rows.sparkSession.sparkContext.broadcast(basis)  # bounded by LONGEST
+
+        def part(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(held.value.shape)
+            for batch in batches:
+                y = batch.column(0).flatten().to_numpy().reshape(-1, steps)
+                total += y.T @ (y @ held.value)
+            yield _sent(total)
+
+        moved = _added(rows.select("y").mapInArrow(part, "i int, g binary"), basis.shape)
+        held.destroy()
+        value, turn = np.linalg.eigh((basis.T @ moved + moved.T @ basis) / 2)
+        order = np.argsort(value)[::-1]
+        value, vector = value[order], basis @ turn[:, order]
+        settled = np.abs(value[:modes] - before) <= tolerance * max(value[0], 1e-300)
+        if settled.all():
+            break
+        before = value[:modes]
+        basis = np.linalg.qr(moved)[0]
+    return value[:modes], vector[:, :modes]
+
+
 def eof(cube: DataFrame, cell: Key, t: str, v: str, modes: int | None = None, drop_gaps: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """loadings (cell, mode, loading), scores (t, mode, score) and variance (mode, ratio) of the centred cube, modes from 1 in
-    order of variance. Raises ValueError if cells miss steps, unless drop_gaps leaves these cells out. Cells never leave their tasks: only the Gram matrix of the times does. The loadings have length 1;
-    each mode's largest score is positive."""
+    order of variance. Raises ValueError if cells miss steps, unless drop_gaps leaves these cells out, for more than ``LONGEST``
+    steps, and for more than ``MOST_STEPS`` without ``modes``. The cells' series are written once; cells never leave their
+    tasks, only sums over cells do. The loadings have length 1; each mode's largest score is positive."""
     names = keys(cell)
-    times = [r[0] for r in cube.select(t).distinct().orderBy(t).collect()]
-    if len(times) > MOST_STEPS:
-        raise ValueError(f"{len(times)} steps; at most {MOST_STEPS}")
-    rows = series(cube, cell, t, v)
-    if not drop_gaps:
-        gaps = rows.agg(F.count_if(~F.col("whole")).alias("gaps"), F.count("*").alias("all")).first()
-        if gaps.gaps:
-            raise ValueError(f"{gaps.gaps} of {gaps.all} cells miss steps; fill them, or leave them out with drop_gaps")
+    times = sorted(r[0] for r in cube.select(t).distinct().limit(LONGEST + 1).collect())
+    if len(times) > LONGEST:
+        raise ValueError(f"more than {LONGEST} steps")
+    if len(times) > MOST_STEPS and not modes:
+        raise ValueError(f"{len(times)} steps; beyond {MOST_STEPS} say how many modes are wanted")
+    rows = stored(series(cube, cell, t, v), "eof-series")
+    whole = F.count_if("whole").alias("whole")
+    square = F.sum(F.when(F.col("whole"), F.aggregate("y", F.lit(0.0), lambda a, q: a + q * q))).alias("square")
+    seen = rows.agg(whole, F.count("*").alias("all"), square).first()
+    if seen.all > seen.whole and not drop_gaps:
+        raise ValueError(f"{seen.all - seen.whole} of {seen.all} cells miss steps; fill them, or leave them out with drop_gaps")
     rows = rows.filter("whole").drop("whole")
-    value, vector = np.linalg.eigh(gram(rows, len(times)))
-    order = np.argsort(value)[::-1]
-    value, vector = np.clip(value[order], 0, None), vector[:, order]
+    if len(times) <= MOST_STEPS:
+        value, vector = np.linalg.eigh(gram(rows, len(times), seen.whole))
+        order = np.argsort(value)[::-1]
+        value, vector = np.clip(value[order], 0, None), vector[:, order]
+    else:
+        value, vector = leading(rows, len(times), modes)
+    total = float(seen.square or 0.0)
     rank = int((value > value[0] * 1e-12).sum()) if len(value) and value[0] > 0 else 0
     k = min(modes or rank, rank)
     sign = np.sign(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])])
     vector, value_k = (vector * np.where(sign == 0, 1, sign))[:, :k], value[:k]
     spark = cube.sparkSession
-    size = np.sqrt(value_k)
-    held = spark.sparkContext.broadcast(vector * size)  # steps x modes
+    basis = spark.sparkContext.broadcast(vector / np.sqrt(value_k))  # steps x modes, both bounded
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = held.value[batch.column("__i").to_numpy()]
+            found = basis.value[batch.column("__i").to_numpy()] * value_k
             yield pa.RecordBatch.from_arrays([batch.column(t), pa.array(list(found), pa.list_(pa.float64()))], names=[t, "s"])
 
     kind = cube.schema[t].dataType.simpleString()
     steps = spark.createDataFrame([(i, x) for i, x in enumerate(times)], f"__i long, {t} {kind}")
     scores = steps.mapInArrow(rows_of, f"{t} {kind}, s array<double>").select(t, F.posexplode("s").alias("mode", "score")).withColumn("mode", F.col("mode") + 1)
-    ratio = value_k / value.sum() if value.sum() > 0 else value_k
+    ratio = value_k / total if total > 0 else value_k
     variance = spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratio)], "mode int, ratio double")
-    basis = spark.sparkContext.broadcast(vector / size)  # steps x modes
-
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = basis.value
         for batch in batches:

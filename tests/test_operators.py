@@ -683,3 +683,21 @@ def test_a_hot_key_is_not_gathered(spark):
     assert ends.n == 360_000 and inside < 2 * 10 * ends.n / selection.ACCURACY
     got = {r.k: r["__q"] for r in selection.quantiles_of(df, ["k"], "v", 0.25, 0.75).collect()}
     assert got == {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).collect()}
+
+
+def test_leading_modes_without_a_gram_matrix(spark, monkeypatch):
+    """Subspace iteration gives the modes, scores and shares of the exact decomposition."""
+    rng = np.random.default_rng(11)
+    field = rng.normal(size=(60, 4)) @ (np.array([8.0, 4.0, 2.0, 1.0])[:, None] * rng.normal(size=(4, 90))) + 0.05 * rng.normal(size=(60, 90))
+    cube = spark.createDataFrame([(c, t, float(x)) for (c, t), x in np.ndenumerate(field)], "cell int, t int, v double").repartition(5)
+    want = [x.toPandas() for x in generator.eof(cube, "cell", "t", "v", modes=4)]
+    monkeypatch.setattr(generator, "MOST_STEPS", 50)
+    got = [x.toPandas() for x in generator.eof(cube, "cell", "t", "v", modes=4)]
+    for a, b, own, value in zip(want, got, (["cell", "mode"], ["t", "mode"], ["mode"]), ("loading", "score", "ratio")):
+        a, b = (x.sort_values(own)[value].to_numpy() for x in (a, b))
+        assert np.allclose(a, b, atol=1e-4 * np.abs(a).max())
+    with pytest.raises(ValueError, match="modes"):
+        generator.eof(cube, "cell", "t", "v")
+    monkeypatch.setattr(generator, "LONGEST", 80)
+    with pytest.raises(ValueError, match="80"):
+        generator.eof(cube, "cell", "t", "v", modes=4)
