@@ -18,7 +18,7 @@ A text's probability is the product over its words and one end of
 where the last one is 1 / (V + 1). D1, D2 and D3 come from how many n-grams of an order have numbers of one to four; where
 one of these is none they are 0.5, 1 and 1.5. A history that was not learned leaves the shorter one's probability.
 
-Sizes are those of substring dedup: chunks of some 8 MB and slices of some 2 million tokens, both times the root of the input
+Sizes are those of substring dedup: chunks of some 8 MB and slices of some 1 million tokens, both times the root of the input
 over 64 GB, so what passes between chunks and slices grows no faster than the input. A frequent n-gram is one entry a chunk.
 The driver gets eight sums of an order. Words are told apart by 64 bits.
 
@@ -335,8 +335,8 @@ def learned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
     text_batches(df.sparkSession)
     sizes = sizes or Sizes.of(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])
     own = chunks(df, id_col, text_col, F.lit(True) if learn is None else learn, sizes.chunk)
-    # a text's tokens are at most its bytes, some 1 in 6 of them
-    ranges = 1 + (sizes.chunk // 6 * own.count()) // sizes.windows
+    # some 1 token in 6 bytes; a slice has an order's n-grams of half as many tokens as substring dedup's ranges have windows
+    ranges = 1 + 2 * (sizes.chunk // 6 * own.count()) // sizes.windows
     told, discounts, unigrams, tokens, types = [], [], (0, 0, 0, 0), 0, 0
     for k in range(order, 0, -1):
         asked = _asked(own, k, order, ranges, told[-1] if told else None)
