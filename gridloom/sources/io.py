@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions.columns import nan_to_null, require
 from ..functions.scalars import polar_stereographic
 from ..operators.regions import with_bounds
 from ..operators.timeseries import Key, keys
+from .shared import file_system
 
 
 def read_cube(spark: SparkSession, path: str | Sequence[str], *columns: str) -> DataFrame:
@@ -100,6 +102,55 @@ def remaining(work: DataFrame, done: DataFrame, key: Key) -> DataFrame:
     return work.join(done.select(*keys(key)).distinct(), keys(key), "left_anti")
 
 
+def _folders(spark: SparkSession, path: str, key: str) -> list[str]:
+    """The values of the partition folders under a path."""
+    files, root = file_system(spark, path)
+    found = [e.getPath().getName() for e in files.listStatus(root)] if files.exists(root) else []
+    return [unquote(x.partition("=")[2]) for x in found if x.startswith(f"{key}=")]
+
+
+def finished(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key as string, rows, run) of the parts that ``resume`` has finished under ``path``: those in the manifest beside it whose
+    folder is there, or that have no rows. A part that was being written when a run broke is in no manifest."""
+    files, manifest = file_system(spark, f"{path}.manifest")
+    kinds = f"{key} string, rows long, run string, number long"
+    if not files.exists(manifest):
+        return spark.createDataFrame([], kinds).drop("number")
+    told = spark.read.schema(kinds).parquet(f"{path}.manifest")
+    there = spark.createDataFrame([(x,) for x in _folders(spark, path, key)], f"{key} string").withColumn("__there", F.lit(True))
+    last = told.groupBy(key).agg(F.max_by(F.struct("rows", "run"), "number").alias("m")).select(key, "m.*")
+    return last.join(there, key, "left").filter((F.col("rows") == 0) | F.col("__there")).drop("__there")
+
+
+def resume(spark: SparkSession, work: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], path: str, run: str, batch: int = 16) -> int:
+    """Computes the parts of ``work`` (a row a part, by ``key``) that are not finished and writes each to a folder of its own;
+    returns how many were left to do. ``compute`` gets some rows of work and returns rows with the key. Parts go in batches, in
+    order of the key: a batch's folders are replaced (others stay as they are), then its parts enter the manifest, with their
+    rows and the run's name. So a run that breaks loses a batch at most, and a restart writes only what lacks."""
+    kind = work.schema[key].dataType.simpleString()
+    done = finished(spark, path, key).select(F.col(key).alias("__s"))
+    names = work.select(key).distinct()
+    left = [r[0] for r in names.join(done, F.col(key).cast("string") == F.col("__s"), "left_anti").orderBy(key).collect()]  # a name a part
+    for at in range(0, len(left), batch):
+        now = left[at : at + batch]
+        compute(work.filter(F.col(key).isin(now))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        parts = spark.createDataFrame([(x,) for x in now], f"{key} {kind}").select(F.col(key).cast("string").alias(key))
+        if set(_folders(spark, path, key)) & {str(x) for x in now}:
+            own = spark.read.parquet(path).filter(F.col(key).isin(now))  # this batch's folders only
+            parts = parts.join(own.groupBy(F.col(key).cast("string").alias(key)).agg(F.count("*").alias("rows")), key, "left")
+        else:
+            parts = parts.withColumn("rows", F.lit(None).cast("long"))
+        told = parts.select(key, F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), F.lit(run).alias("run"), F.unix_micros(F.current_timestamp()).alias("number"))
+        told.coalesce(1).write.mode("append").parquet(f"{path}.manifest")
+    return len(left)
+
+
+def read_finished(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The rows of finished parts, without what a broken run has left; with the run that wrote them."""
+    own = spark.read.parquet(path)
+    return own.join(F.broadcast(finished(spark, path, key).select(F.col(key).alias("__k"), "run")), own[key].cast("string") == F.col("__k")).drop("__k")  # a row a part
+
+
 def process_directory(spark: SparkSession, pattern: str, transform: Callable[[DataFrame], DataFrame], out: str, file_col: str = "file") -> None:
     """One transform over every file of a pattern; the output keeps the files apart."""
     write_by(transform(read_parts(spark, pattern, file_col)), out, file_col)

@@ -701,3 +701,34 @@ def test_leading_modes_without_a_gram_matrix(spark, monkeypatch):
     monkeypatch.setattr(generator, "LONGEST", 80)
     with pytest.raises(ValueError, match="80"):
         generator.eof(cube, "cell", "t", "v", modes=4)
+
+
+def test_resume_writes_only_what_lacks(spark, tmp_path):
+    """A part lost, a part without rows, a part of a broken run, odd names; finished parts are not touched."""
+    import os
+    import shutil
+
+    path = str(tmp_path / "out")
+    work = spark.createDataFrame([("a b/c",), ("none",), ("x",), ("y",)], "name string")
+    rows = spark.createDataFrame([("a b/c", 1), ("x", 2), ("x", 3), ("y", 4)], "name string, v int")
+    seen = []
+
+    def compute(some, broken=False):
+        seen.append(sorted(r[0] for r in some.collect()))
+        if broken and "y" in seen[-1]:
+            rows.withColumn("v", F.lit(-1)).join(some, "name").write.mode("append").partitionBy("name").parquet(path)
+            raise RuntimeError("broken")
+        return rows.join(some, "name")
+
+    with pytest.raises(RuntimeError):
+        io.resume(spark, work, "name", lambda some: compute(some, True), path, "one", 3)
+    assert {(r.name, r.v, r.run) for r in io.read_finished(spark, path, "name").collect()} == {("a b/c", 1, "one"), ("x", 2, "one"), ("x", 3, "one")}
+    seen.clear()
+    assert io.resume(spark, work, "name", compute, path, "two", 3) == 1 and seen == [["y"]]
+    assert io.resume(spark, work, "name", compute, path, "three", 3) == 0
+    kept = os.stat(f"{path}/name=y").st_mtime_ns
+    shutil.rmtree(f"{path}/name=x")
+    seen.clear()
+    assert io.resume(spark, work, "name", compute, path, "four", 3) == 1 and seen == [["x"]]
+    assert os.stat(f"{path}/name=y").st_mtime_ns == kept
+    assert {(r.name, r.v, r.run) for r in io.read_finished(spark, path, "name").collect()} == {("a b/c", 1, "one"), ("x", 2, "four"), ("x", 3, "four"), ("y", 4, "two")}
