@@ -6,6 +6,8 @@ result (cell, region) is a bridge table that everything else equi-joins.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,47 +29,105 @@ def edges(regions: DataFrame) -> DataFrame:
     return flat.filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
 
 
-#: Squares to a side of the whole plane in which boxes are looked up, and bands of a region's height in which its edges are.
-SQUARES, BANDS = 32, 64
+#: Squares to a side of the whole plane in which boxes are looked up, and parts that the cells of a square are dealt to; squares
+#: to a side of a region's own box, which are inside, outside or on the edge; bands of a region's height for its edges.
+SQUARES, DEALT, OWN, BANDS = 32, 16, 64, 64
+OUTSIDE, INSIDE, EDGE = 0, 1, 2
 
 
-def in_boxes(cells: DataFrame, regions: DataFrame, x: str = "x", y: str = "y", grow: float = 0.0) -> DataFrame:
+def in_boxes(cells: DataFrame, regions: DataFrame, x: str = "x", y: str = "y", grow: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cells joined to the regions whose bounding box, grown by a distance, holds them. Both meet by the squares of a coarse
-    grid, so a cell is compared with the boxes that reach into its square."""
-    box = regions.select("region_id", *((F.col(c) + (grow if c.endswith("max") else -grow)).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")))
+    grid, so a cell is compared with the boxes that reach into its square; a square's cells are dealt to ``DEALT`` keys, each
+    of which has the square's boxes. keep: other columns of the regions that are wanted."""
+    box = regions.select("region_id", *keep, *((F.col(c) + (grow if c.endswith("max") else -grow)).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")))
     whole = box.agg(*(f(c).alias(f"__{c}") for c, f in (("xmin", F.min), ("xmax", F.max), ("ymin", F.min), ("ymax", F.max))))  # one row
     at = lambda v, c: F.floor((v - F.col(f"__{c}min")) / F.greatest((F.col(f"__{c}max") - F.col(f"__{c}min")) / SQUARES, F.lit(1e-300)))
     placed = box.crossJoin(whole)
     for c in "xy":
         placed = placed.withColumn(f"__b{c}", F.explode(F.sequence(at(F.col(f"{c}min"), c), at(F.col(f"{c}max"), c))))
-    placed = placed.drop(*(f"__{c}{e}" for c in "xy" for e in ("min", "max")))
-    own = cells.crossJoin(whole).withColumns({"__bx": at(F.col(x), "x"), "__by": at(F.col(y), "y")}).drop(*(f"__{c}{e}" for c in "xy" for e in ("min", "max")))
+    placed = placed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).drop(*(f"__{c}{e}" for c in "xy" for e in ("min", "max")))
+    own = cells.crossJoin(whole).withColumns({"__bx": at(F.col(x), "x"), "__by": at(F.col(y), "y"), "__part": F.pmod(F.hash(x, y), F.lit(DEALT))}).drop(*(f"__{c}{e}" for c in "xy" for e in ("min", "max")))
     inside = F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax"))
-    return own.join(placed, ["__bx", "__by"]).filter(inside).drop("xmin", "xmax", "ymin", "ymax", "__bx", "__by")
+    return own.join(placed, ["__bx", "__by", "__part"]).filter(inside).drop("xmin", "xmax", "ymin", "ymax", "__bx", "__by", "__part")
+
+
+def covering(rings: list, box: tuple[float, float, float, float], buffer: float = 0.0, side: int = OWN) -> np.ndarray:
+    """What the squares of a box (xmin, xmax, ymin, ymax) are to a polygon, row by row from below: outside, inside, or within
+    ``buffer`` of an edge. A square that no edge comes near is inside if its middle is."""
+    ends = []
+    for ring in rings:
+        p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
+        ends.append(np.hstack([p, np.roll(p, -1, axis=0)]))
+    e = np.concatenate(ends) if ends else np.zeros((0, 4))
+    e = e[(e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])]
+    x0, x1, y0, y1 = box
+    w, h = max((x1 - x0) / side, 1e-300), max((y1 - y0) / side, 1e-300)
+    # an edge in pieces of at most a square each; the squares that a piece's own box reaches are near the edge
+    n = np.clip(np.ceil(np.maximum(np.abs(e[:, 2] - e[:, 0]) / w, np.abs(e[:, 3] - e[:, 1]) / h)), 1, 2 * side).astype(int)
+    of = np.repeat(np.arange(len(e)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    a, b = k / n[of], (k + 1) / n[of]
+    along = lambda c, f: e[of, c] + (e[of, c + 2] - e[of, c]) * f
+    near = np.zeros((side + 1, side + 1), np.int64)
+    slack = 1e-9 * max(abs(v) for v in (*box, 1.0)) + buffer
+    first, last = [], []
+    for c, at, step in ((0, x0, w), (1, y0, h)):
+        p, q = along(c, a), along(c, b)
+        first.append(np.clip(np.floor((np.minimum(p, q) - slack - at) / step), 0, side - 1).astype(int))
+        last.append(np.clip(np.floor((np.maximum(p, q) + slack - at) / step), 0, side - 1).astype(int) + 1)
+    for i, j, sign in ((first[0], first[1], 1), (last[0], first[1], -1), (first[0], last[1], -1), (last[0], last[1], 1)):
+        np.add.at(near, (j, i), sign)
+    near = near.cumsum(axis=0).cumsum(axis=1)[:side, :side] > 0
+    out = np.zeros((side, side), np.int8)
+    middle = x0 + (np.arange(side) + 0.5) * w
+    for j in range(side):
+        y = y0 + (j + 0.5) * h
+        hit = e[(e[:, 1] > y) != (e[:, 3] > y)]
+        cross = np.sort(hit[:, 0] + (y - hit[:, 1]) / (hit[:, 3] - hit[:, 1]) * (hit[:, 2] - hit[:, 0]))
+        out[j] = (len(cross) - np.searchsorted(cross, middle, "right")) % 2
+    return np.where(near, EDGE, out).astype(np.int8)
+
+
+def covered(regions: DataFrame, buffer: float = 0.0) -> DataFrame:
+    """regions with ``__squares``: the covering of each region's box, grown by the buffer, a byte for each of its squares."""
+
+    @F.pandas_udf("binary")
+    def squares(rings: pd.Series, x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([covering(r, (a - buffer, b + buffer, c - buffer, d + buffer), buffer).tobytes() for r, a, b, c, d in zip(rings, x0, x1, y0, y1, strict=True)], dtype=object)
+
+    return regions.withColumn("__squares", squares("rings", "xmin", "xmax", "ymin", "ymax"))
 
 
 def cell_region(cells: DataFrame, regions: DataFrame, cell: str = "cell_id", x: str = "x", y: str = "y", buffer: float = 0.0) -> DataFrame:
-    """(cell, region_id): cells whose centre lies inside a region, or within ``buffer`` of its edge. A ray to the right of a
-    point crosses an odd number of the edges around it; an edge has its lower end but not its upper, so no corner counts
-    twice, and a point on a left or lower edge is inside. A cell meets the edges of its band of the region's height only. The
-    ray's crossings are summed up before the shuffle."""
+    """(cell, region_id): cells whose centre lies inside a region, or within ``buffer`` of its edge.
+
+    A region's box is cut into squares that are outside, inside or on the edge; only cells in the latter are tested against
+    edges, and only those of their band of the region's height. A ray to the right of a point crosses an odd number of the
+    edges around it; an edge has its lower end but not its upper, so no corner counts twice, and a point on a left or lower
+    edge is inside. The ray's crossings are summed up before the shuffle."""
     px, py = F.col(x), F.col(y)
-    near = in_boxes(cells.select(cell, x, y).distinct(), regions, x, y, buffer)
+    known = covered(regions, buffer).select("region_id", "xmin", "xmax", "ymin", "ymax", "__squares", *((F.col(f"{c}min") - buffer).alias(f"__{c}_from") for c in "xy"), *(((F.col(f"{c}max") - F.col(f"{c}min") + 2 * buffer) / OWN).alias(f"__{c}_step") for c in "xy"))
+    met = in_boxes(cells.select(cell, x, y).distinct(), known, x, y, buffer, ("__squares", *(f"__{c}_{e}" for c in "xy" for e in ("from", "step"))))
+    at = lambda v, c: F.least(F.greatest(F.floor((v - F.col(f"__{c}_from")) / F.greatest(F.col(f"__{c}_step"), F.lit(1e-300))), F.lit(0)), F.lit(OWN - 1))
+    byte = F.substring("__squares", at(py, "y").cast("int") * OWN + at(px, "x").cast("int") + 1, 1)
+    near = met.select(cell, x, y, "region_id", F.conv(F.hex(byte), 16, 10).cast("int").alias("__is")).filter(F.col("__is") != OUTSIDE)
+    sure = near.filter(F.col("__is") == INSIDE).select(cell, "region_id")
     height = regions.select("region_id", (F.col("ymin") - buffer).alias("__y0"), F.greatest((F.col("ymax") - F.col("ymin") + 2 * buffer) / BANDS, F.lit(1e-300)).alias("__h"))
     band = lambda v: F.floor((v - F.col("__y0")) / F.col("__h"))
-    own = near.join(height, "region_id").withColumn("__band", band(py)).drop("__y0", "__h")
+    own = near.filter(F.col("__is") == EDGE).join(height, "region_id").withColumn("__band", band(py)).drop("__y0", "__h", "__is")
     cut_up = edges(regions).join(height, "region_id").withColumn("__band", F.explode(F.sequence(band(F.least("y0", "y1") - buffer), band(F.greatest("y0", "y1") + buffer)))).drop("__y0", "__h")
     met = own.join(cut_up, ["region_id", "__band"])
     cut = (F.col("y0") > py) != (F.col("y1") > py)
-    at = F.col("x0") + (py - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
-    crosses = F.sum(F.when(cut & (px < at), 1).otherwise(0))
-    inside = F.pmod(crosses, F.lit(2)) == 1
+    along = F.col("x0") + (py - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
+    inside = F.pmod(F.sum(F.when(cut & (px < along), 1).otherwise(0)), F.lit(2)) == 1
     if buffer <= 0:
-        return met.groupBy(cell, "region_id").agg(inside.alias("__in")).filter("__in").drop("__in")
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    part = F.least(F.greatest(((px - F.col("x0")) * dx + (py - F.col("y0")) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
-    away = F.hypot(px - (F.col("x0") + part * dx), py - (F.col("y0") + part * dy))
-    return met.groupBy(cell, "region_id").agg(inside.alias("__in"), F.min(away).alias("__d")).filter(F.col("__in") | (F.col("__d") <= buffer)).select(cell, "region_id")
+        tested = met.groupBy(cell, "region_id").agg(inside.alias("__in")).filter("__in")
+    else:
+        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        part = F.least(F.greatest(((px - F.col("x0")) * dx + (py - F.col("y0")) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+        away = F.hypot(px - (F.col("x0") + part * dx), py - (F.col("y0") + part * dy))
+        tested = met.groupBy(cell, "region_id").agg(inside.alias("__in"), F.min(away).alias("__d")).filter(F.col("__in") | (F.col("__d") <= buffer))
+    return sure.unionByName(tested.select(cell, "region_id"))
 
 
 def areas(regions: DataFrame) -> DataFrame:

@@ -732,3 +732,34 @@ def test_resume_writes_only_what_lacks(spark, tmp_path):
     assert io.resume(spark, work, "name", compute, path, "four", 3) == 1 and seen == [["x"]]
     assert os.stat(f"{path}/name=y").st_mtime_ns == kept
     assert {(r.name, r.v, r.run) for r in io.read_finished(spark, path, "name").collect()} == {("a b/c", 1, "one"), ("x", 2, "four"), ("x", 3, "four"), ("y", 4, "two")}
+
+
+@pytest.mark.parametrize("buffer", [0.0, 0.3])
+def test_coverings_agree_with_edges(spark, buffer):
+    """Inside and outside squares hold no point that the edges say otherwise of; long edges, holes, slivers, a far-off region."""
+    from gridloom.operators import regions
+
+    rng = np.random.default_rng(12)
+    star = [(5 + (4 if i % 2 else 1.2) * np.cos(i * np.pi / 9), 5 + (4 if i % 2 else 1.2) * np.sin(i * np.pi / 9)) for i in range(18)]
+    shapes = [[star], [[(0, 0), (10, 0), (10, 10), (0, 10)], [(2, 2), (2, 8), (8, 8), (8, 2)]], [[(0, 0), (10, 9.9), (10, 10)]], [[(1, 1), (1, 9), (1.0001, 9), (1.0001, 1)]], [[(1000, 1000), (1001, 1000), (1001, 1001)]]]
+    rows = [(i, str(i), [[{"x": float(a), "y": float(b)} for a, b in ring] for ring in rings]) for i, rings in enumerate(shapes)]
+    own = regions.with_bounds(spark.createDataFrame(rows, "region_id int, name string, rings array<array<struct<x:double,y:double>>>"))
+    points = np.vstack([rng.random((1500, 2)) * 11 - 0.5, np.array(star), [(0, 0), (10, 10), (2, 5), (5, 2), (1, 5)]])
+    cells = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "cell_id int, x double, y double")
+    got = {(r.cell_id, r.region_id) for r in regions.cell_region(cells, own, buffer=buffer).collect()}
+    want, settled = set(), 0
+    for k, rings in enumerate(shapes):
+        ends = [(a, ring[(i + 1) % len(ring)]) for ring in rings for i, a in enumerate(ring)]
+        box = [f(p[c] for ring in rings for p in ring) + s * buffer for c in (0, 1) for f, s in ((min, -1), (max, 1))]
+        cover = regions.covering(rows[k][2], box, buffer)
+        settled += (cover != regions.EDGE).sum()
+        for i, (x, y) in enumerate(points):
+            inside = sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in ends) % 2
+            away = np.inf
+            for a, b in ends:
+                d = np.subtract(b, a)
+                f = min(max(np.dot(np.subtract((x, y), a), d) / np.dot(d, d), 0), 1)
+                away = min(away, np.hypot(x - a[0] - f * d[0], y - a[1] - f * d[1]))
+            if inside or (buffer and away <= buffer):
+                want.add((i, k))
+    assert got == want and settled > 3000
