@@ -1,68 +1,118 @@
 """Nearest neighbours on grids: filling gaps inside regions, regridding, distances.
 
 Neighbours are found by buckets: points fall into square cells, and a target meets the points of its own bucket and of the
-ring around it; targets that the ring does not settle (no point, or the nearest may lie outside) look into rings twice as
-wide, until none is left. So a target is compared with near points only, however many there are.
+ring around it. Targets that the ring does not settle (no point, or the nearest may lie outside) look into rings twice as
+wide, and then go down a pyramid of occupied squares, which opens only squares that may hold the nearest point. So a target
+is compared with near points only, however many there are and however far from all of them it lies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import forgotten, stored
 from .timeseries import Key, keys
 
 
+#: Rounds of buckets, the second twice as wide; squares to a side that one square of the next level has.
+ROUNDS, FAN = 2, 8
+
+
+def _bucketed(df: DataFrame, x: str, y: str, side: float) -> DataFrame:
+    return df.withColumns({"__bx": F.floor(F.col(x) / side), "__by": F.floor(F.col(y) / side)})
+
+
+def _near(left: DataFrame, src: DataFrame, own: list[str], by: list[str], x: str, y: str, side: float) -> DataFrame:
+    """(own, __b): the best source in a target's bucket and the ring around it, if it lies no farther than a bucket's side."""
+    around = _bucketed(left, x, y, side)
+    for c in ("__bx", "__by"):
+        around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    met = around.join(_bucketed(src, "__sx", "__sy", side), [*by, "__bx", "__by"])
+    return met.groupBy(*own).agg(_best(x, y)).filter(F.col("__b.d2") <= side * side)
+
+
+def _best(x: str, y: str) -> Column:
+    d2 = (F.col("__sx") - F.col(x)) * (F.col("__sx") - F.col(x)) + (F.col("__sy") - F.col(y)) * (F.col("__sy") - F.col(y))
+    return F.min(F.struct(d2.alias("d2"), F.col("__sy"), F.col("__sx"), F.col("__id"))).alias("__b")
+
+
+def _far(left: DataFrame, src: DataFrame, own: list[str], by: list[str], x: str, y: str, side: float) -> DataFrame:
+    """(own, __b): the best source of targets far from all of them, by a pyramid of occupied squares. Each square knows the box of
+    its sources, so a target's distance to it has a lower and an upper bound; from the top down a target opens the squares
+    whose lower bound is not above its least upper bound, and at the bottom it meets the sources of the few that are left."""
+    box = ("x0", "x1", "y0", "y1")
+    levels = [stored(_bucketed(src, "__sx", "__sy", side).groupBy(*by, "__bx", "__by").agg(F.min("__sx").alias("x0"), F.max("__sx").alias("x1"), F.min("__sy").alias("y0"), F.max("__sy").alias("y1")), "pyramid")]
+    up = lambda c: F.floor(F.col(c) / FAN)
+    while levels[-1].groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] > FAN * FAN:
+        merged = levels[-1].groupBy(*by, up("__bx").alias("__bx"), up("__by").alias("__by")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+        levels.append(stored(merged, "pyramid"))
+    gap = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
+    end = lambda v, lo, hi: F.greatest(F.abs(F.col(v) - F.col(lo)), F.abs(F.col(v) - F.col(hi)))
+    least = F.hypot(gap(x, "x0", "x1"), gap(y, "y0", "y1")) * (1 - 1e-12)
+    most = F.hypot(end(x, "x0", "x1"), end(y, "y0", "y1")) * (1 + 1e-12)
+    open_ = None
+    for k in range(len(levels) - 1, -1, -1):
+        squares = levels[k]
+        if open_ is None:
+            met = left.join(squares, by) if by else left.crossJoin(F.broadcast(squares))  # at most FAN * FAN squares a key
+            met = met.withColumn("__most", F.lit(float("inf")))
+        else:
+            children = squares.withColumns({"__px": up("__bx"), "__py": up("__by")})
+            met = open_.withColumnsRenamed({"__bx": "__px", "__by": "__py"}).join(children, [*by, "__px", "__py"]).drop("__px", "__py")
+        met = met.withColumns({"__least": least, "__upto": most}).filter(F.col("__least") <= F.col("__most")).drop(*box)
+        seen = met.groupBy(*own).agg(F.min("__upto").alias("__most"), F.collect_list(F.struct("__bx", "__by", "__least")).alias("__s"))
+        open_ = seen.select(*own, "__most", F.explode(F.filter("__s", lambda q: q["__least"] <= F.col("__most"))).alias("__q")).select(*own, "__most", "__q.__bx", "__q.__by")
+        open_ = stored(open_, "pyramid-open")
+    found = open_.join(_bucketed(src, "__sx", "__sy", side), [*by, "__bx", "__by"]).groupBy(*own).agg(_best(x, y))
+    found = stored(found, "nearest")
+    forgotten(*levels, open_)
+    return found
+
+
+def _searched(left: DataFrame, src: DataFrame, own: list[str], by: list[str], x: str, y: str, side: float) -> DataFrame:
+    """(own, __b): the best source of every target. left and src are stored tables; both are forgotten."""
+    done = None
+    for k in range(ROUNDS + 1):
+        last = k == ROUNDS
+        found = _far(left, src, own, by, x, y, side) if last else stored(_near(left, src, own, by, x, y, side), "nearest")
+        done = found if done is None else done.unionByName(found)
+        if last:
+            break
+        before, left = left, stored(left.join(found.select(*own), own, "left_anti"), "nearest")
+        forgotten(before)
+        if not left.limit(1).count():
+            break
+        side *= 2
+    forgotten(left, src)
+    return done
+
+
 def nearest(targets: DataFrame, sources: DataFrame, key: Key, x: str, y: str, source_id: str, size: float) -> DataFrame:
     """(key of targets, x, y, source_id, dist): the nearest source of each target; among equals the smallest (y, x, id).
-    ``size`` is the first bucket's side, best a few times the usual distance; it doubles until every target is settled, so
-    only targets far from all sources ever meet many. Points without both coordinates take no part."""
+    ``size`` is the first bucket's side, best a few times the usual distance. Points without both coordinates take no part.
+    Keys must not be null."""
     names = keys(key)
-    done = None
     there = lambda a, b: (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
+    src = stored(sources.select(F.col(x).alias("__sx"), F.col(y).alias("__sy"), F.col(source_id).alias("__id")).filter(there("__sx", "__sy")), "nearest")
     left = stored(targets.select(*names, x, y).filter(there(x, y)), "nearest")  # each round starts from what the last one left, not from the input
-    src = sources.select(F.col(x).alias("__sx"), F.col(y).alias("__sy"), F.col(source_id).alias("__id")).filter(there("__sx", "__sy"))
     if not src.limit(1).count():
         return left.select(*names, x, y, F.lit(None).cast(sources.schema[source_id].dataType).alias(source_id), F.lit(None).cast("double").alias("dist")).limit(0)
-    b = size
-    while True:
-        around = left.withColumns({"__bx": F.floor(F.col(x) / b), "__by": F.floor(F.col(y) / b)})
-        around = around.withColumn("__bx", F.explode(F.sequence(F.col("__bx") - 1, F.col("__bx") + 1))).withColumn("__by", F.explode(F.sequence(F.col("__by") - 1, F.col("__by") + 1)))
-        met = around.join(src.withColumns({"__bx": F.floor(F.col("__sx") / b), "__by": F.floor(F.col("__sy") / b)}), ["__bx", "__by"])
-        d2 = F.pow(F.col("__sx") - F.col(x), F.lit(2)) + F.pow(F.col("__sy") - F.col(y), F.lit(2))
-        best = met.groupBy(*names, x, y).agg(F.min(F.struct(d2.alias("d2"), F.col("__sy"), F.col("__sx"), F.col("__id"))).alias("__b"))
-        found = best.select(*names, x, y, F.col("__b.__id").alias(source_id), F.sqrt("__b.d2").alias("dist"))
-        found = stored(found.filter(F.col("dist") <= b), "nearest")
-        done = found if done is None else done.unionByName(found)
-        before, left = left, stored(left.join(found.select(*names), names, "left_anti"), "nearest")
-        forgotten(before)
-        if not left.limit(1).count():
-            return done
-        b *= 2
+    own = [*names, *(c for c in (x, y) if c not in names)]
+    return _searched(left, src, own, [], x, y, size).select(*own, F.col("__b.__id").alias(source_id), F.sqrt("__b.d2").alias("dist"))
 
 
 def fill_map(cells: DataFrame, valid: DataFrame, region: str, cell: str, ix: str, iy: str) -> DataFrame:
     """(region, cell, source): for every cell of a region without a value the nearest cell of the same region with one, in
-    grid index space. cells: (region, cell, ix, iy) of all; valid: (region, cell) of those with values. A target is settled
-    in the first ring of indexes that holds a source nearer than the ring's reach."""
+    grid index space. cells: (region, cell, ix, iy) of all; valid: (region, cell) of those with values. Regions and cells must
+    not be null."""
     cells = stored(cells.join(valid.select(region, cell).distinct().withColumn("__has", F.lit(True)), [region, cell], "left"), "fill")
-    have = cells.filter("__has").select(region, F.col(cell).alias("__s"), F.col(ix).alias("__sx"), F.col(iy).alias("__sy"))
+    have = stored(cells.filter("__has").select(region, F.col(cell).alias("__id"), F.col(ix).alias("__sx"), F.col(iy).alias("__sy")), "fill")
     left = cells.filter("__has is null").select(region, cell, ix, iy)
-    left = left.join(have.select(region).distinct(), region, "left_semi")  # a region without any value stays empty
-    done, b = None, 4
-    while True:
-        ring = left.withColumns({"__bx": F.explode(F.sequence(F.floor(F.col(ix) / b) - 1, F.floor(F.col(ix) / b) + 1))}).withColumn("__by", F.explode(F.sequence(F.floor(F.col(iy) / b) - 1, F.floor(F.col(iy) / b) + 1)))
-        met = ring.join(have.withColumns({"__bx": F.floor(F.col("__sx") / b), "__by": F.floor(F.col("__sy") / b)}), [region, "__bx", "__by"])
-        d2 = (F.col("__sx") - F.col(ix)) * (F.col("__sx") - F.col(ix)) + (F.col("__sy") - F.col(iy)) * (F.col("__sy") - F.col(iy))
-        found = met.groupBy(region, cell).agg(F.min(F.struct(d2.alias("d2"), F.col("__sy"), F.col("__sx"), F.col("__s"))).alias("__b"))
-        found = stored(found.filter(F.col("__b.d2") <= b * b).select(region, cell, F.col("__b.__s").alias("source")), "fill")
-        done = found if done is None else done.unionByName(found)
-        before, left = left, stored(left.join(found, [region, cell], "left_anti"), "fill")
-        forgotten(before)
-        if not left.limit(1).count():
-            return done
-        b *= 2
+    left = stored(left.join(have.select(region).distinct(), region, "left_semi"), "fill")  # a region without any value stays empty
+    forgotten(cells)
+    found = _searched(left, have, [region, cell, ix, iy], [region], ix, iy, 4)
+    return found.select(region, cell, F.col("__b.__id").alias("source"))
 
 
 def filled(values: DataFrame, sources: DataFrame, region: str, cell: str, t: Key, v: str) -> DataFrame:

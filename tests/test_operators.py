@@ -763,3 +763,43 @@ def test_coverings_agree_with_edges(spark, buffer):
             if inside or (buffer and away <= buffer):
                 want.add((i, k))
     assert got == want and settled > 3000
+
+
+def test_far_targets_meet_few_sources(spark, monkeypatch):
+    """Targets far from all sources: as brute force, ties included, and with few pairs."""
+    from gridloom.operators import fill
+
+    rng = np.random.default_rng(13)
+    src = np.vstack([rng.random((4000, 2)) * [30, 2], np.floor(rng.random((300, 2)) * 10) + [0, -40]])
+    goal = np.vstack([rng.random((150, 2)) * 400 - 200, np.floor(rng.random((60, 2)) * 10) + [0, -60], [(1e6, 1e6), (5.5, -40.5)]])
+    sources = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(src)], "sid int, x double, y double")
+    targets = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(goal)], "tid int, x double, y double")
+    met = []
+    best = fill._best
+    monkeypatch.setattr(fill, "_best", lambda x, y: met.append(1) or best(x, y))
+    got = {r.tid: (r.sid, r.dist) for r in fill.nearest(targets, sources, "tid", "x", "y", "sid", 0.5).collect()}
+    for i, (x, y) in enumerate(goal):
+        d2 = (src[:, 0] - x) * (src[:, 0] - x) + (src[:, 1] - y) * (src[:, 1] - y)
+        k = min(range(len(src)), key=lambda j: (d2[j], src[j, 1], src[j, 0], j))
+        assert got[i] == (k, pytest.approx(np.sqrt(d2[k])))
+    assert len(met) == fill.ROUNDS + 1
+    far = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.random((200, 2)) * 50 + [300, 300])], "tid int, x double, y double")
+    src_ = fill.stored(sources.select(F.col("x").alias("__sx"), F.col("y").alias("__sy"), F.col("sid").alias("__id")), "t")
+    monkeypatch.setattr(fill, "_best", lambda x, y: F.count("*").alias("__b"))
+    pairs = fill._far(far, src_, ["tid", "x", "y"], [], "x", "y", 0.5).agg(F.sum("__b")).first()[0]
+    assert pairs < 200 * 60  # of 200 * 4300
+
+
+def test_fill_map_of_deep_gaps(spark):
+    """One region's values lie in a corner of a wide grid; another has a single value."""
+    from gridloom.operators import fill
+
+    cells = [(r, x * 1000 + y, x, y) for r in ("a", "b") for x in range(0, 60) for y in range(0, 40)]
+    valid = [("a", x * 1000 + y) for x in range(4) for y in range(3)] + [("b", 30 * 1000 + 20)]
+    df = spark.createDataFrame(cells, "region string, cell int, ix int, iy int")
+    got = {(r.region, r.cell): r.source for r in fill.fill_map(df, spark.createDataFrame(valid, "region string, cell int"), "region", "cell", "ix", "iy").collect()}
+    for r, c, x, y in cells:
+        own = [v for q, v in valid if q == r]
+        if c not in own:
+            assert got[r, c] == min(own, key=lambda v: ((v // 1000 - x) ** 2 + (v % 1000 - y) ** 2, v % 1000, v // 1000))
+    assert len(got) == len(cells) - len(valid)
