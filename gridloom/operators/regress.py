@@ -358,12 +358,12 @@ def assess(df: DataFrame, key: Key, draft: str, melt: str, rule: str | Assessmen
     own = own.withColumn("mse", F.greatest(c("__var") * (1 - c("r2")), F.lit(0.0))).withColumn("rmse", F.sqrt("mse"))
     own = own.withColumns({"nmse": F.when(c("__var") > 0, c("mse") / c("__var")).otherwise(infinite), "relative_rmse": F.when(c("melt_mean") > 0, c("rmse") / c("melt_mean")).otherwise(infinite)})
     ease = F.when(c(names[-1]).isin(list(rule.priority)), rule.relax).otherwise(1.0) if rule.priority else F.lit(1.0)
-    checks = {}
+    checks, errors = {}, rule.use_mse and rule.use_r2  # errors are those of R2's fit, so without it there are none
     if rule.use_correlation:
         checks["correlation"] = (F.abs("correlation") if rule.absolute else c("correlation")) >= rule.min_corr * ease
     if rule.use_r2:
         checks["r2"] = c("r2") >= rule.min_r2 * ease
-    if rule.use_mse:
+    if errors:
         checks |= {"mse": c("mse") <= rule.max_mse, "nmse": c("nmse") <= rule.max_nmse / ease, "relative_rmse": c("relative_rmse") <= rule.max_relative_rmse / ease}
     passed = sum((x.cast("double") for x in checks.values()), F.lit(0.0))
     confidence = passed / max(1, len(checks))
@@ -373,14 +373,14 @@ def assess(df: DataFrame, key: Key, draft: str, melt: str, rule: str | Assessmen
     elif rule.logic == "relaxed_or":
         good = passed > 0
     elif rule.logic == "hybrid":
-        good = (checks.get("correlation", never) | checks.get("r2", never)) & ((checks["nmse"] | checks["relative_rmse"]) if rule.use_mse else F.lit(True))
+        good = (checks.get("correlation", never) | checks.get("r2", never)) & ((checks["nmse"] | checks["relative_rmse"]) if errors else F.lit(True))
     elif rule.logic == "weighted":
         scores = {}
         if rule.use_correlation:
             scores["correlation"] = F.abs("correlation")
         if rule.use_r2:
             scores["r2"] = F.greatest("r2", F.lit(0.0))
-        if rule.use_mse:
+        if errors:
             scores["nmse"] = F.greatest(1 - c("nmse"), F.lit(0.0))
         if rule.use_sufficiency:
             scores["data_sufficiency"] = F.least(F.lit(1.0), c("n") / rule.min_points * c("draft_range") / rule.min_range)
@@ -394,7 +394,7 @@ def assess(df: DataFrame, key: Key, draft: str, melt: str, rule: str | Assessmen
     poor = F.when(c("melt_mean") < rule.low_melt, "poor_low_melt").otherwise("poor_significant_melt")
     fine = F.when(c("confidence") >= 0.8, "excellent").when(c("confidence") >= 0.6, "good").otherwise("moderate")
     own = own.withColumn("category", F.when(~enough, "insufficient_data").when(c("is_meaningful"), fine).otherwise(poor))
-    counts = {"correlation": rule.use_correlation, "r2": rule.use_r2, "mse": rule.use_mse, "rmse": rule.use_mse, "nmse": rule.use_mse, "relative_rmse": rule.use_mse}
+    counts = {"correlation": rule.use_correlation, "r2": rule.use_r2, "mse": errors, "rmse": errors, "nmse": errors, "relative_rmse": errors}
     return own.select(*names, "n", "draft_range", "melt_mean", *(F.when(F.lit(x), c(k)).alias(k) for k, x in counts.items()), "is_meaningful", "category", "confidence")
 
 

@@ -300,6 +300,18 @@ def r_assess(t: Tables) -> DataFrame:
     return own.select("region", "logic", "n", "mse", ratio.alias("relative_rmse"), "is_meaningful", "confidence", "category")
 
 
+@query("""SELECT region, logic, n, enough AND good AS is_meaningful, {r:CASE WHEN enough THEN confidence ELSE 0 END} AS confidence, 0 AS n_errors FROM (
+  SELECT *, n >= 50 AND draft_range >= 25 AS enough, abs(correlation) >= 0.3 AS good, (abs(correlation) >= 0.3)::INT::DOUBLE AS confidence FROM e, (VALUES ('hybrid'), ('strict_and'), ('relaxed_or')) AS l(logic)
+  UNION ALL SELECT * EXCLUDE (score), n >= 50 AND draft_range >= 25, score >= 0.6, score FROM (SELECT e.*, 'weighted' AS logic, (0.25 * abs(correlation) + 0.15 * least(1, n / 50.0 * draft_range / 25)) / 0.4 AS score FROM e))""",
+       ctes=f"{_MIX}, {_MIXED_GATE.format(relax=1)}")
+def r_assess_errors_without_r2(t: Tables) -> DataFrame:
+    """Errors belong to the fit of R2; without it a rule has none, whatever it says of them."""
+    rule = regress.Assessment(use_correlation=True, use_r2=False, use_mse=True, min_corr=0.3, max_mse=0.0)
+    parts = [regress.assess(_mixed(t), "region", "draft", "melt", replace(rule, logic=x)).withColumn("logic", F.lit(x)) for x in _LOGICS]
+    own = reduce(DataFrame.unionByName, parts)
+    return own.select("region", "logic", "n", "is_meaningful", "confidence", (F.col("mse").isNotNull() | F.col("nmse").isNotNull()).cast("int").alias("n_errors"))
+
+
 @query("""SELECT region, preset, is_meaningful FROM (
   SELECT region, 'conservative' AS preset, enough AND r2 >= 0.4 AS is_meaningful FROM g UNION ALL SELECT region, 'balanced', enough AND r2 >= 0.05 FROM g UNION ALL SELECT region, 'permissive', enough AND r2 >= 0.2 FROM g
   UNION ALL SELECT region, 'correlation_focus', false FROM g UNION ALL SELECT region, 'prediction_focus', enough AND r2 >= 0.35 FROM g UNION ALL SELECT region, 'simple', enough AND r2 >= 0.05 FROM g)""",
