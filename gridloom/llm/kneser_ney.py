@@ -35,6 +35,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,8 +124,8 @@ class Tokens:
     def __init__(self, chunk: dict):
         self.size = unpacked(chunk["sizes"]).astype(np.int64)
         self.word = np.cumsum(unpacked(chunk["vocabulary"]), dtype=np.uint64)[unpacked(chunk["codes"])]
-        self.text = np.repeat(np.arange(len(self.size)), self.size)
-        self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.text = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        self.place = np.arange(len(self.word), dtype=np.int32) - np.repeat((np.cumsum(self.size) - self.size).astype(np.int32), self.size)
         self.learn = np.unpackbits(np.frombuffer(chunk["learn"], np.uint8), count=len(self.size)).astype(bool)[self.text]
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,14 +133,15 @@ class Tokens:
         h = mix(self.word)
         for _ in range(order - 1):
             h = mix(np.append(np.uint64(0), h[:-1]) * _BY + self.word)  # what stands across the border of a text is left out
-        at = np.flatnonzero(self.place >= order - 1)
-        found, of = np.unique(h[at], return_inverse=True)
-        return at, found, of
+        at = np.flatnonzero(self.place >= order - 1).astype(np.int32)
+        h = h[at]
+        found, of = np.unique(h, return_inverse=True)
+        return at, found, of.astype(np.int32)
 
     def at(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """grams, with the number of the n-gram that ends at each token (-1: none) instead of the list of numbers."""
         at, found, of = self.grams(order)
-        ending = np.full(len(self.word), -1)
+        ending = np.full(len(self.word), -1, np.int32)
         ending[at] = of
         return at, found, ending
 
@@ -153,12 +155,13 @@ def counted(tokens: Tokens, order: int) -> tuple[np.ndarray, list[np.ndarray], n
 
 def continued(tokens: Tokens, order: int, above: tuple[list[np.ndarray], np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """The same for a lower order, from the sums and owned n-grams of the order above."""
-    at, found, ending = tokens.at(order)
     far, distinct, of = tokens.grams(order + 1)
     sums, owned = above
-    last = np.zeros(len(distinct), np.int64)
+    last = np.zeros(len(distinct), np.int32)
     last[of] = far  # a place of each distinct n-gram
     last, a = last[owned], sums[0][owned]
+    del far, distinct, of
+    at, found, ending = tokens.at(order)
     n = len(found)
     number = np.bincount(ending[last], minlength=n)
     learned = at[tokens.learn[at]]
@@ -185,14 +188,19 @@ def blocks(chunk: int, order: int, ranges: int, found: np.ndarray, sums: list[np
 
 def answers_of(rows: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """A chunk's sums of an order in the order of its n-grams, and which it owns; rows are its answers."""
-    own = sorted((r for r in rows.to_pylist() if r["order"] == order), key=lambda r: r["slice"])
+    own = rows.filter(pc.equal(rows.column("order"), order)).sort_by("slice").to_pylist()
     if not own:  # no text has so many tokens
         return [np.zeros(0, np.int64)] * len(SUMS), np.zeros(0, bool)
-    sums = [[unpacked(x).astype(np.int64) for x in r["sums"]] for r in own]
+    sums = [[_narrow(unpacked(x)) for x in r["sums"]] for r in own]
     owned = [np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(s[0])).astype(bool) for r, s in zip(own, sums, strict=True)]
     return [np.concatenate(x) for x in zip(*sums, strict=True)], np.concatenate(owned)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes each where they all have room."""
+    return x.astype(np.int32 if not len(x) or x.max() < 1 << 31 else np.int64)
+
+
 class Slice:
     """Sorted hashes and arrays of sums beside them, in one file that is mapped into memory and has no name any more."""
 
@@ -255,23 +263,23 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
     return tuple(min(max(x, 0.0), j) for j, x in ((1.0, 1 - 2 * y * n2 / n1), (2.0, 2 - 3 * y * n3 / n2), (3.0, 3 - 4 * y * n4 / n3)))
 
 
-def scored(tokens: Tokens, model: Model, answers: dict[int, tuple[list[np.ndarray], np.ndarray]]) -> dict[str, np.ndarray]:
-    """n_tokens, n_known, base_score and score of each text of a chunk."""
+def scored(tokens: Tokens, model: Model, rows: pa.Table) -> dict[str, np.ndarray]:
+    """n_tokens, n_known, base_score and score of each text of a chunk; rows: the chunk's answers of all orders, of which two are
+    in memory at a time."""
     m = len(tokens.word)
     p = np.full(m, 1.0 / (model.types + 1))
-    one = answers[1][0]
     below: tuple[np.ndarray, list[np.ndarray]] | None = None
     for k in range(1, model.order + 1):
         at, _, ending = tokens.at(k)
         at = at[tokens.place[at] > 0]  # a start is never predicted
-        sums, d = answers[k][0], model.discounts[k - 1]
+        sums, d = answers_of(rows, k)[0], model.discounts[k - 1]
         a = sums[0][ending[at]]
         less = np.array([0.0, *d])[np.minimum(a, 3)]
         if below is None:
             whole, *n = model.unigrams
             if whole:
                 p[at] = np.maximum(a - less, 0) / whole + sum(x * y for x, y in zip(d, n, strict=True)) / whole * p[at]
-            count = one[-1][ending[at]]
+            count = sums[-1][ending[at]]
             base = np.log10((count + 1) / (model.tokens + model.types + 1))
             text = tokens.text[at]
             found = {"n_tokens": tokens.size - 1, "n_known": np.bincount(text[count > 0], minlength=len(tokens.size)), "base_score": np.bincount(text, weights=base, minlength=len(tokens.size))}
@@ -299,7 +307,7 @@ def _results(own: DataFrame, told: DataFrame, model: Model, id_col: str) -> Data
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for chunk in left.to_pylist():
-            got = scored(Tokens(chunk), model, {k: answers_of(right, k) for k in range(1, model.order + 1)})
+            got = scored(Tokens(chunk), model, right)
             out.append(pa.table([pa.array(chunk["ids"], schema.field(0).type), *(pa.array(got[f.name], f.type) for f in list(schema)[1:])], schema=schema))
             give_back()
         return pa.concat_tables(out) if out else schema.empty_table()
