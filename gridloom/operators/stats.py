@@ -172,19 +172,33 @@ def normal_fit(df: DataFrame, key: Key, v: str, points: int = 100) -> DataFrame:
     return out.withColumn("x", x).withColumn("density", density).select(*keys(key), "point", "mu", "sigma", "x", "density")
 
 
+#: Bandwidths beyond which a kernel is less than 1e-16 of its middle.
+REACH = 8.7
+
+
 def kernel_density(df: DataFrame, key: Key, v: str, points: int = 300, margin: float = 0.1) -> DataFrame:
     """(key, point, x, density): Gaussian kernels on points that all keys share, over the whole range and a margin; the
-    bandwidth is the sample deviation times n**(-1/5). Values are counted first, so repeats cost nothing."""
+    bandwidth is the sample deviation times n**(-1/5). Values are counted first, so repeats cost nothing, and a value meets
+    only the points within ``REACH`` bandwidths, whose numbers follow from its own place. Keys of one value, or of equal ones,
+    have no density (null)."""
     import math
 
     names = keys(key)
     ends = df.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))  # one row
     span = F.col("__hi") - F.col("__lo")
-    grid = ends.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("point", (F.col("__lo") - margin * span + span * (1 + 2 * margin) * F.col("point") / (points - 1)).alias("x"))
-    width = df.groupBy(*names).agg((F.stddev_samp(v) * F.pow(F.count(v), F.lit(-0.2))).alias("__h"), F.count(v).alias("__n"))
-    counted = df.filter(F.col(v).isNotNull()).groupBy(*names, v).agg(F.count("*").alias("__k")).join(width, names)
-    kernel = F.col("__k") * F.exp(-0.5 * F.pow((F.col("x") - F.col(v)) / F.col("__h"), F.lit(2))) / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))
-    return counted.crossJoin(F.broadcast(grid)).groupBy(*names, "point", "x").agg(F.sum(kernel).alias("density"))  # the grid has ``points`` rows
+    place = lambda i: F.col("__lo") - margin * span + span * (1 + 2 * margin) * i / (points - 1)
+    deviation = F.stddev_samp(v)
+    width = df.groupBy(*names).agg(F.when(deviation > 0, deviation * F.pow(F.count(v), F.lit(-0.2))).alias("__h"), F.count(v).alias("__n")).filter("__n > 0").crossJoin(ends)
+    counted = df.filter(F.col(v).isNotNull()).groupBy(*names, v).agg(F.count("*").alias("__k")).join(width, names).filter("__h is not null")
+    number = lambda x: (x - place(F.lit(0))) / (span * (1 + 2 * margin) / (points - 1))
+    low = F.greatest(F.ceil(number(F.col(v) - REACH * F.col("__h"))), F.lit(0)).cast("int")
+    high = F.least(F.floor(number(F.col(v) + REACH * F.col("__h"))), F.lit(points - 1)).cast("int")
+    near = counted.withColumns({"__a": low, "__b": high}).filter("__a <= __b").withColumn("point", F.explode(F.sequence("__a", "__b")))
+    kernel = F.col("__k") * F.exp(-0.5 * F.pow((place(F.col("point")) - F.col(v)) / F.col("__h"), F.lit(2))) / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))
+    found = near.groupBy(*names, "point").agg(F.sum(kernel).alias("__d"))
+    grid = width.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(*names, "point", place(F.col("point")).alias("x"), "__h")
+    out = grid.join(found, [*names, "point"], "left")
+    return out.select(*names, "point", "x", F.when(F.col("__h").isNotNull(), F.coalesce("__d", F.lit(0.0))).alias("density"))
 
 
 def robust_limits(df: DataFrame, key: Key, v: str, low: float = 0.01, high: float = 0.99, exact: bool = True) -> DataFrame:

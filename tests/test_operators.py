@@ -803,3 +803,23 @@ def test_fill_map_of_deep_gaps(spark):
         if c not in own:
             assert got[r, c] == min(own, key=lambda v: ((v // 1000 - x) ** 2 + (v % 1000 - y) ** 2, v % 1000, v // 1000))
     assert len(got) == len(cells) - len(valid)
+
+
+def test_kernels_are_cut_where_nothing_is_left(spark):
+    """Equal to all kernels at all points to twelve digits, with few pairs; keys of one value have no density."""
+    rng = np.random.default_rng(14)
+    own = {"a": rng.normal(size=900), "b": np.append(rng.normal(40, 2, 300), 55.0), "one": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in own.items() for x in v] + [("a", None), ("none", None)], "k string, v double")
+    got = stats.kernel_density(df, "k", "v").toPandas()
+    lo, hi = min(v.min() for v in own.values()), max(v.max() for v in own.values())
+    x = lo - 0.1 * (hi - lo) + (hi - lo) * 1.2 * np.arange(300) / 299
+    assert set(got["k"]) == set(own) and len(got) == 3 * 300
+    for k, v in own.items():
+        d = got[got["k"] == k].sort_values("point")
+        assert np.allclose(d["x"], x)
+        if len(v) == 1:
+            assert d["density"].isna().all()
+            continue
+        h = v.std(ddof=1) * len(v) ** -0.2
+        want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+        assert np.allclose(d["density"], want, rtol=1e-12, atol=1e-16)
