@@ -241,6 +241,21 @@ def j_mesh_triangles(t: Tables) -> DataFrame:
     return regrid.mesh_weights(goal, corners, nodes, "dst", "node", "x", "y", 3.0)
 
 
+_OVER = """w AS (SELECT p_partkey AS dst, (p_partkey * 7 + k * k) % (SELECT max(s_suppkey) FROM supplier) + 1 AS src, (k + 1) * 0.25::DOUBLE AS w FROM part, (SELECT unnest(range(3)) AS k)),
+f AS (SELECT cell, t, CASE WHEN (cell + t) % 7 <> 0 THEN v END AS v FROM cube)"""
+
+
+@query("SELECT t, dst, {r:sum(w * v)} AS v, {r:CASE WHEN sum(CASE WHEN v IS NOT NULL THEN w END) > 0.5 THEN sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END) END} AS mean FROM f JOIN w ON src = cell GROUP BY t, dst", ctes=f"{CUBE}, {_OVER}")
+def j_weights_over_times(t: Tables) -> DataFrame:
+    """Sparse weights over all times of a cube with gaps, plain and renormalised."""
+    field = t.cube.select("cell", "t", F.when((F.col("cell") + F.col("t")) % 7 != 0, F.col("v")).alias("v"))
+    cells = t.supplier.agg(F.max("s_suppkey").alias("n"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    weights = t.part.select("p_partkey", k).crossJoin(cells).select(F.col("p_partkey").alias("dst"), ((F.col("p_partkey") * 7 + F.col("k") * F.col("k")) % F.col("n") + 1).alias("src"), ((F.col("k") + 1) * 0.25).cast("double").alias("w"))
+    plain, mean = (regrid.apply_weights_over(field, weights, "cell", "t", "v", limit) for limit in (None, 0.5))
+    return plain.join(mean.withColumnRenamed("v", "mean"), ["t", "dst"])
+
+
 _SCATTERED = """node AS (SELECT s_suppkey AS id, s_acctbal / 1000.0::DOUBLE AS x, (s_suppkey * 7919 % 1009) / 100.0::DOUBLE AS y FROM supplier),
 pair AS (SELECT a.id AS a, a.x AS ax, a.y AS ay, b.id AS b, b.x AS bx, b.y AS by_ FROM node a JOIN node b ON a.id < b.id),
 three AS (SELECT p.*, c.id AS c, c.x AS cx, c.y AS cy, (bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax) AS turn FROM pair p JOIN node c ON p.b < c.id),

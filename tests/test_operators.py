@@ -823,3 +823,16 @@ def test_kernels_are_cut_where_nothing_is_left(spark):
         h = v.std(ddof=1) * len(v) ** -0.2
         want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
         assert np.allclose(d["density"], want, rtol=1e-12, atol=1e-16)
+
+
+def test_weights_over_times_as_one_by_one(spark):
+    """Blocked products give what a join and a sum give: gaps, missing times, repeated weights, ids that are text, negative times."""
+    rng = np.random.default_rng(15)
+    rows = [(s, int(t), None if rng.random() < 0.2 else float(rng.normal())) for s in range(40) for t in rng.choice(np.arange(-700, 900), 30, replace=False)]
+    field = spark.createDataFrame(rows, "cell int, t int, v double")
+    weights = spark.createDataFrame([(f"d{d}", int(s), float(w)) for d in range(30) for s, w in zip(rng.integers(0, 45, 4), rng.random(4))], "dst string, src int, w double")
+    for limit in (None, 0.3):
+        got = {(r.t, r.dst): r.v for r in regrid.apply_weights_over(field, weights, "cell", "t", "v", limit).collect()}
+        want = {(r.t, r.dst): r.v for r in regrid.apply_weights(field, weights, "cell", "v", "t", limit).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] is None if x is None else got[k] == pytest.approx(x, abs=1e-9) for k, x in want.items())
