@@ -34,7 +34,7 @@ from .spelling_variants import CRC_SQL, crc_sql
 
 DIGEST = 16
 #: Sequences that a task gets, on average.
-ROWS = 1 << 17
+ROWS = 1 << 15
 NODE = "kind int, key binary, parent_key binary, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, words long, ends_sha256 string, ids binary"
 CLOSED, OPEN, ENDS = 0, 1, 2
 
