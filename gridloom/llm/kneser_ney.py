@@ -50,6 +50,8 @@ ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 _START, _END = np.uint64(0x5C1E_57A2_7000_0001), np.uint64(0x5C1E_57A2_7000_0002)
 _BY = np.uint64(0xD6E8FEB86659FD93)
+#: Tokens that are scored at a time.
+STEP = 1 << 17
 #: Sums of an n-gram below the highest order. The first is its number a; then those of the words after it; the last only
 #: of single words: how often the word occurs.
 SUMS = ("a", "total", "n1", "n2", "n3", "count")
@@ -266,33 +268,38 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
 def scored(tokens: Tokens, model: Model, rows: pa.Table) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score and score of each text of a chunk; rows: the chunk's answers of all orders, of which two are
     in memory at a time."""
-    m = len(tokens.word)
-    p = np.full(m, 1.0 / (model.types + 1))
+    n = len(tokens.size)
+    p = np.full(len(tokens.word), 1.0 / (model.types + 1))
+    known, base, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
     below: tuple[np.ndarray, list[np.ndarray]] | None = None
     for k in range(1, model.order + 1):
-        at, _, ending = tokens.at(k)
-        at = at[tokens.place[at] > 0]  # a start is never predicted
+        places, _, ending = tokens.at(k)
         sums, d = answers_of(rows, k)[0], model.discounts[k - 1]
-        a = sums[0][ending[at]]
-        less = np.array([0.0, *d])[np.minimum(a, 3)]
-        if below is None:
-            whole, *n = model.unigrams
-            if whole:
-                p[at] = np.maximum(a - less, 0) / whole + sum(x * y for x, y in zip(d, n, strict=True)) / whole * p[at]
-            count = sums[-1][ending[at]]
-            base = np.log10((count + 1) / (model.tokens + model.types + 1))
-            text = tokens.text[at]
-            found = {"n_tokens": tokens.size - 1, "n_known": np.bincount(text[count > 0], minlength=len(tokens.size)), "base_score": np.bincount(text, weights=base, minlength=len(tokens.size))}
-        else:
+        steps = np.array([0.0, *d])
+        for first in range(0, len(places), STEP):
+            at = places[first : first + STEP]
+            at = at[tokens.place[at] > 0]  # a start is never predicted
+            a = sums[0][ending[at]]
+            if below is None:
+                whole, *single = model.unigrams
+                if whole:
+                    p[at] = np.maximum(a - steps[np.minimum(a, 3)], 0) / whole + sum(x * y for x, y in zip(d, single, strict=True)) / whole * p[at]
+                count, text = sums[-1][ending[at]], tokens.text[at]
+                known += np.bincount(text[count > 0], minlength=n)
+                base += np.bincount(text, weights=np.log10((count + 1) / (model.tokens + model.types + 1)), minlength=n)
+                continue
             history = below[0][at - 1]
             total = below[1][1][history]
             go = np.flatnonzero(total > 0)
-            at, history, total, a, less = at[go], history[go], total[go], a[go], less[go]
+            at, history, total, a = at[go], history[go], total[go], a[go]
             gamma = sum(x * y[history] for x, y in zip(d, below[1][2:5], strict=True)) / total
-            p[at] = np.maximum(a - less, 0) / total + gamma * p[at]
+            p[at] = np.maximum(a - steps[np.minimum(a, 3)], 0) / total + gamma * p[at]
         below = ending, sums
-    go = np.flatnonzero(tokens.place > 0)
-    return found | {"score": np.bincount(tokens.text[go], weights=np.log10(p[go]), minlength=len(tokens.size))}
+    del below, ending, sums, places
+    for first in range(0, len(p), STEP):
+        go = first + np.flatnonzero(tokens.place[first : first + STEP] > 0)
+        score += np.bincount(tokens.text[go], weights=np.log10(p[go]), minlength=n)
+    return {"n_tokens": tokens.size - 1, "n_known": known, "base_score": base, "score": score}
 
 
 SCORES = "n_tokens long, n_known long, base_score double, score double"
