@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Densities of ice and sea water (kg/m3), seconds of a year (365 and 365.25 days), area of the oceans (m2).
@@ -35,19 +35,18 @@ def gaussian_weight(draft, mu: float | Column = 1200.0, sigma: float | Column =
     return F.exp(-0.5 * F.pow((_c(draft) - mu) / sigma, F.lit(2)))
 
 
-def gaussian_weight_of(draft, *key: str) -> Column:
-    """The Gaussian weight with the key's own mean and deviation."""
-    w = Window.partitionBy(*key)
-    return gaussian_weight(draft, F.avg(_c(draft)).over(w), F.stddev_pop(_c(draft)).over(w))
+def gaussian_weight_of(draft: str) -> Column:
+    """The Gaussian weight with the key's own mean and deviation, as ``regress.with_moments`` adds them."""
+    return gaussian_weight(draft, F.col(f"{draft}_mean"), F.col(f"{draft}_std"))
 
 
 def sigmoid_weight(draft, mu: float | Column, k: float = 0.005, a: float = 1.0) -> Column:
     return F.pow(1.0 / (1.0 + F.exp(-k * (_c(draft) - mu))), F.lit(a))
 
 
-def sigmoid_weight_of(draft, *key: str, k: float = 0.005, a: float = 1.0) -> Column:
-    """The sigmoid weight around the key's own mean draft."""
-    return sigmoid_weight(draft, F.avg(_c(draft)).over(Window.partitionBy(*key)), k, a)
+def sigmoid_weight_of(draft: str, k: float = 0.005, a: float = 1.0) -> Column:
+    """The sigmoid weight around the key's own mean draft, as ``regress.with_moments`` adds it."""
+    return sigmoid_weight(draft, F.col(f"{draft}_mean"), k, a)
 
 
 def uniform_weight(melt) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import piecewise_three, threshold_weight
-from ..sources.shared import stored
+from ..sources.shared import kept, stored
 from . import changepoint, selection
 from .stats import with_quantiles
 from .timeseries import Key, keys
@@ -152,6 +152,13 @@ def knees(df: DataFrame, key: Key, draft: str, melt: str, window: int = 15, poly
     return n.join(bins, names, "left").groupBy(*names).applyInPandas(bend, f"{kinds}, knee double")
 
 
+def with_moments(df: DataFrame, key: Key, *values: str) -> DataFrame:
+    """Adds <value>_mean and <value>_std (of the population), the key's own, of each value; rows without a key are one."""
+    names = keys(key)
+    own = kept(df.groupBy(*(F.col(n).alias(f"__{n}") for n in names)).agg(*(f(v).alias(f"{v}_{k}") for v in values for k, f in (("mean", F.avg), ("std", F.stddev_pop)))), "regress")
+    return df.join(own, reduce(lambda a, b: a & b, (df[n].eqNullSafe(own[f"__{n}"]) for n in names))).drop(*(f"__{n}" for n in names))
+
+
 def with_dynamic_threshold(df: DataFrame, key: Key, draft: str, melt: str, out: str = "w", smooth: bool = False, **bounds) -> DataFrame:
     """Adds the threshold weight of each row by its key's own knee."""
     at = knees(df, key, draft, melt, smooth=smooth, **bounds).withColumnRenamed("knee", "__at")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.columns import with_step
-from ..operators import fill, mesh, regions, regrid, subset
+from ..operators import fill, mesh, regions, regress, regrid, subset
 from ..sources import io
 from .base import CELL_REGION, CUBE, CUSTOMERS, EDGES, FIELD, RUNS, Tables, query
 
@@ -438,11 +438,12 @@ FROM o JOIN m USING (region)""")
 def f_weights(t: Tables) -> DataFrame:
     own = t.lineitem.withColumns({"region": F.col("l_returnflag"), "h": F.col("l_quantity") * 40, "m": F.when(F.col("l_discount") > 0, F.col("l_discount") - 0.05)})
     q, p = "h", "l_extendedprice"
+    own = regress.with_moments(own, "region", q)
     return own.select(
         "l_orderkey", "l_linenumber",
         scalars.draft_weight(p, q, 0.25).alias("draft"), scalars.threshold_weight(q).alias("threshold"), scalars.inverse_distance_weight("l_tax", 0.5).alias("distance"),
-        scalars.gaussian_weight(q, 800.0, 320.0).alias("gauss"), scalars.gaussian_weight_of(q, "region").alias("gauss_own"), scalars.sigmoid_weight(q, 900.0, 0.1).alias("sigmoid"), scalars.sigmoid_weight_of(q, "region").alias("sigmoid_own"),
-        scalars.product(scalars.sigmoid_weight_of(q, "region"), scalars.inverse_distance_weight("l_tax")).alias("sigmoid_distance"),
+        scalars.gaussian_weight(q, 800.0, 320.0).alias("gauss"), scalars.gaussian_weight_of(q).alias("gauss_own"), scalars.sigmoid_weight(q, 900.0, 0.1).alias("sigmoid"), scalars.sigmoid_weight_of(q).alias("sigmoid_own"),
+        scalars.product(scalars.sigmoid_weight_of(q), scalars.inverse_distance_weight("l_tax")).alias("sigmoid_distance"),
         scalars.product(scalars.draft_weight(p, q, 0.25), scalars.inverse_distance_weight("l_tax")).alias("draft_distance"), scalars.combined_weight("m", q, "l_tax", F.lit(1500.0), 2, 0.5, 0.25).alias("combined"),
     )
 

@@ -53,6 +53,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a stored table; itself if it is one already. For tables of a row a key that many more rows are to meet: once they
+    are written Spark knows their size, and sends small ones to the others' tasks instead of dealing all rows by key."""
+    return df if getattr(df, "_stored_in", None) else stored(df, name)
+
+
 def forgotten(*tables: DataFrame) -> None:
     """Deletes the folders of stored tables that nothing reads any more, such as the last round's state of a loop."""
     for df in tables:
