@@ -1,7 +1,9 @@
 """Regression of melt on draft per region: quality gate, bins, thresholds, piecewise fits, choice of a model, skill.
 
 Every step is one grouped job over all regions (and parameter sets); only the change point of a binned curve, at most
-``n_bins`` values a region, is found in numpy.
+``n_bins`` values a region, is found in numpy. What points need to know of their region is a row a region. It is written
+before points meet it (``kept``), so that Spark sees how small it is and points stay where they are: an exchange of the points
+by region would put all points of a region into one task.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def valid_points(df: DataFrame, draft: str, melt: str) -> DataFrame:
 
 def clip_quantiles(df: DataFrame, key: Key, draft: str, low: float = 0.01, high: float = 0.99, exact: bool = True) -> DataFrame:
     """Rows within each key's quantile band of draft."""
-    band = with_quantiles(df, key, draft, (low, high), (), exact)
+    band = kept(with_quantiles(df, key, draft, (low, high), (), exact), "regress")
     return df.join(band, keys(key)).filter(F.col(draft).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 
@@ -49,7 +51,7 @@ def draft_regression(df: DataFrame, key: Key, draft: str, melt: str, weight: str
         return df.groupBy(*names).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
     w = F.when(both, F.coalesce(F.col(weight), F.lit(0.0))).otherwise(0.0)
     # centred on the group's mean draft, so that large drafts do not cancel digits
-    mid = df.groupBy(*names).agg((F.sum(w * F.coalesce(x, F.lit(0.0))) / F.sum(w)).alias("__mid"))
+    mid = kept(df.groupBy(*names).agg((F.sum(w * F.coalesce(x, F.lit(0.0))) / F.sum(w)).alias("__mid")), "regress")
     u = F.coalesce(x, F.lit(0.0)) - F.col("__mid")
     v = F.coalesce(y, F.lit(0.0))
     s = df.join(mid, names).groupBy(*names).agg(F.first("__mid").alias("__mid"), F.sum(w).alias("__w"), F.sum(w * u).alias("__x"), F.sum(w * v).alias("__y"), F.sum(w * u * u).alias("__xx"), F.sum(w * u * v).alias("__xy"), F.sum(F.when(w > 0, 1).otherwise(0)).alias("n"))
@@ -60,7 +62,7 @@ def draft_regression(df: DataFrame, key: Key, draft: str, melt: str, weight: str
 
 def with_fit(df: DataFrame, fits: DataFrame, key: Key, draft: str, out: str = "fit") -> DataFrame:
     """Adds the fitted value of each row."""
-    return df.join(fits.select(*keys(key), "slope", "intercept"), keys(key)).withColumn(out, F.col("slope") * F.col(draft) + F.col("intercept")).drop("slope", "intercept")
+    return df.join(kept(fits.select(*keys(key), "slope", "intercept"), "regress"), keys(key)).withColumn(out, F.col("slope") * F.col(draft) + F.col("intercept")).drop("slope", "intercept")
 
 
 def quality(df: DataFrame, key: Key, draft: str, melt: str, min_r2: float | Column = 0.1, min_corr: float | Column = 0.3, min_points: int = 20, alpha: float = 0.05) -> DataFrame:
@@ -87,7 +89,7 @@ def binned(df: DataFrame, key: Key, draft: str, melt: str, n_bins: int | Column
     largest draft lies beyond the last bin and is left out; bins with fewer points are too."""
     names = keys(key)
     n_bins, min_points = (F.lit(x) if isinstance(x, int) else x for x in (n_bins, min_points))
-    ends = df.groupBy(*names).agg(F.min(draft).alias("__lo"), F.max(draft).alias("__hi"))
+    ends = kept(df.groupBy(*names).agg(F.min(draft).alias("__lo"), F.max(draft).alias("__hi")), "regress")
     at = F.floor((F.col(draft) - F.col("__lo")) / ((F.col("__hi") - F.col("__lo")) / n_bins)).cast("int")
     own = df.filter(F.col(draft).isNotNull() & F.col(melt).isNotNull()).join(ends, names).filter(F.col("__hi") > F.col("__lo")).withColumns({"bin": at, "__least": min_points, "__width": (F.col("__hi") - F.col("__lo")) / n_bins}).filter(F.col("bin") < n_bins)
     centre = F.first("__lo") + (F.col("bin") + 0.5) * F.first("__width")
@@ -161,7 +163,7 @@ def with_moments(df: DataFrame, key: Key, *values: str) -> DataFrame:
 
 def with_dynamic_threshold(df: DataFrame, key: Key, draft: str, melt: str, out: str = "w", smooth: bool = False, **bounds) -> DataFrame:
     """Adds the threshold weight of each row by its key's own knee."""
-    at = knees(df, key, draft, melt, smooth=smooth, **bounds).withColumnRenamed("knee", "__at")
+    at = kept(knees(df, key, draft, melt, smooth=smooth, **bounds).withColumnRenamed("knee", "__at"), "regress")
     return df.join(at, keys(key), "left").withColumn(out, threshold_weight(draft, F.col("__at"))).drop("__at")
 
 
@@ -170,7 +172,7 @@ def piecewise_fit(df: DataFrame, at: DataFrame, key: Key, draft: str, melt: str,
     ``least``), and the line from it on (likewise). weight: of the means and lines (a missing one counts 0)."""
     names = keys(key)
     x, y = F.col(draft), F.col(melt)
-    own = df.filter(x.isNotNull() & y.isNotNull()).join(at.select(*names, "threshold"), names)
+    own = df.filter(x.isNotNull() & y.isNotNull()).join(kept(at.select(*names, "threshold"), "regress"), names)
     low, deep = x < F.col("threshold"), x >= F.col("threshold")
     counts = [F.first("threshold").alias("threshold"), F.count(F.when(low, 1)).alias("__nl"), F.count(F.when(deep, 1)).alias("__nd"), F.count("*").alias("n")]
     if weight is None:
@@ -184,7 +186,7 @@ def piecewise_fit(df: DataFrame, at: DataFrame, key: Key, draft: str, melt: str,
         own = own.withColumn("__w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
         mean = lambda v, on: F.sum(F.when(on, F.col("__w") * v)) / F.sum(F.when(on, F.col("__w")))
         every = F.lit(True)
-        first = own.groupBy(*names).agg(*counts, mean(y, low).alias("__low"), mean(y, every).alias("__all"), mean(x, deep).alias("__dx"), mean(y, deep).alias("__dy"), mean(x, every).alias("__ax"), mean(y, every).alias("__ay"))
+        first = kept(own.groupBy(*names).agg(*counts, mean(y, low).alias("__low"), mean(y, every).alias("__all"), mean(x, deep).alias("__dx"), mean(y, deep).alias("__dy"), mean(x, every).alias("__ax"), mean(y, every).alias("__ay")), "regress")
         # centred on the weighted means, so that large drafts do not cancel digits
         both = own.drop("threshold").join(first, names)
         slope = lambda on, c: F.sum(F.when(on, F.col("__w") * (x - F.col(f"__{c}x")) * (y - F.col(f"__{c}y")))) / F.sum(F.when(on, F.col("__w") * F.pow(x - F.col(f"__{c}x"), F.lit(2))))
@@ -204,7 +206,7 @@ def chosen(df: DataFrame, fits: DataFrame, key: Key, draft: str, melt: str, sele
     names = keys(key)
     if selection != "best" and selection not in MODELS:
         raise ValueError(f"selection is {selection}; known are best, {', '.join(MODELS)}")
-    own = df.filter(F.col(draft).isNotNull() & F.col(melt).isNotNull()).join(fits.select(*names, "threshold", "shallow_mean", "slope", "intercept"), names)
+    own = df.filter(F.col(draft).isNotNull() & F.col(melt).isNotNull()).join(kept(fits.select(*names, "threshold", "shallow_mean", "slope", "intercept"), "regress"), names)
     models = piecewise_three(draft, "threshold", "slope", "intercept", "shallow_mean")
     first = [F.first(c).alias(c) for c in ("threshold", "shallow_mean", "slope", "intercept")]
     sums = own.groupBy(*names).agg(*first, (F.var_pop(melt) * F.count("*")).alias("__tot"), *(F.sum(F.pow(F.col(melt) - p, F.lit(2))).alias(f"__{m}") for m, p in models.items()))
@@ -247,7 +249,7 @@ def sweep(df: DataFrame, sets: DataFrame, key: Key, draft: str, melt: str) -> Da
     gate = gate.withColumn("is_meaningful", F.coalesce(meaningful, F.lit(False)))
     own = ["set_name", *names]
     both = df.filter(F.col(draft).isNotNull() & F.col(melt).isNotNull()).select(*names, F.col(draft).alias("x"), F.col(melt).alias("y"))
-    ends = both.groupBy(*names).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
+    ends = kept(both.groupBy(*names).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi")), "sweep")
     widths = F.broadcast(sets.select(F.col("n_bins").alias("__of")).distinct())
     at = F.floor((F.col("x") - F.col("__lo")) / ((F.col("__hi") - F.col("__lo")) / F.col("__of"))).cast("int")
     sums = both.join(ends, names).filter("__hi > __lo").crossJoin(widths).groupBy(*names, "__of", at.alias("bin")).agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"))
@@ -256,11 +258,11 @@ def sweep(df: DataFrame, sets: DataFrame, key: Key, draft: str, melt: str) -> Da
     cuts = stored(thresholds(bins, own, "pelt", "penalty").filter("threshold is not null"), "sweep")
     # pieces of each region between the thresholds of all sets, with sums centred on the region's means
     marks = cuts.groupBy(*names).agg(F.array_sort(F.collect_set("threshold")).alias("__cuts"))  # one a set at most
-    middle = both.groupBy(*names).agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my"))
+    known = kept(both.groupBy(*names).agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my")).join(marks, names), "sweep")
     u, v = F.col("x") - F.col("__mx"), F.col("y") - F.col("__my")
     piece = F.size(F.filter("__cuts", lambda c: c <= F.col("x")))
     moments = {"n": F.count("*"), "u": F.sum(u), "v": F.sum(v), "uu": F.sum(u * u), "uv": F.sum(u * v), "vv": F.sum(v * v)}
-    pieces = both.join(marks, names).join(middle, names).groupBy(*names, piece.alias("piece")).agg(*(m.alias(k) for k, m in moments.items()), F.first("__cuts").alias("__cuts"), F.first("__mx").alias("__mx"), F.first("__my").alias("__my"))
+    pieces = both.join(known, names).groupBy(*names, piece.alias("piece")).agg(*(m.alias(k) for k, m in moments.items()), F.first("__cuts").alias("__cuts"), F.first("__mx").alias("__mx"), F.first("__my").alias("__my"))
     met = cuts.join(pieces, names).withColumn("deep", F.col("piece") >= F.array_position("__cuts", F.col("threshold")))
     part = lambda k, on: F.coalesce(F.sum(F.when(on, F.col(k))), F.lit(0)).alias
     s = met.groupBy(*own).agg(F.first("threshold").alias("threshold"), F.first("__mx").alias("__mx"), F.first("__my").alias("__my"), *(part(k, on)(f"{side}{k}") for k in moments for side, on in (("s", ~F.col("deep")), ("d", F.col("deep")))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import regress, stats
+from ..sources.shared import kept
 from .base import BENT, CELL_REGION, CUBE, NOISE, POINTS, Tables, query
 
 
@@ -207,7 +208,7 @@ def r_chosen_model(t: Tables) -> DataFrame:
 @query("""SELECT region, selection, {r:CASE selection WHEN 'zero_shallow' THEN 0 WHEN 'mean_shallow' THEN shallow_mean ELSE slope * threshold + intercept END} AS "constantValue",
   {r:1 - CASE selection WHEN 'zero_shallow' THEN zero WHEN 'mean_shallow' THEN mean ELSE at_ END / tot} AS r2 FROM c, (VALUES ('zero_shallow'), ('mean_shallow'), ('threshold_intercept')) AS s(selection)""", digits=6, ctes=f"{BENT}, {_FIT}, {_CHOSEN}")
 def r_selected_model(t: Tables) -> DataFrame:
-    fits = regress.piecewise_fit(t.bent, _at_25(t), "region", "draft", "melt")
+    fits = kept(regress.piecewise_fit(t.bent, _at_25(t), "region", "draft", "melt").select("region", "threshold", "shallow_mean", "slope", "intercept"), "fits")
     parts = [regress.chosen(t.bent, fits, "region", "draft", "melt", x).select("region", F.lit(x).alias("selection"), "constantValue", "r2") for x in regress.MODELS]
     return reduce(DataFrame.unionByName, parts)
 
@@ -369,7 +370,7 @@ def o_best_regions(t: Tables) -> DataFrame:
 @query("""e AS (SELECT region, melt AS o, CASE WHEN draft < threshold THEN shallow_mean ELSE slope * draft + intercept END - melt AS err FROM bent JOIN fit USING (region))
 SELECT region, count(*) AS n, {r:1 - sum(err * err) / (var_pop(o) * count(*))} AS r2, {r:sqrt(avg(err * err))} AS rmse, {r:avg(abs(err))} AS mae, {r:avg(err)} AS bias, {r:corr(o, o + err)} AS correlation FROM e GROUP BY 1""", digits=6, ctes=f"{BENT}, {_FIT}")
 def r_skill(t: Tables) -> DataFrame:
-    fits = regress.piecewise_fit(t.bent, _at_25(t), "region", "draft", "melt").drop("n")
+    fits = kept(regress.piecewise_fit(t.bent, _at_25(t), "region", "draft", "melt").drop("n"), "fits")
     own = t.bent.join(fits, "region").withColumn("predicted", scalars.piecewise("draft", "threshold", "slope", "intercept", "shallow_mean"))
     return regress.skill(own, "region", "melt", "predicted")
 

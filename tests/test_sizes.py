@@ -18,8 +18,18 @@ def points(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+_OWN = ("region", "draft", "melt")
+_AT = lambda p: p.select("region").distinct().withColumn("threshold", F.lit(30.0))
 JOBS = {
     "moments": lambda p: regress.with_moments(p, "region", "draft"),
+    "clip": lambda p: regress.clip_quantiles(p, "region", "draft"),
+    "regression": lambda p: regress.draft_regression(p, *_OWN, weight="w"),
+    "fit": lambda p: regress.with_fit(p, regress.draft_regression(p, *_OWN), "region", "draft"),
+    "bins": lambda p: regress.binned(p, *_OWN),
+    "dynamic": lambda p: regress.with_dynamic_threshold(p, *_OWN),
+    "piecewise": lambda p: regress.piecewise_fit(p, _AT(p), *_OWN),
+    "weighted": lambda p: regress.piecewise_fit(p, _AT(p), *_OWN, weight="w"),
+    "chosen": lambda p: regress.chosen(p, regress.piecewise_fit(p, _AT(p), *_OWN), *_OWN),
 }
 
 
