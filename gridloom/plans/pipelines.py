@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..functions.columns import month_of
 from ..operators import fill, generator, regions, regress, stats, subset
 from ..operators import timeseries as ts
-from ..sources.shared import stored
+from ..sources.shared import kept, stored
 from ..streaming import means
 from .base import CELL_REGION, CUBE, Tables, query
 
@@ -53,8 +53,8 @@ def analyse_regions(points: DataFrame, key: str, draft: str, melt: str, rule: st
     ranges = ((F.max(draft) - F.min(draft)).alias("__range"), (F.max(melt) - F.min(melt)).alias("melt_range"))
     whole = stats.with_quantiles(points, key, draft, (0.5,), ranges, True).withColumn("__mid", F.col("__q")[0])
     at = regress.thresholds(regress.binned(points, key, draft, melt, n_bins, min_points), key, penalty=penalty, min_size=3)
-    at = whole.join(at, key, "left").select(key, "melt_range", F.when(F.col("__range") >= min_range, F.coalesce("threshold", "__mid")).otherwise(F.col("__mid")).alias("threshold"))
-    fits = regress.strategy_fit(gate, regress.piecewise_fit(points, at, key, draft, melt), key)
+    at = kept(whole.join(at, key, "left").select(key, "melt_range", F.when(F.col("__range") >= min_range, F.coalesce("threshold", "__mid")).otherwise(F.col("__mid")).alias("threshold")), "regions")
+    fits = kept(regress.strategy_fit(gate, regress.piecewise_fit(points, at, key, draft, melt), key), "regions")
     predicted = scalars.from_strategy(draft, "threshold", "slope", "intercept", "model_type")
     skill = regress.skill(points.join(fits, key).withColumn("__p", predicted), key, melt, "__p").select(key, F.col("r2").alias("skill_r2"), "rmse", "mae", "bias")
     return gate.select(key, "n", "correlation", "r2", "is_meaningful", "category", "confidence", "draft_range").join(at.select(key, "melt_range"), key).join(fits, key).join(skill, key, "left")
