@@ -45,3 +45,27 @@ def test_moments_are_those_of_the_key_and_of_rows_without_one(spark):
     got = {(r.k, r.x): (r.x_mean, r.x_std, r.g) for r in own.withColumn("g", scalars.gaussian_weight_of("x")).collect()}
     assert got[("a", 1.0)][:2] == got[("a", None)][:2] == (2.0, 1.0) and got[("b", 5.0)][:2] == (5.5, 0.5) and got[(None, 7.0)][:2] == (8.0, 1.0)
     assert np.isclose(got[("a", 1.0)][2], np.exp(-0.5)) and got[("a", None)][2] is None
+
+
+@pytest.mark.parametrize("many_targets", [True, False])
+def test_nearest_meets_few_sources_whatever_the_size(spark, many_targets, monkeypatch):
+    """A first bucket that holds all sources of a cluster; places that repeat; ties. As brute force, with short lists."""
+    from gridloom.operators import fill
+
+    rng = np.random.default_rng(5)
+    src = np.vstack([rng.random((1500, 2)), np.floor(rng.random((100, 2)) * 6) + [20, 0], np.floor(rng.random((100, 2)) * 6) + [20, 0]])
+    goal = np.vstack([rng.random((200, 2)) * 2 - 0.5, np.floor(rng.random((80, 2)) * 12) / 2 + [20, 0], [(500.0, -70.0)]])
+    goal = np.vstack([goal] * (8 if many_targets else 1))
+    sources = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(src)], "sid int, x double, y double")
+    targets = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(goal)], "tid int, x double, y double")
+    lists, sides, listed = [], [], fill._listed
+    monkeypatch.setattr(fill, "_listed", lambda s, by: lists.append(out := listed(s, by)) or out)
+    near = fill._near
+    monkeypatch.setattr(fill, "_near", lambda *a: sides.append(a[-1]) or near(*a))
+    monkeypatch.setattr(fill, "forgotten", lambda *_: None)
+    got = {r.tid: (r.sid, r.dist) for r in fill.nearest(targets, sources, "tid", "x", "y", "sid", 10.0).collect()}
+    for i, (x, y) in enumerate(goal):
+        d2 = (src[:, 0] - x) * (src[:, 0] - x) + (src[:, 1] - y) * (src[:, 1] - y)
+        k = min(range(len(src)), key=lambda j: (d2[j], src[j, 1], src[j, 0], j))
+        assert got[i] == (k, pytest.approx(np.sqrt(d2[k])))
+    assert sides[0] < 0.2 and max(a.agg(F.max(F.size("__near"))).first()[0] for a in lists) < 200
