@@ -14,17 +14,26 @@ from ..streaming import means
 from .base import CELL_REGION, CUBE, Tables, query
 
 
-def components(cube: DataFrame, bridge: DataFrame, grid: DataFrame, cell: str, t: str, v: str, draft: str, start: int, end: int) -> tuple[DataFrame, DataFrame]:
-    """(seasonality, variability), each (region_id, cell, t, value) with gaps filled from the nearest cell of the region.
+def decomposed(cube: DataFrame, bridge: DataFrame, grid: DataFrame, cell: str, t: str, v: str, draft: str, start: int, end: int) -> DataFrame:
+    """(region_id, cell, t, seasonality, variability) with gaps filled from the nearest cell of the region.
 
     Cut the years, remove each cell's trend and season, regress the time means on draft per region, subtract the fit. One
-    window shuffle by cell carries everything up to the fill; the fit is a row a cell."""
+    window shuffle by cell carries everything up to the fill; the fit is a row a cell. The flat series are written once, for
+    means and components read them; both components have the same gaps, so one fill moves both."""
     own = subset.by_range(cube, t, start, end).withColumn("__month", month_of(t))
     flat = ts.deseasonalise(ts.detrend(own, cell, t, v, "__d"), cell, "__month", "__d", "__s")
+    flat = stored(flat.select(cell, t, draft, "__d", "__s"), "components")
     mean = stats.time_mean(flat, cell, "__s", draft).join(bridge, cell)
     fit = regress.with_fit(mean, regress.draft_regression(mean, "region_id", draft, "__s"), "region_id", draft, "__f").select(cell, "__f").groupBy(cell).agg(F.avg("__f").alias("__f"))
-    parts = flat.join(fit, cell, "left").select(cell, t, (F.col("__d") - F.col("__s")).alias("seasonality"), (F.col("__s") - F.coalesce("__f", F.lit(0.0))).alias("variability"))
-    return tuple(fill.extrapolate(parts.select(cell, t, F.col(name).alias("value")), bridge, grid, cell, t, "value") for name in ("seasonality", "variability"))
+    both = F.struct((F.col("__d") - F.col("__s")).alias("seasonality"), (F.col("__s") - F.coalesce("__f", F.lit(0.0))).alias("variability"))
+    parts = flat.join(fit, cell, "left").select(cell, t, F.when(F.col("__s").isNotNull(), both).alias("value"))  # __s is null where __d is
+    return fill.extrapolate(stored(parts, "components"), bridge, grid, cell, t, "value").select("region_id", cell, t, "value.*")
+
+
+def components(*args, **named) -> tuple[DataFrame, DataFrame]:
+    """(seasonality, variability) of ``decomposed``, each (region_id, cell, t, value)."""
+    full = stored(decomposed(*args, **named), "components")
+    return tuple(full.select("region_id", *(c for c in full.columns if c not in ("region_id", "seasonality", "variability")), F.col(name).alias("value")) for name in ("seasonality", "variability"))
 
 
 def shelf_grid(points: DataFrame, bridge: DataFrame, priorities: DataFrame, cell: str, t: str, draft: str, melt: str) -> DataFrame:
@@ -81,8 +90,7 @@ source AS (SELECT g.cell, g.t, g.region, arg_min(p.cell, (pow(g.ix - p.ix, 2) +
 UNION ALL SELECT s.region, s.cell, s.t, {r:seasonality}, {r:variability} FROM source s JOIN part p ON p.cell = s.source AND p.t = s.t""", ctes=f"{CUBE}, {CELL_REGION}, {_COMPONENTS}")
 def plan_components(t: Tables) -> DataFrame:
     bridge, grid = _grid(t)
-    season, vary = components(t.cube, bridge, grid, "cell", "t", "v", "draft", 40, 111)
-    return season.withColumnRenamed("value", "seasonality").join(vary.withColumnRenamed("value", "variability"), ["region_id", "cell", "t"], "full")
+    return decomposed(t.cube, bridge, grid, "cell", "t", "v", "draft", 40, 111)
 
 
 @query()

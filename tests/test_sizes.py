@@ -105,3 +105,24 @@ def test_points_meet_few_triangles_whatever_the_size(spark, seed):
             assert got[i] == {int(np.argmin(d2)): 1.0}
     places = points.select(F.col("x").alias("px"), F.col("y").alias("py"))
     assert regrid._meetings(places, tri, 5.0).count() < len(goal) * 40  # of 1,600 each
+
+
+def test_components_read_their_cube_once(spark):
+    """The cube is summed up from far more rows than it has; the flat series are written, and all else reads these."""
+    from gridloom.plans import pipelines
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    rows = [(c, t, float(c + t % 12), float(c % 5)) for c in range(20) for t in range(36) if (c, t) not in ((3, 4), (7, 8))]
+    cube = spark.createDataFrame(rows, "cell long, t int, v double, draft double").mapInPandas(counted, "cell long, t int, v double, draft double")
+    bridge = spark.range(20).select(F.col("id").alias("cell"), (F.col("id") % 2).alias("region_id"))
+    grid = spark.range(20).select(F.col("id").alias("cell"), (F.col("id") % 5).cast("int").alias("ix"), F.floor(F.col("id") / 5).cast("int").alias("iy"))
+    season, vary = pipelines.components(cube, bridge, grid, "cell", "t", "v", "draft", 0, 35)
+    a, b = ({(r.cell, r.t): r.value for r in df.collect()} for df in (season, vary))
+    assert len(a) == len(b) == 20 * 36 and a[(3, 4)] is not None and b[(7, 8)] is not None
+    assert reads.value == len(rows)
