@@ -133,14 +133,37 @@ class Tiling:
     def near(self, x: np.ndarray, y: np.ndarray, halo: float) -> tuple[np.ndarray, np.ndarray]:
         """(which place, tile) for all tiles in whose halo a place lies, or which it is of."""
         who, where = [], []
-        for k in range(self.side**2):
-            x0, x1, y0, y1 = self.box(k, halo)
-            a, b = np.searchsorted(x, [x0, x1])
-            at = np.arange(a, b)[(y[a:b] >= y0) & (y[a:b] <= y1)]
-            who.append(at)
-            where.append(np.full(len(at), k))
+        low, high = self.cells[:, :-1].copy(), self.cells[:, 1:].copy()
+        reach = halo * np.maximum(high - low, 1e-300)
+        low, high = low - reach, high + reach
+        low[:, 0], high[:, -1] = -np.inf, np.inf
+        for i in range(self.side):  # a strip's cells at once
+            x0, x1, _, _ = self.box(i * self.side, halo)
+            a, b = np.searchsorted(x, x0, "left"), np.searchsorted(x, x1, "right")
+            at, cell = np.nonzero((y[a:b, None] >= low[i]) & (y[a:b, None] <= high[i]))
+            who.append(a + at)
+            where.append(i * self.side + cell)
         return np.concatenate(who), np.concatenate(where)
 
+    def reached(self, kind: int, ax, ay, bx, by, cx, cy) -> np.ndarray:
+        """The tiles that a circle or a half-plane reaches. A circle is held against the tiles of its own box only."""
+        if kind == 2:
+            x0, x1, y0, y1 = self.boxes()
+            left = np.max([_turn(ax, ay, bx, by, px, py) for px in (x0, x1) for py in (y0, y1)], axis=0)
+            return np.flatnonzero(left > 0)
+        mx, my, r = (float(v) for v in _circle(*(np.float64(v) for v in (ax, ay, bx, by, cx, cy))))
+        if not np.isfinite(r):
+            return np.arange(self.side**2)
+        first, last = np.searchsorted(self.strips, mx - r, "left") - 1, np.searchsorted(self.strips, mx + r, "right")
+        out = []
+        for i in range(max(first, 0), min(last, self.side)):
+            dx = max(self.strips[i] - mx, mx - self.strips[i + 1], 0.0)
+            row = self.cells[i]
+            j0, j1 = max(np.searchsorted(row, my - r, "left") - 1, 0), min(np.searchsorted(row, my + r, "right"), self.side)
+            dy = np.maximum(np.maximum(row[j0:j1] - my, my - row[j0 + 1 : j1 + 1]), 0)
+            out.append(i * self.side + j0 + np.flatnonzero(np.hypot(dx, dy) <= r))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
 
 def _moved(x: np.ndarray, y: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
     """Places moved by a hash of themselves."""
@@ -203,9 +226,8 @@ def delaunay(nodes: DataFrame, node: str = "node", x: str = "x", y: str = "y", t
         return pd.concat([given.assign(kind=0), asked.assign(kind=np.where(outer[~inside], 2, 1))]).assign(tile=int(key[0]))[[c.split()[0] for c in shape_type.split(", ")]]
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        boxes = held.value.boxes()
         for batch in batches:
-            to = [_reached(boxes, *r) for r in _shapes(batch, width)]
+            to = [held.value.reached(*r) for r in _shapes(batch, width)]
             yield batch.iloc[np.repeat(np.arange(len(batch)), [len(t) for t in to])].assign(at=np.concatenate(to) if to else np.zeros(0, np.int64))
 
     def test(asks: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
@@ -268,16 +290,3 @@ def _shapes(rows: pd.DataFrame, width: float) -> Iterator[tuple]:
     """(kind, places of its corners as moved) of each asked circle or half-plane."""
     moved = [v for k in "abc" for v in _moved(rows[f"{k}x"].to_numpy(), rows[f"{k}y"].to_numpy(), width)]
     yield from zip(rows["kind"].tolist(), *(v.tolist() for v in moved), strict=True)
-
-
-def _reached(boxes: np.ndarray, kind: int, ax, ay, bx, by, cx, cy) -> np.ndarray:
-    """The tiles that a circle or a half-plane reaches."""
-    x0, x1, y0, y1 = boxes
-    if kind == 2:
-        left = np.max([_turn(ax, ay, bx, by, px, py) for px in (x0, x1) for py in (y0, y1)], axis=0)
-        return np.flatnonzero(left > 0)
-    mx, my, r = (float(v) for v in _circle(*(np.float64(v) for v in (ax, ay, bx, by, cx, cy))))
-    if not np.isfinite(r):
-        return np.arange(boxes.shape[1])
-    dx, dy = np.maximum(np.maximum(x0 - mx, mx - x1), 0), np.maximum(np.maximum(y0 - my, my - y1), 0)
-    return np.flatnonzero(np.hypot(dx, dy) <= r)

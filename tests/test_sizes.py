@@ -126,3 +126,27 @@ def test_components_read_their_cube_once(spark):
     a, b = ({(r.cell, r.t): r.value for r in df.collect()} for df in (season, vary))
     assert len(a) == len(b) == 20 * 36 and a[(3, 4)] is not None and b[(7, 8)] is not None
     assert reads.value == len(rows)
+
+
+@pytest.mark.parametrize("side", [1, 3, 12])
+def test_a_circle_is_held_against_the_tiles_of_its_box_only(side):
+    """As all tiles do, one by one; tiles without width too."""
+    from gridloom.operators import mesh
+
+    rng = np.random.default_rng(side)
+    strips, cells = np.sort(rng.random(side + 1)) * 10, np.sort(rng.random((side, side + 1)), axis=1) * 7
+    if side == 3:
+        strips[1], cells[0, 1] = strips[2], cells[0, 2]
+    tiling = mesh.Tiling(strips, cells)
+    x0, x1, y0, y1 = tiling.boxes()
+    for _ in range(300):
+        p = np.tile(rng.random(2) * 12 - 1, 3) + rng.random(6) * 0.3
+        mx, my, r = (float(v) for v in mesh._circle(*p))
+        dx, dy = np.maximum(np.maximum(x0 - mx, mx - x1), 0), np.maximum(np.maximum(y0 - my, my - y1), 0)
+        assert sorted(tiling.reached(1, *p)) == np.flatnonzero(np.hypot(dx, dy) <= r).tolist()
+    x, y = np.sort(rng.random(500) * 12 - 1), rng.random(500) * 9 - 1
+    want = set()
+    for k in range(side * side):
+        a, b, c, d = tiling.box(k, 0.35)
+        want |= {(int(i), k) for i in np.flatnonzero((x >= a) & (x <= b) & (y >= c) & (y <= d))}
+    assert set(zip(*(v.tolist() for v in tiling.near(x, y, 0.35)))) == want
