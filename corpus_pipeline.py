@@ -38,8 +38,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path(byte_bpe.RANK_FILE), public_tokenizers.PATTERN
-    coded = byte_bpe.encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    back = byte_bpe.decode(coded, path, pattern)
+    back = byte_bpe.round_trip(docs.select("doc_id", "text"), path, pattern)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -29,7 +29,9 @@ from .textbuf import pieces, trimmed
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids a worker keeps, of at most so many characters; it starts anew when there are more.
-CACHE, LONGEST = 300_000, 256
+CACHE, LONGEST = 150_000, 256
+#: Bytes of text that a worker encodes, and ids that it decodes, at a time.
+TEXT, IDS = 1 << 20, 1 << 18
 _GONE = np.int32(2**31 - 1)
 
 
@@ -200,6 +202,23 @@ def _held(spark: SparkSession, rank_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _encoded(codec: ByteBpe, texts: pa.Array) -> pa.ListArray:
+    raw = codec.encode_all(texts.fill_null("").to_pylist())
+    off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
+def _decoded(codec: ByteBpe, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list's ids, some ``IDS`` of them at a time."""
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ids, texts, at = lists.flatten().to_numpy(zero_copy_only=False), [], 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + IDS, side="right")) - 1)
+        texts += codec.decode_all(ids[ends[at] : ends[to]].astype(np.int64), ends[at : to + 1] - ends[at])
+        at = to
+    return pa.array(texts, pa.binary())
+
+
 def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of each text as ``out`` array<int>. ``rank_path`` is read where this is called; the ranks go to the
     workers by broadcast, so executors need no such file."""
@@ -209,11 +228,8 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held, pattern)
         for batch in batches:
-            for part in pieces(batch, text_col):
-                raw = codec.encode_all(part.column(text_col).fill_null("").to_pylist())
-                off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
+            for part in pieces(batch, text_col, TEXT):
+                yield pa.RecordBatch.from_arrays([*part.columns, _encoded(codec, part.column(text_col))], names=[*part.schema.names, out])
         codec.cache.clear()
 
     return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
@@ -227,27 +243,41 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held, pattern)
         for batch in batches:
-            at, most = 0, 1 << 19
+            at = 0
             size = np.cumsum(batch.column(ids_col).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + IDS, side="right")))
                 part = batch.slice(at, to - at)
-                lists = part.column(ids_col)
-                off = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                texts = codec.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), off)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(codec, part.column(ids_col))], names=[*part.schema.names, out])
                 at = to
 
     return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
+    """df with the ids of each text as ``out`` and the bytes that these ids stand for as ``back``, without the texts: what
+    ``encode`` and ``decode`` give, by one worker a task instead of two, and texts don't come back from it."""
+    held = _held(df.sparkSession, rank_path)
+    df = freed(df, [out, back], text_col)
+    rest = [f for f in df.schema.fields if f.name != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(held, pattern)
+        for batch in batches:
+            for part in pieces(batch, text_col, TEXT):
+                ids = _encoded(codec, part.column(text_col))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), ids, _decoded(codec, ids)], names=[*(f.name for f in rest), out, back])
+        codec.cache.clear()
+
+    return df.mapInArrow(trimmed(run), T.StructType([*rest, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(back, T.BinaryType())]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: ids and decoded bytes of every document, as digests."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
-    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).drop("text")
-    back = decode(coded, path, pattern)
+    back = round_trip(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

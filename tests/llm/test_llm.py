@@ -376,6 +376,20 @@ def test_encoding_odd_rows_round_trips(odd, empty, public):
         byte_bpe.encode(odd, path, public.PATTERN, "text", "text")
 
 
+def test_one_worker_a_task_encodes_and_decodes(spark, odd, empty, public):
+    path = public.path(byte_bpe.RANK_FILE)
+    two = byte_bpe.decode(byte_bpe.encode(odd, path, public.PATTERN), path, public.PATTERN)
+    one = byte_bpe.round_trip(odd, path, public.PATTERN)
+    assert set(one.columns) == {*odd.columns, "ids", "decoded"} - {"text"}
+    rows = lambda df: Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in df.select("doc_id", "ids", "decoded").collect())
+    assert rows(one) == rows(two)
+    assert byte_bpe.round_trip(empty, path, public.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        byte_bpe.round_trip(odd, path, public.PATTERN, "text", "text")
+    for df in (corpus_pipeline.encoded(spark, odd, DATA), byte_bpe.query(spark, DATA)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_counts_are_the_librarys(spark, odd, empty, public):
     from tokenizers import Tokenizer
 
