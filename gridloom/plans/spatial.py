@@ -252,8 +252,7 @@ def j_weights_over_times(t: Tables) -> DataFrame:
     cells = t.supplier.agg(F.max("s_suppkey").alias("n"))
     k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
     weights = t.part.select("p_partkey", k).crossJoin(cells).select(F.col("p_partkey").alias("dst"), ((F.col("p_partkey") * 7 + F.col("k") * F.col("k")) % F.col("n") + 1).alias("src"), ((F.col("k") + 1) * 0.25).cast("double").alias("w"))
-    plain, mean = (regrid.apply_weights_over(field, weights, "cell", "t", "v", limit) for limit in (None, 0.5))
-    return plain.join(mean.withColumnRenamed("v", "mean"), ["t", "dst"])
+    return regrid.apply_weights_over(field, weights, "cell", "t", "v", more={"mean": 0.5}).select("t", "dst", "v", "mean")
 
 
 _SCATTERED = """node AS (SELECT s_suppkey AS id, s_acctbal / 1000.0::DOUBLE AS x, (s_suppkey * 7919 % 1009) / 100.0::DOUBLE AS y FROM supplier),

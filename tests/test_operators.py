@@ -12,6 +12,7 @@ from gridloom.functions.columns import nan_to_null, require, with_step
 from gridloom.operators import changepoint, fill, generator, regions, regrid, regress, stats, subset
 from gridloom.operators import mesh as meshes
 from gridloom.operators import timeseries as ts
+from gridloom.plans import registry
 from gridloom.sources import io
 
 
@@ -836,3 +837,19 @@ def test_weights_over_times_as_one_by_one(spark):
         want = {(r.t, r.dst): r.v for r in regrid.apply_weights(field, weights, "cell", "v", "t", limit).collect()}
         assert got.keys() == want.keys()
         assert all(got[k] is None if x is None else got[k] == pytest.approx(x, abs=1e-9) for k, x in want.items())
+
+
+def test_weights_over_times_add_up_once_for_all_results(spark):
+    """Results with several thresholds come from one product a block; none is made again or joined to another."""
+    rows = [(s, t, None if (s + t) % 3 == 0 else float(s * t)) for s in range(20) for t in (-513, -1, 0, 5, 1300)]
+    field = spark.createDataFrame(rows, "cell int, t int, v double")
+    weights = spark.createDataFrame([(d, (d * 7 + k) % 23, 0.25 * (k + 1)) for d in range(600) for k in range(3)], "dst long, src int, w double")
+    got = regrid.apply_weights_over(field, weights, "cell", "t", "v", more={"mean": 0.5, "any": 0.0})
+    assert got.columns == ["t", "dst", "v", "mean", "any"]
+    found = {(r.t, r.dst): r for r in got.collect()}
+    for name, limit in (("v", None), ("mean", 0.5), ("any", 0.0)):
+        want = {(r.t, r.dst): r.v for r in regrid.apply_weights(field, weights, "cell", "v", "t", limit).collect()}
+        assert found.keys() == want.keys()
+        assert all(found[k][name] is None if x is None else found[k][name] == pytest.approx(x, abs=1e-9) for k, x in want.items())
+    plan = registry.QUERIES["j_weights_over_times"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
